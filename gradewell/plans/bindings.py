@@ -208,3 +208,24 @@ def specs(spark: SparkSession, sf: str) -> DataFrame:
         ).alias("target_vms"),
         F.when(cat == "DELETE", k % 3).otherwise(null_long).alias("delete_count"),
     )
+
+
+# ---------------------------------------------------------------- B11 text
+ANSI_RED = "\x1b[31m"
+ANSI_RESET = "\x1b[0m"
+
+
+def error_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as tool output; ANSI colour codes around every 4th text."""
+    d = read_table(spark, sf, "documents")
+    t = F.when(
+        F.col("doc_id") % 4 == 0, F.concat(F.lit(ANSI_RED), F.col("text"), F.lit(ANSI_RESET))
+    ).otherwise(F.col("text"))
+    return d.select("doc_id", t.alias("text"))
+
+
+# ---------------------------------------------------------------- ground truth
+def results_and_truth(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Results = samples of folders 1 and 2; ground truth = folder 0."""
+    s = samples(spark, sf)
+    return s.filter(F.col("folder") != 0), s.filter(F.col("folder") == 0)

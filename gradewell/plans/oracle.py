@@ -104,3 +104,177 @@ FROM r"""
 ORACLE["duplicate_plan_keys"] = """
 SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem
 GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"""
+
+# ------------------------------------------------------------------ judge
+V_JUDGED = """judged AS (
+  SELECT doc_id, 'T' || CAST(doc_id % 7 AS VARCHAR) AS task_id,
+         CASE doc_id % 5
+           WHEN 0 THEN 'Review done.' || chr(10) || 'Rating: ' || v
+           WHEN 1 THEN 'looks fine overall. rating: ' || lower(v)
+           WHEN 2 THEN 'The configuration is ' || lower(v) || '  ' || chr(10)
+           WHEN 3 THEN 'No clear verdict here.'
+           ELSE '' END AS judge_text,
+         CASE WHEN doc_id % 11 = 0 THEN NULL ELSE toxic = 0 END AS spec_passed
+  FROM (SELECT *, CASE WHEN quality = 1 THEN 'Correct' ELSE 'Incorrect' END AS v FROM labels))"""
+
+WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
+NON_WS = r"[^\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
+
+
+def _strip(e: str) -> str:
+    return f"regexp_replace({e}, '^{WS}+|{WS}+\\z', '', 'g')"
+
+
+def _verdict(t: str) -> str:
+    hit = f"regexp_extract(coalesce({t}, ''), '(?i)Rating:\\s*(Correct|Incorrect)', 1)"
+    low = _strip(f"lower({t})")
+    return f"""CASE WHEN {t} IS NULL OR {t} = '' THEN 'Unknown'
+      WHEN {hit} <> '' THEN upper(left({hit}, 1)) || lower(substr({hit}, 2))
+      WHEN ends_with({low}, 'incorrect') OR contains({low}, 'rating: incorrect') THEN 'Incorrect'
+      WHEN ends_with({low}, 'correct') OR contains({low}, 'rating: correct') THEN 'Correct'
+      ELSE 'Unknown' END"""
+
+
+V_VERDICTS = f"""jv AS (SELECT *, {_verdict('judge_text')} AS verdict FROM judged),
+valid AS (SELECT * FROM jv WHERE verdict IN ('Correct', 'Incorrect') AND spec_passed IS NOT NULL)"""
+
+
+def _confusion(keys: str = "") -> str:
+    k = f"{keys}, " if keys else ""
+    g = f"GROUP BY {keys}" if keys else ""
+    return f"""
+WITH {V_JUDGED}, {V_VERDICTS},
+c AS (SELECT {k}count(*) FILTER (WHERE verdict = 'Correct' AND spec_passed) AS tp,
+             count(*) FILTER (WHERE verdict = 'Incorrect' AND spec_passed) AS fp,
+             count(*) FILTER (WHERE verdict = 'Correct' AND NOT spec_passed) AS fn,
+             count(*) FILTER (WHERE verdict = 'Incorrect' AND NOT spec_passed) AS tn,
+             count(*) AS n_valid
+      FROM valid {g}),
+m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+             CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall,
+             CASE WHEN n_valid > 0 THEN (tp + tn) / n_valid ELSE 0.0 END AS accuracy FROM c)
+SELECT {k}tp, fp, fn, tn, n_valid, {_r('precision')} AS precision, {_r('recall')} AS recall,
+       {_r('accuracy')} AS accuracy,
+       {_r('CASE WHEN precision + recall > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END')} AS f1
+FROM m"""
+
+
+ORACLE["judge_verdicts"] = f"""
+WITH {V_JUDGED}, {V_VERDICTS}
+SELECT doc_id, task_id, verdict, spec_passed,
+       CASE WHEN verdict IN ('Correct', 'Incorrect') AND spec_passed IS NOT NULL
+            THEN (verdict = 'Correct') = spec_passed END AS agree
+FROM jv"""
+
+ORACLE["judge_confusion"] = _confusion()
+ORACLE["judge_confusion_by_task"] = _confusion("task_id")
+
+ORACLE["judge_disagreements"] = f"""
+WITH {V_JUDGED}, {V_VERDICTS}
+SELECT CASE WHEN verdict = 'Incorrect' AND spec_passed THEN 'too_lenient' ELSE 'too_strict' END AS kind,
+       task_id, doc_id
+FROM valid WHERE (verdict = 'Incorrect' AND spec_passed) OR (verdict = 'Correct' AND NOT spec_passed)"""
+
+ORACLE["judge_skip_existing"] = f"""
+WITH {V_JUDGED}, {V_VERDICTS}
+SELECT doc_id, verdict, 'judged' AS source FROM jv WHERE doc_id % 4 <> 0
+UNION ALL
+SELECT doc_id, 'Correct' AS verdict, 'existing' AS source FROM judged WHERE doc_id % 4 = 0"""
+
+# ------------------------------------------------------------------ ground truth
+V_GT = """res AS (SELECT * FROM samples WHERE folder <> 0),
+gt AS (SELECT task_id, plan_ok AS gt_plan, apply_ok AS gt_apply, spec_ok AS gt_spec, iterations AS gt_iterations
+       FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY event_id) AS rn
+             FROM samples WHERE folder = 0) WHERE rn = 1),
+cmp AS (SELECT res.*, gt_plan, gt_apply, gt_spec, gt_iterations,
+               plan_ok = gt_plan AS plan_match, apply_ok = gt_apply AS apply_match,
+               spec_ok IS NOT DISTINCT FROM gt_spec AS spec_match
+        FROM res JOIN gt USING (task_id))"""
+
+ORACLE["ground_truth_compare"] = f"""
+WITH {V_SAMPLES}, {V_GT}
+SELECT task_id, event_id, plan_match, apply_match, spec_match, iterations, gt_iterations FROM cmp"""
+
+ORACLE["ground_truth_summary"] = f"""
+WITH {V_SAMPLES}, {V_GT},
+s AS (SELECT count(*) AS total, count(*) FILTER (WHERE plan_match) AS plan_matches,
+             count(*) FILTER (WHERE apply_match) AS apply_matches,
+             count(*) FILTER (WHERE spec_match) AS spec_matches FROM cmp)
+SELECT *, {_r('100.0 * plan_matches / total')} AS plan_pct, {_r('100.0 * apply_matches / total')} AS apply_pct,
+       {_r('100.0 * spec_matches / total')} AS spec_pct,
+       CASE WHEN 100.0 * spec_matches / total > 80 THEN 'high'
+            WHEN 100.0 * spec_matches / total >= 50 THEN 'moderate' ELSE 'low' END AS spec_band
+FROM s"""
+
+ORACLE["ground_truth_unmatched"] = f"""
+WITH {V_SAMPLES}
+SELECT DISTINCT task_id FROM samples r WHERE folder <> 0
+  AND NOT EXISTS (SELECT 1 FROM samples g WHERE g.folder = 0 AND g.task_id = r.task_id)"""
+
+# ------------------------------------------------------------------ code extraction
+V_FENCED = """fenced AS (
+  SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'READ' ELSE 'CREATE' END AS category,
+    CASE (conv_id + turn) % 6
+      WHEN 0 THEN 'Here is the code:' || chr(10) || '```hcl' || chr(10) || text || chr(10) || '```' || chr(10) || 'Done.'
+      WHEN 1 THEN '```' || chr(10) || text || chr(10) || '```'
+      WHEN 2 THEN '```TF' || chr(13) || chr(10) || text || chr(13) || chr(10) || '```'
+      WHEN 3 THEN '```hcl' || chr(10) || 'example' || chr(10) || '```' || chr(10) || 'Then:' || chr(10)
+                  || '```terraform' || chr(10) || text || chr(10) || '```'
+      WHEN 4 THEN 'Partial answer:' || chr(10) || '```hcl' || chr(10) || text
+      ELSE CASE WHEN turn % 2 = 0 THEN 'resource "vm" "x" {}' || chr(10) || text ELSE text END
+    END AS response
+  FROM conversations)"""
+
+
+def _extract_code(r: str) -> str:
+    blocks = f"list_filter(string_split(coalesce({r}, ''), '```'), lambda b, i: i % 2 = 0)"
+    cleaned = (
+        f"list_transform({blocks}, lambda b: regexp_replace({_strip('b')}, "
+        "'^(?i:hcl|terraform|tf)(?:[\\r\\n]+|\\z)', ''))"
+    )
+    last = f"list_filter({cleaned}, lambda b: b <> '')[-1]"
+    whole = _strip(f"coalesce({r}, '')")
+    markers = " OR ".join(
+        f"contains({whole}, '{m}')"
+        for m in ('resource "', 'data "', 'provider "', 'terraform {', 'variable "', 'output "')
+    )
+    words = f"len(regexp_extract_all({whole}, '{NON_WS}+'))"
+    fallback = (
+        f"CASE WHEN ({markers}) AND NOT ({words} > 100 AND NOT starts_with({whole}, 'terraform')) "
+        f"THEN {whole} ELSE '' END"
+    )
+    return f"coalesce({last}, {fallback})"
+
+
+ORACLE["code_extraction"] = f"""
+WITH {V_FENCED}, x AS (SELECT conv_id, turn, category, {_extract_code('response')} AS code FROM fenced)
+SELECT conv_id, turn, code, length(code) AS code_chars,
+       {_strip('code')} = '' OR (upper(category) NOT IN ('DELETE', 'READ')
+         AND NOT (contains(code, 'resource "') OR contains(code, 'data "'))) AS no_usable_code
+FROM x"""
+
+# ------------------------------------------------------------------ text hygiene
+REDACT = (
+    r"""(?i)\b(username|password|api[_-]?key|token)\b\s*([:=])\s*("[^\n]*?"|'[^\n]*?'|[^\s,\n}]+)"""
+)
+ANSI = r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])"
+V_ERR = """errtext AS (
+  SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN chr(27) || '[31m' || text || chr(27) || '[0m' ELSE text END AS text
+  FROM documents)"""
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+ORACLE["text_hygiene"] = f"""
+WITH {V_ERR},
+t AS (SELECT doc_id, text, regexp_replace(text, {_sql_str(ANSI)}, '', 'g') AS clean FROM errtext)
+SELECT doc_id,
+       len(regexp_extract_all(text, {_sql_str(REDACT)})) AS redaction_hits,
+       md5(regexp_replace(text, {_sql_str(REDACT)}, '\\1\\2"[REDACTED]"', 'g')) AS redacted_md5,
+       length(CASE WHEN length(clean) > 4000 THEN left(clean, 2000) || chr(10) || '... [TRUNCATED] ...' || chr(10) || right(clean, 2000) ELSE clean END) AS sanitized_chars,
+       md5(CASE WHEN length(clean) > 4000 THEN left(clean, 2000) || chr(10) || '... [TRUNCATED] ...' || chr(10) || right(clean, 2000) ELSE clean END) AS sanitized_md5,
+       md5(CASE WHEN length(text) > 4000 THEN left(text, 4000) || chr(10) || '... [TRUNCATED - extracted context]' ELSE text END) AS head_md5,
+       length(clean) > 4000 AS truncated
+FROM t"""

@@ -76,3 +76,103 @@ def q_running_progress(spark, sf):
 def q_duplicate_plan_keys(spark, sf):
     li = read_table(spark, sf, "lineitem")
     return metrics.duplicates(li, ["l_orderkey", "l_linenumber"])
+
+
+# ------------------------------------------------------------ judge agreement
+from ..functions import text as TX  # noqa: E402
+from ..operators import agreement as AG  # noqa: E402
+
+
+def _judged(spark, sf):
+    return AG.with_verdict(B.judged(spark, sf))
+
+
+@register("judge_verdicts")
+def q_judge_verdicts(spark, sf):
+    j = _judged(spark, sf)
+    return j.select("doc_id", "task_id", "verdict", "spec_passed", AG.judge_agrees().alias("agree"))
+
+
+@register("judge_confusion")
+def q_judge_confusion(spark, sf):
+    return rounded(AG.confusion(_judged(spark, sf)))
+
+
+@register("judge_confusion_by_task")
+def q_judge_confusion_by_task(spark, sf):
+    return rounded(AG.confusion(_judged(spark, sf), ["task_id"]))
+
+
+@register("judge_disagreements")
+def q_judge_disagreements(spark, sf):
+    return AG.disagreements(_judged(spark, sf), ["task_id", "doc_id"])
+
+
+@register("judge_skip_existing")
+def q_judge_skip_existing(spark, sf):
+    j = B.judged(spark, sf)
+    stored = j.filter(F.col("doc_id") % 4 == 0).select(
+        "doc_id", F.lit("Correct").alias("verdict")
+    )
+    out = AG.skip_existing(j, stored, "doc_id", lambda w: AG.with_verdict(w))
+    return out.select("doc_id", "verdict", "source")
+
+
+# ------------------------------------------------------------ ground truth
+@register("ground_truth_compare")
+def q_ground_truth_compare(spark, sf):
+    res, truth = B.results_and_truth(spark, sf)
+    gt = AG.first_per_group(truth, "task_id", ["event_id"])
+    c = AG.compare_with_ground_truth(res, gt)
+    return c.select("task_id", "event_id", "plan_match", "apply_match", "spec_match",
+                    "iterations", "gt_iterations")
+
+
+@register("ground_truth_summary")
+def q_ground_truth_summary(spark, sf):
+    res, truth = B.results_and_truth(spark, sf)
+    gt = AG.first_per_group(truth, "task_id", ["event_id"])
+    s = AG.ground_truth_summary(AG.compare_with_ground_truth(res, gt))
+    return rounded(s.withColumn("spec_band", AG.agreement_band("spec_pct")))
+
+
+@register("ground_truth_unmatched")
+def q_ground_truth_unmatched(spark, sf):
+    res, truth = B.results_and_truth(spark, sf)
+    return res.select("task_id").distinct().join(truth.select("task_id"), "task_id", "left_anti")
+
+
+# ------------------------------------------------------------ text functions
+@register("code_extraction")
+def q_code_extraction(spark, sf):
+    f = B.fenced(spark, sf)
+    code = TX.extract_code("response")
+    return f.select("conv_id", "turn", code.alias("code")).join(
+        f.select("conv_id", "turn", "category"), ["conv_id", "turn"]
+    ).select(
+        "conv_id", "turn", "code", F.length("code").alias("code_chars"),
+        _no_usable_code(F.col("code"), F.col("category")).alias("no_usable_code"),
+    )
+
+
+def _no_usable_code(code, category):
+    from ..functions.outcome import no_usable_code
+
+    return no_usable_code(code, category)
+
+
+@register("text_hygiene")
+def q_text_hygiene(spark, sf):
+    t = B.error_texts(spark, sf)
+    red = TX.redact("text")
+    san = TX.sanitize_error("text")
+    head = TX.truncate_head("text", TX.TRUNCATE_MAX, TX.CONTEXT_MARKER)
+    return t.select(
+        "doc_id",
+        F.size(F.regexp_extract_all("text", F.lit(TX.REDACT_PATTERN), 0)).alias("redaction_hits"),
+        F.md5(red).alias("redacted_md5"),
+        F.length(san).alias("sanitized_chars"),
+        F.md5(san).alias("sanitized_md5"),
+        F.md5(head).alias("head_md5"),
+        (F.length(TX.strip_ansi("text")) > TX.TRUNCATE_MAX).alias("truncated"),
+    )
