@@ -278,3 +278,61 @@ SELECT doc_id,
        md5(CASE WHEN length(text) > 4000 THEN left(text, 4000) || chr(10) || '... [TRUNCATED - extracted context]' ELSE text END) AS head_md5,
        length(clean) > 4000 AS truncated
 FROM t"""
+
+# ------------------------------------------------------------------ BLEU
+TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}]"
+V_PAIRS = """pairs AS (
+  SELECT a.conv_id, a.turn, a.text AS reference, b.text AS candidate
+  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
+
+V_BLEU = f"""tk AS (SELECT conv_id, turn, coalesce(reference, '') = '' AS unscored,
+                  regexp_extract_all(coalesce(reference, ''), '{TOKEN}') AS rt,
+                  regexp_extract_all(coalesce(candidate, ''), '{TOKEN}') AS ct FROM pairs),
+el AS (SELECT * FROM tk WHERE NOT unscored AND len(rt) >= 4 AND len(ct) >= 4),
+gi AS (SELECT conv_id, turn, 'c' AS side, n, unnest(generate_series(1, len(ct) - n + 1)) AS i, ct AS toks
+       FROM el, (VALUES (1), (2), (3), (4)) v(n)
+       UNION ALL
+       SELECT conv_id, turn, 'r' AS side, n, unnest(generate_series(1, len(rt) - n + 1)) AS i, rt AS toks
+       FROM el, (VALUES (1), (2), (3), (4)) v(n)),
+gr AS (SELECT conv_id, turn, side, n, array_to_string(toks[i:i + n - 1], chr(1)) AS g FROM gi),
+cl AS (SELECT conv_id, turn, n, least(count(*) FILTER (WHERE side = 'c'), count(*) FILTER (WHERE side = 'r')) AS clip
+       FROM gr GROUP BY conv_id, turn, n, g),
+nm AS (SELECT conv_id, turn,
+              coalesce(sum(clip) FILTER (WHERE n = 1), 0) AS num1, coalesce(sum(clip) FILTER (WHERE n = 2), 0) AS num2,
+              coalesce(sum(clip) FILTER (WHERE n = 3), 0) AS num3, coalesce(sum(clip) FILTER (WHERE n = 4), 0) AS num4
+       FROM cl GROUP BY conv_id, turn),
+z AS (SELECT nm.*, len(el.rt) AS ref_tokens, len(el.ct) AS cand_tokens,
+             1 AS inc1,
+             1 + (CASE WHEN num1 = 0 THEN 1 ELSE 0 END) AS inc2,
+             1 + (CASE WHEN num1 = 0 THEN 1 ELSE 0 END) + (CASE WHEN num2 = 0 THEN 1 ELSE 0 END) AS inc3,
+             1 + (CASE WHEN num1 = 0 THEN 1 ELSE 0 END) + (CASE WHEN num2 = 0 THEN 1 ELSE 0 END)
+               + (CASE WHEN num3 = 0 THEN 1 ELSE 0 END) AS inc4
+      FROM nm JOIN el USING (conv_id, turn)),
+pz AS (SELECT conv_id, turn, ref_tokens, cand_tokens, num1,
+              CASE WHEN num1 > 0 THEN num1 / greatest(cand_tokens, 1) ELSE 1.0 / (pow(2.0, inc1) * greatest(cand_tokens, 1)) END AS p1,
+              CASE WHEN num2 > 0 THEN num2 / greatest(cand_tokens - 1, 1) ELSE 1.0 / (pow(2.0, inc2) * greatest(cand_tokens - 1, 1)) END AS p2,
+              CASE WHEN num3 > 0 THEN num3 / greatest(cand_tokens - 2, 1) ELSE 1.0 / (pow(2.0, inc3) * greatest(cand_tokens - 2, 1)) END AS p3,
+              CASE WHEN num4 > 0 THEN num4 / greatest(cand_tokens - 3, 1) ELSE 1.0 / (pow(2.0, inc4) * greatest(cand_tokens - 3, 1)) END AS p4
+       FROM z),
+bl AS (SELECT conv_id, turn, ref_tokens, cand_tokens,
+              CASE WHEN num1 = 0 THEN 0.0 ELSE
+                (CASE WHEN cand_tokens > ref_tokens THEN 1.0 ELSE exp(1.0 - ref_tokens / cand_tokens) END)
+                * exp(ln(p1) * 0.25 + ln(p2) * 0.25 + ln(p3) * 0.25 + ln(p4) * 0.25) END AS bleu
+       FROM pz
+       UNION ALL
+       SELECT conv_id, turn, len(rt) AS ref_tokens, len(ct) AS cand_tokens,
+              CASE WHEN unscored THEN NULL ELSE 0.0 END AS bleu
+       FROM tk WHERE unscored OR len(rt) < 4 OR len(ct) < 4)"""
+
+ORACLE["bleu_pairs"] = f"""
+WITH {V_PAIRS}, {V_BLEU}
+SELECT conv_id, turn, ref_tokens, cand_tokens, {_r('bleu')} AS bleu FROM bl"""
+
+ORACLE["bleu_summary"] = f"""
+WITH {V_PAIRS}, {V_BLEU}
+SELECT count(*) AS n_pairs, count(bleu) AS n_scored, {_r('avg(bleu)')} AS avg_bleu,
+       count(*) FILTER (WHERE bleu >= 0.9) AS n_excellent,
+       count(*) FILTER (WHERE bleu >= 0.7 AND bleu < 0.9) AS n_good,
+       count(*) FILTER (WHERE bleu >= 0.5 AND bleu < 0.7) AS n_fair,
+       count(*) FILTER (WHERE bleu < 0.5) AS n_poor
+FROM bl"""

@@ -176,3 +176,32 @@ def q_text_hygiene(spark, sf):
         F.md5(head).alias("head_md5"),
         (F.length(TX.strip_ansi("text")) > TX.TRUNCATE_MAX).alias("truncated"),
     )
+
+
+# ------------------------------------------------------------ BLEU
+from ..operators import bleu as BL  # noqa: E402
+
+
+def _bleu_pairs(spark, sf):
+    return BL.bleu(B.pairs(spark, sf), ["conv_id", "turn"], "reference", "candidate")
+
+
+@register("bleu_pairs")
+def q_bleu_pairs(spark, sf):
+    return rounded(_bleu_pairs(spark, sf))
+
+
+@register("bleu_summary")
+def q_bleu_summary(spark, sf):
+    b = _bleu_pairs(spark, sf)
+    band = AG.bleu_band("bleu")
+    s = b.agg(
+        F.count(F.lit(1)).alias("n_pairs"),
+        F.count("bleu").alias("n_scored"),
+        F.avg("bleu").alias("avg_bleu"),
+        F.count_if(band == "excellent").alias("n_excellent"),
+        F.count_if(band == "good").alias("n_good"),
+        F.count_if(band == "fair").alias("n_fair"),
+        F.count_if(band == "poor").alias("n_poor"),
+    )
+    return rounded(s)
