@@ -229,3 +229,26 @@ def results_and_truth(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFram
     """Results = samples of folders 1 and 2; ground truth = folder 0."""
     s = samples(spark, sf)
     return s.filter(F.col("folder") != 0), s.filter(F.col("folder") == 0)
+
+
+# ---------------------------------------------------------------- B8 hosts
+def host_state_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """host = customer; existing VMs = plan rows with line number 1, planned = the rest."""
+    from ..functions.outcome import normalize_action
+
+    rows = plan_rows(spark, sf)
+    o = read_table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("plan_id"), F.col("o_custkey").alias("host_id")
+    )
+    existing = F.col("linenumber") == 1
+    return rows.join(o, "plan_id").select(
+        "host_id",
+        "name_label",
+        F.when(existing, F.lit("existing")).otherwise(normalize_action(F.col("actions"))).alias("action"),
+        "memory_max",
+        "cpus",
+        F.aggregate("disk_sizes", F.lit(0).cast("long"), lambda a, d: a + d).alias("disk"),
+        F.when(existing, F.lit(0)).otherwise(F.lit(1)).alias("prio"),
+        "plan_id",
+        "pos",
+    )

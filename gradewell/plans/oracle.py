@@ -336,3 +336,293 @@ SELECT count(*) AS n_pairs, count(bleu) AS n_scored, {_r('avg(bleu)')} AS avg_bl
        count(*) FILTER (WHERE bleu >= 0.5 AND bleu < 0.7) AS n_fair,
        count(*) FILTER (WHERE bleu < 0.5) AS n_poor
 FROM bl"""
+
+# ------------------------------------------------------------------ complexity
+V_HCL = """frag AS (
+  SELECT p_brand AS doc, p_partkey AS frag_pos,
+         'resource "' || p_type || '" "p' || CAST(p_partkey AS VARCHAR) || '" {' || chr(10)
+         || '  cpus = ' || CAST(p_size AS VARCHAR) || chr(10)
+         || '  memory_max = ' || CAST(p_size AS VARCHAR) || ' * 1024 * 1024' || chr(10)
+         || '  sr_id = data.sr.' || p_brand || '.id' || chr(10)
+         || '  name_label = "' || p_name || '"' || chr(10) || '}' AS hcl
+  FROM part),
+hcl AS (SELECT doc, string_agg(hcl, chr(10) ORDER BY frag_pos) AS hcl FROM frag GROUP BY doc)"""
+
+LINE_BREAK = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+
+
+def _count(t: str, p: str) -> str:
+    return f"CAST((length({t}) - length(replace({t}, {_sql_str(p)}, ''))) // {len(p)} AS BIGINT)"
+
+
+def _loc(t: str) -> str:
+    return (f"CAST(len(list_filter(string_split_regex(coalesce({t}, ''), '{LINE_BREAK}'), "
+            f"lambda x: regexp_matches(x, '{NON_WS}'))) AS INTEGER)")
+
+
+def _setting_total(t: str, key: str, mode: str = "reference") -> str:
+    value = r"\d(?:[\d\s]*[+\-*]\s*\d+)*" if mode == "reference" else r"\d+(?:\s*[+\-*]\s*\d+)*"
+    pat = rf"(?m)^\s*{key}\s*=\s*({value})\s*$"
+    ev = (
+        "lambda v: CASE WHEN regexp_matches(trim(v), '^[0-9]+$') THEN CAST(trim(v) AS BIGINT) "
+        "WHEN regexp_matches(v, '[0-9]\\s+[0-9]') OR regexp_matches(trim(v), '(^|[^0-9])0[0-9]') THEN NULL "
+        "ELSE CAST(list_sum(list_transform(regexp_extract_all(regexp_replace(v, '\\s+', '', 'g'), '[+\\-]?[0-9*]+'), "
+        "lambda u: (CASE WHEN starts_with(u, '-') THEN -1 ELSE 1 END) * "
+        "CAST(list_product(list_transform(string_split(regexp_replace(u, '^[+\\-]', ''), '*'), "
+        "lambda x: CAST(x AS BIGINT))) AS BIGINT))) AS BIGINT) END"
+    )
+    vals = f"list_filter(list_transform(regexp_extract_all(coalesce({t}, ''), {_sql_str(pat)}, 1), {ev}), lambda x: x IS NOT NULL)"
+    return f"CASE WHEN len({vals}) > 0 THEN CAST(list_sum({vals}) AS BIGINT) END"
+
+
+def _level(loc: str, res: str, inter: str) -> str:
+    bounds = ((10, 2, 2), (20, 4, 4), (40, 6, 6), (60, 8, 8), (80, 10, 10))
+    whens = " ".join(
+        f"WHEN {loc} < {a} AND {res} < {b} AND {inter} < {c} THEN '{i}'"
+        for i, (a, b, c) in enumerate(bounds, start=1)
+    )
+    return f"CASE {whens} ELSE '6' END"
+
+
+def _scored(src: str, key: str, mode: str = "reference") -> str:
+    t = "hcl"
+    types = f"list_sort(list_distinct(regexp_extract_all({t}, '(?:resource|data)\\s+\"([^\"]+)\"', 1)))"
+    return f"""SELECT {key}, {_loc(t)} AS loc,
+       {_count(t, 'resource "')} + {_count(t, 'data "')} AS resources,
+       {_count(t, '.id')} + {_count(t, '.name')} - {_count(t, 'name_label')} AS interconnections,
+       {types} AS resource_types,
+       {_setting_total(t, 'cpus', mode)} AS total_cpus,
+       {_setting_total(t, 'memory_max', mode)} AS total_memory_max,
+       {_setting_total(t, 'size', mode)} AS total_size,
+       contains({t}, 'provider "xenorchestra"') AS provider_config_included,
+       contains({t}, 'resource "xenorchestra_vm"') AS vm_resource_defined
+FROM {src}"""
+
+
+ORACLE["hcl_complexity"] = f"""
+WITH {V_HCL}, s AS ({_scored('hcl', 'doc')})
+SELECT doc, CAST(loc AS BIGINT) AS loc, resources, interconnections,
+       {_level('loc', 'resources', 'interconnections')} AS level,
+       len(resource_types) AS n_types, array_to_string(resource_types, ',') AS types,
+       total_cpus, total_memory_max, total_size, provider_config_included, vm_resource_defined
+FROM s"""
+
+ORACLE["hcl_complexity_integers"] = f"""
+WITH {V_HCL}, s AS ({_scored('hcl', 'doc', 'integers')})
+SELECT doc, total_cpus, total_memory_max FROM s"""
+
+ORACLE["part_block_complexity"] = f"""
+WITH {V_HCL}, s AS ({_scored('frag', 'frag_pos')})
+SELECT frag_pos, loc, resources, interconnections,
+       {_level('loc', 'resources', 'interconnections')} AS level,
+       array_to_string(resource_types, ',') AS types, total_cpus, total_memory_max
+FROM s"""
+
+ORACLE["resource_type_distribution"] = f"""
+WITH {V_HCL}, s AS ({_scored('hcl', 'doc')}),
+per_type AS (SELECT resource_type, count(DISTINCT doc) AS n_tasks
+             FROM (SELECT doc, unnest(resource_types) AS resource_type FROM s) GROUP BY resource_type)
+SELECT resource_type, n_tasks, repeat('█', CAST(n_tasks AS INTEGER)) AS bar,
+       (SELECT count(*) FROM s) AS total_tasks_scored
+FROM per_type"""
+
+# ------------------------------------------------------------------ rules
+V_PLAN_ROWS = """plan_rows AS (
+  SELECT l_orderkey AS plan_id,
+         row_number() OVER (PARTITION BY l_orderkey
+                            ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS pos,
+         l_linenumber AS linenumber, 'xenorchestra_vm' AS type,
+         CASE WHEN l_returnflag = 'A' THEN ['delete'] WHEN l_returnflag = 'N' THEN ['create']
+              WHEN l_linestatus = 'F' THEN ['delete', 'create'] ELSE ['update'] END AS actions,
+         'vm-' || CAST(l_suppkey AS VARCHAR) AS name_label,
+         CAST(l_quantity AS BIGINT) AS cpus,
+         CAST(l_quantity AS BIGINT) * 67108864 AS memory_max,
+         [l_partkey * 16777216] AS disk_sizes
+  FROM lineitem)"""
+
+ACTION_SQL = """CASE WHEN list_contains(actions, 'delete') AND list_contains(actions, 'create') THEN 'replace'
+     WHEN list_contains(actions, 'delete') THEN 'delete' WHEN list_contains(actions, 'create') THEN 'create'
+     WHEN list_contains(actions, 'update') THEN 'update' WHEN list_contains(actions, 'no-op') THEN 'no-op'
+     ELSE coalesce(actions[1], 'unknown') END"""
+
+V_PLANS = f"""plans AS (
+  SELECT plan_id, list({{'pos': pos, 'type': type, 'action': {ACTION_SQL},
+                        'address': type || '.vm_' || CAST(pos AS VARCHAR), 'name_label': name_label,
+                        'memory_max': memory_max, 'cpus': cpus, 'disk_sizes': disk_sizes}} ORDER BY pos) AS rc
+  FROM plan_rows GROUP BY plan_id)"""
+
+V_SPECS = """specs AS (
+  SELECT k AS plan_id, o_custkey AS host_id, cat AS category,
+         CASE WHEN cat = 'CREATE' AND k % 3 <> 0 THEN k % 4 + 1 END AS vm_count,
+         CASE WHEN cat = 'CREATE' AND k % 3 = 0 THEN 2 END AS min_vm_count,
+         CASE WHEN cat = 'CREATE' AND k % 3 = 0 THEN 4 END AS max_vm_count,
+         CASE WHEN cat = 'CREATE' AND k % 2 = 0 THEN 8.0::DOUBLE END AS max_total_ram_gb,
+         CASE WHEN cat = 'CREATE' AND k % 5 = 1 THEN 60 END AS max_total_cpus,
+         CASE WHEN cat = 'CREATE' AND k % 7 = 0 THEN (k % 50 + 1) * 67108864 END AS per_vm_memory_max,
+         CASE WHEN cat = 'CREATE' AND k % 7 = 1 THEN k % 50 + 1 END AS per_vm_cpus,
+         CASE WHEN cat = 'CREATE' AND k % 7 = 2 THEN (k % 2000) * 16777216 END AS per_vm_disk_size,
+         CASE WHEN cat = 'CREATE' AND k % 4 = 3 THEN ['vm-' || CAST(k % 100 AS VARCHAR), 'vm-' || CAST((k + 37) % 100 AS VARCHAR)] END AS vm_names,
+         CASE WHEN cat = 'UPDATE' THEN CASE WHEN k % 2 = 0 THEN 'cpus' ELSE 'memory_max' END END AS updated_field,
+         CASE WHEN cat = 'UPDATE' THEN CASE WHEN k % 2 = 0 THEN k % 50 + 1 ELSE (k % 50 + 1) * 67108864 END END AS new_value,
+         CASE WHEN cat = 'UPDATE' OR (cat = 'DELETE' AND k % 2 = 0) THEN 'vm-' || CAST(k % 100 AS VARCHAR) END AS target_vm,
+         CASE WHEN cat = 'DELETE' THEN ['vm-' || CAST((k + 11) % 100 AS VARCHAR), 'vm-' || CAST(k % 100 AS VARCHAR)] END AS target_vms,
+         CASE WHEN cat = 'DELETE' THEN k % 3 END AS delete_count
+  FROM (SELECT *, o_orderkey AS k,
+               CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'CREATE' WHEN '2' THEN 'READ'
+                    WHEN '3' THEN 'UPDATE' WHEN '4' THEN 'DELETE' ELSE 'MIGRATE' END AS cat
+        FROM orders)
+  WHERE k % 13 <> 0)"""
+
+
+def _s(e: str) -> str:
+    return f"CAST({e} AS VARCHAR)"
+
+
+def _pylist(e: str) -> str:
+    return f"'[' || array_to_string(list_transform({e}, lambda q: '''' || q || ''''), ', ') || ']'"
+
+
+def _names_sql(e: str) -> str:
+    return f"list_distinct(list_filter(list_transform({e}, lambda v: v.name_label), lambda q: q IS NOT NULL AND q <> ''))"
+
+
+def _except(a: str, b: str) -> str:
+    return f"list_sort(list_filter(list_distinct({a}), lambda q: NOT list_contains({b}, q)))"
+
+
+def _nn(e: str) -> str:
+    return f"list_filter({e}, lambda q: q IS NOT NULL)"
+
+
+def _str_checks(names: str, errs: str) -> str:
+    return (f"list_transform({names}, lambda c: {{'check': c, 'passed': "
+            f"len(list_filter({errs}, lambda e: contains(e, c))) = 0}})")
+
+
+def _lsum(e: str) -> str:
+    return f"CAST(coalesce(list_sum({e}), 0) AS BIGINT)"
+
+
+V_RULES = f"""x AS (SELECT p.plan_id, p.rc, s.*, s.plan_id IS NOT NULL AS has_spec,
+                  list_filter(p.rc, lambda v: v.type = 'xenorchestra_vm') AS vms
+           FROM plans p LEFT JOIN specs s ON p.plan_id = s.plan_id),
+y AS (SELECT *, list_filter(vms, lambda v: v.action = 'create') AS creates,
+             list_filter(vms, lambda v: v.action NOT IN ('create', 'no-op')) AS c_others,
+             list_filter(vms, lambda v: v.action = 'update') AS updates,
+             list_filter(vms, lambda v: v.action IN ('create', 'delete', 'replace')) AS u_forb,
+             list_filter(vms, lambda v: v.action = 'delete') AS deletes,
+             list_filter(vms, lambda v: v.action IN ('create', 'replace', 'update')) AS d_forb,
+             list_filter(rc, lambda v: v.action <> 'no-op') AS r_changes,
+             coalesce(vm_names, []::VARCHAR[]) AS exp_names,
+             CASE WHEN coalesce(target_vm, '') <> '' THEN [target_vm] ELSE coalesce(target_vms, []::VARCHAR[]) END AS d_targets
+      FROM x),
+z AS (SELECT *, {_lsum("list_transform(creates, lambda v: coalesce(v.memory_max, 0))")} AS c_ram,
+             {_lsum("list_transform(creates, lambda v: coalesce(v.cpus, 0))")} AS c_cpu,
+             {_names_sql('creates')} AS c_names, {_names_sql('updates')} AS u_names, {_names_sql('deletes')} AS d_names,
+             list_filter(vms, lambda v: coalesce(v.name_label, '') <> '' AND v.action IN ('create', 'update', 'replace', 'delete')) AS q_ev
+      FROM y),
+z2 AS (SELECT *, {_except('exp_names', 'c_names')} AS c_missing, {_except('c_names', 'exp_names')} AS c_extra,
+              {_except('u_names', '[target_vm]')} AS u_extra,
+              list_filter(d_targets, lambda t: NOT coalesce(list_contains(d_names, t), FALSE)) AS d_missing,
+              {_except('d_names', 'd_targets')} AS d_extra,
+              list_filter(list_filter(q_ev, lambda e: len(list_filter(q_ev, lambda w: w.name_label = e.name_label AND w.pos > e.pos)) = 0),
+                          lambda e: e.action <> 'delete') AS q_live
+       FROM z),
+z3 AS (SELECT *,
+  CASE WHEN category = 'READ' THEN 0 ELSE {_lsum("list_transform(q_live, lambda e: coalesce(e.memory_max, 0))")} END AS q_ram,
+  CASE WHEN category = 'READ' THEN 0 ELSE {_lsum("list_transform(q_live, lambda e: coalesce(e.cpus, 0))")} END AS q_cpu,
+  CASE WHEN category = 'READ' THEN 0 ELSE {_lsum("list_transform(q_live, lambda e: " + _lsum("list_transform(coalesce(e.disk_sizes, []::BIGINT[]), lambda d: coalesce(d, 0))") + ")")} END AS q_disk,
+  {_nn(f'''list_concat([
+     CASE WHEN len(c_others) > 0 THEN 'SPEC ERROR: CREATE task should not ' || c_others[1].action || ' VMs.' END,
+     CASE WHEN vm_count IS NOT NULL AND len(creates) <> vm_count THEN 'SPEC ERROR: Expected ' || {_s('vm_count')} || ' VMs, found ' || {_s('len(creates)')} || '.' END,
+     CASE WHEN vm_count IS NULL AND len(creates) < min_vm_count THEN 'SPEC ERROR: Expected at least ' || {_s('min_vm_count')} || ' VMs, found ' || {_s('len(creates)')} || '.' END,
+     CASE WHEN vm_count IS NULL AND len(creates) > max_vm_count THEN 'SPEC ERROR: Expected at most ' || {_s('max_vm_count')} || ' VMs, found ' || {_s('len(creates)')} || '.' END,
+     CASE WHEN max_total_ram_gb IS NOT NULL AND c_ram > max_total_ram_gb * 1073741824.0 THEN 'SPEC ERROR: Total RAM ' || {_s('round_even(c_ram / 1073741824.0, 2)')} || 'GB exceeds limit ' || {_s('max_total_ram_gb')} || 'GB.' END,
+     CASE WHEN max_total_cpus IS NOT NULL AND c_cpu > max_total_cpus THEN 'SPEC ERROR: Total CPUs ' || {_s('c_cpu')} || ' exceeds limit ' || {_s('max_total_cpus')} || '.' END],
+   flatten(list_transform(creates, lambda v, i: [
+     CASE WHEN per_vm_memory_max IS NOT NULL AND NOT coalesce(v.memory_max = per_vm_memory_max, FALSE) THEN 'SPEC ERROR: VM ' || {_s('i')} || ' memory_max mismatch. Expected ' || {_s('per_vm_memory_max')} || ', got ' || coalesce({_s('v.memory_max')}, 'None') || '.' END,
+     CASE WHEN per_vm_cpus IS NOT NULL AND NOT coalesce(v.cpus = per_vm_cpus, FALSE) THEN 'SPEC ERROR: VM ' || {_s('i')} || ' cpus mismatch. Expected ' || {_s('per_vm_cpus')} || ', got ' || coalesce({_s('v.cpus')}, 'None') || '.' END,
+     CASE WHEN per_vm_disk_size IS NOT NULL AND coalesce(list_max(v.disk_sizes), 0) <> per_vm_disk_size THEN 'SPEC ERROR: VM ' || {_s('i')} || ' disk size mismatch. Expected ' || {_s('per_vm_disk_size')} || ', got ' || {_s('coalesce(list_max(v.disk_sizes), 0)')} || '.' END])),
+   [CASE WHEN len(exp_names) > 0 AND len(c_missing) > 0 THEN 'SPEC ERROR: Missing expected VM names: ' || {_pylist('c_missing')} || '.' END,
+    CASE WHEN len(exp_names) > 0 AND len(c_extra) > 0 THEN 'SPEC ERROR: Unexpected VM names created: ' || {_pylist('c_extra')} || '.' END])''')} AS create_err,
+  list_concat(list_filter(['vm_count', 'min_vm_count', 'max_vm_count', 'total_ram_limit', 'total_cpu_limit'],
+      lambda c: (c = 'vm_count' AND vm_count IS NOT NULL) OR (c = 'min_vm_count' AND vm_count IS NULL AND min_vm_count IS NOT NULL)
+             OR (c = 'max_vm_count' AND vm_count IS NULL AND max_vm_count IS NOT NULL)
+             OR (c = 'total_ram_limit' AND max_total_ram_gb IS NOT NULL) OR (c = 'total_cpu_limit' AND max_total_cpus IS NOT NULL)),
+    flatten(list_transform(creates, lambda v: list_filter(['memory_max', 'cpus', 'per_vm_disk_size'],
+      lambda c: (c = 'memory_max' AND per_vm_memory_max IS NOT NULL) OR (c = 'cpus' AND per_vm_cpus IS NOT NULL)
+             OR (c = 'per_vm_disk_size' AND per_vm_disk_size IS NOT NULL))))) AS create_chk_names,
+  CASE WHEN len(r_changes) > 0 THEN ['SPEC ERROR: READ task must not modify infrastructure. Found ' || {_s('len(r_changes)')} || ' changes: ' || {_pylist('list_transform(list_slice(r_changes, 1, 3), lambda v: v.address)')}] ELSE []::VARCHAR[] END AS read_err,
+  {_nn(f'''list_concat([CASE WHEN len(updates) = 0 THEN 'SPEC ERROR: No update actions found in plan.' END],
+     CASE WHEN coalesce(updated_field, '') <> '' AND new_value IS NOT NULL THEN
+       list_transform(list_filter(updates, lambda v: NOT coalesce((CASE WHEN updated_field = 'memory_max' THEN v.memory_max WHEN updated_field = 'cpus' THEN v.cpus END) = new_value, FALSE)),
+         lambda v: 'SPEC ERROR: Expected ' || updated_field || '=' || {_s('new_value')} || ', got ' || coalesce({_s("CASE WHEN updated_field = 'memory_max' THEN v.memory_max WHEN updated_field = 'cpus' THEN v.cpus END")}, 'None') || '.')
+     ELSE []::VARCHAR[] END,
+     [CASE WHEN coalesce(target_vm, '') <> '' AND NOT coalesce(list_contains(u_names, target_vm), FALSE) THEN 'SPEC ERROR: Expected target VM ' || chr(39) || target_vm || chr(39) || ' to be updated.' END,
+      CASE WHEN coalesce(target_vm, '') <> '' AND len(u_extra) > 0 THEN 'SPEC ERROR: Unexpected VMs updated: ' || {_pylist('u_extra')} || '.' END])''')} AS update_err_ok,
+  {_nn(f'''list_concat([CASE WHEN delete_count IS NOT NULL AND len(deletes) <> delete_count THEN 'SPEC ERROR: Expected ' || {_s('delete_count')} || ' deletions, found ' || {_s('len(deletes)')} || '.' END],
+     CASE WHEN len(d_targets) > 0 THEN list_transform(d_missing, lambda t: 'SPEC ERROR: Target VM ' || chr(39) || t || chr(39) || ' not marked for deletion.') ELSE []::VARCHAR[] END,
+     [CASE WHEN len(d_targets) > 0 AND len(d_extra) > 0 THEN 'SPEC ERROR: Extra VMs deleted: ' || {_pylist('d_extra')} END])''')} AS delete_err_ok
+  FROM z2),
+z4 AS (SELECT *, {_nn(f'''[CASE WHEN q_ram > 21474836480 THEN 'HOST QUOTA ERROR: Final projected RAM (' || printf('%.2f', round_even(q_ram / 1073741824.0, 2)) || ' GB) exceeds host limit (20.00 GB).' END,
+                           CASE WHEN q_cpu > 30 THEN 'HOST QUOTA ERROR: Final projected vCPUs (' || {_s('q_cpu')} || ') exceeds host limit (30).' END,
+                           CASE WHEN q_disk > 966367641600 THEN 'HOST QUOTA ERROR: Final projected Disk space (' || printf('%.2f', round_even(q_disk / 1073741824.0, 2)) || ' GB) exceeds host limit (900.00 GB).' END]''')} AS q_err
+       FROM z3),
+r AS (SELECT plan_id, category,
+  CASE WHEN NOT has_spec THEN ['SPEC ERROR: No spec found for task ''' || {_s('plan_id')} || '''.']
+       WHEN category NOT IN ('CREATE', 'READ', 'UPDATE', 'DELETE') THEN ['SPEC ERROR: Unknown task category ''' || category || ''' for task ''' || {_s('plan_id')} || '''.']
+       ELSE list_concat(CASE category
+         WHEN 'CREATE' THEN create_err
+         WHEN 'READ' THEN read_err
+         WHEN 'UPDATE' THEN CASE WHEN len(u_forb) > 0 THEN ['SPEC ERROR: UPDATE task should not create/delete/replace VMs (found ' || u_forb[1].action || ').'] ELSE update_err_ok END
+         ELSE CASE WHEN len(d_forb) > 0 THEN ['SPEC ERROR: DELETE task should not create/update/replace VMs (found ' || d_forb[1].action || ').'] ELSE delete_err_ok END
+       END, q_err) END AS errors,
+  CASE WHEN NOT has_spec THEN [{{'check': 'spec_exists', 'passed': FALSE}}]
+       WHEN category NOT IN ('CREATE', 'READ', 'UPDATE', 'DELETE') THEN [{{'check': 'category_valid', 'passed': FALSE}}]
+       ELSE list_concat(CASE category
+         WHEN 'CREATE' THEN list_concat({_str_checks('create_chk_names', 'create_err')},
+              CASE WHEN len(exp_names) > 0 THEN [{{'check': 'vm_names', 'passed': len(c_missing) = 0 AND len(c_extra) = 0}}] ELSE [] END)
+         WHEN 'READ' THEN CASE WHEN len(r_changes) > 0 THEN [{{'check': 'no_resource_changes', 'passed': FALSE}}]
+              ELSE [{{'check': 'no_resource_changes', 'passed': TRUE}}, {{'check': 'has_data_sources', 'passed': NULL::BOOLEAN}}, {{'check': 'has_outputs', 'passed': NULL::BOOLEAN}}] END
+         WHEN 'UPDATE' THEN CASE WHEN len(u_forb) > 0 THEN [{{'check': 'action_type_only_update', 'passed': FALSE}}]
+              ELSE list_concat({_str_checks("list_filter(['action_type_only_update', CASE WHEN coalesce(updated_field, '') <> '' AND new_value IS NOT NULL THEN updated_field || '_update' END], lambda q: q IS NOT NULL)", 'update_err_ok')},
+                   CASE WHEN coalesce(target_vm, '') <> '' THEN [{{'check': 'target_vm', 'passed': coalesce(list_contains(u_names, target_vm), FALSE) AND len(u_extra) = 0}}] ELSE [] END) END
+         ELSE CASE WHEN len(d_forb) > 0 THEN [{{'check': 'action_type_only_delete', 'passed': FALSE}}]
+              ELSE list_concat({_str_checks("['action_type_only_delete']", 'delete_err_ok')},
+                   CASE WHEN len(d_targets) > 0 THEN [{{'check': 'correct_vms_targeted', 'passed': len(d_missing) = 0 AND len(d_extra) = 0}}] ELSE [] END) END
+       END, [{{'check': 'host_resource_quotas', 'passed': len(q_err) = 0}}]) END AS checks,
+  CASE WHEN category = 'UPDATE' THEN len(list_filter(vms, lambda v: v.action = 'replace')) > 0 END AS had_replace_actions
+FROM z4)"""
+
+ORACLE["spec_check"] = f"""
+WITH {V_PLAN_ROWS}, {V_PLANS}, {V_SPECS}, {V_RULES}
+SELECT plan_id, category, len(errors) = 0 AS passed, CAST(len(errors) AS INTEGER) AS n_errors,
+       array_to_string(errors, ' | ') AS errors,
+       array_to_string(list_transform(checks, lambda c: c.check || '=' || coalesce(CAST(c.passed AS VARCHAR), 'null')), ',') AS checks,
+       had_replace_actions
+FROM r"""
+
+ORACLE["spec_check_summary"] = f"""
+WITH {V_PLAN_ROWS}, {V_PLANS}, {V_SPECS}, {V_RULES}
+SELECT category, count(*) AS n_plans, count(*) FILTER (WHERE len(errors) = 0) AS n_passed,
+       CAST(sum(len(errors)) AS BIGINT) AS n_errors,
+       count(*) FILTER (WHERE len(list_filter(errors, lambda e: starts_with(e, 'HOST QUOTA'))) > 0) AS n_quota_failures
+FROM r GROUP BY category"""
+
+ORACLE["host_quota"] = f"""
+WITH {V_PLAN_ROWS},
+st AS (SELECT o.o_custkey AS host_id, p.name_label,
+              CASE WHEN p.linenumber = 1 THEN 'existing' ELSE {ACTION_SQL.replace('actions', 'p.actions')} END AS action,
+              p.memory_max, p.cpus, CAST(list_sum(p.disk_sizes) AS BIGINT) AS disk,
+              CASE WHEN p.linenumber = 1 THEN 0 ELSE 1 END AS prio, p.plan_id, p.pos
+       FROM plan_rows p JOIN orders o ON o.o_orderkey = p.plan_id),
+ev AS (SELECT * FROM st WHERE coalesce(name_label, '') <> ''
+        AND action IN ('existing', 'create', 'update', 'replace', 'delete')),
+lst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host_id, name_label ORDER BY prio DESC, plan_id DESC, pos DESC) AS rn FROM ev) WHERE rn = 1),
+tot AS (SELECT host_id, count(*) AS n_vms, CAST(sum(coalesce(memory_max, 0)) AS BIGINT) AS total_ram,
+               CAST(sum(coalesce(cpus, 0)) AS BIGINT) AS total_cpus, CAST(sum(coalesce(disk, 0)) AS BIGINT) AS total_disk
+        FROM lst WHERE action <> 'delete' GROUP BY host_id),
+e AS (SELECT *, {_nn('''[CASE WHEN total_ram > 21474836480 THEN 'HOST QUOTA ERROR: Final projected RAM (' || printf('%.2f', round_even(total_ram / 1073741824.0, 2)) || ' GB) exceeds host limit (20.00 GB).' END,
+                        CASE WHEN total_cpus > 30 THEN 'HOST QUOTA ERROR: Final projected vCPUs (' || CAST(total_cpus AS VARCHAR) || ') exceeds host limit (30).' END,
+                        CASE WHEN total_disk > 966367641600 THEN 'HOST QUOTA ERROR: Final projected Disk space (' || printf('%.2f', round_even(total_disk / 1073741824.0, 2)) || ' GB) exceeds host limit (900.00 GB).' END]''')} AS errs FROM tot)
+SELECT host_id, n_vms, total_ram, total_cpus, total_disk, len(errs) = 0 AS passed, array_to_string(errs, ' | ') AS errors FROM e"""

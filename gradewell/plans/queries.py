@@ -205,3 +205,85 @@ def q_bleu_summary(spark, sf):
         F.count_if(band == "poor").alias("n_poor"),
     )
     return rounded(s)
+
+
+# ------------------------------------------------------------ complexity
+from ..operators import complexity as CX  # noqa: E402
+
+
+def _scored_brands(spark, sf):
+    return CX.score_fragments(B.hcl_fragments(spark, sf), "doc", "hcl")
+
+
+@register("hcl_complexity")
+def q_hcl_complexity(spark, sf):
+    s = _scored_brands(spark, sf)
+    return s.select(
+        "doc", "loc", "resources", "interconnections", "level",
+        F.size("resource_types").alias("n_types"),
+        F.array_join("resource_types", ",").alias("types"),
+        "total_cpus", "total_memory_max", "total_size",
+        "provider_config_included", "vm_resource_defined",
+    )
+
+
+@register("hcl_complexity_integers")
+def q_hcl_complexity_integers(spark, sf):
+    s = CX.score_fragments(B.hcl_fragments(spark, sf), "doc", "hcl", mode="integers")
+    return s.select("doc", "total_cpus", "total_memory_max")
+
+
+@register("part_block_complexity")
+def q_part_block_complexity(spark, sf):
+    s = CX.score_texts(B.hcl_fragments(spark, sf), "hcl")
+    return s.select("frag_pos", "loc", "resources", "interconnections", "level",
+                    F.array_join("resource_types", ",").alias("types"), "total_cpus", "total_memory_max")
+
+
+@register("resource_type_distribution")
+def q_resource_type_distribution(spark, sf):
+    return CX.type_distribution(_scored_brands(spark, sf), "doc")
+
+
+# ------------------------------------------------------------ rules
+from ..operators import rules as RU  # noqa: E402
+
+
+def _spec_results(spark, sf):
+    plans = RU.plan_documents(B.plan_rows(spark, sf))
+    return RU.check_plans(plans, B.specs(spark, sf))
+
+
+def _checks_text(c):
+    return F.array_join(
+        F.transform(c, lambda x: F.concat(x["check"], F.lit("="), F.coalesce(x["passed"].cast("string"), F.lit("null")))),
+        ",",
+    )
+
+
+@register("spec_check")
+def q_spec_check(spark, sf):
+    r = _spec_results(spark, sf)
+    return r.select(
+        "plan_id", "category", "passed", F.size("errors").alias("n_errors"),
+        F.array_join("errors", " | ").alias("errors"), _checks_text(F.col("checks")).alias("checks"),
+        "had_replace_actions",
+    )
+
+
+@register("spec_check_summary")
+def q_spec_check_summary(spark, sf):
+    r = _spec_results(spark, sf)
+    return r.groupBy("category").agg(
+        F.count(F.lit(1)).alias("n_plans"),
+        F.count_if("passed").alias("n_passed"),
+        F.sum(F.size("errors")).alias("n_errors"),
+        F.count_if(F.exists("errors", lambda e: F.startswith(e, F.lit("HOST QUOTA")))).alias("n_quota_failures"),
+    )
+
+
+@register("host_quota")
+def q_host_quota(spark, sf):
+    h = RU.host_quota(B.host_state_rows(spark, sf), "host_id", "name_label", ["prio", "plan_id", "pos"])
+    return h.select("host_id", "n_vms", "total_ram", "total_cpus", "total_disk", "passed",
+                    F.array_join("errors", " | ").alias("errors"))
