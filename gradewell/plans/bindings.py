@@ -252,3 +252,85 @@ def host_state_rows(spark: SparkSession, sf: str) -> DataFrame:
         "plan_id",
         "pos",
     )
+
+
+# ---------------------------------------------------------------- B9 before/after
+def vm_snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers as VMs of a host (task = nation) before and after a change.
+
+    After: rows with c_custkey % 7 = 0 are gone; % 5 = 0 got one more vCPU and
+    0.5 GB more RAM; % 10 = 0 were replaced (new uuid). Specs per task: even
+    nations UPDATE their lowest-key VM (cpus or memory_max), odd nations DELETE
+    their lowest- and highest-key VMs.
+    """
+    c = read_table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    ram = (k % 16 + 1) / F.lit(4.0)
+    pre = c.select(
+        F.col("c_nationkey").alias("task_id"), F.col("c_name").alias("name"),
+        F.concat(F.lit("u-"), k.cast("string")).alias("uuid"), (k % 8 + 1).cast("int").alias("cpus"),
+        ram.alias("ram_gb"),
+    )
+    changed = k % 5 == 0
+    post = c.filter(k % 7 != 0).select(
+        F.col("c_nationkey").alias("task_id"), F.col("c_name").alias("name"),
+        F.concat(F.when(k % 10 == 0, F.lit("r-")).otherwise(F.lit("u-")), k.cast("string")).alias("uuid"),
+        F.when(changed, k % 8 + 2).otherwise(k % 8 + 1).cast("int").alias("cpus"),
+        F.when(changed, ram + 0.5).otherwise(ram).alias("ram_gb"),
+    )
+    g = c.groupBy(F.col("c_nationkey").alias("task_id")).agg(
+        F.min_by("c_name", "c_custkey").alias("lo_name"),
+        F.min("c_custkey").alias("lo_key"),
+        F.max_by("c_name", "c_custkey").alias("hi_name"),
+    )
+    is_upd = F.col("task_id") % 2 == 0
+    lo = F.col("lo_key")
+    specs = g.select(
+        "task_id",
+        F.when(is_upd, F.lit("UPDATE")).otherwise(F.lit("DELETE")).alias("category"),
+        F.when(is_upd, F.col("lo_name")).alias("target_vm"),
+        F.when(~is_upd, F.array("lo_name", "hi_name")).alias("target_vms"),
+        F.when(is_upd, F.when(F.col("task_id") % 4 == 0, F.lit("cpus")).otherwise(F.lit("memory_max"))).alias("updated_field"),
+        F.when(is_upd, F.when(F.col("task_id") % 4 == 0, lo % 8 + 2).otherwise(
+            (((lo % 16 + 1) / F.lit(4.0) + 0.5) * F.lit(float(1 << 30))).cast("long"))).alias("new_value"),
+    )
+    return pre, post, specs
+
+
+# ---------------------------------------------------------------- B10 objects
+def vm_objects(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as VMs (host = customer), lineitems as block devices, parts as
+    disk images; parts with p_partkey % 9 = 0 are missing (dangling links)."""
+    o = read_table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    mem = ((k % 16 + 1) * F.lit(1 << 28)).cast("string")
+    vms = o.select(
+        F.concat(F.lit("vm-"), k.cast("string")).alias("vm_id"),
+        F.col("o_custkey").alias("host_id"),
+        F.concat(F.lit("vm-"), k.cast("string")).alias("name_label"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("Running"))
+        .when(F.col("o_orderstatus") == "O", F.lit("Halted")).otherwise(F.lit("Paused")).alias("power_state"),
+        (k % 97 == 0).alias("is_control_domain"),
+        F.when(k % 2 == 0, F.concat(F.lit('{"number": '), (k % 8 + 1).cast("string"), F.lit("}")))
+        .otherwise((k % 8 + 1).cast("string")).alias("cpus_json"),
+        F.when(k % 3 == 0, F.concat(F.lit('{"static": [0, '), mem, F.lit("]}")))
+        .when(k % 3 == 1, F.concat(F.lit('{"size": '), mem, F.lit("}")))
+        .otherwise(mem).alias("memory_json"),
+        F.when(
+            F.col("o_orderstatus") != "P",
+            F.create_map(F.lit("0/ipv4/0"), F.concat(F.lit("10.0."), (k % 250).cast("string"), F.lit("."),
+                                                      (k % 200).cast("string"))),
+        ).otherwise(F.create_map().cast("map<string,string>")).alias("addresses"),
+    )
+    li = read_table(spark, sf, "lineitem")
+    vbds = li.select(
+        F.concat_ws("-", F.lit("vbd"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("vbd_id"),
+        F.concat(F.lit("vm-"), F.col("l_orderkey").cast("string")).alias("vm_id"),
+        F.concat(F.lit("vdi-"), F.col("l_partkey").cast("string")).alias("vdi_id"),
+    )
+    p = read_table(spark, sf, "part")
+    vdis = p.filter(F.col("p_partkey") % 9 != 0).select(
+        F.concat(F.lit("vdi-"), F.col("p_partkey").cast("string")).alias("vdi_id"),
+        (F.col("p_size").cast("long") * F.lit(1 << 30)).alias("size"),
+    )
+    return vms, vbds, vdis

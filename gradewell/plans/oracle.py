@@ -626,3 +626,86 @@ e AS (SELECT *, {_nn('''[CASE WHEN total_ram > 21474836480 THEN 'HOST QUOTA ERRO
                         CASE WHEN total_cpus > 30 THEN 'HOST QUOTA ERROR: Final projected vCPUs (' || CAST(total_cpus AS VARCHAR) || ') exceeds host limit (30).' END,
                         CASE WHEN total_disk > 966367641600 THEN 'HOST QUOTA ERROR: Final projected Disk space (' || printf('%.2f', round_even(total_disk / 1073741824.0, 2)) || ' GB) exceeds host limit (900.00 GB).' END]''')} AS errs FROM tot)
 SELECT host_id, n_vms, total_ram, total_cpus, total_disk, len(errs) = 0 AS passed, array_to_string(errs, ' | ') AS errors FROM e"""
+
+# ------------------------------------------------------------------ post state
+V_SNAP = """pre AS (SELECT c_nationkey AS task_id, c_name AS name, 'u-' || CAST(c_custkey AS VARCHAR) AS uuid,
+                  CAST(c_custkey % 8 + 1 AS INTEGER) AS cpus, (c_custkey % 16 + 1) / 4.0::DOUBLE AS ram_gb FROM customer),
+post AS (SELECT c_nationkey AS task_id, c_name AS name,
+                CASE WHEN c_custkey % 10 = 0 THEN 'r-' ELSE 'u-' END || CAST(c_custkey AS VARCHAR) AS uuid,
+                CAST(CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 8 + 2 ELSE c_custkey % 8 + 1 END AS INTEGER) AS cpus,
+                CASE WHEN c_custkey % 5 = 0 THEN (c_custkey % 16 + 1) / 4.0::DOUBLE + 0.5 ELSE (c_custkey % 16 + 1) / 4.0::DOUBLE END AS ram_gb
+         FROM customer WHERE c_custkey % 7 <> 0),
+g AS (SELECT c_nationkey AS task_id, arg_min(c_name, c_custkey) AS lo_name, min(c_custkey) AS lo,
+             arg_max(c_name, c_custkey) AS hi_name FROM customer GROUP BY c_nationkey),
+specs AS (SELECT task_id, CASE WHEN task_id % 2 = 0 THEN 'UPDATE' ELSE 'DELETE' END AS category,
+                 CASE WHEN task_id % 2 = 0 THEN lo_name END AS target_vm,
+                 CASE WHEN task_id % 2 <> 0 THEN [lo_name, hi_name] END AS target_vms,
+                 CASE WHEN task_id % 2 = 0 THEN CASE WHEN task_id % 4 = 0 THEN 'cpus' ELSE 'memory_max' END END AS updated_field,
+                 CASE WHEN task_id % 2 = 0 THEN CASE WHEN task_id % 4 = 0 THEN lo % 8 + 2
+                      ELSE CAST(trunc(((lo % 16 + 1) / 4.0::DOUBLE + 0.5) * 1073741824.0) AS BIGINT) END END AS new_value
+          FROM g)"""
+
+ORACLE["post_state_check"] = f"""
+WITH {V_SNAP},
+np AS (SELECT task_id, count(*) AS n FROM pre GROUP BY task_id),
+nq AS (SELECT task_id, count(*) AS n FROM post GROUP BY task_id),
+u AS (SELECT s.task_id, s.target_vm AS t, s.updated_field AS f, s.new_value AS v, coalesce(np.n, 0) AS n_pre, coalesce(nq.n, 0) AS n_post,
+             a.uuid AS pu, b.uuid AS qu, b.cpus AS qc, b.ram_gb AS qr, a.name IS NOT NULL AS has_a, b.name IS NOT NULL AS has_b
+      FROM specs s LEFT JOIN np USING (task_id) LEFT JOIN nq USING (task_id)
+      LEFT JOIN pre a ON a.task_id = s.task_id AND a.name = s.target_vm
+      LEFT JOIN post b ON b.task_id = s.task_id AND b.name = s.target_vm
+      WHERE s.category = 'UPDATE'),
+ue AS (SELECT task_id, 'UPDATE' AS category, list_filter([
+         CASE WHEN n_pre <> n_post THEN 'POST-STATE ERROR: VM count changed during UPDATE.' END,
+         CASE WHEN coalesce(t, '') <> '' AND NOT has_b THEN 'POST-STATE ERROR: Target VM ' || chr(39) || t || chr(39) || ' not found after UPDATE.' END,
+         CASE WHEN coalesce(t, '') <> '' AND has_a AND has_b AND f = 'memory_max' AND CAST(trunc(coalesce(qr, 0.0) * 1073741824.0) AS BIGINT) <> v
+              THEN 'POST-STATE ERROR: VM ' || chr(39) || t || chr(39) || ' memory_max is ' || CAST(CAST(trunc(coalesce(qr, 0.0) * 1073741824.0) AS BIGINT) AS VARCHAR) || ', expected ' || CAST(v AS VARCHAR) || '.' END,
+         CASE WHEN coalesce(t, '') <> '' AND has_a AND has_b AND f = 'cpus' AND coalesce(qc, 0) <> v
+              THEN 'POST-STATE ERROR: VM ' || chr(39) || t || chr(39) || ' cpus is ' || CAST(coalesce(qc, 0) AS VARCHAR) || ', expected ' || CAST(v AS VARCHAR) || '.' END,
+         CASE WHEN coalesce(t, '') <> '' AND has_a AND has_b AND pu IS DISTINCT FROM qu
+              THEN 'POST-STATE ERROR: VM ' || chr(39) || t || chr(39) || ' UUID changed (replace instead of in-place update).' END],
+       lambda e: e IS NOT NULL) AS errors FROM u),
+dt AS (SELECT task_id, unnest(target_vms) AS name, generate_subscripts(target_vms, 1) AS tpos FROM specs WHERE category = 'DELETE'),
+de AS (SELECT s.task_id, 'DELETE' AS category,
+              coalesce(list(CASE WHEN b.name IS NOT NULL THEN 'POST-STATE ERROR: VM ' || chr(39) || dt.name || chr(39) || ' still exists.' END ORDER BY dt.tpos)
+                       FILTER (WHERE b.name IS NOT NULL), []::VARCHAR[]) AS errors
+       FROM specs s LEFT JOIN dt USING (task_id) LEFT JOIN post b ON b.task_id = dt.task_id AND b.name = dt.name
+       WHERE s.category = 'DELETE' GROUP BY s.task_id),
+al AS (SELECT * FROM ue UNION ALL SELECT * FROM de)
+SELECT task_id, category, len(errors) = 0 AS passed, array_to_string(errors, ' | ') AS errors FROM al"""
+
+ORACLE["update_validation"] = f"""
+WITH {V_SNAP}
+SELECT s.task_id, s.target_vm, TRUE AS plan_shows_in_place_update, FALSE AS plan_shows_destroy_create,
+       coalesce(a.uuid, 'unknown') AS vm_uuid_before, coalesce(b.uuid, 'unknown') AS vm_uuid_after,
+       coalesce(a.uuid = b.uuid, FALSE) AS uuid_unchanged, 0 AS vm_downtime_seconds, TRUE AS resource_change_correct,
+       {_r('coalesce(a.ram_gb, 0.0)')} AS ram_before_gb, {_r('coalesce(b.ram_gb, 0.0)')} AS ram_after_gb,
+       coalesce(a.cpus, 0) AS cpu_before, coalesce(b.cpus, 0) AS cpu_after
+FROM specs s LEFT JOIN pre a ON a.task_id = s.task_id AND a.name = s.target_vm
+LEFT JOIN post b ON b.task_id = s.task_id AND b.name = s.target_vm
+WHERE s.category = 'UPDATE'"""
+
+# ------------------------------------------------------------------ object graph
+V_INV = """disks AS (SELECT 'vm-' || CAST(l.l_orderkey AS VARCHAR) AS vm_id, CAST(sum(CAST(p.p_size AS BIGINT) * 1073741824) AS BIGINT) AS disk_bytes
+          FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey AND p.p_partkey % 9 <> 0 GROUP BY 1),
+inv AS (SELECT o.o_custkey AS host_id, 'vm-' || CAST(o.o_orderkey AS VARCHAR) AS vm_id, 'vm-' || CAST(o.o_orderkey AS VARCHAR) AS name,
+               CASE WHEN o.o_orderstatus <> 'P' THEN '10.0.' || CAST(o.o_orderkey % 250 AS VARCHAR) || '.' || CAST(o.o_orderkey % 200 AS VARCHAR) ELSE 'unknown' END AS ip,
+               CASE WHEN o.o_orderstatus = 'F' THEN 'Running' WHEN o.o_orderstatus = 'O' THEN 'Halted' ELSE 'Paused' END AS status,
+               CAST(o.o_orderkey % 8 + 1 AS INTEGER) AS cpus,
+               CAST((o.o_orderkey % 16 + 1) * 268435456 AS BIGINT) AS ram_bytes,
+               coalesce(d.disk_bytes, 0) AS disk_bytes
+        FROM orders o LEFT JOIN disks d ON d.vm_id = 'vm-' || CAST(o.o_orderkey AS VARCHAR)
+        WHERE o.o_orderkey % 97 <> 0)"""
+
+ORACLE["vm_inventory"] = f"""
+WITH {V_INV}
+SELECT host_id, vm_id, name, vm_id AS uuid, ip, status, cpus, ram_bytes, disk_bytes,
+       {_r('round_even(ram_bytes / 1073741824.0, 2)')} AS ram_gb, {_r('round_even(disk_bytes / 1073741824.0, 2)')} AS disk_gb
+FROM inv"""
+
+ORACLE["host_snapshot"] = f"""
+WITH {V_INV}
+SELECT host_id, count(*) AS actual_vm_count, count(*) > 0 AS vms_exist, bool_and(status = 'Running') AS all_vms_running,
+       CAST(sum(disk_bytes) AS BIGINT) AS total_disk_bytes, CAST(sum(ram_bytes) AS BIGINT) AS total_ram_bytes,
+       CAST(sum(cpus) AS BIGINT) AS total_cpus
+FROM inv GROUP BY host_id"""

@@ -287,3 +287,31 @@ def q_host_quota(spark, sf):
     h = RU.host_quota(B.host_state_rows(spark, sf), "host_id", "name_label", ["prio", "plan_id", "pos"])
     return h.select("host_id", "n_vms", "total_ram", "total_cpus", "total_disk", "passed",
                     F.array_join("errors", " | ").alias("errors"))
+
+
+# ------------------------------------------------------------ post state / graph
+from ..operators import graph as GR  # noqa: E402
+from ..operators import post_state as PS  # noqa: E402
+
+
+@register("post_state_check")
+def q_post_state_check(spark, sf):
+    pre, post, specs = B.vm_snapshots(spark, sf)
+    r = PS.verify_post_state(pre, post, specs)
+    return r.select("task_id", "category", "passed", F.array_join("errors", " | ").alias("errors"))
+
+
+@register("update_validation")
+def q_update_validation(spark, sf):
+    pre, post, specs = B.vm_snapshots(spark, sf)
+    return rounded(PS.update_validation(pre, post, specs))
+
+
+@register("vm_inventory")
+def q_vm_inventory(spark, sf):
+    return rounded(GR.vm_inventory(*B.vm_objects(spark, sf)))
+
+
+@register("host_snapshot")
+def q_host_snapshot(spark, sf):
+    return GR.host_snapshot(GR.vm_inventory(*B.vm_objects(spark, sf)))
