@@ -334,3 +334,54 @@ def vm_objects(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Data
         (F.col("p_size").cast("long") * F.lit(1 << 30)).alias("size"),
     )
     return vms, vbds, vdis
+
+
+# ---------------------------------------------------------------- B13 vecs
+def vec_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Pair p compares the vectors of label p (reference tokens) with those
+    of label p + 1 (candidate tokens); edge pairs have one empty side."""
+    e = read_table(spark, sf, "embeddings")
+    ref = e.select(F.col("label").alias("pair_id"), F.lit("ref").alias("side"),
+                   F.col("vec_id").alias("tok_id"), F.col("embedding").alias("vec"))
+    cand = e.select((F.col("label") - 1).alias("pair_id"), F.lit("cand").alias("side"),
+                    F.col("vec_id").alias("tok_id"), F.col("embedding").alias("vec"))
+    return ref.unionByName(cand)
+
+
+# ---------------------------------------------------------------- B14 attempts
+def attempt_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as the iteration log of a run (run = user); stage by event type."""
+    ev = read_table(spark, sf, "events")
+    et = F.col("event_type")
+    stage = (
+        F.when(et == "error", F.lit("plan_failed")).when(et == "view", F.lit("spec_failed"))
+        .when(et == "click", F.lit("validate_ok")).when(et == "signup", F.lit("init_ok"))
+        .otherwise(F.lit("applied"))
+    )
+    return ev.select(
+        F.col("user_id").alias("run_id"), F.col("event_id").alias("iteration"), stage.alias("stage"),
+        (et == "purchase").alias("success"), F.col("value").alias("gen_s"),
+        et.isin("error", "view").alias("is_error"),
+    )
+
+
+def chain_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Consecutive events in threes form chains; even chains run
+    (c1.3, u1.2, d1.2), odd chains (c2.3, r1.2, d2.2); a step succeeds unless
+    its event is an error."""
+    from ..operators.chains import CHAINS
+
+    ev = read_table(spark, sf, "events")
+    chain = F.floor(F.col("event_id") / 3).cast("long")
+    step = (F.col("event_id") % 3).cast("int")
+    kind = chain % 2
+    task = F.element_at(
+        F.when(kind == 0, F.array(*[F.lit(t) for t in CHAINS[0]])).otherwise(F.array(*[F.lit(t) for t in CHAINS[1]])),
+        step + 1,
+    )
+    cat = (
+        F.when(F.startswith(task, F.lit("c")), F.lit("CREATE")).when(F.startswith(task, F.lit("u")), F.lit("UPDATE"))
+        .when(F.startswith(task, F.lit("r")), F.lit("READ")).otherwise(F.lit("DELETE"))
+    )
+    return ev.select(chain.alias("chain_id"), step.alias("step"), task.alias("task_id"), cat.alias("category"),
+                     (F.col("event_type") != "error").alias("ok"), F.col("event_id").alias("pos"))

@@ -709,3 +709,67 @@ SELECT host_id, count(*) AS actual_vm_count, count(*) > 0 AS vms_exist, bool_and
        CAST(sum(disk_bytes) AS BIGINT) AS total_disk_bytes, CAST(sum(ram_bytes) AS BIGINT) AS total_ram_bytes,
        CAST(sum(cpus) AS BIGINT) AS total_cpus
 FROM inv GROUP BY host_id"""
+
+# ------------------------------------------------------------------ embeddings
+ORACLE["embedding_match"] = """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+tok AS (SELECT label AS pair_id, 'ref' AS side, vec_id, v FROM e
+        UNION ALL SELECT label - 1 AS pair_id, 'cand' AS side, vec_id, v FROM e),
+prs AS (SELECT DISTINCT pair_id FROM tok),
+pb AS (SELECT c.pair_id, c.vec_id, max(list_cosine_similarity(c.v, r.v)) AS best
+       FROM tok c JOIN tok r ON r.pair_id = c.pair_id AND r.side = 'ref' WHERE c.side = 'cand' GROUP BY 1, 2),
+rb AS (SELECT r.pair_id, r.vec_id, max(list_cosine_similarity(r.v, c.v)) AS best
+       FROM tok r JOIN tok c ON c.pair_id = r.pair_id AND c.side = 'cand' WHERE r.side = 'ref' GROUP BY 1, 2),
+pp AS (SELECT pair_id, avg(best) AS p FROM pb GROUP BY 1),
+rr AS (SELECT pair_id, avg(best) AS r FROM rb GROUP BY 1),
+j AS (SELECT prs.pair_id, p, r FROM prs LEFT JOIN pp USING (pair_id) LEFT JOIN rr USING (pair_id))
+SELECT pair_id,
+       CASE WHEN p IS NOT NULL AND r IS NOT NULL THEN round(p, 4) END AS precision,
+       CASE WHEN p IS NOT NULL AND r IS NOT NULL THEN round(r, 4) END AS recall,
+       CASE WHEN p IS NOT NULL AND r IS NOT NULL THEN round(CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 4) END AS f1,
+       CASE WHEN p IS NOT NULL AND r IS NOT NULL THEN round(CASE WHEN 9 * p + r <> 0 THEN 10 * p * r / (9 * p + r) ELSE 0.0 END, 4) END AS f3
+FROM j"""
+
+# ------------------------------------------------------------------ attempts / chains
+V_ATTEMPTS = """att AS (
+  SELECT user_id AS run_id, event_id AS iteration,
+         CASE event_type WHEN 'error' THEN 'plan_failed' WHEN 'view' THEN 'spec_failed' WHEN 'click' THEN 'validate_ok'
+              WHEN 'signup' THEN 'init_ok' ELSE 'applied' END AS stage,
+         event_type = 'purchase' AS success, value AS gen_s, event_type IN ('error', 'view') AS is_error
+  FROM events)"""
+
+ORACLE["attempt_rollup"] = f"""
+WITH {V_ATTEMPTS}
+SELECT run_id, count(*) AS iterations, round(sum(gen_s), 2) AS total_gen_s,
+       least(count(*) FILTER (WHERE stage = 'spec_failed'), 2) AS spec_fail_count,
+       arg_max(stage, iteration) AS final_stage, arg_max(success, iteration) AS success,
+       min(CASE WHEN success THEN iteration END) AS first_success_iter
+FROM att GROUP BY run_id"""
+
+ORACLE["error_tail"] = f"""
+WITH {V_ATTEMPTS},
+t AS (SELECT run_id, iteration, stage, row_number() OVER (PARTITION BY run_id ORDER BY iteration DESC) AS tail_rank
+      FROM att WHERE is_error)
+SELECT run_id, iteration, stage, CAST(tail_rank AS INTEGER) AS tail_rank,
+       CAST(CASE WHEN tail_rank <= 2 THEN 3 - tail_rank END AS INTEGER) AS prompt_no
+FROM t WHERE tail_rank <= 5"""
+
+ORACLE["chain_progress"] = """
+WITH st AS (
+  SELECT CAST(floor(event_id / 3) AS BIGINT) AS chain_id, CAST(event_id % 3 AS INTEGER) AS step, event_id AS pos,
+         CASE WHEN floor(event_id / 3) % 2 = 0 THEN ['c1.3', 'u1.2', 'd1.2'] ELSE ['c2.3', 'r1.2', 'd2.2'] END[event_id % 3 + 1] AS task,
+         event_type <> 'error' AS ok FROM events),
+s2 AS (SELECT *, CASE left(task, 1) WHEN 'c' THEN 'CREATE' WHEN 'u' THEN 'UPDATE' WHEN 'r' THEN 'READ' ELSE 'DELETE' END AS category FROM st),
+c AS (SELECT chain_id, count(*) AS n, min(pos) AS unit_start,
+             bool_or(step = 0 AND ok) AS ok0, bool_or(step = 1 AND ok) AS ok1,
+             max(CASE WHEN step = 1 THEN category END) AS cat1 FROM s2 GROUP BY chain_id),
+c2 AS (SELECT *, CASE WHEN n >= 1 THEN CASE WHEN ok0 THEN CASE WHEN n > 1 THEN 1 END ELSE CASE WHEN n = 3 THEN 2 END END END AS nx0 FROM c),
+c3 AS (SELECT *, CASE WHEN nx0 = 1 THEN CASE WHEN ok1 THEN CASE WHEN n > 2 THEN 2 END ELSE CASE WHEN n = 3 THEN 2 END END END AS nx1 FROM c2)
+SELECT s2.chain_id, c3.unit_start, s2.step, s2.task, s2.category, s2.ok,
+       CASE s2.step WHEN 0 THEN TRUE WHEN 1 THEN coalesce(nx0 = 1, FALSE) ELSE coalesce(nx0 = 2, FALSE) OR coalesce(nx1 = 2, FALSE) END AS executed,
+       CAST(CASE s2.step WHEN 0 THEN nx0 WHEN 1 THEN CASE WHEN nx0 = 1 THEN nx1 END END AS INTEGER) AS next_step,
+       CAST(CASE s2.step WHEN 0 THEN NULL
+            WHEN 1 THEN CASE WHEN nx0 = 1 AND ok0 THEN 0 END
+            ELSE CASE WHEN coalesce(nx0 = 2, FALSE) OR coalesce(nx1 = 2, FALSE) THEN
+                   CASE WHEN nx0 = 1 AND ok1 AND cat1 <> 'READ' THEN 1 WHEN ok0 THEN 0 END END END AS INTEGER) AS state_from
+FROM s2 JOIN c3 USING (chain_id)"""

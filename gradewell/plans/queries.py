@@ -315,3 +315,33 @@ def q_vm_inventory(spark, sf):
 @register("host_snapshot")
 def q_host_snapshot(spark, sf):
     return GR.host_snapshot(GR.vm_inventory(*B.vm_objects(spark, sf)))
+
+
+# ------------------------------------------------------------ embeddings / chains
+from ..operators import chains as CH  # noqa: E402
+from ..operators import embed as EM  # noqa: E402
+
+
+@register("embedding_match")
+def q_embedding_match(spark, sf):
+    t = B.vec_tokens(spark, sf)
+    scores = EM.embedding_match(t, ["pair_id"])
+    pairs = t.select("pair_id").distinct()
+    return pairs.join(scores, "pair_id", "left")
+
+
+@register("attempt_rollup")
+def q_attempt_rollup(spark, sf):
+    r = CH.attempt_rollup(B.attempt_log(spark, sf), "run_id", "iteration")
+    return r.withColumn("total_gen_s", F.round("total_gen_s", 2))
+
+
+@register("error_tail")
+def q_error_tail(spark, sf):
+    t = CH.error_tail(B.attempt_log(spark, sf), "run_id", "iteration")
+    return t.select("run_id", "iteration", "stage", "tail_rank", "prompt_no")
+
+
+@register("chain_progress")
+def q_chain_progress(spark, sf):
+    return CH.chain_progress(B.chain_steps(spark, sf), "chain_id")
