@@ -61,16 +61,21 @@ def score_fragments(frags: DataFrame, doc_col: str, text_col: str, mode: str = "
 
 
 def type_distribution(scored: DataFrame, doc_col: str) -> DataFrame:
-    """A11 + T2: number of scored documents per resource type, most first, and
-    the number of documents with a level. The count of scored documents is a
-    one-row aggregate combined with the per-type table (constant size)."""
-    per_type = (
+    """A11 + T2: number of scored documents per resource type (sort by n_tasks
+    descending, then type, for the report order)."""
+    return (
         scored.filter(F.col("level").isNotNull())
         .select(doc_col, F.explode("resource_types").alias("resource_type"))
         .groupBy("resource_type")
         .agg(F.count_distinct(doc_col).alias("n_tasks"))
+        .select("resource_type", "n_tasks", T.text_bar("n_tasks").alias("bar"))
     )
-    total = scored.agg(F.count_if(F.col("level").isNotNull()).alias("total_tasks_scored"))
-    return per_type.crossJoin(total).select(
-        "resource_type", "n_tasks", T.text_bar("n_tasks").alias("bar"), "total_tasks_scored"
+
+
+def scoring_summary(scored: DataFrame) -> DataFrame:
+    """S10 header: documents with a level (``total_tasks_scored``) and level mix."""
+    return scored.agg(
+        F.count_if(F.col("level").isNotNull()).alias("total_tasks_scored"),
+        F.count(F.lit(1)).alias("total_tasks"),
+        *[F.count_if(F.col("level") == str(i)).alias(f"n_level_{i}") for i in range(1, 7)],
     )

@@ -68,24 +68,42 @@ def macro_average(
     return per_task.agg(*aggs)
 
 
-def global_summary(samples: DataFrame, ks: Sequence[int] = K_VALUES) -> DataFrame:
-    """A3 + A4 + A5: one summary row over all samples.
+def global_summary(
+    samples: DataFrame, ks: Sequence[int] = K_VALUES, group_keys: Sequence[str] = ()
+) -> DataFrame:
+    """A3 + A4 + A5: one summary row over all samples (or per ``group_keys``).
 
-    Both halves are aggregates over the same scan; the cross join of two
-    one-row frames is a constant-size combine, not a data-sized product.
+    Per-task partial sums are computed once; the summary is a single aggregate
+    over the per-task rows (totals are sums of per-task sums), so the whole
+    report is two hash aggregates and no join.
     """
     s = with_defaults(samples)
-    totals = s.agg(
-        F.count(F.lit(1)).alias("total_samples"),
-        F.avg("iterations").alias("avg_iterations"),
-        F.avg("gen_s").alias("avg_gen_s"),
-        *(
-            [F.avg("bleu").alias("avg_bleu")] if "bleu" in s.columns else []
-        ),
-        *([F.avg("f1").alias("avg_f1")] if "f1" in s.columns else []),
+    extra = [c for c in ("bleu", "f1") if c in s.columns]
+    keys = list(group_keys)
+    per_task = s.groupBy(*keys, "task_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(truthy(f"{m}_ok")).alias(f"c_{m}") for m in METRICS],
+        F.sum("iterations").alias("_it"),
+        F.sum("gen_s").alias("_gs"),
+        *[F.sum(c).alias(f"_s_{c}") for c in extra],
+        *[F.count(c).alias(f"_n_{c}") for c in extra],
+    )
+    per_task = per_task.select(
+        "*", *[pass_at_k("n", f"c_{m}", k).alias(f"pass{k}_{m}") for m in METRICS for k in ks]
+    )
+    final = per_task.groupBy(*keys) if keys else per_task
+    return final.agg(
+        F.sum("n").alias("total_samples"),
+        (F.sum("_it") / F.sum("n")).alias("avg_iterations"),
+        (F.sum("_gs") / F.sum("n")).alias("avg_gen_s"),
+        *[(F.sum(f"_s_{c}") / F.sum(f"_n_{c}")).alias(f"avg_{c}") for c in extra],
+        *[
+            F.avg(F.when(F.col("n") >= k, F.col(f"pass{k}_{m}"))).alias(f"pass{k}_{m}")
+            for m in METRICS
+            for k in ks
+        ],
+        F.count(F.lit(1)).alias("unique_tasks"),
     )
-    per_task = pass_at_k_table(s, ("task_id",), ks)
-    return totals.crossJoin(macro_average(per_task, (), ks))
 
 
 def per_task_breakdown(samples: DataFrame) -> DataFrame:
@@ -108,16 +126,7 @@ def per_task_breakdown(samples: DataFrame) -> DataFrame:
 
 def per_experiment(samples: DataFrame, experiment_keys: Sequence[str]) -> DataFrame:
     """The summary metrics per experiment (model folder x strategy)."""
-    s = with_defaults(samples)
-    keys = list(experiment_keys)
-    per_task = pass_at_k_table(s, keys + ["task_id"])
-    macro = macro_average(per_task, keys)
-    totals = s.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_samples"),
-        F.avg("iterations").alias("avg_iterations"),
-        F.avg("gen_s").alias("avg_gen_s"),
-    )
-    return totals.join(macro, keys)
+    return global_summary(samples, K_VALUES, experiment_keys)
 
 
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:

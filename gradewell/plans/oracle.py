@@ -422,9 +422,16 @@ ORACLE["resource_type_distribution"] = f"""
 WITH {V_HCL}, s AS ({_scored('hcl', 'doc')}),
 per_type AS (SELECT resource_type, count(DISTINCT doc) AS n_tasks
              FROM (SELECT doc, unnest(resource_types) AS resource_type FROM s) GROUP BY resource_type)
-SELECT resource_type, n_tasks, repeat('█', CAST(n_tasks AS INTEGER)) AS bar,
-       (SELECT count(*) FROM s) AS total_tasks_scored
-FROM per_type"""
+SELECT resource_type, n_tasks, repeat('█', CAST(n_tasks AS INTEGER)) AS bar FROM per_type"""
+
+ORACLE["complexity_summary"] = f"""
+WITH {V_HCL}, s AS ({_scored('hcl', 'doc')}),
+l AS (SELECT {_level('loc', 'resources', 'interconnections')} AS level FROM s)
+SELECT count(*) FILTER (WHERE level IS NOT NULL) AS total_tasks_scored, count(*) AS total_tasks,
+       count(*) FILTER (WHERE level = '1') AS n_level_1, count(*) FILTER (WHERE level = '2') AS n_level_2,
+       count(*) FILTER (WHERE level = '3') AS n_level_3, count(*) FILTER (WHERE level = '4') AS n_level_4,
+       count(*) FILTER (WHERE level = '5') AS n_level_5, count(*) FILTER (WHERE level = '6') AS n_level_6
+FROM l"""
 
 # ------------------------------------------------------------------ rules
 V_PLAN_ROWS = """plan_rows AS (

@@ -245,6 +245,11 @@ def q_resource_type_distribution(spark, sf):
     return CX.type_distribution(_scored_brands(spark, sf), "doc")
 
 
+@register("complexity_summary")
+def q_complexity_summary(spark, sf):
+    return CX.scoring_summary(_scored_brands(spark, sf))
+
+
 # ------------------------------------------------------------ rules
 from ..operators import rules as RU  # noqa: E402
 
