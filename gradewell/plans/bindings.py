@@ -385,3 +385,101 @@ def chain_steps(spark: SparkSession, sf: str) -> DataFrame:
     )
     return ev.select(chain.alias("chain_id"), step.alias("step"), task.alias("task_id"), cat.alias("category"),
                      (F.col("event_type") != "error").alias("ok"), F.col("event_id").alias("pos"))
+
+
+# ---------------------------------------------------------------- B12 matrix
+def bench_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items as tasks; category from item_id % 5 (4 -> unknown category)."""
+    b = read_table(spark, sf, "benchmark")
+    i = F.col("item_id")
+    letter = F.substring(F.lit("CRUDM"), (i % 5 + 1).cast("int"), 1)
+    cat = (
+        F.when(letter == "C", F.lit("CREATE")).when(letter == "R", F.lit("READ"))
+        .when(letter == "U", F.lit("UPDATE")).when(letter == "D", F.lit("DELETE")).otherwise(F.lit("MIGRATE"))
+    )
+    return b.select(
+        "item_id",
+        F.concat(letter, (i % 5 + 1).cast("string"), F.lit("."), (i % 3 + 1).cast("string")).alias("task_id"),
+        cat.alias("category"),
+        F.col("text").alias("prompt"),
+        F.concat(F.lit("model"), (i % 2).cast("string")).alias("folder"),
+        F.concat(F.lit("m"), (i % 2).cast("string")).alias("model_short"),
+        F.when(i % 3 != 0, i % 7).alias("base_seed"),
+    )
+
+
+def worked_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """The worked example per category = text of its lowest item."""
+    t = bench_tasks(spark, sf).filter(F.col("category") != "MIGRATE")
+    return t.groupBy("category").agg(F.min_by("prompt", "item_id").alias("example"))
+
+
+# ---------------------------------------------------------------- B4b results
+def result_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Results table for the entry builder: one evaluated sample per conversation turn.
+
+    Prompt, requirements, code and stage outcomes are all derived from the
+    conversation row; code is an HCL block for two turns in three, else the
+    code extracted from the fenced response (prose, so mostly empty).
+    """
+    from ..functions.text import extract_code
+
+    f = fenced(spark, sf)
+    cv = read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    c, t = F.col("conv_id"), F.col("turn")
+    vms = (c % 3 + 1)
+    gb = (c % 4 + 1)
+    prompt = F.concat(
+        F.lit("Create "), vms.cast("string"), F.lit(" VMs with "), gb.cast("string"), F.lit(" GB RAM"),
+        F.when(t % 2 == 0, F.lit(" and 2 cpu")).otherwise(F.lit("")),
+        F.when(c % 5 == 0, F.lit(" on network xenbr0")).otherwise(F.lit("")),
+        F.when(c % 3 == 0, F.lit(" with a 20 GB disk")).otherwise(F.lit("")),
+    )
+    reqs = F.concat(
+        F.lit('{"count": '), vms.cast("string"),
+        F.lit(', "memory_max_bytes": '), (vms * gb * F.lit(1 << 30)).cast("string"),
+        F.when(t % 2 == 0, F.concat(F.lit(', "per_vm_cpus": 2'))).otherwise(F.lit("")),
+        F.when(c % 11 == 0, F.lit(', "expected_error": "resource_exhaustion"')).otherwise(F.lit("")),
+        F.lit("}"),
+    )
+    hcl = F.concat(
+        F.lit('resource "xenorchestra_vm" "vm" {\n  cpus = '), (c % 4 + 1).cast("string"),
+        F.lit("\n  memory_max = "), gb.cast("string"), F.lit(" * 1024 * 1024 * 1024\n  network {\n"
+                                                         "    network_id = data.xenorchestra_network.net.id\n  }\n}"),
+    )
+    plan_exit = F.when((c + t) % 5 == 0, F.lit(1)).otherwise(F.lit(0))
+    apply_status = F.when(t % 4 == 3, F.lit("skipped_plan_only")).when((plan_exit == 0) & (t % 2 == 0), F.lit("success")).otherwise(F.lit("failed"))
+    return f.join(cv, ["conv_id", "turn"]).select(
+        "conv_id", "turn",
+        F.concat(F.substring(F.lit("CRUD"), (c % 4 + 1).cast("int"), 1), F.lit("1."), (t % 3 + 1).cast("string")).alias("task_id"),
+        F.when(c % 4 == 0, F.lit("CREATE")).when(c % 4 == 1, F.lit("READ")).when(c % 4 == 2, F.lit("UPDATE")).otherwise(F.lit("DELETE")).alias("category"),
+        F.when(c % 2 == 0, F.lit("detailed")).otherwise(F.lit("brief")).alias("prompt_type"),
+        prompt.alias("prompt"),
+        reqs.alias("resource_requirements"),
+        F.when(t % 3 != 0, hcl).otherwise(extract_code("response")).alias("code"),
+        F.concat(F.col("text"), F.when(c % 11 == 0, F.lit("\nTry 2 VMs with 4 GB instead. password: hunter2")).otherwise(F.lit(""))).alias("raw_response"),
+        F.lit("m0").alias("model_short"),
+        (t + 1).alias("sample_num"),
+        F.when(c % 3 == 0, F.lit("COT")).otherwise(F.lit("")).alias("strategy"),
+        F.lit(0).alias("init_exit"),
+        F.when(c % 7 == 0, F.lit(1)).otherwise(F.lit(0)).alias("validate_exit"),
+        plan_exit.alias("plan_exit"),
+        F.concat(F.lit("Plan: "), vms.cast("string"), F.lit(" to add, 0 to change, "), (t % 2).cast("string"), F.lit(" to destroy.")).alias("plan_stdout"),
+        F.when(plan_exit != 0, F.lit("Error: plan failed")).alias("plan_stderr"),
+        F.when(apply_status == "success", F.lit(0)).otherwise(F.lit(1)).alias("apply_exit"),
+        apply_status.alias("apply_status"),
+        F.when(apply_status == "failed", F.lit("Error: insufficient memory")).alias("apply_stderr"),
+        F.when(t % 3 == 0, F.lit(None).cast("boolean")).otherwise(c % 2 == 0).alias("spec_passed"),
+        (t % 3 + 1).cast("int").alias("iterations"),
+        (F.length("text") / F.lit(100.0)).alias("generation_time"),
+        (c % 11 == 0).alias("expected_failure_matched"),
+        F.when(F.substring(F.lit("CRUD"), (c % 4 + 1).cast("int"), 1).isin("U", "D"), c % 3 != 0).alias("post_passed"),
+        F.array(F.struct(
+            F.concat(F.lit("vm-"), c.cast("string")).alias("name"), F.concat(F.lit("u-"), c.cast("string")).alias("uuid"),
+            F.when(t % 2 == 0, F.lit("10.0.0.1")).otherwise(F.lit("unknown")).alias("ip"),
+            F.lit("Running").alias("status"), (c % 4 + 1).cast("int").alias("cpus"),
+            gb.cast("double").alias("ram_gb"), F.lit(20.0).alias("disk_gb"),
+        )).alias("vm_details"),
+        F.array().cast("array<struct<name:string,uuid:string,ip:string,status:string,cpus:int,ram_gb:double,disk_gb:double>>").alias("pre_vm_details"),
+        F.lit(None).cast("double").alias("usable_ram_gb"),
+    )

@@ -780,3 +780,104 @@ SELECT s2.chain_id, c3.unit_start, s2.step, s2.task, s2.category, s2.ok,
             ELSE CASE WHEN coalesce(nx0 = 2, FALSE) OR coalesce(nx1 = 2, FALSE) THEN
                    CASE WHEN nx0 = 1 AND ok1 AND cat1 <> 'READ' THEN 1 WHEN ok0 THEN 0 END END END AS INTEGER) AS state_from
 FROM s2 JOIN c3 USING (chain_id)"""
+
+# ------------------------------------------------------------------ run matrix / entries
+V_BENCH = """bt AS (
+  SELECT item_id, substr('CRUDM', CAST(item_id % 5 + 1 AS INTEGER), 1) AS letter, text AS prompt,
+         'model' || CAST(item_id % 2 AS VARCHAR) AS folder, 'm' || CAST(item_id % 2 AS VARCHAR) AS model_short,
+         CASE WHEN item_id % 3 <> 0 THEN item_id % 7 END AS base_seed
+  FROM benchmark),
+bt2 AS (SELECT *, letter || CAST(item_id % 5 + 1 AS VARCHAR) || '.' || CAST(item_id % 3 + 1 AS VARCHAR) AS task_id,
+               CASE letter WHEN 'C' THEN 'CREATE' WHEN 'R' THEN 'READ' WHEN 'U' THEN 'UPDATE' WHEN 'D' THEN 'DELETE' ELSE 'MIGRATE' END AS category
+        FROM bt),
+ex AS (SELECT category, arg_min(prompt, item_id) AS example FROM bt2 WHERE category <> 'MIGRATE' GROUP BY category),
+grid AS (SELECT * FROM (VALUES (1), (2), (3)) p(pass_no), (VALUES (''), ('COT'), ('FSP'), ('dataset'), ('multi-turn')) s(strategy)),
+m AS (SELECT bt2.*, grid.pass_no, grid.strategy, ex.example
+      FROM bt2, grid LEFT JOIN ex ON ex.category = CASE WHEN bt2.category IN ('CREATE', 'READ', 'UPDATE', 'DELETE') THEN bt2.category ELSE 'CREATE' END)"""
+
+ORACLE["run_matrix"] = f"""
+WITH {V_BENCH}
+SELECT item_id, pass_no, strategy,
+       replace(lower(task_id), '.', '_') || '_' || model_short || '_pass' || CAST(pass_no AS VARCHAR)
+         || CASE WHEN strategy <> '' THEN '_' || strategy ELSE '' END AS entry_id,
+       CASE WHEN strategy <> '' AND strategy <> 'baseline' THEN folder || '_' || strategy ELSE folder END AS folder,
+       CASE WHEN base_seed IS NOT NULL THEN base_seed + pass_no - 1 END AS seed,
+       md5(CASE WHEN strategy IN ('COT', 'FSP') THEN coalesce(example, '') || prompt
+                WHEN strategy = 'dataset' THEN 'TASK:' || chr(10) || 'Generate the definitive ground-truth Terraform HCL for the following infrastructure requirement.'
+                     || chr(10) || chr(10) || 'REQUIREMENT:' || chr(10) || prompt || chr(10) || chr(10)
+                     || 'Follow the structural rules defined in the system prompt. RESOLVE ALL IDENTIFIERS using data sources.' || chr(10)
+                     || 'Provide the code in a single ```hcl block.' || chr(10)
+                ELSE 'Here is the actual prompt: ' || prompt END) AS prompt_md5
+FROM m"""
+
+ALT = r"(?i)(\d+)\s*[*_]*\s*VMs?[*_]*\s*with\s*(\d+(?:\.\d+)?)\s*(GB|MB)"
+
+ORACLE["entry_outcomes"] = f"""
+WITH {V_FENCED},
+r0 AS (SELECT f.conv_id AS c, f.turn AS t, f.response, cv.text,
+              c % 3 + 1 AS vms, c % 4 + 1 AS gb
+       FROM fenced f JOIN conversations cv ON cv.conv_id = f.conv_id AND cv.turn = f.turn),
+r1 AS (SELECT *, substr('CRUD', CAST(c % 4 + 1 AS INTEGER), 1) AS letter,
+              'Create ' || CAST(vms AS VARCHAR) || ' VMs with ' || CAST(gb AS VARCHAR) || ' GB RAM'
+                || CASE WHEN t % 2 = 0 THEN ' and 2 cpu' ELSE '' END
+                || CASE WHEN c % 5 = 0 THEN ' on network xenbr0' ELSE '' END
+                || CASE WHEN c % 3 = 0 THEN ' with a 20 GB disk' ELSE '' END AS prompt,
+              CASE WHEN t % 3 <> 0 THEN 'resource "xenorchestra_vm" "vm" {{' || chr(10) || '  cpus = ' || CAST(c % 4 + 1 AS VARCHAR)
+                   || chr(10) || '  memory_max = ' || CAST(gb AS VARCHAR) || ' * 1024 * 1024 * 1024' || chr(10) || '  network {{' || chr(10)
+                   || '    network_id = data.xenorchestra_network.net.id' || chr(10) || '  }}' || chr(10) || '}}'
+                   ELSE {_extract_code('response')} END AS code,
+              text || CASE WHEN c % 11 = 0 THEN chr(10) || 'Try 2 VMs with 4 GB instead. password: hunter2' ELSE '' END AS raw,
+              CASE WHEN (c + t) % 5 = 0 THEN 1 ELSE 0 END AS plan_exit,
+              c % 11 = 0 AS matched,
+              CASE WHEN t % 3 = 0 THEN NULL ELSE c % 2 = 0 END AS spec_passed,
+              CAST(t % 3 + 1 AS INTEGER) AS iterations
+       FROM r0),
+r2 AS (SELECT *, CASE WHEN t % 4 = 3 THEN 'skipped_plan_only' WHEN plan_exit = 0 AND t % 2 = 0 THEN 'success' ELSE 'failed' END AS apply_status,
+              CASE WHEN letter IN ('U', 'D') THEN c % 3 <> 0 END AS post_passed,
+              {_setting_total('code', 'memory_max')} AS tmem, {_setting_total('code', 'cpus')} AS tcpu, {_setting_total('code', 'size')} AS tdisk,
+              lower(prompt) AS lp
+       FROM r1),
+r3 AS (SELECT *, CASE WHEN apply_status = 'success' THEN 0 ELSE 1 END AS apply_exit,
+              CAST(round_even(tmem / vms, 0) AS BIGINT) AS amem, CAST(round_even(tcpu / vms, 0) AS BIGINT) AS acpu,
+              CAST(round_even(tdisk / vms, 0) AS BIGINT) AS adisk,
+              CAST(gb * 1073741824 AS BIGINT) AS exp_mem,
+              CASE WHEN t % 2 = 0 THEN 2 END AS exp_cpu
+       FROM r2),
+r4 AS (SELECT *, plan_exit = 0 AS plan_success, apply_status = 'success' AND apply_exit = 0 AS apply_success FROM r3),
+r5 AS (SELECT *, matched OR (CASE WHEN apply_status = 'skipped_plan_only' THEN plan_success ELSE apply_success END) AS execution FROM r4)
+SELECT replace(lower(letter || '1.' || CAST(t % 3 + 1 AS VARCHAR)), '.', '_') || '_m0_pass' || CAST(t + 1 AS VARCHAR)
+         || CASE WHEN c % 3 = 0 THEN '_COT' ELSE '' END AS entry_id,
+       letter || '1.' || CAST(t % 3 + 1 AS VARCHAR) AS task_id,
+       CASE c % 4 WHEN 0 THEN 'CREATE' WHEN 1 THEN 'READ' WHEN 2 THEN 'UPDATE' ELSE 'DELETE' END || ' - '
+         || CASE WHEN c % 2 = 0 THEN 'detailed' ELSE 'brief' END AS task_description,
+       plan_success, apply_success, execution AS execution_successful,
+       matched OR (execution AND coalesce(spec_passed = TRUE, FALSE) AND coalesce(post_passed, TRUE)) AS meets_requirements,
+       iterations - 1 AS total_fixes_needed, coalesce(spec_passed, TRUE) AS resource_allocation_correct,
+       CASE WHEN apply_status = 'skipped_plan_only' THEN 'skipped_plan_only' WHEN apply_exit = 0 THEN 'success' ELSE 'failed' END AS apply_status,
+       CAST(vms AS INTEGER) AS to_create, CAST(t % 2 AS INTEGER) AS to_destroy,
+       CASE WHEN c % 7 = 0 THEN 'failed' ELSE 'success' END AS validate_status,
+       CASE WHEN plan_exit <> 0 THEN 'Error: plan failed' END AS plan_error,
+       array_to_string(list_filter([CASE WHEN contains(lp, 'ram') THEN 'ram' END, CASE WHEN contains(lp, 'cpu') THEN 'cpu' END,
+                                    CASE WHEN contains(lp, 'disk') THEN 'disk' END, CASE WHEN contains(lp, 'network') THEN 'network' END],
+                                   lambda q: q IS NOT NULL), ',') AS info_provided,
+       array_to_string(list_filter([CASE WHEN c % 2 <> 0 THEN 'ip_configuration' END, CASE WHEN NOT contains(lp, 'disk') THEN 'disk_size' END,
+                                    CASE WHEN NOT contains(lp, 'network') THEN 'network_bridge' END], lambda q: q IS NOT NULL), ',') AS info_missing,
+       coalesce(CAST(acpu AS VARCHAR), CASE WHEN NOT contains(lp, 'cpu') THEN 'not_specified' ELSE 'not_detected' END) AS inferred_cpus,
+       coalesce(CAST(amem AS VARCHAR), CASE WHEN NOT contains(lp, 'ram') THEN 'not_specified' ELSE 'not_detected' END) AS inferred_ram,
+       coalesce(CAST(adisk AS VARCHAR), CASE WHEN NOT contains(lp, 'disk') THEN 'not_specified' ELSE 'not_detected' END) AS inferred_disk,
+       CASE WHEN contains(lower(code), 'dhcp') OR contains(code, 'network {{') THEN 'dhcp' ELSE 'not_detected' END AS ip_mode,
+       md5(regexp_replace(raw, {_sql_str(REDACT)}, '\\1\\2"[REDACTED]"', 'g')) AS response_md5,
+       exp_mem AS expected_mem, tmem AS actual_total_mem,
+       matched OR coalesce(amem = exp_mem, FALSE) AS ram_ok,
+       matched OR CASE WHEN exp_cpu IS NOT NULL THEN coalesce(acpu = exp_cpu, FALSE) ELSE coalesce(acpu >= 1, FALSE) END AS vcpu_ok,
+       matched OR coalesce(adisk >= 10737418240, FALSE) AS disk_ok,
+       abs(CAST(round(CAST(gb AS DOUBLE) * 1073741824) AS BIGINT) - CASE WHEN coalesce(amem, 0) <> 0 THEN amem ELSE 1073741824 END)
+         <= floor(0.05 * CASE WHEN coalesce(amem, 0) <> 0 THEN amem ELSE 1073741824 END) AS vm_ram_ok,
+       t % 2 = 0 AS dhcp_ip, contains(code, 'network {{') AS dhcp_configured,
+       CASE WHEN c % 11 = 0 THEN 'over_provisioning' ELSE 'none' END AS edge_case,
+       round_even(20.0::DOUBLE - gb, 2) AS avail_after,
+       CASE WHEN c % 11 = 0 THEN array_to_string(list_transform(list_zip(regexp_extract_all(raw, {_sql_str(ALT)}, 1),
+              regexp_extract_all(raw, {_sql_str(ALT)}, 2), regexp_extract_all(raw, {_sql_str(ALT)}, 3)),
+              lambda z: z[1] || ' VMs with ' || z[2] || upper(z[3]) || ' each'), ';') END AS alternatives,
+       CASE WHEN c % 11 = 0 THEN round_even(greatest(0.0::DOUBLE, vms * gb - 20.0::DOUBLE), 2) END AS shortfall_gb
+FROM r5"""

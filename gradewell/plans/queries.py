@@ -350,3 +350,54 @@ def q_error_tail(spark, sf):
 @register("chain_progress")
 def q_chain_progress(spark, sf):
     return CH.chain_progress(B.chain_steps(spark, sf), "chain_id")
+
+
+# ------------------------------------------------------------ dataset building
+from ..operators import dataset as DS  # noqa: E402
+
+PASSES = (1, 2, 3)
+STRATEGIES = ("", "COT", "FSP", "dataset", "multi-turn")
+
+
+@register("run_matrix")
+def q_run_matrix(spark, sf):
+    t = B.bench_tasks(spark, sf)
+    m = DS.with_examples(DS.run_matrix(t, PASSES, STRATEGIES), B.worked_examples(spark, sf))
+    return m.select(
+        "item_id", "pass_no", "strategy",
+        DS.entry_id("task_id", "model_short", "pass_no", "strategy").alias("entry_id"),
+        DS.folder_name("folder", "strategy").alias("folder"),
+        DS.sample_seed("base_seed", F.col("pass_no") - 1).alias("seed"),
+        F.md5(DS.build_prompt("prompt", "strategy", "category", examples=True)).alias("prompt_md5"),
+    )
+
+
+@register("entry_outcomes")
+def q_entry_outcomes(spark, sf):
+    e = DS.build_entries(B.result_rows(spark, sf)).select("entry.*")
+    fo, vc, lr = F.col("final_outcome"), F.col("validation_checklist"), F.col("llm_response")
+    ex = F.col("execution_results")
+    return e.select(
+        "entry_id", "task_id", "task_description",
+        fo["plan_success"].alias("plan_success"), fo["apply_success"].alias("apply_success"),
+        fo["execution_successful"].alias("execution_successful"), fo["meets_requirements"].alias("meets_requirements"),
+        fo["total_fixes_needed"].alias("total_fixes_needed"), fo["resource_allocation_correct"].alias("resource_allocation_correct"),
+        ex["terraform_apply"]["status"].alias("apply_status"), ex["terraform_plan"]["resources_to_create"].alias("to_create"),
+        ex["terraform_plan"]["resources_to_destroy"].alias("to_destroy"),
+        ex["terraform_validate"]["status"].alias("validate_status"),
+        ex["terraform_plan"]["error_message"].alias("plan_error"),
+        F.array_join(F.col("prompt.information_provided"), ",").alias("info_provided"),
+        F.array_join(F.col("prompt.information_missing"), ",").alias("info_missing"),
+        lr["inferred_defaults"]["cpus"].alias("inferred_cpus"), lr["inferred_defaults"]["ram_bytes"].alias("inferred_ram"),
+        lr["inferred_defaults"]["disk_bytes"].alias("inferred_disk"), lr["inferred_defaults"]["env"]["ip_mode"].alias("ip_mode"),
+        F.md5(lr["full_response_text"]).alias("response_md5"),
+        F.col("resource_expectations.expected.per_vm_memory_max_bytes").alias("expected_mem"),
+        F.col("resource_expectations.actual.total_memory_max_bytes").alias("actual_total_mem"),
+        vc["complies_with_ram_req"].alias("ram_ok"), vc["complies_with_vcpu_req"].alias("vcpu_ok"),
+        vc["complies_with_disk_req"].alias("disk_ok"), vc["vm_has_correct_ram"].alias("vm_ram_ok"),
+        vc["vm_has_dhcp_ip"].alias("dhcp_ip"), vc["dhcp_configured"].alias("dhcp_configured"),
+        F.col("scenario.edge_case").alias("edge_case"),
+        F.col("scenario.available_ram_gb_after").alias("avail_after"),
+        F.array_join(F.col("edge_case_handling.alternatives_provided"), ";").alias("alternatives"),
+        F.col("edge_case_handling.score.shortfall_gb").alias("shortfall_gb"),
+    )
