@@ -483,3 +483,23 @@ def result_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.array().cast("array<struct<name:string,uuid:string,ip:string,status:string,cpus:int,ram_gb:double,disk_gb:double>>").alias("pre_vm_details"),
         F.lit(None).cast("double").alias("usable_ram_gb"),
     )
+
+
+def samples_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """B1 as a stream: the events file read by the file-stream source."""
+    schema = read_table(spark, sf, "events").schema
+    ev = (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", "events.parquet")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(sf.rstrip("/"))
+    )
+    et = F.col("event_type")
+    return ev.select(
+        F.concat(F.col("user_id").cast("string"), F.lit("_"), F.to_date("ts").cast("string")).alias("task_id"),
+        "event_id",
+        (et != F.lit("error")).alias("plan_ok"),
+        et.isin("purchase", "click", "signup").alias("apply_ok"),
+        F.when(et == "purchase", F.lit(True)).when(et == "view", F.lit(None).cast("boolean"))
+        .otherwise(F.lit(False)).alias("spec_ok"),
+    )

@@ -881,3 +881,5 @@ SELECT replace(lower(letter || '1.' || CAST(t % 3 + 1 AS VARCHAR)), '.', '_') ||
               lambda z: z[1] || ' VMs with ' || z[2] || upper(z[3]) || ' each'), ';') END AS alternatives,
        CASE WHEN c % 11 = 0 THEN round_even(greatest(0.0::DOUBLE, vms * gb - 20.0::DOUBLE), 2) END AS shortfall_gb
 FROM r5"""
+
+ORACLE["stream_pass_at_k"] = ORACLE["pass_at_k_by_task"]

@@ -401,3 +401,14 @@ def q_entry_outcomes(spark, sf):
         F.array_join(F.col("edge_case_handling.alternatives_provided"), ";").alias("alternatives"),
         F.col("edge_case_handling.score.shortfall_gb").alias("shortfall_gb"),
     )
+
+
+# ------------------------------------------------------------ streaming
+from ..streaming import progress as ST  # noqa: E402
+
+
+@register("stream_pass_at_k")
+def q_stream_pass_at_k(spark, sf):
+    counts = ST.task_counts_stream(B.samples_stream(spark, sf), key="event_id")
+    done = ST.run_to_completion(spark, counts)
+    return rounded(ST.pass_at_k_from_counts(done))
