@@ -31,9 +31,13 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     P4: rows whose key is blank after stripping are dropped."""
     from ..functions.text import strip_ws
 
-    df = spark.read.schema(TASK_SCHEMA).csv(
-        path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8"
-    )
+    # columns are matched by header name (files may carry a subset, in any order);
+    # no inference: every cell is read as text
+    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
+    df = raw.select(*[
+        (F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in TASK_SCHEMA.fields
+    ])
     return df.filter(F.coalesce(strip_ws("task_id"), F.lit("")) != "").withColumn("task_id", strip_ws("task_id"))
 
 
