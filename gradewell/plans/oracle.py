@@ -248,7 +248,7 @@ def _extract_code(r: str) -> str:
 
 ORACLE["code_extraction"] = f"""
 WITH {V_FENCED}, x AS (SELECT conv_id, turn, category, {_extract_code('response')} AS code FROM fenced)
-SELECT conv_id, turn, code, length(code) AS code_chars,
+SELECT conv_id, turn, code, CAST(length(code) AS INTEGER) AS code_chars,
        {_strip('code')} = '' OR (upper(category) NOT IN ('DELETE', 'READ')
          AND NOT (contains(code, 'resource "') OR contains(code, 'data "'))) AS no_usable_code
 FROM x"""
@@ -271,9 +271,9 @@ ORACLE["text_hygiene"] = f"""
 WITH {V_ERR},
 t AS (SELECT doc_id, text, regexp_replace(text, {_sql_str(ANSI)}, '', 'g') AS clean FROM errtext)
 SELECT doc_id,
-       len(regexp_extract_all(text, {_sql_str(REDACT)})) AS redaction_hits,
+       CAST(len(regexp_extract_all(text, {_sql_str(REDACT)})) AS INTEGER) AS redaction_hits,
        md5(regexp_replace(text, {_sql_str(REDACT)}, '\\1\\2"[REDACTED]"', 'g')) AS redacted_md5,
-       length(CASE WHEN length(clean) > 4000 THEN left(clean, 2000) || chr(10) || '... [TRUNCATED] ...' || chr(10) || right(clean, 2000) ELSE clean END) AS sanitized_chars,
+       CAST(length(CASE WHEN length(clean) > 4000 THEN left(clean, 2000) || chr(10) || '... [TRUNCATED] ...' || chr(10) || right(clean, 2000) ELSE clean END) AS INTEGER) AS sanitized_chars,
        md5(CASE WHEN length(clean) > 4000 THEN left(clean, 2000) || chr(10) || '... [TRUNCATED] ...' || chr(10) || right(clean, 2000) ELSE clean END) AS sanitized_md5,
        md5(CASE WHEN length(text) > 4000 THEN left(text, 4000) || chr(10) || '... [TRUNCATED - extracted context]' ELSE text END) AS head_md5,
        length(clean) > 4000 AS truncated
@@ -301,7 +301,7 @@ nm AS (SELECT conv_id, turn,
               coalesce(sum(clip) FILTER (WHERE n = 1), 0) AS num1, coalesce(sum(clip) FILTER (WHERE n = 2), 0) AS num2,
               coalesce(sum(clip) FILTER (WHERE n = 3), 0) AS num3, coalesce(sum(clip) FILTER (WHERE n = 4), 0) AS num4
        FROM cl GROUP BY conv_id, turn),
-z AS (SELECT nm.*, len(el.rt) AS ref_tokens, len(el.ct) AS cand_tokens,
+z AS (SELECT nm.*, CAST(len(el.rt) AS INTEGER) AS ref_tokens, CAST(len(el.ct) AS INTEGER) AS cand_tokens,
              1 AS inc1,
              1 + (CASE WHEN num1 = 0 THEN 1 ELSE 0 END) AS inc2,
              1 + (CASE WHEN num1 = 0 THEN 1 ELSE 0 END) + (CASE WHEN num2 = 0 THEN 1 ELSE 0 END) AS inc3,
@@ -320,7 +320,7 @@ bl AS (SELECT conv_id, turn, ref_tokens, cand_tokens,
                 * exp(ln(p1) * 0.25 + ln(p2) * 0.25 + ln(p3) * 0.25 + ln(p4) * 0.25) END AS bleu
        FROM pz
        UNION ALL
-       SELECT conv_id, turn, len(rt) AS ref_tokens, len(ct) AS cand_tokens,
+       SELECT conv_id, turn, CAST(len(rt) AS INTEGER) AS ref_tokens, CAST(len(ct) AS INTEGER) AS cand_tokens,
               CASE WHEN unscored THEN NULL ELSE 0.0 END AS bleu
        FROM tk WHERE unscored OR len(rt) < 4 OR len(ct) < 4)"""
 
@@ -403,7 +403,7 @@ ORACLE["hcl_complexity"] = f"""
 WITH {V_HCL}, s AS ({_scored('hcl', 'doc')})
 SELECT doc, CAST(loc AS BIGINT) AS loc, resources, interconnections,
        {_level('loc', 'resources', 'interconnections')} AS level,
-       len(resource_types) AS n_types, array_to_string(resource_types, ',') AS types,
+       CAST(len(resource_types) AS INTEGER) AS n_types, array_to_string(resource_types, ',') AS types,
        total_cpus, total_memory_max, total_size, provider_config_included, vm_resource_defined
 FROM s"""
 
