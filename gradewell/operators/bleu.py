@@ -25,19 +25,21 @@ GRAM_SEP = "\u0001"
 MIN_TOKENS = 4
 
 
-def _grams(arr: Column, n: int) -> Column:
-    """All n-grams of a token array as joined strings (empty when too short)."""
-    return F.when(
-        F.size(arr) >= n,
-        F.transform(
-            F.sequence(F.lit(1), F.size(arr) - (n - 1)),
-            lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(arr, i, n), GRAM_SEP).alias("g")),
-        ),
-    ).otherwise(F.array().cast("array<struct<n:int,g:string>>"))
-
+def _side_grams(arr: Column, side: int) -> Column:
+    """All 1..4-grams of a token array as structs (c, r, n, g): one lambda per
+    order builds the joined gram strings; ``c``/``r`` mark the side."""
+    def gram_of(n):
+        # one-argument lambda: Spark treats a two-argument one as (element, index)
+        return lambda i: F.struct(
+            F.lit(1 - side).alias("c"), F.lit(side).alias("r"), F.lit(n).alias("n"),
+            F.array_join(F.slice(arr, i, n), GRAM_SEP).alias("g"),
+        )
 
-def _all_grams(arr: Column) -> Column:
-    return F.flatten(F.array(*[_grams(arr, n) for n in range(1, MAX_N + 1)]))
+    per_n = [
+        F.transform(F.sequence(F.lit(1), F.greatest(F.size(arr) - (n - 1), F.lit(1))), gram_of(n))
+        for n in range(1, MAX_N + 1)
+    ]
+    return F.flatten(F.array(*per_n))
 
 
 def bleu_formula(num: Sequence[Column], c_len: Column, r_len: Column) -> Column:
@@ -80,13 +82,11 @@ def bleu(pairs: DataFrame, keys: Sequence[str], ref_col: str, cand_col: str) ->
         F.when(F.col("_unscored"), F.lit(None).cast("double")).otherwise(F.lit(0.0)).alias("bleu"),
     )
 
-    sides = F.concat(
-        F.transform(_all_grams(F.col("_ct")), lambda x: F.struct(F.lit(1).alias("c"), F.lit(0).alias("r"), x["n"].alias("n"), x["g"].alias("g"))),
-        F.transform(_all_grams(F.col("_rt")), lambda x: F.struct(F.lit(0).alias("c"), F.lit(1).alias("r"), x["n"].alias("n"), x["g"].alias("g"))),
-    )
-    grams = t.filter(eligible).select(*keys, "ref_tokens", "cand_tokens", F.explode(sides).alias("x"))
-    counts = grams.groupBy(*keys, F.col("x.n").alias("n"), F.col("x.g").alias("g")).agg(
-        F.least(F.sum("x.c"), F.sum("x.r")).alias("clip"),
+    # eligible pairs have >= 4 tokens per side, so every order has at least one gram
+    sides = F.concat(_side_grams(F.col("_ct"), 0), _side_grams(F.col("_rt"), 1))
+    grams = t.filter(eligible).select(*keys, "ref_tokens", "cand_tokens", F.inline(sides))
+    counts = grams.groupBy(*keys, "n", "g").agg(
+        F.least(F.sum("c"), F.sum("r")).alias("clip"),
         F.max("ref_tokens").alias("ref_tokens"),
         F.max("cand_tokens").alias("cand_tokens"),
     )

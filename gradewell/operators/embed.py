@@ -1,64 +1,108 @@
-"""Embedding match score per pair: greedy best cosine per token, both ways.
+"""Embedding match score per pair: greedy best cosine per token, both ways.
 
 Input: a token table ``(pair keys..., side in {'ref','cand'}, tok_id, vec)``;
-the encoder is outside (its vectors are the input). Precision averages, over
-candidate tokens, the best cosine against any reference token; recall the
-reverse; F1 = 2PR/(P+R), F3 = 10PR/(9P+R); all rounded to 4 places; null
-when a side is empty.
-
-Plan: vectors are normalised once; the "other" side of each pair is cut
-into chunks of at most ``chunk`` vectors (arrays bounded by ``chunk``); each
-token row joins the chunks of its pair and keeps its best dot product per
-chunk (JVM higher-order functions, no UDF); a max per token and an average
-per pair finish. No row ever holds a whole side of a pair, and the join on
-the pair key is split by AQE when one pair is much larger than the rest.
+the encoder is outside (its vectors are the input, or see ``encode_tokens``).
+Precision averages, over candidate tokens, the best cosine against any
+reference token; recall the reverse; F1 = 2PR/(P+R), F3 = 10PR/(9P+R); all
+rounded to 4 places; null when a side is empty.
+
+Plan (blocked, exact):
+1. each side of each pair is cut into blocks of at most ``block`` tokens
+   (``groupBy(pair, side, tok_id div block)`` -> bounded arrays);
+2. candidate blocks join reference blocks on the pair key: one row per block
+   pair, so no row ever holds a whole side and a large pair becomes many
+   independent tasks (AQE splits a skewed pair key further);
+3. per block pair, one normalised matrix product (numpy, inside
+   ``mapInPandas``) gives each token's best match in that block, for both
+   directions at once;
+4. ``max`` per token over blocks, ``avg`` per pair and side.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+BLOCK = 256
 
-def _normalize(vec: Column) -> Column:
-    v = F.transform(vec, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: x / norm)
 
+def _blocks(t: DataFrame, keys: list[str], side: str, block: int) -> DataFrame:
+    s = t.filter(F.col("side") == side)
+    return s.groupBy(*keys, F.floor(F.col("tok_id") / block).alias(f"_{side}_blk")).agg(
+        F.collect_list("tok_id").alias(f"{side}_ids"),
+        F.collect_list(F.transform("vec", lambda x: x.cast("double"))).alias(f"{side}_vecs"),
+    )
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, t: s + t)
 
+def _best_in_block(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for row in pdf.itertuples(index=False):
+            c = np.asarray(np.stack(row.cand_vecs), dtype=np.float64)
+            r = np.asarray(np.stack(row.ref_vecs), dtype=np.float64)
+            c /= np.linalg.norm(c, axis=1, keepdims=True)
+            r /= np.linalg.norm(r, axis=1, keepdims=True)
+            sim = c @ r.T
+            key = {k: getattr(row, k) for k in keys}
+            out.append(pd.DataFrame({**key, "side": "cand", "tok_id": np.asarray(row.cand_ids, dtype=np.int64),
+                                     "best": sim.max(axis=1)}))
+            out.append(pd.DataFrame({**key, "side": "ref", "tok_id": np.asarray(row.ref_ids, dtype=np.int64),
+                                     "best": sim.max(axis=0)}))
+        if out:
+            yield pd.concat(out, ignore_index=True)
 
-def _best_match(q: DataFrame, k: DataFrame, keys: list[str], chunk: int) -> DataFrame:
-    """For every token of ``q``: best cosine against the tokens of ``k`` in the same pair."""
-    chunks = k.groupBy(*keys, F.floor(F.col("tok_id") / chunk).alias("_chunk")).agg(
-        F.collect_list("u").alias("_us")
-    )
-    j = q.select(*keys, "tok_id", "u").join(chunks, keys)
-    best = F.aggregate("_us", F.lit(-2.0), lambda m, v: F.greatest(m, _dot(F.col("u"), v)))
-    per_chunk = j.select(*keys, "tok_id", best.alias("_best"))
-    return per_chunk.groupBy(*keys, "tok_id").agg(F.max("_best").alias("best"))
 
-
-def embedding_match(tokens: DataFrame, keys: Sequence[str], chunk: int = 256) -> DataFrame:
+def embedding_match(tokens: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFrame:
     keys = list(keys)
-    t = tokens.select(*keys, "side", "tok_id", _normalize(F.col("vec")).alias("u"))
-    ref = t.filter(F.col("side") == "ref")
-    cand = t.filter(F.col("side") == "cand")
-    p = _best_match(cand, ref, keys, chunk).groupBy(*keys).agg(F.avg("best").alias("p"))
-    r = _best_match(ref, cand, keys, chunk).groupBy(*keys).agg(F.avg("best").alias("r"))
-    pr = p.join(r, keys, "full")
+    t = tokens.select(*keys, "side", F.col("tok_id").cast("long").alias("tok_id"), "vec")
+    pairs = _blocks(t, keys, "cand", block).join(_blocks(t, keys, "ref", block), keys)
+    key_fields = [f for f in t.schema.fields if f.name in keys]
+    out_schema = T.StructType(key_fields + [
+        T.StructField("side", T.StringType()), T.StructField("tok_id", T.LongType()),
+        T.StructField("best", T.DoubleType()),
+    ])
+    best = pairs.mapInPandas(lambda it: _best_in_block(it, keys), out_schema)
+    per_tok = best.groupBy(*keys, "side", "tok_id").agg(F.max("best").alias("best"))
+    per_side = per_tok.groupBy(*keys).agg(
+        F.avg(F.when(F.col("side") == "cand", F.col("best"))).alias("p"),
+        F.avg(F.when(F.col("side") == "ref", F.col("best"))).alias("r"),
+    )
     P, R = F.col("p"), F.col("r")
     f1 = F.when(P + R != 0, 2 * P * R / (P + R)).otherwise(F.lit(0.0))
     f3 = F.when(9 * P + R != 0, 10 * P * R / (9 * P + R)).otherwise(F.lit(0.0))
-    ok = P.isNotNull() & R.isNotNull()
-    return pr.select(
+    return per_side.select(
         *keys,
-        F.when(ok, F.round(P, 4)).alias("precision"),
-        F.when(ok, F.round(R, 4)).alias("recall"),
-        F.when(ok, F.round(f1, 4)).alias("f1"),
-        F.when(ok, F.round(f3, 4)).alias("f3"),
+        F.round(P, 4).alias("precision"),
+        F.round(R, 4).alias("recall"),
+        F.round(f1, 4).alias("f1"),
+        F.round(f3, 4).alias("f3"),
     )
+
+
+def encode_tokens(texts: DataFrame, encoder: Callable[[list[str]], list[list[list[float]]]],
+                  keys: Sequence[str], side_col: str, text_col: str) -> DataFrame:
+    """Token vectors from a user-supplied encoder (texts -> per-text token
+    vectors), run per Arrow batch with ``mapInPandas``; rows are
+    ``(keys, side, tok_id, vec)`` ready for ``embedding_match``."""
+    keys = list(keys)
+    key_fields = [f for f in texts.schema.fields if f.name in keys]
+    schema = T.StructType(key_fields + [
+        T.StructField("side", T.StringType()), T.StructField("tok_id", T.LongType()),
+        T.StructField("vec", T.ArrayType(T.DoubleType())),
+    ])
+
+    def run(batches):
+        for pdf in batches:
+            vecs = encoder(pdf[text_col].fillna("").tolist())
+            rows = []
+            for (_, rec), tv in zip(pdf.iterrows(), vecs):
+                for i, v in enumerate(tv):
+                    rows.append({**{k: rec[k] for k in keys}, "side": rec[side_col], "tok_id": i, "vec": list(map(float, v))})
+            yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
+
+    return texts.select(*keys, side_col, text_col).mapInPandas(run, schema)
