@@ -88,9 +88,10 @@ def chain_progress(steps: DataFrame, chain_col: str) -> DataFrame:
                      F.concat(acc["done"], F.array(x["step"].cast("int"))).alias("done")),
         ).otherwise(acc),
     )
-    with_done = arr.select(chain_col, "unit_start", "steps", fold["done"].alias("done"))
-    rows = with_done.select(chain_col, "unit_start", "done", F.explode("steps").alias("x")).select(
-        chain_col, "unit_start", "x.*", F.array_contains("done", F.col("x.step").cast("int")).alias("executed"),
+    slug = chain_slug(F.transform("steps", lambda x: x["task"]))
+    with_done = arr.select(chain_col, "unit_start", slug.alias("slug"), "steps", fold["done"].alias("done"))
+    rows = with_done.select(chain_col, "unit_start", "slug", "done", F.explode("steps").alias("x")).select(
+        chain_col, "unit_start", "slug", "x.*", F.array_contains("done", F.col("x.step").cast("int")).alias("executed"),
         "done",
     )
     done_sorted = F.col("done")
@@ -99,7 +100,7 @@ def chain_progress(steps: DataFrame, chain_col: str) -> DataFrame:
     w = Window.partitionBy(chain_col).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     carrier = F.when(F.col("executed") & F.col("ok") & (F.col("category") != "READ"), F.col("step"))
     return rows.select(
-        chain_col, "unit_start", "step", "task", "category", "ok", "executed",
+        chain_col, "unit_start", "slug", "step", "task", "category", "ok", "executed",
         nxt.alias("next_step"),
         F.when(F.col("executed"), F.last(carrier, ignorenulls=True).over(w)).alias("state_from"),
     )
@@ -109,3 +110,22 @@ def chain_slug(task_ids, max_len: int = 50, hash_len: int = 16):
     """ids joined by ``_`` (dots as ``_``); longer than ``max_len`` -> sha256 prefix."""
     slug = F.array_join(F.transform(task_ids, lambda t: F.replace(t, F.lit("."), F.lit("_"))), "_")
     return F.when(F.length(slug) > max_len, F.substring(F.sha2(slug, 256), 1, hash_len)).otherwise(slug)
+
+
+def execution_units(tasks: DataFrame, id_col: str = "task_id", pos_col: str = "pos",
+                    run_cols: tuple[str, ...] = ()) -> DataFrame:
+    """A23 + U6: tasks grouped into execution units -- each partial chain is one
+    unit, every other task its own -- and each unit runs at the position of
+    its first member. Unit membership comes from the fixed chain list."""
+    tid = F.lower(F.trim(F.col(id_col)))
+    unit = None
+    for chain in CHAINS:
+        cond = tid.isin(*chain)
+        unit = F.when(cond, F.lit(chain[0])) if unit is None else unit.when(cond, F.lit(chain[0]))
+    t = tasks.withColumn("unit", unit.otherwise(tid))
+    # members of one unit are bounded by the chain length
+    return t.groupBy(*run_cols, "unit").agg(
+        F.min(pos_col).alias("start"),
+        F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("p"), F.col(id_col).alias("t")))),
+                    lambda x: x["t"]).alias("members"),
+    )

@@ -72,3 +72,27 @@ def host_snapshot(inventory: DataFrame, host_col: str = "host_id") -> DataFrame:
         F.sum("ram_bytes").alias("total_ram_bytes"),
         F.sum("cpus").alias("total_cpus"),
     )
+
+
+def find_key_values(docs: DataFrame, id_col: str, json_col: str, key: str, max_depth: int = 8) -> DataFrame:
+    """every value stored under ``key`` at any depth of a JSON document.
+
+    Documents are parsed to variant and unnested one level per step with
+    ``variant_explode_outer`` (a lateral table function), to a fixed depth;
+    rows: (id, path of positions, value as JSON). Work grows with document
+    size; no document is gathered anywhere.
+    """
+    spark = docs.sparkSession
+    level = docs.select(F.col(id_col).alias("_id"), F.array().cast("array<int>").alias("path"),
+                        F.try_parse_json(json_col).alias("v")).filter(F.col("v").isNotNull())
+    hits = None
+    for _ in range(max_depth):
+        ex = level.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer())).select(
+            "_id", F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"), "key", "value")
+        ex = ex.filter(F.col("value").isNotNull())
+        found = ex.filter(F.col("key") == key).select("_id", "path", F.to_json("value").alias("value"))
+        hits = found if hits is None else hits.unionByName(found)
+        kind = F.schema_of_variant("value")
+        level = ex.filter(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))).select(
+            "_id", "path", F.col("value").alias("v"))
+    return hits.withColumnRenamed("_id", id_col)

@@ -44,27 +44,30 @@ def missing_ids(requested: DataFrame, available: DataFrame, key: str = "task_id"
     return r.join(a, "_k", "left_anti").drop("_k")
 
 
-def in_requested_order(df: DataFrame, ids: Sequence[str], key: str = "task_id") -> DataFrame:
-    """J7 + T3: rows for the requested ids, in the requested order; when the
-    dataset repeats an id, its last row wins. The id list is a fixed literal."""
+def in_requested_order(df: DataFrame, ids: Sequence[str], order_col: str, key: str = "task_id") -> DataFrame:
+    """J7 + T3: rows for the requested ids, ranked in the requested order; when
+    the dataset repeats an id, the row with the greatest ``order_col`` (its
+    position in the source) wins. The id list is a fixed literal."""
     order = F.array(*[F.lit(i.lower()) for i in ids])
     k = F.lower(F.trim(F.col(key)))
     with_pos = df.withColumn("_rank", F.array_position(order, k)).filter(F.col("_rank") > 0)
-    w = Window.partitionBy("_rank").orderBy(F.monotonically_increasing_id().desc())
-    return with_pos.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    w = Window.partitionBy("_rank").orderBy(F.col(order_col).desc())
+    return (with_pos.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+            .orderBy("_rank"))
 
 
 # ---------------------------------------------------------------- V12
-def metrics_report(samples: DataFrame, refs: DataFrame | None = None):
+def metrics_report(samples: DataFrame, refs: DataFrame | None = None, key: str = "file"):
     """(summary, per_task, scored rows). BLEU is scored against the task's
-    reference when one exists (null otherwise)."""
+    reference when one exists (null otherwise); ``key`` identifies a sample
+    (the result document's file name)."""
     if refs is not None:
-        s = samples.withColumn("_row", F.monotonically_increasing_id()).join(refs, "task_id", "left")
-        b = bleu.bleu(s.select("_row", "reference", "code"), ["_row"], "reference", "code").select("_row", "bleu")
-        scored = s.join(b, "_row", "left").drop("_row")
+        s = samples.join(refs, "task_id", "left")
+        b = bleu.bleu(s.select(key, "reference", "code"), [key], "reference", "code").select(key, "bleu")
+        scored = s.join(b, key, "left")
     else:
         scored = samples
-    return metrics.global_summary(scored), metrics.per_task_breakdown(scored), scored
+    return metrics.global_summary(scored), metrics.per_task_breakdown(scored).orderBy("task_id"), scored
 
 
 # ---------------------------------------------------------------- V13
@@ -98,4 +101,5 @@ def complexity_report(tasks: DataFrame, refs: DataFrame):
     resource-type distribution."""
     t = references_for_scoring(tasks, refs)
     scored = complexity.score_texts(t, "reference")
-    return scored, complexity.type_distribution(scored, "task_id"), complexity.scoring_summary(scored)
+    dist = complexity.type_distribution(scored, "task_id").orderBy(F.desc("n_tasks"), "resource_type")
+    return scored, dist, complexity.scoring_summary(scored)

@@ -768,11 +768,12 @@ WITH st AS (
          event_type <> 'error' AS ok FROM events),
 s2 AS (SELECT *, CASE left(task, 1) WHEN 'c' THEN 'CREATE' WHEN 'u' THEN 'UPDATE' WHEN 'r' THEN 'READ' ELSE 'DELETE' END AS category FROM st),
 c AS (SELECT chain_id, count(*) AS n, min(pos) AS unit_start,
+             string_agg(replace(task, '.', '_'), '_' ORDER BY step) AS slug,
              bool_or(step = 0 AND ok) AS ok0, bool_or(step = 1 AND ok) AS ok1,
              max(CASE WHEN step = 1 THEN category END) AS cat1 FROM s2 GROUP BY chain_id),
 c2 AS (SELECT *, CASE WHEN n >= 1 THEN CASE WHEN ok0 THEN CASE WHEN n > 1 THEN 1 END ELSE CASE WHEN n = 3 THEN 2 END END END AS nx0 FROM c),
 c3 AS (SELECT *, CASE WHEN nx0 = 1 THEN CASE WHEN ok1 THEN CASE WHEN n > 2 THEN 2 END ELSE CASE WHEN n = 3 THEN 2 END END END AS nx1 FROM c2)
-SELECT s2.chain_id, c3.unit_start, s2.step, s2.task, s2.category, s2.ok,
+SELECT s2.chain_id, c3.unit_start, c3.slug, s2.step, s2.task, s2.category, s2.ok,
        CASE s2.step WHEN 0 THEN TRUE WHEN 1 THEN coalesce(nx0 = 1, FALSE) ELSE coalesce(nx0 = 2, FALSE) OR coalesce(nx1 = 2, FALSE) END AS executed,
        CAST(CASE s2.step WHEN 0 THEN nx0 WHEN 1 THEN CASE WHEN nx0 = 1 THEN nx1 END END AS INTEGER) AS next_step,
        CAST(CASE s2.step WHEN 0 THEN NULL

@@ -65,3 +65,24 @@ def test_error_tail_numbering(spark):
     df = spark.createDataFrame(rows, "run int, it int, is_error boolean")
     t = {r.it: (r.tail_rank, r.prompt_no) for r in CH.error_tail(df, "run", "it").collect()}
     assert t == {8: (1, 2), 6: (2, 1), 4: (3, None), 2: (4, None), 0: (5, None)}
+
+
+def test_execution_units_fixed_benchmark(spark):
+    rows = [(t, i) for i, t in enumerate(CH.BENCHMARK_ORDER)]
+    u = CH.execution_units(spark.createDataFrame(rows, "task_id string, pos int")).orderBy("start").collect()
+    assert len(u) == 6
+    assert [x.members for x in u if len(x.members) > 1] == [["c1.3", "u1.2", "d1.2"], ["c2.3", "r1.2", "d2.2"]]
+
+
+def test_chain_slug_hash(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(["C1.3", "U1.2", "D1.2"],), (["C1.%d" % i for i in range(20)],)], "ids array<string>")
+    got = [r[0] for r in df.select(CH.chain_slug(F.col("ids"))).collect()]
+    assert got[0] == "C1_3_U1_2_D1_2" and len(got[1]) == 16
+
+
+def test_find_key_values(spark):
+    from gradewell.operators.graph import find_key_values
+    docs = spark.createDataFrame([(1, '{"a": {"k": 3, "b": [{"c": 1}, {"k": {"x": 2}}]}, "k": "top"}')], "id int, j string")
+    got = sorted(r.value for r in find_key_values(docs, "id", "j", "k").collect())
+    assert got == ['"top"', "3", '{"x":2}']
