@@ -270,6 +270,7 @@ def build_entries(r: DataFrame) -> DataFrame:
         F.col("task_id"),
         F.concat(F.coalesce("category", F.lit("")), F.lit(" - "), F.coalesce("prompt_type", F.lit(""))).alias("task_description"),
         F.col("sample_num"),
+        F.struct(F.col("strategy").alias("enhance_strat"), F.col("model_short").alias("model_name")).alias("metadata"),
         F.struct(
             F.lit("single_xcpng_host").alias("infrastructure"),
             avail_before.alias("available_ram_gb_before"),
@@ -306,6 +307,14 @@ def build_entries(r: DataFrame) -> DataFrame:
                      F.col("_adisk").alias("per_vm_size_bytes"), F.col("_tmem").alias("total_memory_max_bytes"),
                      F.col("_tcpu").alias("total_cpus"), F.col("_tdisk").alias("total_size_bytes")).alias("actual"),
         ).alias("resource_expectations"),
+        F.struct(
+            F.when(F.col("spec_passed").isNull(), F.lit("skipped")).otherwise(F.lit("completed")).alias("status"),
+            F.col("spec_passed").alias("passed"),
+        ).alias("spec_accuracy"),
+        F.struct(
+            F.when(F.col("post_passed").isNull(), F.lit("not_applicable")).otherwise(F.lit("completed")).alias("status"),
+            F.col("post_passed").alias("passed"),
+        ).alias("post_state_verification"),
         outcome.alias("final_outcome"),
         F.struct(
             code_flags["provider_config_included"].alias("provider_config_included"),

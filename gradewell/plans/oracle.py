@@ -884,3 +884,15 @@ SELECT replace(lower(letter || '1.' || CAST(t % 3 + 1 AS VARCHAR)), '.', '_') ||
 FROM r5"""
 
 ORACLE["stream_pass_at_k"] = ORACLE["pass_at_k_by_task"]
+
+ORACLE["entries_roundtrip_pass_at_k"] = f"""
+WITH {V_FENCED},
+r0 AS (SELECT f.conv_id AS c, f.turn AS t FROM fenced f),
+samples AS (
+  SELECT substr('CRUD', CAST(c % 4 + 1 AS INTEGER), 1) || '1.' || CAST(t % 3 + 1 AS VARCHAR) AS task_id,
+         (c + t) % 5 <> 0 AS plan_ok,
+         t % 4 <> 3 AND (c + t) % 5 <> 0 AND t % 2 = 0 AS apply_ok,
+         CASE WHEN t % 3 = 0 THEN NULL ELSE c % 2 = 0 END AS spec_ok
+  FROM r0),
+{_counts_cte('task_id')}
+SELECT task_id, n, c_plan, c_apply, c_spec, {_passk_cols()} FROM counts"""

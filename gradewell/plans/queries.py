@@ -119,10 +119,14 @@ def q_judge_skip_existing(spark, sf):
 
 
 # ------------------------------------------------------------ ground truth
+def _gt_cols(truth):
+    return truth.select("task_id", "event_id", "plan_ok", "apply_ok", "spec_ok", "iterations")
+
+
 @register("ground_truth_compare")
 def q_ground_truth_compare(spark, sf):
     res, truth = B.results_and_truth(spark, sf)
-    gt = AG.first_per_group(truth, "task_id", ["event_id"])
+    gt = AG.first_per_group(_gt_cols(truth), "task_id", ["event_id"])
     c = AG.compare_with_ground_truth(res, gt)
     return c.select("task_id", "event_id", "plan_match", "apply_match", "spec_match",
                     "iterations", "gt_iterations")
@@ -131,7 +135,7 @@ def q_ground_truth_compare(spark, sf):
 @register("ground_truth_summary")
 def q_ground_truth_summary(spark, sf):
     res, truth = B.results_and_truth(spark, sf)
-    gt = AG.first_per_group(truth, "task_id", ["event_id"])
+    gt = AG.first_per_group(_gt_cols(truth), "task_id", ["event_id"])
     s = AG.ground_truth_summary(AG.compare_with_ground_truth(res, gt))
     return rounded(s.withColumn("spec_band", AG.agreement_band("spec_pct")))
 
@@ -412,3 +416,25 @@ def q_stream_pass_at_k(spark, sf):
     counts = ST.task_counts_stream(B.samples_stream(spark, sf), key="event_id")
     done = ST.run_to_completion(spark, counts)
     return rounded(ST.pass_at_k_from_counts(done))
+
+
+# ------------------------------------------------------------ sink -> source round trip
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import readers as RD  # noqa: E402
+from ..sources import sinks as SK  # noqa: E402
+
+
+@register("entries_roundtrip_pass_at_k")
+def q_entries_roundtrip(spark, sf):
+    """S8 -> S2 -> P1/P2 -> A1/A2: entries are written as JSON partitioned by
+    experiment folder under the shared checkpoint folder, read back with the
+    explicit entry schema, flattened and scored. The written table also cuts
+    the lineage of the builder plan."""
+    import uuid
+
+    e = DS.build_entries(B.result_rows(spark, sf)).select("entry.*")
+    e = e.withColumn("model_folder", F.col("metadata.model_name")).withColumn("strategy", F.col("metadata.enhance_strat"))
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/entries-{uuid.uuid4().hex[:12]}"
+    SK.write_entries(e, root)
+    back = RD.entry_samples(RD.read_entries(spark, f"{root}/dataset", one_per_file=False))
+    return rounded(metrics.pass_at_k_table(back))

@@ -68,15 +68,18 @@ ENTRY_SCHEMA = _st(
 )
 
 
-def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """One result document per JSON file; ``file`` keeps the basename.
+def read_entries(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Result documents; ``file`` keeps the basename.
 
+    ``one_per_file``: each file is one (pretty-printed) document, as the
+    evaluation harness writes them; otherwise JSON Lines (as ``write_entries``
+    writes them), where ``entry_id`` identifies a document.
     ``checks_performed`` mixes strings and objects; as ``array<string>`` the
     objects arrive as their JSON text.
     """
-    return spark.read.schema(ENTRY_SCHEMA).json(path, multiLine=True).withColumn(
-        "file", F.col("_metadata.file_name")
-    )
+    df = spark.read.schema(ENTRY_SCHEMA).json(path, multiLine=one_per_file)
+    name = F.col("_metadata.file_name") if one_per_file else F.concat(F.col("entry_id"), F.lit(".json"))
+    return df.withColumn("file", name)
 
 
 def entry_samples(entries: DataFrame) -> DataFrame:
