@@ -26,10 +26,14 @@ MAX_ERROR_HISTORY = 5
 PROMPT_ERRORS = 2
 
 
-def attempt_rollup(log: DataFrame, run_col: str, iter_col: str) -> DataFrame:
+def attempt_rollup(log: DataFrame, run_col: str, iter_col: str, max_iterations: int | None = None) -> DataFrame:
     """Iterations, total generation time, spec-failure count (capped at 2),
-    furthest stage (the last iteration's stage) and final success per run."""
-    return log.groupBy(run_col).agg(
+    furthest stage (the last iteration's stage) and final success per run.
+
+    With ``max_iterations``, ``recorded_iterations`` reproduces the reference's
+    counter: a run that used the whole budget without success records MAX+1.
+    """
+    out = log.groupBy(run_col).agg(
         F.count(F.lit(1)).alias("iterations"),
         F.sum("gen_s").alias("total_gen_s"),
         F.least(F.count_if(F.col("stage") == "spec_failed"), F.lit(2)).alias("spec_fail_count"),
@@ -37,6 +41,13 @@ def attempt_rollup(log: DataFrame, run_col: str, iter_col: str) -> DataFrame:
         F.max_by("success", iter_col).alias("success"),
         F.min(F.when(F.col("success"), F.col(iter_col))).alias("first_success_iter"),
     )
+    if max_iterations is not None:
+        out = out.withColumn(
+            "recorded_iterations",
+            F.when(~F.coalesce(F.col("success"), F.lit(False)) & (F.col("iterations") >= max_iterations),
+                   F.lit(max_iterations + 1)).otherwise(F.col("iterations")),
+        )
+    return out
 
 
 def error_tail(log: DataFrame, run_col: str, iter_col: str, n: int = MAX_ERROR_HISTORY,

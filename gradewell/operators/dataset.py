@@ -41,6 +41,27 @@ DATASET_REPAIR_LAYOUT = (
     "and definitive ground-truth HCL block using standard Markdown (```hcl).\n\n"
     "Follow the structural rules defined in the system prompt.\n"
 )
+JUDGE_SYSTEM_PROMPT = (
+    "You are an expert evaluator of Terraform HCL code for XCP-NG / Xen Orchestra infrastructure.\n"
+    "You will be given a task description and a generated Terraform configuration.\n"
+    "Your job is to determine whether the generated code correctly and completely fulfills the task.\n\n"
+    "Evaluation criteria:\n"
+    "1. The code must include valid xenorchestra provider configuration\n"
+    "2. Required VM attributes must be present and correct (name_label, memory_max, cpus, template, auto_poweron)\n"
+    "3. Resource requirements from the task (VM count, RAM, CPU, disk size) must match\n"
+    "4. For UPDATE tasks: the code must modify the correct VM attribute without destroying/recreating the VM\n"
+    "5. For DELETE tasks: the code must remove only the specified VM(s), not all infrastructure\n"
+    "6. For READ tasks: the code must use data sources and output blocks, not resource blocks\n\n"
+    "End your response with exactly one of these two lines (no other text after it):\n"
+    "Rating: Correct\n"
+    "Rating: Incorrect"
+)
+JUDGE_USER_LAYOUT = (
+    "Task Description:\n{task_prompt}\n\nTask Category: {category}\n\nGenerated Terraform Code:\n"
+    "```hcl\n{terraform_code}\n```\n\n"
+    "Does this generated code correctly fulfill the task? Evaluate it carefully, then end with your rating."
+)
+JUDGE_PROMPT_CAP = 10000
 JUDGE_CODE_CAP = 8000
 CONTEXT_CAP = 4000
 DEFAULT_USABLE_RAM_GB = 20
@@ -190,6 +211,16 @@ def judge_code(code) -> Column:
     return X.truncate_head(_c(code), JUDGE_CODE_CAP)
 
 
+def judge_messages(task_prompt, category, code) -> Column:
+    """the judge's system and user messages; prompt and code capped."""
+    user = _fill(JUDGE_USER_LAYOUT, task_prompt=X.truncate_head(_c(task_prompt), JUDGE_PROMPT_CAP),
+                 category=_c(category), terraform_code=judge_code(code))
+    return F.array(
+        F.struct(F.lit("system").alias("role"), F.lit(JUDGE_SYSTEM_PROMPT).alias("content")),
+        F.struct(F.lit("user").alias("role"), user.alias("content")),
+    )
+
+
 # ---------------------------------------------------------------- F18 / F29 / V10
 def prompt_tags(prompt, prompt_type) -> Column:
     """information provided (ram, cpu, disk, network) and missing."""

@@ -71,3 +71,12 @@ def snapshot_rows(states: DataFrame, label_col: str, content_col: str = "content
         F.concat(F.lit("terraform_tfstate_pre_destroy_"), F.col("label"),
                  F.when(n > 1, F.concat(F.lit("_"), n.cast("string"))).otherwise(F.lit("")), F.lit(".json")),
     )
+
+
+def write_conversations(turns: DataFrame, path: str, key: str = "file") -> None:
+    """S7 sink: one conversation per row as an ordered array of role/content
+    (a conversation is one document, so its turns are bounded by it)."""
+    conv = turns.groupBy(key).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))),
+                    lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+    conv.write.mode("overwrite").json(path)

@@ -129,3 +129,18 @@ def test_sync_and_complexity_report(spark, tmp_path):
     assert summ.first().total_tasks_scored == 2
     missing = RP.missing_ids(spark.createDataFrame([("c1.1",), ("d9.9",)], "task_id string"), tasks).collect()
     assert [m.task_id for m in missing] == ["d9.9"]
+
+
+def test_judge_messages_and_rollup_quirk(spark, tmp_path):
+    from gradewell.operators import chains as CH
+    from gradewell.operators import dataset as DS
+    df = spark.createDataFrame([("Create a VM", "CREATE", "x" * 9000)], "p string, c string, code string")
+    m = df.select(DS.judge_messages("p", "c", "code").alias("m")).first().m
+    assert m[0].role == "system" and m[0].content.endswith("Rating: Incorrect")
+    assert "Task Category: CREATE" in m[1].content and "x" * 8000 + "\n```" in m[1].content
+    log = spark.createDataFrame([(1, 1, "plan_failed", False, 1.0)], "run int, it int, stage string, success boolean, gen_s double")
+    assert CH.attempt_rollup(log, "run", "it", max_iterations=1).first().recorded_iterations == 2
+    turns = spark.createDataFrame([("a", 1, "user", "hi"), ("a", 0, "system", "s")], "file string, turn int, role string, content string")
+    SK.write_conversations(turns, str(tmp_path / "conv"))
+    back = spark.read.json(str(tmp_path / "conv")).first()
+    assert [x.role for x in back.messages] == ["system", "user"]
