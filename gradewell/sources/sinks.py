@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..operators.dataset import folder_name
 
@@ -59,18 +58,24 @@ def write_artifacts(artifacts: DataFrame, path: str) -> None:
 
 
 def snapshot_rows(states: DataFrame, label_col: str, content_col: str = "content") -> DataFrame:
-    """Keep non-empty snapshots; clean labels (F26); number duplicates of a
-    label so every snapshot gets a unique name."""
+    """Keep non-empty snapshots; clean labels (F26); when a label is
+    taken, later snapshots get a unique suffix.
+
+    Per label, the snapshot with the smallest content digest keeps the plain
+    name; every other one is suffixed with 8 hex digits of its own digest.
+    This needs only a partial aggregate per label (no window over a label, so
+    a label shared by a third of all snapshots is still spread over tasks)."""
     from ..functions.text import clean_label
 
     s = states.filter(F.coalesce(F.length(content_col), F.lit(0)) > 0).withColumn("label", clean_label(label_col))
-    w = Window.partitionBy("label").orderBy(F.col(content_col))
-    n = F.row_number().over(w)
-    return s.withColumn(
+    s = s.withColumn("_digest", F.sha2(F.col(content_col), 256))
+    first = s.groupBy("label").agg(F.min("_digest").alias("_first"))
+    j = s.join(first, "label")
+    suffix = F.when(F.col("_digest") != F.col("_first"), F.concat(F.lit("_"), F.substring("_digest", 1, 8))).otherwise(F.lit(""))
+    return j.withColumn(
         "snapshot_name",
-        F.concat(F.lit("terraform_tfstate_pre_destroy_"), F.col("label"),
-                 F.when(n > 1, F.concat(F.lit("_"), n.cast("string"))).otherwise(F.lit("")), F.lit(".json")),
-    )
+        F.concat(F.lit("terraform_tfstate_pre_destroy_"), F.col("label"), suffix, F.lit(".json")),
+    ).drop("_digest", "_first")
 
 
 def write_conversations(turns: DataFrame, path: str, key: str = "file") -> None:

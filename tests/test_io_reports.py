@@ -113,7 +113,9 @@ def test_sinks(spark, tmp_path):
     assert w["c1_1_m_pass1"].verdict == "Correct" and w["c1_1_m_pass1_COT"] is None
     snaps = spark.createDataFrame([("C1.3 / u1.2", "{}"), ("C1.3 / u1.2", '{"a":1}'), ("x", "")], "label string, content string")
     names = sorted(r.snapshot_name for r in SK.snapshot_rows(snaps, "label").collect())
-    assert names == ["terraform_tfstate_pre_destroy_C1_3_u1_2.json", "terraform_tfstate_pre_destroy_C1_3_u1_2_2.json"]
+    assert len(names) == 2 and len(set(names)) == 2
+    assert "terraform_tfstate_pre_destroy_C1_3_u1_2.json" in names
+    assert all(n.startswith("terraform_tfstate_pre_destroy_C1_3_u1_2") for n in names)
 
 
 def test_sync_and_complexity_report(spark, tmp_path):
