@@ -1,10 +1,12 @@
 """Sentence BLEU-4 with smoothing method 3 over a table of pairs.
 
 Plan per pair table:
-  tokens (F7) -> n-gram arrays built inside the row -> one explode of
-  (side, n, gram) -> one aggregate on (pair, n, gram) counting both sides
-  (clipped count = least of the two; this replaces an n-gram join) ->
-  one aggregate per pair with the four numerators -> formula as columns.
+  tokens (F7) -> the token array zipped with its shifted copies -> one explode
+  of positions (both sides) and of the 1..4-grams starting there -> one
+  aggregate on (pair, n, gram) counting both sides (clipped count = least of
+  the two; this replaces an n-gram join) -> one aggregate per pair with the
+  four numerators -> formula as columns. No lambda functions: every step is
+  code-generated.
 
 The first aggregate hashes on (pair, n, gram), so one long pair spreads over
 all tasks; both aggregates combine map-side. Pairs with fewer than four
@@ -25,21 +27,10 @@ GRAM_SEP = "\u0001"
 MIN_TOKENS = 4
 
 
-def _side_grams(arr: Column, side: int) -> Column:
-    """All 1..4-grams of a token array as structs (c, r, n, g): one lambda per
-    order builds the joined gram strings; ``c``/``r`` mark the side."""
-    def gram_of(n):
-        # one-argument lambda: Spark treats a two-argument one as (element, index)
-        return lambda i: F.struct(
-            F.lit(1 - side).alias("c"), F.lit(side).alias("r"), F.lit(n).alias("n"),
-            F.array_join(F.slice(arr, i, n), GRAM_SEP).alias("g"),
-        )
-
-    per_n = [
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(arr) - (n - 1), F.lit(1))), gram_of(n))
-        for n in range(1, MAX_N + 1)
-    ]
-    return F.flatten(F.array(*per_n))
+def _shifted(arr: Column) -> Column:
+    """Row i of the result holds tokens i..i+3 (null past the end): the four
+    shifted copies of the token array zipped together."""
+    return F.arrays_zip(*[F.slice(arr, k, F.size(arr)).alias(f"w{k}") for k in range(1, MAX_N + 1)])
 
 
 def bleu_formula(num: Sequence[Column], c_len: Column, r_len: Column) -> Column:
@@ -82,9 +73,24 @@ def bleu(pairs: DataFrame, keys: Sequence[str], ref_col: str, cand_col: str) ->
         F.when(F.col("_unscored"), F.lit(None).cast("double")).otherwise(F.lit(0.0)).alias("bleu"),
     )
 
-    # eligible pairs have >= 4 tokens per side, so every order has at least one gram
-    sides = F.concat(_side_grams(F.col("_ct"), 0), _side_grams(F.col("_rt"), 1))
-    grams = t.filter(eligible).select(*keys, "ref_tokens", "cand_tokens", F.inline(sides))
+    # One explode of positions over both sides (candidate first), then the 1..4-grams
+    # starting at each position; no lambda functions, so all of it is code-generated.
+    e = t.filter(eligible).select(
+        *keys, "ref_tokens", "cand_tokens",
+        F.posexplode(F.concat(_shifted(F.col("_ct")), _shifted(F.col("_rt")))).alias("_p", "_z"),
+    )
+    w = [F.col(f"_z.w{k}") for k in range(1, MAX_N + 1)]
+    gram = F.array(*[F.concat_ws(GRAM_SEP, *w[:n]) for n in range(1, MAX_N + 1)])
+    complete = F.array(F.lit(True), *[w[n - 1].isNotNull() for n in range(2, MAX_N + 1)])
+    g = e.select(
+        *keys, "ref_tokens", "cand_tokens",
+        (F.col("_p") < F.col("cand_tokens")).cast("int").alias("c"),
+        F.posexplode(F.arrays_zip(gram.alias("g"), complete.alias("ok"))).alias("_n", "_x"),
+    )
+    grams = g.filter(F.col("_x.ok")).select(
+        *keys, "ref_tokens", "cand_tokens", "c", (1 - F.col("c")).alias("r"),
+        (F.col("_n") + 1).alias("n"), F.col("_x.g").alias("g"),
+    )
     counts = grams.groupBy(*keys, "n", "g").agg(
         F.least(F.sum("c"), F.sum("r")).alias("clip"),
         F.max("ref_tokens").alias("ref_tokens"),
