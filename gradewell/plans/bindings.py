@@ -502,6 +502,7 @@ def samples_stream(spark: SparkSession, sf: str) -> DataFrame:
     return ev.select(
         F.concat(F.col("user_id").cast("string"), F.lit("_"), F.to_date("ts").cast("string")).alias("task_id"),
         "event_id",
+        F.col("ts").cast("timestamp").alias("ts"),
         (et != F.lit("error")).alias("plan_ok"),
         et.isin("purchase", "click", "signup").alias("apply_ok"),
         F.when(et == "purchase", F.lit(True)).when(et == "view", F.lit(None).cast("boolean"))
