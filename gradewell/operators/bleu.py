@@ -57,9 +57,15 @@ def bleu(pairs: DataFrame, keys: Sequence[str], ref_col: str, cand_col: str) ->
 
     ``bleu`` is null when the reference is empty (not scored), 0 when either
     side has fewer than four tokens.
+
+    The pair rows (texts) are hash-partitioned on the pair key once; every
+    n-gram of a pair is generated from its own row, so both aggregates below
+    are satisfied by that partitioning and the n-grams themselves are never
+    shuffled. A pair is two texts, so one task holds at most one pair's grams.
+    Short pairs ride along as a single marker row (n = 0).
     """
     keys = list(keys)
-    t = pairs.select(
+    t = pairs.repartition(*keys).select(
         *keys,
         (F.coalesce(F.col(ref_col), F.lit("")) == "").alias("_unscored"),
         tokens(ref_col).alias("_rt"),
@@ -68,41 +74,46 @@ def bleu(pairs: DataFrame, keys: Sequence[str], ref_col: str, cand_col: str) ->
              F.size("_ct").alias("cand_tokens"))
     eligible = (~F.col("_unscored")) & (F.col("ref_tokens") >= MIN_TOKENS) & (F.col("cand_tokens") >= MIN_TOKENS)
 
-    short = t.filter(~eligible).select(
-        *keys, "ref_tokens", "cand_tokens",
-        F.when(F.col("_unscored"), F.lit(None).cast("double")).otherwise(F.lit(0.0)).alias("bleu"),
-    )
-
     # One explode of positions over both sides (candidate first), then the 1..4-grams
     # starting at each position; no lambda functions, so all of it is code-generated.
-    e = t.filter(eligible).select(
-        *keys, "ref_tokens", "cand_tokens",
-        F.posexplode(F.concat(_shifted(F.col("_ct")), _shifted(F.col("_rt")))).alias("_p", "_z"),
+    both = F.concat(_shifted(F.col("_ct")), _shifted(F.col("_rt")))
+    e = t.select(
+        *keys, "_unscored", "ref_tokens", "cand_tokens",
+        F.posexplode_outer(F.when(eligible, both)).alias("_p", "_z"),
     )
     w = [F.col(f"_z.w{k}") for k in range(1, MAX_N + 1)]
     gram = F.array(*[F.concat_ws(GRAM_SEP, *w[:n]) for n in range(1, MAX_N + 1)])
     complete = F.array(F.lit(True), *[w[n - 1].isNotNull() for n in range(2, MAX_N + 1)])
+    marker = F.array(F.struct(F.lit("").alias("g"), F.lit(True).alias("ok")))
     g = e.select(
-        *keys, "ref_tokens", "cand_tokens",
+        *keys, "_unscored", "ref_tokens", "cand_tokens",
         (F.col("_p") < F.col("cand_tokens")).cast("int").alias("c"),
-        F.posexplode(F.arrays_zip(gram.alias("g"), complete.alias("ok"))).alias("_n", "_x"),
+        F.col("_p").isNull().alias("_short"),
+        F.posexplode(F.when(F.col("_p").isNull(), marker).otherwise(
+            F.arrays_zip(gram.alias("g"), complete.alias("ok")))).alias("_n", "_x"),
     )
     grams = g.filter(F.col("_x.ok")).select(
-        *keys, "ref_tokens", "cand_tokens", "c", (1 - F.col("c")).alias("r"),
-        (F.col("_n") + 1).alias("n"), F.col("_x.g").alias("g"),
+        *keys, "_unscored", "ref_tokens", "cand_tokens",
+        F.coalesce(F.col("c"), F.lit(0)).alias("c"), F.coalesce(1 - F.col("c"), F.lit(0)).alias("r"),
+        F.when(F.col("_short"), F.lit(0)).otherwise(F.col("_n") + 1).alias("n"), F.col("_x.g").alias("g"),
     )
     counts = grams.groupBy(*keys, "n", "g").agg(
         F.least(F.sum("c"), F.sum("r")).alias("clip"),
         F.max("ref_tokens").alias("ref_tokens"),
         F.max("cand_tokens").alias("cand_tokens"),
+        F.max("_unscored").alias("_unscored"),
     )
     per_pair = counts.groupBy(*keys).agg(
         *[F.coalesce(F.sum(F.when(F.col("n") == n, F.col("clip"))), F.lit(0)).alias(f"num{n}") for n in range(1, MAX_N + 1)],
         F.max("ref_tokens").alias("ref_tokens"),
         F.max("cand_tokens").alias("cand_tokens"),
+        F.max("_unscored").alias("_unscored"),
+        F.max(F.col("n") == 0).alias("_short"),
     )
-    scored = per_pair.select(
+    score = bleu_formula([F.col(f"num{n}") for n in range(1, MAX_N + 1)], F.col("cand_tokens"), F.col("ref_tokens"))
+    return per_pair.select(
         *keys, "ref_tokens", "cand_tokens",
-        bleu_formula([F.col(f"num{n}") for n in range(1, MAX_N + 1)], F.col("cand_tokens"), F.col("ref_tokens")).alias("bleu"),
+        F.when(F.col("_unscored"), F.lit(None).cast("double"))
+        .when(F.col("_short"), F.lit(0.0))
+        .otherwise(score).alias("bleu"),
     )
-    return scored.unionByName(short)
