@@ -508,3 +508,42 @@ def samples_stream(spark: SparkSession, sf: str) -> DataFrame:
         F.when(et == "purchase", F.lit(True)).when(et == "view", F.lit(None).cast("boolean"))
         .otherwise(F.lit(False)).alias("spec_ok"),
     )
+
+
+# ---------------------------------------------------------------- state documents
+def state_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """One state document per customer, shaped like a state file: a pool data
+    source (nation), a template data source with no identifier fields, the
+    customer as a managed VM, and a managed network. Attributes are JSON text."""
+    c = read_table(spark, sf, "customer")
+    n = read_table(spark, sf, "nation")
+    k = F.col("c_custkey")
+    j = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    pool = F.to_json(F.struct(
+        F.concat(F.lit("pool-"), F.col("n_regionkey").cast("string")).alias("id"),
+        F.col("n_name").alias("name_label"),
+        F.struct(((F.col("c_nationkey") % 8) + 1).cast("string").alias("cores")).alias("cpus"),
+        F.when(k % 2 == 0, F.concat(F.lit("host-"), F.col("n_nationkey").cast("string"))).alias("master"),
+        F.lit("x").alias("other"),
+    ))
+    template = F.to_json(F.struct(F.lit("Ubuntu template").alias("description")))
+    vm = F.to_json(F.struct(
+        F.concat(F.lit("vm-"), k.cast("string")).alias("id"),
+        F.col("c_name").alias("name_label"),
+        (k % 8 + 1).alias("cpus"),
+        F.when(F.col("c_acctbal") > 0, (k % 16 + 1) * F.lit(1 << 28)).alias("memory_max"),
+        F.lit("Running").alias("power_state"),
+        F.array(F.concat(F.lit("seg-"), F.col("c_mktsegment"))).alias("tags"),
+        F.lit("ignored").alias("extra"),
+    ))
+    net = F.to_json(F.struct(F.lit("net-1").alias("id")))
+
+    def res(mode, typ, attrs):
+        return F.struct(F.lit(mode).alias("mode"), F.lit(typ).alias("type"), F.lit("r").alias("name"),
+                        F.array(F.struct(F.lit(0).cast("long").alias("schema_version"), attrs.alias("attributes"))).alias("instances"))
+
+    return j.select(
+        k.alias("state_id"),
+        F.array(res("data", "xenorchestra_pool", pool), res("data", "xenorchestra_template", template),
+                res("managed", "xenorchestra_vm", vm), res("managed", "xenorchestra_network", net)).alias("resources"),
+    )

@@ -896,3 +896,21 @@ samples AS (
   FROM r0),
 {_counts_cte('task_id')}
 SELECT task_id, n, c_plan, c_apply, c_spec, {_passk_cols()} FROM counts"""
+
+ORACLE["infra_context"] = """
+WITH c AS (SELECT c_custkey, c_name, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey),
+d AS (SELECT c_custkey AS state_id, 'data_resources' AS kind, 'xenorchestra_pool' AS type, 0 AS resource_pos,
+             CASE WHEN c_custkey % 2 = 0 THEN 4 ELSE 3 END AS n_fields,
+             CASE WHEN c_custkey % 2 = 0 THEN 'cpus,id,master,name_label' ELSE 'cpus,id,name_label' END AS field_keys,
+             '"' || n.n_name || '"' AS name_label_json
+      FROM customer cu JOIN nation n ON cu.c_nationkey = n.n_nationkey JOIN c USING (c_custkey)),
+v AS (SELECT c_custkey AS state_id, 'managed_vms' AS kind, 'xenorchestra_vm' AS type, 2 AS resource_pos,
+             CASE WHEN c_acctbal > 0 THEN 6 ELSE 5 END AS n_fields,
+             CASE WHEN c_acctbal > 0 THEN 'cpus,id,memory_max,name_label,power_state,tags'
+                  ELSE 'cpus,id,name_label,power_state,tags' END AS field_keys,
+             '"' || c_name || '"' AS name_label_json
+      FROM c)
+SELECT state_id, kind, type, CAST(resource_pos AS INTEGER) AS resource_pos, CAST(n_fields AS INTEGER) AS n_fields,
+       field_keys, name_label_json FROM d
+UNION ALL
+SELECT state_id, kind, type, CAST(resource_pos AS INTEGER), CAST(n_fields AS INTEGER), field_keys, name_label_json FROM v"""

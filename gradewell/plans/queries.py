@@ -441,3 +441,13 @@ def q_entries_roundtrip(spark, sf):
     SK.write_entries(e, root)
     back = RD.entry_samples(RD.read_entries(spark, f"{root}/dataset", one_per_file=False))
     return rounded(metrics.pass_at_k_table(back))
+
+
+@register("infra_context")
+def q_infra_context(spark, sf):
+    ctx = RD.infra_context(B.state_documents(spark, sf))
+    return ctx.select(
+        "state_id", "kind", "type", F.col("rpos").alias("resource_pos"), F.size("fields").alias("n_fields"),
+        F.array_join(F.array_sort(F.map_keys("fields")), ",").alias("field_keys"),
+        F.col("fields")["name_label"].alias("name_label_json"),
+    )

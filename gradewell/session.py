@@ -60,16 +60,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in spark.checkpoint.dir.
 
     Only when the setting is absent (local tests) is a scratch folder created.
+    Works without a SparkContext handle (e.g. remote sessions).
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(configured)
-        return spark.sparkContext.getCheckpointDir() or configured
-    path = tempfile.mkdtemp(prefix="gradewell-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext.getCheckpointDir() or path
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = None
+    try:
+        sc = spark.sparkContext
+        configured = configured or sc.getCheckpointDir()
+    except Exception:  # noqa: BLE001 - no driver-side context (remote session)
+        sc = None
+    if not configured:
+        configured = tempfile.mkdtemp(prefix="gradewell-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        spark.conf.set("spark.checkpoint.dir", configured)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured)
+    return configured
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
