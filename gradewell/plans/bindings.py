@@ -547,3 +547,23 @@ def state_documents(spark: SparkSession, sf: str) -> DataFrame:
         F.array(res("data", "xenorchestra_pool", pool), res("data", "xenorchestra_template", template),
                 res("managed", "xenorchestra_vm", vm), res("managed", "xenorchestra_network", net)).alias("resources"),
     )
+
+
+# ---------------------------------------------------------------- references
+def task_references(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Task rows with a CSV reference column and a reference-file table.
+
+    Tasks are the benchmark items; the CSV column holds the item's text for
+    even items, 'nan' for items % 3 = 1 and is empty otherwise; reference files
+    exist for items % 4 != 3 and hold the HCL block of the part with the same key.
+    """
+    t = bench_tasks(spark, sf)
+    i = F.col("item_id")
+    tasks = t.select(
+        "item_id", "task_id", "category",
+        F.when(i % 2 == 0, F.col("prompt")).when(i % 3 == 1, F.lit("nan")).otherwise(F.lit("")).alias("reference_hcl"),
+    )
+    frags = hcl_fragments(spark, sf)
+    files = frags.join(t.select("item_id", "task_id"), F.col("frag_pos") == F.col("item_id")).filter(
+        F.col("item_id") % 4 != 3).select("item_id", F.col("hcl"))
+    return tasks, files

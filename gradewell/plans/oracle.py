@@ -914,3 +914,26 @@ SELECT state_id, kind, type, CAST(resource_pos AS INTEGER) AS resource_pos, CAST
        field_keys, name_label_json FROM d
 UNION ALL
 SELECT state_id, kind, type, CAST(resource_pos AS INTEGER), CAST(n_fields AS INTEGER), field_keys, name_label_json FROM v"""
+
+ORACLE["reference_precedence"] = f"""
+WITH {V_BENCH}, {V_HCL},
+t AS (SELECT item_id, task_id, category,
+             CASE WHEN item_id % 2 = 0 THEN prompt WHEN item_id % 3 = 1 THEN 'nan' ELSE '' END AS csv FROM bt2),
+f AS (SELECT t.item_id, frag.hcl FROM t JOIN frag ON frag.frag_pos = t.item_id WHERE t.item_id % 4 <> 3),
+j AS (SELECT t.*, f.hcl FROM t LEFT JOIN f USING (item_id)),
+r AS (SELECT item_id, task_id, category,
+             coalesce(hcl, csv, '') AS m0,
+             coalesce(nullif(csv, ''), hcl) AS sc,
+             coalesce(hcl, csv, '') AS synced
+      FROM j)
+SELECT item_id,
+       md5(CASE WHEN lower(m0) = 'nan' THEN '' ELSE m0 END) AS metrics_ref_md5,
+       md5(CASE WHEN lower(coalesce(sc, '')) = 'nan' THEN '' ELSE coalesce(sc, '') END) AS scoring_ref_md5,
+       sc IS NULL AS unscored,
+       md5(synced) AS synced_md5,
+       array_to_string(list_filter([
+         CASE WHEN NOT coalesce(regexp_matches(task_id, '^[CRUD]\\d\\.\\d$'), FALSE) THEN 'task_id_format' END,
+         CASE WHEN {_strip('synced')} = '' THEN 'reference_blank' END,
+         CASE WHEN NOT coalesce(upper(category) IN ('CREATE', 'READ', 'UPDATE', 'DELETE'), FALSE) THEN 'category_invalid' END],
+         lambda q: q IS NOT NULL), ',') AS violations
+FROM r"""
