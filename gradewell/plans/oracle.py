@@ -937,3 +937,16 @@ SELECT item_id,
          CASE WHEN NOT coalesce(upper(category) IN ('CREATE', 'READ', 'UPDATE', 'DELETE'), FALSE) THEN 'category_invalid' END],
          lambda q: q IS NOT NULL), ',') AS violations
 FROM r"""
+
+ORACLE["judge_report_with_code"] = f"""
+WITH {V_JUDGED},
+j AS (SELECT judged.*, {_extract_code('d.text')} AS code FROM judged JOIN documents d USING (doc_id)),
+v AS (SELECT *, CASE WHEN {_strip("coalesce(code, '')")} = '' THEN 'Skip' ELSE {_verdict('judge_text')} END AS verdict FROM j)
+SELECT doc_id, task_id, verdict,
+       CASE WHEN verdict IN ('Correct', 'Incorrect') AND spec_passed IS NOT NULL THEN (verdict = 'Correct') = spec_passed END AS agree,
+       CAST(length(code) AS INTEGER) AS code_chars
+FROM v"""
+
+ORACLE["bleu_by_conversation"] = f"""
+WITH {V_PAIRS}, {V_BLEU}
+SELECT conv_id, count(*) AS n_pairs, {_r('avg(bleu)')} AS avg_bleu, {_r('max(bleu)')} AS max_bleu FROM bl GROUP BY conv_id"""

@@ -476,3 +476,23 @@ def q_reference_precedence(spark, sf):
         F.md5("synced").alias("synced_md5"),
         F.array_join(data_quality_violations(F.col("tid"), F.col("category"), F.col("synced")), ",").alias("violations"),
     )
+
+
+@register("judge_report_with_code")
+def q_judge_report_with_code(spark, sf):
+    """Judged rows carry the code extracted from the document text;
+    blank code is not judged (verdict Skip) and drops out of the confusion."""
+    from ..operators import report as RP
+
+    j = B.judged(spark, sf).join(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    rows = j.select("doc_id", "task_id", "judge_text", "spec_passed", TX.extract_code("text").alias("code"))
+    v, conf, _ = RP.judge_report(rows)
+    return v.select("doc_id", "task_id", "verdict", "agree", F.length("code").alias("code_chars"))
+
+
+@register("bleu_by_conversation")
+def q_bleu_by_conversation(spark, sf):
+    """A6 with scores: per conversation, pairs and average BLEU (null when none scored)."""
+    b = _bleu_pairs(spark, sf)
+    return rounded(b.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("bleu").alias("avg_bleu"),
+                                            F.max("bleu").alias("max_bleu")))
