@@ -940,7 +940,9 @@ FROM r"""
 
 ORACLE["judge_report_with_code"] = f"""
 WITH {V_JUDGED},
-j AS (SELECT judged.*, {_extract_code('d.text')} AS code FROM judged JOIN documents d USING (doc_id)),
+dr AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '```hcl' || chr(10) || text || chr(10) || '```' ELSE text END AS response
+       FROM documents),
+j AS (SELECT judged.*, {_extract_code('dr.response')} AS code FROM judged JOIN dr USING (doc_id)),
 v AS (SELECT *, CASE WHEN {_strip("coalesce(code, '')")} = '' THEN 'Skip' ELSE {_verdict('judge_text')} END AS verdict FROM j)
 SELECT doc_id, task_id, verdict,
        CASE WHEN verdict IN ('Correct', 'Incorrect') AND spec_passed IS NOT NULL THEN (verdict = 'Correct') = spec_passed END AS agree,

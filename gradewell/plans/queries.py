@@ -480,12 +480,18 @@ def q_reference_precedence(spark, sf):
 
 @register("judge_report_with_code")
 def q_judge_report_with_code(spark, sf):
-    """Judged rows carry the code extracted from the document text;
-    blank code is not judged (verdict Skip) and drops out of the confusion."""
+    """Judged rows carry the code extracted from the document as a model
+    response (fenced for even ids, plain prose otherwise); blank code is not
+    judged (verdict Skip) and drops out of the confusion."""
     from ..operators import report as RP
 
-    j = B.judged(spark, sf).join(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    rows = j.select("doc_id", "task_id", "judge_text", "spec_passed", TX.extract_code("text").alias("code"))
+    d = read_table(spark, sf, "documents").select(
+        "doc_id",
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```hcl\n"), F.col("text"), F.lit("\n```")))
+        .otherwise(F.col("text")).alias("response"),
+    )
+    j = B.judged(spark, sf).join(d, "doc_id")
+    rows = j.select("doc_id", "task_id", "judge_text", "spec_passed", TX.extract_code("response").alias("code"))
     v, conf, _ = RP.judge_report(rows)
     return v.select("doc_id", "task_id", "verdict", "agree", F.length("code").alias("code_chars"))
 
