@@ -260,3 +260,24 @@ def clean_label(label: Column | str) -> Column:
 def text_bar(n: Column | str) -> Column:
     """a bar of ``n`` blocks."""
     return F.repeat(F.lit("█"), _c(n).cast("int"))
+
+
+def fill(template: str, null_as: str | None = None, **values: Column) -> Column:
+    """Fill the ``{name}`` slots of a fixed template with column values
+    (a plain concatenation; data is never parsed as a format). With
+    ``null_as``, null values print as that text; otherwise a null value
+    makes the result null."""
+    parts: list[Column] = []
+    rest = template
+    while rest:
+        i = rest.find("{")
+        if i < 0:
+            parts.append(F.lit(rest))
+            break
+        j = rest.index("}", i)
+        if i:
+            parts.append(F.lit(rest[:i]))
+        v = values[rest[i + 1:j]]
+        parts.append(F.coalesce(v, F.lit(null_as)) if null_as is not None else v)
+        rest = rest[j + 1:]
+    return F.concat(*parts)

@@ -83,20 +83,8 @@ def _c(x):
 
 
 def _fill(layout: str, **cols: Column) -> Column:
-    """Fill ``{name}`` slots of a fixed layout with columns (no format parsing of data)."""
-    parts: list[Column] = []
-    rest = layout
-    while rest:
-        i = rest.find("{")
-        if i < 0:
-            parts.append(F.lit(rest))
-            break
-        j = rest.index("}", i)
-        if i:
-            parts.append(F.lit(rest[:i]))
-        parts.append(F.coalesce(cols[rest[i + 1:j]], F.lit("")))
-        rest = rest[j + 1:]
-    return F.concat(*parts)
+    """Fill a fixed layout; missing values print as empty text."""
+    return X.fill(layout, null_as="", **cols)
 
 
 # ---------------------------------------------------------------- J14 / F20-F25

@@ -11,6 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.outcome import GIB
+from ..functions.text import fill
+
+# ---------------------------------------------------------------- fixed values
+# Message formats, worded exactly as the reference reports them.
+MSG = {
+    "count_changed": "POST-STATE ERROR: VM count changed during UPDATE.",
+    "target_missing": "POST-STATE ERROR: Target VM '{target}' not found after UPDATE.",
+    "value": "POST-STATE ERROR: VM '{target}' {field} is {actual}, expected {expected}.",
+    "uuid": "POST-STATE ERROR: VM '{target}' UUID changed (replace instead of in-place update).",
+    "still_exists": "POST-STATE ERROR: VM '{target}' still exists.",
+}
 
 
 def _last_by_name(vms: DataFrame, task_col: str, order_col: str | None) -> DataFrame:
@@ -55,20 +66,19 @@ def verify_post_state(
     post_mem = (F.coalesce(F.col("post_ram_gb"), F.lit(0.0)) * F.lit(float(GIB))).cast("long")
     post_cpu = F.coalesce(F.col("post_cpus"), F.lit(0)).cast("long")
     has_fv = (F.coalesce(field, F.lit("")) != "") & val.isNotNull()
-    q = lambda x: F.concat(F.lit("'"), x, F.lit("'"))
     upd_errors = F.array_compact(F.array(
         F.when(F.coalesce(F.col("n_pre"), F.lit(0)) != F.coalesce(F.col("n_post"), F.lit(0)),
-               F.lit("POST-STATE ERROR: VM count changed during UPDATE.")),
+               F.lit(MSG["count_changed"])),
         F.when(has_target & F.col("_post").isNull(),
-               F.concat(F.lit("POST-STATE ERROR: Target VM "), q(tgt), F.lit(" not found after UPDATE."))),
+               fill(MSG["target_missing"], target=tgt)),
         F.when(has_target & both & has_fv & (field == "memory_max") & (post_mem != val),
-               F.concat(F.lit("POST-STATE ERROR: VM "), q(tgt), F.lit(" memory_max is "), post_mem.cast("string"),
-                        F.lit(", expected "), val.cast("string"), F.lit("."))),
+               fill(MSG["value"], target=tgt, field=F.lit("memory_max"), actual=post_mem.cast("string"),
+                    expected=val.cast("string"))),
         F.when(has_target & both & has_fv & (field == "cpus") & (post_cpu != val),
-               F.concat(F.lit("POST-STATE ERROR: VM "), q(tgt), F.lit(" cpus is "), post_cpu.cast("string"),
-                        F.lit(", expected "), val.cast("string"), F.lit("."))),
+               fill(MSG["value"], target=tgt, field=F.lit("cpus"), actual=post_cpu.cast("string"),
+                    expected=val.cast("string"))),
         F.when(has_target & both & ~F.col("pre_uuid").eqNullSafe(F.col("post_uuid")),
-               F.concat(F.lit("POST-STATE ERROR: VM "), q(tgt), F.lit(" UUID changed (replace instead of in-place update)."))),
+               fill(MSG["uuid"], target=tgt)),
     ))
     upd_out = u.select(task_col, F.lit("UPDATE").alias("category"), upd_errors.alias("errors"))
 
@@ -83,7 +93,7 @@ def verify_post_state(
     del_rows = still.select(
         task_col, "tpos",
         F.when(F.col("_there").isNotNull(),
-               F.concat(F.lit("POST-STATE ERROR: VM "), q(F.col("name")), F.lit(" still exists."))).alias("err"),
+               fill(MSG["still_exists"], target=F.col("name"))).alias("err"),
     )
     # target lists are part of one spec row, so gathering them per task is bounded by the spec
     del_out = (

@@ -19,12 +19,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.outcome import GIB, normalize_action
+from ..functions.text import fill
 
 # ---------------------------------------------------------------- fixed values
 VM_TYPE = "xenorchestra_vm"
 HOST_RAM_LIMIT = 20 * GIB
 HOST_CPU_LIMIT = 30
 HOST_DISK_LIMIT = 900 * GIB
+# Message formats, worded exactly as the reference reports them.
+MSG = {
+    "create_other": "SPEC ERROR: CREATE task should not {action} VMs.",
+    "count": "SPEC ERROR: Expected {expected} VMs, found {found}.",
+    "min_count": "SPEC ERROR: Expected at least {expected} VMs, found {found}.",
+    "max_count": "SPEC ERROR: Expected at most {expected} VMs, found {found}.",
+    "total_ram": "SPEC ERROR: Total RAM {total}GB exceeds limit {limit}GB.",
+    "total_cpu": "SPEC ERROR: Total CPUs {total} exceeds limit {limit}.",
+    "vm_attr": "SPEC ERROR: VM {index} {attr} mismatch. Expected {expected}, got {actual}.",
+    "vm_disk": "SPEC ERROR: VM {index} disk size mismatch. Expected {expected}, got {actual}.",
+    "names_missing": "SPEC ERROR: Missing expected VM names: {names}.",
+    "names_extra": "SPEC ERROR: Unexpected VM names created: {names}.",
+    "read_changes": "SPEC ERROR: READ task must not modify infrastructure. Found {count} changes: {addresses}",
+    "update_forbidden": "SPEC ERROR: UPDATE task should not create/delete/replace VMs (found {action}).",
+    "update_none": "SPEC ERROR: No update actions found in plan.",
+    "update_value": "SPEC ERROR: Expected {field}={value}, got {actual}.",
+    "update_target": "SPEC ERROR: Expected target VM '{target}' to be updated.",
+    "update_extra": "SPEC ERROR: Unexpected VMs updated: {names}.",
+    "delete_forbidden": "SPEC ERROR: DELETE task should not create/update/replace VMs (found {action}).",
+    "delete_count": "SPEC ERROR: Expected {expected} deletions, found {found}.",
+    "delete_target": "SPEC ERROR: Target VM '{target}' not marked for deletion.",
+    "delete_extra": "SPEC ERROR: Extra VMs deleted: {names}",
+    "quota_ram": "HOST QUOTA ERROR: Final projected RAM ({gb} GB) exceeds host limit (20.00 GB).",
+    "quota_cpu": "HOST QUOTA ERROR: Final projected vCPUs ({cpus}) exceeds host limit (30).",
+    "quota_disk": "HOST QUOTA ERROR: Final projected Disk space ({gb} GB) exceeds host limit (900.00 GB).",
+    "no_spec": "SPEC ERROR: No spec found for task '{task}'.",
+    "bad_category": "SPEC ERROR: Unknown task category '{category}' for task '{task}'.",
+}
 
 CHECK_T = "array<struct<check:string,passed:boolean>>"
 
@@ -100,18 +129,17 @@ def create_rule(s: Callable[[str], Column]) -> tuple[Column, Column]:
     total_ram = F.aggregate(creates, F.lit(0).cast("long"), lambda a, v: a + F.coalesce(v["memory_max"], F.lit(0)))
     total_cpu = F.aggregate(creates, F.lit(0).cast("long"), lambda a, v: a + F.coalesce(v["cpus"], F.lit(0)))
     head = F.array(
-        F.when(F.size(others) > 0, F.concat(F.lit("SPEC ERROR: CREATE task should not "), _first_action(others), F.lit(" VMs."))),
+        F.when(F.size(others) > 0, fill(MSG["create_other"], action=_first_action(others))),
         F.when(vm_count.isNotNull() & (n != vm_count),
-               F.concat(F.lit("SPEC ERROR: Expected "), _s(vm_count), F.lit(" VMs, found "), _s(n), F.lit("."))),
+               fill(MSG["count"], expected=_s(vm_count), found=_s(n))),
         F.when(vm_count.isNull() & (n < min_c),
-               F.concat(F.lit("SPEC ERROR: Expected at least "), _s(min_c), F.lit(" VMs, found "), _s(n), F.lit("."))),
+               fill(MSG["min_count"], expected=_s(min_c), found=_s(n))),
         F.when(vm_count.isNull() & (n > max_c),
-               F.concat(F.lit("SPEC ERROR: Expected at most "), _s(max_c), F.lit(" VMs, found "), _s(n), F.lit("."))),
+               fill(MSG["max_count"], expected=_s(max_c), found=_s(n))),
         F.when(max_ram.isNotNull() & (total_ram > max_ram * F.lit(float(GIB))),
-               F.concat(F.lit("SPEC ERROR: Total RAM "), _s(F.bround(total_ram / F.lit(float(GIB)), 2)),
-                        F.lit("GB exceeds limit "), _s(max_ram), F.lit("GB."))),
+               fill(MSG["total_ram"], total=_s(F.bround(total_ram / F.lit(float(GIB)), 2)), limit=_s(max_ram))),
         F.when(max_cpu.isNotNull() & (total_cpu > max_cpu),
-               F.concat(F.lit("SPEC ERROR: Total CPUs "), _s(total_cpu), F.lit(" exceeds limit "), _s(max_cpu), F.lit("."))),
+               fill(MSG["total_cpu"], total=_s(total_cpu), limit=_s(max_cpu))),
     )
 
     def vm_errors(v, i):
@@ -119,14 +147,13 @@ def create_rule(s: Callable[[str], Column]) -> tuple[Column, Column]:
         idx = _s(i + 1)
         return F.array(
             F.when(p_mem.isNotNull() & ~F.coalesce(v["memory_max"] == p_mem, F.lit(False)),
-                   F.concat(F.lit("SPEC ERROR: VM "), idx, F.lit(" memory_max mismatch. Expected "), _s(p_mem),
-                            F.lit(", got "), F.coalesce(_s(v["memory_max"]), F.lit("None")), F.lit("."))),
+                   fill(MSG["vm_attr"], index=idx, attr=F.lit("memory_max"), expected=_s(p_mem),
+                        actual=F.coalesce(_s(v["memory_max"]), F.lit("None")))),
             F.when(p_cpu.isNotNull() & ~F.coalesce(v["cpus"] == p_cpu, F.lit(False)),
-                   F.concat(F.lit("SPEC ERROR: VM "), idx, F.lit(" cpus mismatch. Expected "), _s(p_cpu),
-                            F.lit(", got "), F.coalesce(_s(v["cpus"]), F.lit("None")), F.lit("."))),
+                   fill(MSG["vm_attr"], index=idx, attr=F.lit("cpus"), expected=_s(p_cpu),
+                        actual=F.coalesce(_s(v["cpus"]), F.lit("None")))),
             F.when(p_disk.isNotNull() & (disk != p_disk),
-                   F.concat(F.lit("SPEC ERROR: VM "), idx, F.lit(" disk size mismatch. Expected "), _s(p_disk),
-                            F.lit(", got "), _s(disk), F.lit("."))),
+                   fill(MSG["vm_disk"], index=idx, expected=_s(p_disk), actual=_s(disk))),
         )
 
     per_vm = F.flatten(F.transform(creates, vm_errors))
@@ -137,9 +164,9 @@ def create_rule(s: Callable[[str], Column]) -> tuple[Column, Column]:
     has_names = F.size(expected) > 0
     tail = F.array(
         F.when(has_names & (F.size(missing) > 0),
-               F.concat(F.lit("SPEC ERROR: Missing expected VM names: "), _py_list(missing), F.lit("."))),
+               fill(MSG["names_missing"], names=_py_list(missing))),
         F.when(has_names & (F.size(extra) > 0),
-               F.concat(F.lit("SPEC ERROR: Unexpected VM names created: "), _py_list(extra), F.lit("."))),
+               fill(MSG["names_extra"], names=_py_list(extra))),
     )
     errors = _compact(head, per_vm, tail)
 
@@ -174,8 +201,7 @@ def read_rule(s: Callable[[str], Column]) -> tuple[Column, Column]:
     addresses = _py_list(F.transform(F.slice(changes, 1, 3), lambda v: v["address"]))
     errors = F.when(
         n > 0,
-        F.array(F.concat(F.lit("SPEC ERROR: READ task must not modify infrastructure. Found "), _s(n),
-                         F.lit(" changes: "), addresses)),
+        F.array(fill(MSG["read_changes"], count=_s(n), addresses=addresses)),
     ).otherwise(F.array().cast("array<string>"))
     first = F.array(F.struct(F.lit("no_resource_changes").alias("check"), (n == 0).alias("passed")))
     placeholders = F.array(
@@ -201,8 +227,8 @@ def update_rule(s: Callable[[str], Column]) -> tuple[Column, Column]:
         has_field & val.isNotNull(),
         F.transform(
             F.filter(updates, lambda v: ~F.coalesce(_field_of(v, field) == val, F.lit(False))),
-            lambda v: F.concat(F.lit("SPEC ERROR: Expected "), field, F.lit("="), _s(val), F.lit(", got "),
-                               F.coalesce(_s(_field_of(v, field)), F.lit("None")), F.lit(".")),
+            lambda v: fill(MSG["update_value"], field=field, value=_s(val),
+                           actual=F.coalesce(_s(_field_of(v, field)), F.lit("None"))),
         ),
     ).otherwise(F.array().cast("array<string>"))
     names = _names(updates)
@@ -210,13 +236,13 @@ def update_rule(s: Callable[[str], Column]) -> tuple[Column, Column]:
     extra = F.array_sort(F.array_except(names, F.array(target)))
     target_in = F.coalesce(F.array_contains(names, target), F.lit(False))
     errors_ok = _compact(
-        F.array(F.when(F.size(updates) == 0, F.lit("SPEC ERROR: No update actions found in plan."))),
+        F.array(F.when(F.size(updates) == 0, F.lit(MSG["update_none"]))),
         value_errors,
         F.array(
             F.when(has_target & ~target_in,
-                   F.concat(F.lit("SPEC ERROR: Expected target VM '"), target, F.lit("' to be updated."))),
+                   fill(MSG["update_target"], target=target)),
             F.when(has_target & (F.size(extra) > 0),
-                   F.concat(F.lit("SPEC ERROR: Unexpected VMs updated: "), _py_list(extra), F.lit("."))),
+                   fill(MSG["update_extra"], names=_py_list(extra))),
         ),
     )
     string_checks = F.array_compact(F.array(
@@ -231,8 +257,7 @@ def update_rule(s: Callable[[str], Column]) -> tuple[Column, Column]:
     bad = F.size(forbidden) > 0
     errors = F.when(
         bad,
-        F.array(F.concat(F.lit("SPEC ERROR: UPDATE task should not create/delete/replace VMs (found "),
-                         _first_action(forbidden), F.lit(")."))),
+        F.array(fill(MSG["update_forbidden"], action=_first_action(forbidden))),
     ).otherwise(errors_ok)
     checks = F.when(
         bad, F.array(F.struct(F.lit("action_type_only_update").alias("check"), F.lit(False).alias("passed")))
@@ -261,12 +286,11 @@ def delete_rule(s: Callable[[str], Column]) -> tuple[Column, Column]:
     has_targets = F.size(targets) > 0
     errors_ok = _compact(
         F.array(F.when(expected.isNotNull() & (F.size(deletes) != expected),
-                       F.concat(F.lit("SPEC ERROR: Expected "), _s(expected), F.lit(" deletions, found "),
-                                _s(F.size(deletes)), F.lit(".")))),
-        F.when(has_targets, F.transform(missing, lambda t: F.concat(
-            F.lit("SPEC ERROR: Target VM '"), t, F.lit("' not marked for deletion.")))).otherwise(F.array().cast("array<string>")),
+                       fill(MSG["delete_count"], expected=_s(expected), found=_s(F.size(deletes))))),
+        F.when(has_targets, F.transform(missing, lambda t: fill(MSG["delete_target"], target=t))).otherwise(
+            F.array().cast("array<string>")),
         F.array(F.when(has_targets & (F.size(extra) > 0),
-                       F.concat(F.lit("SPEC ERROR: Extra VMs deleted: "), _py_list(extra)))),
+                       fill(MSG["delete_extra"], names=_py_list(extra)))),
     )
     target_check = F.when(
         has_targets,
@@ -277,8 +301,7 @@ def delete_rule(s: Callable[[str], Column]) -> tuple[Column, Column]:
     bad = F.size(forbidden) > 0
     errors = F.when(
         bad,
-        F.array(F.concat(F.lit("SPEC ERROR: DELETE task should not create/update/replace VMs (found "),
-                         _first_action(forbidden), F.lit(")."))),
+        F.array(fill(MSG["delete_forbidden"], action=_first_action(forbidden))),
     ).otherwise(errors_ok)
     checks = F.when(
         bad, F.array(F.struct(F.lit("action_type_only_delete").alias("check"), F.lit(False).alias("passed")))
@@ -294,15 +317,9 @@ def _fmt_gb(x: Column) -> Column:
 def quota_errors(total_ram: Column, total_cpu: Column, total_disk: Column) -> Column:
     """One error per exceeded host limit (strict >)."""
     return F.array_compact(F.array(
-        F.when(total_ram > HOST_RAM_LIMIT, F.concat(
-            F.lit("HOST QUOTA ERROR: Final projected RAM ("), _fmt_gb(total_ram),
-            F.lit(" GB) exceeds host limit (20.00 GB)."))),
-        F.when(total_cpu > HOST_CPU_LIMIT, F.concat(
-            F.lit("HOST QUOTA ERROR: Final projected vCPUs ("), _s(total_cpu),
-            F.lit(") exceeds host limit (30)."))),
-        F.when(total_disk > HOST_DISK_LIMIT, F.concat(
-            F.lit("HOST QUOTA ERROR: Final projected Disk space ("), _fmt_gb(total_disk),
-            F.lit(" GB) exceeds host limit (900.00 GB)."))),
+        F.when(total_ram > HOST_RAM_LIMIT, fill(MSG["quota_ram"], gb=_fmt_gb(total_ram))),
+        F.when(total_cpu > HOST_CPU_LIMIT, fill(MSG["quota_cpu"], cpus=_s(total_cpu))),
+        F.when(total_disk > HOST_DISK_LIMIT, fill(MSG["quota_disk"], gb=_fmt_gb(total_disk))),
     ))
 
 
@@ -397,9 +414,8 @@ def check_plans(plans: DataFrame, specs: DataFrame, key: str = "plan_id", task_c
     no_spec = F.col("_has_spec").isNull()
     known = cat.isin(*RULES.keys())
     errors = (
-        F.when(no_spec, F.array(F.concat(F.lit("SPEC ERROR: No spec found for task '"), task, F.lit("'."))))
-        .when(~known, F.array(F.concat(F.lit("SPEC ERROR: Unknown task category '"),
-                                       F.coalesce(cat, F.lit("None")), F.lit("' for task '"), task, F.lit("'."))))
+        F.when(no_spec, F.array(fill(MSG["no_spec"], task=task)))
+        .when(~known, F.array(fill(MSG["bad_category"], category=F.coalesce(cat, F.lit("None")), task=task)))
         .otherwise(F.concat(branch_err, q_err))
     )
     checks = (
