@@ -13,8 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as TX
+from ..functions.outcome import data_quality_violations, no_usable_code, normalize_reference
+from ..operators import agreement as AG
+from ..operators import bleu as BL
+from ..operators import chains as CH
+from ..operators import complexity as CX
+from ..operators import dataset as DS
+from ..operators import embed as EM
+from ..operators import graph as GR
 from ..operators import metrics, running
-from ..session import read_table
+from ..operators import post_state as PS
+from ..operators import report as RP
+from ..operators import rules as RU
+from ..session import ensure_checkpoint_dir, read_table
+from ..sources import readers as RD
+from ..sources import sinks as SK
+from ..streaming import progress as ST
 from . import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,8 +94,6 @@ def q_duplicate_plan_keys(spark, sf):
 
 
 # ------------------------------------------------------------ judge agreement
-from ..functions import text as TX  # noqa: E402
-from ..operators import agreement as AG  # noqa: E402
 
 
 def _judged(spark, sf):
@@ -160,8 +173,6 @@ def q_code_extraction(spark, sf):
 
 
 def _no_usable_code(code, category):
-    from ..functions.outcome import no_usable_code
-
     return no_usable_code(code, category)
 
 
@@ -183,7 +194,6 @@ def q_text_hygiene(spark, sf):
 
 
 # ------------------------------------------------------------ BLEU
-from ..operators import bleu as BL  # noqa: E402
 
 
 def _bleu_pairs(spark, sf):
@@ -212,7 +222,6 @@ def q_bleu_summary(spark, sf):
 
 
 # ------------------------------------------------------------ complexity
-from ..operators import complexity as CX  # noqa: E402
 
 
 def _scored_brands(spark, sf):
@@ -255,7 +264,6 @@ def q_complexity_summary(spark, sf):
 
 
 # ------------------------------------------------------------ rules
-from ..operators import rules as RU  # noqa: E402
 
 
 def _spec_results(spark, sf):
@@ -299,8 +307,6 @@ def q_host_quota(spark, sf):
 
 
 # ------------------------------------------------------------ post state / graph
-from ..operators import graph as GR  # noqa: E402
-from ..operators import post_state as PS  # noqa: E402
 
 
 @register("post_state_check")
@@ -327,8 +333,6 @@ def q_host_snapshot(spark, sf):
 
 
 # ------------------------------------------------------------ embeddings / chains
-from ..operators import chains as CH  # noqa: E402
-from ..operators import embed as EM  # noqa: E402
 
 
 @register("embedding_match")
@@ -357,7 +361,6 @@ def q_chain_progress(spark, sf):
 
 
 # ------------------------------------------------------------ dataset building
-from ..operators import dataset as DS  # noqa: E402
 
 PASSES = (1, 2, 3)
 STRATEGIES = ("", "COT", "FSP", "dataset", "multi-turn")
@@ -408,7 +411,6 @@ def q_entry_outcomes(spark, sf):
 
 
 # ------------------------------------------------------------ streaming
-from ..streaming import progress as ST  # noqa: E402
 
 
 @register("stream_pass_at_k")
@@ -422,9 +424,6 @@ def q_stream_pass_at_k(spark, sf):
 
 
 # ------------------------------------------------------------ sink -> source round trip
-from ..session import ensure_checkpoint_dir  # noqa: E402
-from ..sources import readers as RD  # noqa: E402
-from ..sources import sinks as SK  # noqa: E402
 
 
 @register("entries_roundtrip_pass_at_k")
@@ -455,9 +454,6 @@ def q_infra_context(spark, sf):
 
 @register("reference_precedence")
 def q_reference_precedence(spark, sf):
-    from ..functions.outcome import normalize_reference
-    from ..operators import report as RP
-
     tasks, files = B.task_references(spark, sf)
     # item_id is the unique key here (task ids repeat across items)
     t = tasks.withColumnRenamed("task_id", "tid").withColumnRenamed("item_id", "task_id")
@@ -467,7 +463,6 @@ def q_reference_precedence(spark, sf):
     sy = RP.sync_references(t.withColumn("category", F.col("category")), f).select(
         "task_id", F.col("reference_hcl").alias("synced"), "tid", "category")
     j = m.join(sc, "task_id").join(sy, "task_id")
-    from ..functions.outcome import data_quality_violations
     return j.select(
         F.col("task_id").alias("item_id"),
         F.md5("reference").alias("metrics_ref_md5"),
@@ -483,8 +478,6 @@ def q_judge_report_with_code(spark, sf):
     """Judged rows carry the code extracted from the document as a model
     response (fenced for even ids, plain prose otherwise); blank code is not
     judged (verdict Skip) and drops out of the confusion."""
-    from ..operators import report as RP
-
     d = read_table(spark, sf, "documents").select(
         "doc_id",
         F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```hcl\n"), F.col("text"), F.lit("\n```")))
