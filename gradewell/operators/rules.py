@@ -55,7 +55,17 @@ MSG = {
     "bad_category": "SPEC ERROR: Unknown task category '{category}' for task '{task}'.",
 }
 
-CHECK_T = "array<struct<check:string,passed:boolean>>"
+CHECK_T = "array<struct<check:string,passed:boolean,ok:boolean>>"
+
+
+def _check(name: str, passed: Column, ok: Column | None = None) -> Column:
+    """A check: ``passed`` as reported, ``ok`` its true meaning (same unless given)."""
+    return F.struct(F.lit(name).alias("check"), passed.alias("passed"), (passed if ok is None else ok).alias("ok"))
+
+
+def _named(name: str, ok: Column) -> Column:
+    """A string check before its reported flag is known."""
+    return F.struct(F.lit(name).alias("check"), ok.alias("ok"))
 
 
 def plan_documents(rows: DataFrame, plan_key: str = "plan_id") -> DataFrame:
@@ -97,11 +107,15 @@ def _first_action(arr: Column) -> Column:
     return F.element_at(arr, 1)["action"]
 
 
-def _string_checks(names: Column, errors: Column) -> Column:
-    """Reported meaning: a string check passes when no error text contains its name."""
+def _string_checks(items: Column, errors: Column) -> Column:
+    """Reported meaning: a string check passes when no error text contains its
+    name (so a failed count check can still read as passed); ``ok`` keeps the
+    check's true meaning."""
     return F.transform(
-        names,
-        lambda c: F.struct(c.alias("check"), (~F.exists(errors, lambda e: F.contains(e, c))).alias("passed")),
+        items,
+        lambda c: F.struct(c["check"].alias("check"),
+                           (~F.exists(errors, lambda e: F.contains(e, c["check"]))).alias("passed"),
+                           c["ok"].alias("ok")),
     )
 
 
@@ -171,24 +185,23 @@ def create_rule(s: Callable[[str], Column]) -> tuple[Column, Column]:
     errors = _compact(head, per_vm, tail)
 
     per_vm_checks = F.flatten(F.transform(creates, lambda v: F.array_compact(F.array(
-        F.when(p_mem.isNotNull(), F.lit("memory_max")),
-        F.when(p_cpu.isNotNull(), F.lit("cpus")),
-        F.when(p_disk.isNotNull(), F.lit("per_vm_disk_size")),
+        F.when(p_mem.isNotNull(), _named("memory_max", F.coalesce(v["memory_max"] == p_mem, F.lit(False)))),
+        F.when(p_cpu.isNotNull(), _named("cpus", F.coalesce(v["cpus"] == p_cpu, F.lit(False)))),
+        F.when(p_disk.isNotNull(), _named(
+            "per_vm_disk_size", F.coalesce(F.array_max(v["disk_sizes"]), F.lit(0).cast("long")) == p_disk)),
     ))))
     string_checks = F.concat(
         F.array_compact(F.array(
-            F.when(vm_count.isNotNull(), F.lit("vm_count")),
-            F.when(vm_count.isNull() & min_c.isNotNull(), F.lit("min_vm_count")),
-            F.when(vm_count.isNull() & max_c.isNotNull(), F.lit("max_vm_count")),
-            F.when(max_ram.isNotNull(), F.lit("total_ram_limit")),
-            F.when(max_cpu.isNotNull(), F.lit("total_cpu_limit")),
+            F.when(vm_count.isNotNull(), _named("vm_count", n == vm_count)),
+            F.when(vm_count.isNull() & min_c.isNotNull(), _named("min_vm_count", n >= min_c)),
+            F.when(vm_count.isNull() & max_c.isNotNull(), _named("max_vm_count", n <= max_c)),
+            F.when(max_ram.isNotNull(), _named("total_ram_limit", total_ram <= max_ram * F.lit(float(GIB)))),
+            F.when(max_cpu.isNotNull(), _named("total_cpu_limit", total_cpu <= max_cpu)),
         )),
         per_vm_checks,
     )
     names_check = F.when(
-        has_names,
-        F.array(F.struct(F.lit("vm_names").alias("check"),
-                         ((F.size(missing) == 0) & (F.size(extra) == 0)).alias("passed"))),
+        has_names, F.array(_check("vm_names", (F.size(missing) == 0) & (F.size(extra) == 0))),
     ).otherwise(F.array().cast(CHECK_T))
     checks = F.concat(_string_checks(string_checks, errors), names_check)
     return errors, checks
@@ -203,10 +216,10 @@ def read_rule(s: Callable[[str], Column]) -> tuple[Column, Column]:
         n > 0,
         F.array(fill(MSG["read_changes"], count=_s(n), addresses=addresses)),
     ).otherwise(F.array().cast("array<string>"))
-    first = F.array(F.struct(F.lit("no_resource_changes").alias("check"), (n == 0).alias("passed")))
+    first = F.array(_check("no_resource_changes", n == 0))
     placeholders = F.array(
-        F.struct(F.lit("has_data_sources").alias("check"), F.lit(None).cast("boolean").alias("passed")),
-        F.struct(F.lit("has_outputs").alias("check"), F.lit(None).cast("boolean").alias("passed")),
+        _check("has_data_sources", F.lit(None).cast("boolean")),
+        _check("has_outputs", F.lit(None).cast("boolean")),
     )
     checks = F.when(n > 0, first).otherwise(F.concat(first, placeholders))
     return errors, checks
@@ -245,13 +258,14 @@ def update_rule(s: Callable[[str], Column]) -> tuple[Column, Column]:
                    fill(MSG["update_extra"], names=_py_list(extra))),
         ),
     )
+    values_ok = F.forall(updates, lambda v: F.coalesce(_field_of(v, field) == val, F.lit(False)))
     string_checks = F.array_compact(F.array(
-        F.lit("action_type_only_update"),
-        F.when(has_field & val.isNotNull(), F.concat(field, F.lit("_update"))),
+        _named("action_type_only_update", F.lit(True)),
+        F.when(has_field & val.isNotNull(),
+               F.struct(F.concat(field, F.lit("_update")).alias("check"), values_ok.alias("ok"))),
     ))
     target_check = F.when(
-        has_target,
-        F.array(F.struct(F.lit("target_vm").alias("check"), (target_in & (F.size(extra) == 0)).alias("passed"))),
+        has_target, F.array(_check("target_vm", target_in & (F.size(extra) == 0))),
     ).otherwise(F.array().cast(CHECK_T))
     checks_ok = F.concat(_string_checks(string_checks, errors_ok), target_check)
     bad = F.size(forbidden) > 0
@@ -260,7 +274,7 @@ def update_rule(s: Callable[[str], Column]) -> tuple[Column, Column]:
         F.array(fill(MSG["update_forbidden"], action=_first_action(forbidden))),
     ).otherwise(errors_ok)
     checks = F.when(
-        bad, F.array(F.struct(F.lit("action_type_only_update").alias("check"), F.lit(False).alias("passed")))
+        bad, F.array(_check("action_type_only_update", F.lit(False)))
     ).otherwise(checks_ok)
     return errors, checks
 
@@ -293,18 +307,16 @@ def delete_rule(s: Callable[[str], Column]) -> tuple[Column, Column]:
                        fill(MSG["delete_extra"], names=_py_list(extra)))),
     )
     target_check = F.when(
-        has_targets,
-        F.array(F.struct(F.lit("correct_vms_targeted").alias("check"),
-                         ((F.size(missing) == 0) & (F.size(extra) == 0)).alias("passed"))),
+        has_targets, F.array(_check("correct_vms_targeted", (F.size(missing) == 0) & (F.size(extra) == 0))),
     ).otherwise(F.array().cast(CHECK_T))
-    checks_ok = F.concat(_string_checks(F.array(F.lit("action_type_only_delete")), errors_ok), target_check)
+    checks_ok = F.concat(_string_checks(F.array(_named("action_type_only_delete", F.lit(True))), errors_ok), target_check)
     bad = F.size(forbidden) > 0
     errors = F.when(
         bad,
         F.array(fill(MSG["delete_forbidden"], action=_first_action(forbidden))),
     ).otherwise(errors_ok)
     checks = F.when(
-        bad, F.array(F.struct(F.lit("action_type_only_delete").alias("check"), F.lit(False).alias("passed")))
+        bad, F.array(_check("action_type_only_delete", F.lit(False)))
     ).otherwise(checks_ok)
     return errors, checks
 
@@ -399,7 +411,7 @@ def check_plans(plans: DataFrame, specs: DataFrame, key: str = "plan_id", task_c
     )
     qt = projected_totals(quota_src)
     q_err = quota_errors(qt["ram"], qt["cpu"], qt["disk"])
-    q_check = F.array(F.struct(F.lit("host_resource_quotas").alias("check"), (F.size(q_err) == 0).alias("passed")))
+    q_check = F.array(_check("host_resource_quotas", F.size(q_err) == 0))
 
     branch_err = F.lit(None).cast("array<string>")
     branch_chk = F.lit(None).cast(CHECK_T)
@@ -419,8 +431,8 @@ def check_plans(plans: DataFrame, specs: DataFrame, key: str = "plan_id", task_c
         .otherwise(F.concat(branch_err, q_err))
     )
     checks = (
-        F.when(no_spec, F.array(F.struct(F.lit("spec_exists").alias("check"), F.lit(False).alias("passed"))))
-        .when(~known, F.array(F.struct(F.lit("category_valid").alias("check"), F.lit(False).alias("passed"))))
+        F.when(no_spec, F.array(_check("spec_exists", F.lit(False))))
+        .when(~known, F.array(_check("category_valid", F.lit(False))))
         .otherwise(F.concat(branch_chk, q_check))
     )
     out = j.select(

@@ -501,9 +501,9 @@ def _nn(e: str) -> str:
     return f"list_filter({e}, lambda q: q IS NOT NULL)"
 
 
-def _str_checks(names: str, errs: str) -> str:
-    return (f"list_transform({names}, lambda c: {{'check': c, 'passed': "
-            f"len(list_filter({errs}, lambda e: contains(e, c))) = 0}})")
+def _str_checks(items: str, errs: str) -> str:
+    return (f"list_transform({items}, lambda c: {{'check': c.check, 'passed': "
+            f"len(list_filter({errs}, lambda e: contains(e, c.check))) = 0, 'ok': c.ok}})")
 
 
 def _lsum(e: str) -> str:
@@ -552,13 +552,18 @@ z3 AS (SELECT *,
      CASE WHEN per_vm_disk_size IS NOT NULL AND coalesce(list_max(v.disk_sizes), 0) <> per_vm_disk_size THEN 'SPEC ERROR: VM ' || {_s('i')} || ' disk size mismatch. Expected ' || {_s('per_vm_disk_size')} || ', got ' || {_s('coalesce(list_max(v.disk_sizes), 0)')} || '.' END])),
    [CASE WHEN len(exp_names) > 0 AND len(c_missing) > 0 THEN 'SPEC ERROR: Missing expected VM names: ' || {_pylist('c_missing')} || '.' END,
     CASE WHEN len(exp_names) > 0 AND len(c_extra) > 0 THEN 'SPEC ERROR: Unexpected VM names created: ' || {_pylist('c_extra')} || '.' END])''')} AS create_err,
-  list_concat(list_filter(['vm_count', 'min_vm_count', 'max_vm_count', 'total_ram_limit', 'total_cpu_limit'],
-      lambda c: (c = 'vm_count' AND vm_count IS NOT NULL) OR (c = 'min_vm_count' AND vm_count IS NULL AND min_vm_count IS NOT NULL)
-             OR (c = 'max_vm_count' AND vm_count IS NULL AND max_vm_count IS NOT NULL)
-             OR (c = 'total_ram_limit' AND max_total_ram_gb IS NOT NULL) OR (c = 'total_cpu_limit' AND max_total_cpus IS NOT NULL)),
-    flatten(list_transform(creates, lambda v: list_filter(['memory_max', 'cpus', 'per_vm_disk_size'],
-      lambda c: (c = 'memory_max' AND per_vm_memory_max IS NOT NULL) OR (c = 'cpus' AND per_vm_cpus IS NOT NULL)
-             OR (c = 'per_vm_disk_size' AND per_vm_disk_size IS NOT NULL))))) AS create_chk_names,
+  list_concat(list_filter([
+      CASE WHEN vm_count IS NOT NULL THEN {{'check': 'vm_count', 'ok': len(creates) = vm_count}} END,
+      CASE WHEN vm_count IS NULL AND min_vm_count IS NOT NULL THEN {{'check': 'min_vm_count', 'ok': len(creates) >= min_vm_count}} END,
+      CASE WHEN vm_count IS NULL AND max_vm_count IS NOT NULL THEN {{'check': 'max_vm_count', 'ok': len(creates) <= max_vm_count}} END,
+      CASE WHEN max_total_ram_gb IS NOT NULL THEN {{'check': 'total_ram_limit', 'ok': c_ram <= max_total_ram_gb * 1073741824.0}} END,
+      CASE WHEN max_total_cpus IS NOT NULL THEN {{'check': 'total_cpu_limit', 'ok': c_cpu <= max_total_cpus}} END],
+      lambda q: q IS NOT NULL),
+    flatten(list_transform(creates, lambda v: list_filter([
+      CASE WHEN per_vm_memory_max IS NOT NULL THEN {{'check': 'memory_max', 'ok': coalesce(v.memory_max = per_vm_memory_max, FALSE)}} END,
+      CASE WHEN per_vm_cpus IS NOT NULL THEN {{'check': 'cpus', 'ok': coalesce(v.cpus = per_vm_cpus, FALSE)}} END,
+      CASE WHEN per_vm_disk_size IS NOT NULL THEN {{'check': 'per_vm_disk_size', 'ok': coalesce(list_max(v.disk_sizes), 0) = per_vm_disk_size}} END],
+      lambda q: q IS NOT NULL)))) AS create_chk_names,
   CASE WHEN len(r_changes) > 0 THEN ['SPEC ERROR: READ task must not modify infrastructure. Found ' || {_s('len(r_changes)')} || ' changes: ' || {_pylist('list_transform(list_slice(r_changes, 1, 3), lambda v: v.address)')}] ELSE []::VARCHAR[] END AS read_err,
   {_nn(f'''list_concat([CASE WHEN len(updates) = 0 THEN 'SPEC ERROR: No update actions found in plan.' END],
      CASE WHEN coalesce(updated_field, '') <> '' AND new_value IS NOT NULL THEN
@@ -584,20 +589,20 @@ r AS (SELECT plan_id, category,
          WHEN 'UPDATE' THEN CASE WHEN len(u_forb) > 0 THEN ['SPEC ERROR: UPDATE task should not create/delete/replace VMs (found ' || u_forb[1].action || ').'] ELSE update_err_ok END
          ELSE CASE WHEN len(d_forb) > 0 THEN ['SPEC ERROR: DELETE task should not create/update/replace VMs (found ' || d_forb[1].action || ').'] ELSE delete_err_ok END
        END, q_err) END AS errors,
-  CASE WHEN NOT has_spec THEN [{{'check': 'spec_exists', 'passed': FALSE}}]
-       WHEN category NOT IN ('CREATE', 'READ', 'UPDATE', 'DELETE') THEN [{{'check': 'category_valid', 'passed': FALSE}}]
+  CASE WHEN NOT has_spec THEN [{{'check': 'spec_exists', 'passed': FALSE, 'ok': FALSE}}]
+       WHEN category NOT IN ('CREATE', 'READ', 'UPDATE', 'DELETE') THEN [{{'check': 'category_valid', 'passed': FALSE, 'ok': FALSE}}]
        ELSE list_concat(CASE category
          WHEN 'CREATE' THEN list_concat({_str_checks('create_chk_names', 'create_err')},
-              CASE WHEN len(exp_names) > 0 THEN [{{'check': 'vm_names', 'passed': len(c_missing) = 0 AND len(c_extra) = 0}}] ELSE [] END)
-         WHEN 'READ' THEN CASE WHEN len(r_changes) > 0 THEN [{{'check': 'no_resource_changes', 'passed': FALSE}}]
-              ELSE [{{'check': 'no_resource_changes', 'passed': TRUE}}, {{'check': 'has_data_sources', 'passed': NULL::BOOLEAN}}, {{'check': 'has_outputs', 'passed': NULL::BOOLEAN}}] END
-         WHEN 'UPDATE' THEN CASE WHEN len(u_forb) > 0 THEN [{{'check': 'action_type_only_update', 'passed': FALSE}}]
-              ELSE list_concat({_str_checks("list_filter(['action_type_only_update', CASE WHEN coalesce(updated_field, '') <> '' AND new_value IS NOT NULL THEN updated_field || '_update' END], lambda q: q IS NOT NULL)", 'update_err_ok')},
-                   CASE WHEN coalesce(target_vm, '') <> '' THEN [{{'check': 'target_vm', 'passed': coalesce(list_contains(u_names, target_vm), FALSE) AND len(u_extra) = 0}}] ELSE [] END) END
-         ELSE CASE WHEN len(d_forb) > 0 THEN [{{'check': 'action_type_only_delete', 'passed': FALSE}}]
-              ELSE list_concat({_str_checks("['action_type_only_delete']", 'delete_err_ok')},
-                   CASE WHEN len(d_targets) > 0 THEN [{{'check': 'correct_vms_targeted', 'passed': len(d_missing) = 0 AND len(d_extra) = 0}}] ELSE [] END) END
-       END, [{{'check': 'host_resource_quotas', 'passed': len(q_err) = 0}}]) END AS checks,
+              CASE WHEN len(exp_names) > 0 THEN [{{'check': 'vm_names', 'passed': len(c_missing) = 0 AND len(c_extra) = 0, 'ok': len(c_missing) = 0 AND len(c_extra) = 0}}] ELSE [] END)
+         WHEN 'READ' THEN CASE WHEN len(r_changes) > 0 THEN [{{'check': 'no_resource_changes', 'passed': FALSE, 'ok': FALSE}}]
+              ELSE [{{'check': 'no_resource_changes', 'passed': TRUE, 'ok': TRUE}}, {{'check': 'has_data_sources', 'passed': NULL::BOOLEAN, 'ok': NULL::BOOLEAN}}, {{'check': 'has_outputs', 'passed': NULL::BOOLEAN, 'ok': NULL::BOOLEAN}}] END
+         WHEN 'UPDATE' THEN CASE WHEN len(u_forb) > 0 THEN [{{'check': 'action_type_only_update', 'passed': FALSE, 'ok': FALSE}}]
+              ELSE list_concat({_str_checks("list_filter([{'check': 'action_type_only_update', 'ok': TRUE}, CASE WHEN coalesce(updated_field, '') <> '' AND new_value IS NOT NULL THEN {'check': updated_field || '_update', 'ok': len(list_filter(updates, lambda v: NOT coalesce((CASE WHEN updated_field = 'memory_max' THEN v.memory_max WHEN updated_field = 'cpus' THEN v.cpus END) = new_value, FALSE))) = 0} END], lambda q: q IS NOT NULL)", 'update_err_ok')},
+                   CASE WHEN coalesce(target_vm, '') <> '' THEN [{{'check': 'target_vm', 'passed': coalesce(list_contains(u_names, target_vm), FALSE) AND len(u_extra) = 0, 'ok': coalesce(list_contains(u_names, target_vm), FALSE) AND len(u_extra) = 0}}] ELSE [] END) END
+         ELSE CASE WHEN len(d_forb) > 0 THEN [{{'check': 'action_type_only_delete', 'passed': FALSE, 'ok': FALSE}}]
+              ELSE list_concat({_str_checks("[{'check': 'action_type_only_delete', 'ok': TRUE}]", 'delete_err_ok')},
+                   CASE WHEN len(d_targets) > 0 THEN [{{'check': 'correct_vms_targeted', 'passed': len(d_missing) = 0 AND len(d_extra) = 0, 'ok': len(d_missing) = 0 AND len(d_extra) = 0}}] ELSE [] END) END
+       END, [{{'check': 'host_resource_quotas', 'passed': len(q_err) = 0, 'ok': len(q_err) = 0}}]) END AS checks,
   CASE WHEN category = 'UPDATE' THEN len(list_filter(vms, lambda v: v.action = 'replace')) > 0 END AS had_replace_actions
 FROM z4)"""
 
@@ -606,6 +611,7 @@ WITH {V_PLAN_ROWS}, {V_PLANS}, {V_SPECS}, {V_RULES}
 SELECT plan_id, category, len(errors) = 0 AS passed, CAST(len(errors) AS INTEGER) AS n_errors,
        array_to_string(errors, ' | ') AS errors,
        array_to_string(list_transform(checks, lambda c: c.check || '=' || coalesce(CAST(c.passed AS VARCHAR), 'null')), ',') AS checks,
+       array_to_string(list_transform(checks, lambda c: c.check || '=' || coalesce(CAST(c.ok AS VARCHAR), 'null')), ',') AS checks_true,
        had_replace_actions
 FROM r"""
 

@@ -271,9 +271,9 @@ def _spec_results(spark, sf):
     return RU.check_plans(plans, B.specs(spark, sf))
 
 
-def _checks_text(c):
+def _checks_text(c, field="passed"):
     return F.array_join(
-        F.transform(c, lambda x: F.concat(x["check"], F.lit("="), F.coalesce(x["passed"].cast("string"), F.lit("null")))),
+        F.transform(c, lambda x: F.concat(x["check"], F.lit("="), F.coalesce(x[field].cast("string"), F.lit("null")))),
         ",",
     )
 
@@ -284,6 +284,7 @@ def q_spec_check(spark, sf):
     return r.select(
         "plan_id", "category", "passed", F.size("errors").alias("n_errors"),
         F.array_join("errors", " | ").alias("errors"), _checks_text(F.col("checks")).alias("checks"),
+        _checks_text(F.col("checks"), "ok").alias("checks_true"),
         "had_replace_actions",
     )
 
