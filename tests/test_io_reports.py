@@ -146,3 +146,22 @@ def test_judge_messages_and_rollup_quirk(spark, tmp_path):
     SK.write_conversations(turns, str(tmp_path / "conv"))
     back = spark.read.json(str(tmp_path / "conv")).first()
     assert [x.role for x in back.messages] == ["system", "user"]
+
+
+def test_ground_truth_report(spark):
+    code = 'resource "xenorchestra_vm" "vm" { name_label = "a" }'
+    res = spark.createDataFrame(
+        [("C1.1", "r1.json", True, True, True, 1, code), ("C1.1", "r2.json", False, True, None, 2, ""),
+         ("D1.2", "r3.json", True, False, False, 1, code)],
+        "task_id string, file string, plan_ok boolean, apply_ok boolean, spec_ok boolean, iterations int, code string")
+    gt = spark.createDataFrame(
+        [("C1.1", "b.json", True, True, None, 1, code), ("C1.1", "a.json", True, False, True, 1, code)],
+        "task_id string, file string, plan_ok boolean, apply_ok boolean, spec_ok boolean, iterations int, code string")
+    cmp, summary, unmatched = RP.ground_truth_report(res, gt)
+    rows = {r.file: r for r in cmp.collect()}
+    # the truth row is the first by file name (a.json)
+    assert rows["r1.json"].apply_match is False and rows["r1.json"].spec_match is True
+    assert rows["r1.json"].bleu == 1.0 and rows["r2.json"].bleu is None
+    s = summary.first()
+    assert s.total == 2 and s.plan_matches == 1 and s.avg_bleu == 1.0
+    assert [u.task_id for u in unmatched.collect()] == ["D1.2"]
