@@ -83,7 +83,7 @@ def q_running_progress(spark, sf):
     s = B.samples(spark, sf).select(
         "folder", "event_id", F.round(F.col("gen_s") * 100).cast("long").alias("gen_cs")
     )
-    r = running.running_progress(s, "folder", "event_id", "gen_cs", 4096, units_per_second=100.0)
+    r = running.running_progress(s, "folder", "event_id", "gen_cs", units_per_second=100.0)
     return r.drop("gen_cs")
 
 
