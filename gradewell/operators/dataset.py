@@ -336,17 +336,29 @@ def build_entries(r: DataFrame) -> DataFrame:
         ).alias("post_state_verification"),
         outcome.alias("final_outcome"),
         F.struct(
-            code_flags["provider_config_included"].alias("provider_config_included"),
-            code_flags["data_sources_included"].alias("data_sources_included"),
-            code_flags["vm_resource_defined"].alias("vm_resource_defined"),
-            code_flags["infers_ubuntu_2204"].alias("infers_ubuntu_2204"),
-            O.compliance("_acpu", F.col("_exp.per_vm_cpus"), O.MIN_CPUS, "expected_failure_matched").alias("complies_with_vcpu_req"),
-            O.compliance("_amem", F.col("_exp.per_vm_memory_max_bytes"), O.MIN_RAM_BYTES, "expected_failure_matched").alias("complies_with_ram_req"),
-            O.compliance("_adisk", F.col("_exp.per_vm_size_bytes"), O.MIN_DISK_BYTES, "expected_failure_matched").alias("complies_with_disk_req"),
-            code_flags["network_xenbr0"].alias("network_xenbr0"),
-            code_flags["dhcp_configured"].alias("dhcp_configured"),
-            O.vm_ram_ok("_amem", "vm_details").alias("vm_has_correct_ram"),
-            O.all_have_address("vm_details").alias("vm_has_dhcp_ip"),
+            F.struct(
+                code_flags["provider_config_included"].alias("provider_config_included"),
+                code_flags["data_sources_included"].alias("data_sources_included"),
+                code_flags["vm_resource_defined"].alias("vm_resource_defined"),
+                code_flags["infers_ubuntu_2204"].alias("infers_ubuntu_2204"),
+                O.compliance("_acpu", F.col("_exp.per_vm_cpus"), O.MIN_CPUS, "expected_failure_matched").alias("complies_with_vcpu_req"),
+                O.compliance("_amem", F.col("_exp.per_vm_memory_max_bytes"), O.MIN_RAM_BYTES, "expected_failure_matched").alias("complies_with_ram_req"),
+                O.compliance("_adisk", F.col("_exp.per_vm_size_bytes"), O.MIN_DISK_BYTES, "expected_failure_matched").alias("complies_with_disk_req"),
+                code_flags["network_xenbr0"].alias("network_xenbr0"),
+                code_flags["dhcp_configured"].alias("dhcp_configured"),
+            ).alias("code_quality"),
+            F.struct(
+                F.coalesce(F.col("init_exit") == 0, F.lit(False)).alias("terraform_init_success"),
+                F.coalesce(F.col("validate_exit") == 0, F.lit(False)).alias("terraform_validate_success"),
+                outcome["plan_success"].alias("terraform_plan_success"),
+                outcome["apply_success"].alias("terraform_apply_success"),
+                (F.coalesce(F.size("vm_details"), F.lit(0)) > 0).alias("vm_in_xen_orchestra"),
+                F.coalesce(F.forall("vm_details", lambda v: F.coalesce(v["status"] == "Running", F.lit(False))), F.lit(False))
+                .alias("vm_running"),
+                O.vm_ram_ok("_amem", "vm_details").alias("vm_has_correct_ram"),
+                O.all_have_address("vm_details").alias("vm_has_dhcp_ip"),
+                F.lit(True).alias("server_resources_correct"),
+            ).alias("execution"),
         ).alias("validation_checklist"),
         F.when(is_exhaustion, F.struct(
             matched.alias("recognized_over_provisioning"),

@@ -401,9 +401,11 @@ def q_entry_outcomes(spark, sf):
         F.md5(lr["full_response_text"]).alias("response_md5"),
         F.col("resource_expectations.expected.per_vm_memory_max_bytes").alias("expected_mem"),
         F.col("resource_expectations.actual.total_memory_max_bytes").alias("actual_total_mem"),
-        vc["complies_with_ram_req"].alias("ram_ok"), vc["complies_with_vcpu_req"].alias("vcpu_ok"),
-        vc["complies_with_disk_req"].alias("disk_ok"), vc["vm_has_correct_ram"].alias("vm_ram_ok"),
-        vc["vm_has_dhcp_ip"].alias("dhcp_ip"), vc["dhcp_configured"].alias("dhcp_configured"),
+        vc["code_quality"]["complies_with_ram_req"].alias("ram_ok"),
+        vc["code_quality"]["complies_with_vcpu_req"].alias("vcpu_ok"),
+        vc["code_quality"]["complies_with_disk_req"].alias("disk_ok"),
+        vc["execution"]["vm_has_correct_ram"].alias("vm_ram_ok"),
+        vc["execution"]["vm_has_dhcp_ip"].alias("dhcp_ip"), vc["code_quality"]["dhcp_configured"].alias("dhcp_configured"),
         F.col("scenario.edge_case").alias("edge_case"),
         F.col("scenario.available_ram_gb_after").alias("avail_after"),
         F.array_join(F.col("edge_case_handling.alternatives_provided"), ";").alias("alternatives"),
