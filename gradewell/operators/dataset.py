@@ -62,6 +62,12 @@ JUDGE_USER_LAYOUT = (
     "Does this generated code correctly fulfill the task? Evaluate it carefully, then end with your rating."
 )
 JUDGE_PROMPT_CAP = 10000
+# Config defaults used by the entry builder when a column is absent.
+ENTRY_DEFAULTS = {
+    "total_ram_gb": 24, "total_cpu_cores": 32, "usable_ram_gb": 20.0, "temperature": 0.2, "max_tokens": 4096,
+}
+SCREENSHOTS = (("terraform_apply_output", "apply"), ("xen_orchestra_vm_list", "xo_list"),
+               ("vm_details", "vm_details"), ("resource_usage", "resources"))
 JUDGE_CODE_CAP = 8000
 CONTEXT_CAP = 4000
 DEFAULT_USABLE_RAM_GB = 20
@@ -283,18 +289,67 @@ def build_entries(r: DataFrame) -> DataFrame:
 
     is_exhaustion = F.col("_r.expected_error") == RESOURCE_EXHAUSTION
     code_flags = O.code_flags("code")
+    cols = set(r.columns)
+
+    def opt(name, default=None, dtype=None):
+        if name in cols:
+            return F.col(name)
+        v = F.lit(default)
+        return v.cast(dtype) if dtype else v
+
+    clean_id = F.replace(F.lower(F.col("task_id")), F.lit("."), F.lit("_"))
+    screenshots = F.struct(*[
+        F.concat(F.lit("screenshots/"), clean_id, F.lit("_"), F.col("model_short"), F.lit(f"_{suffix}.png")).alias(name)
+        for name, suffix in SCREENSHOTS
+    ])
+    # V9 + J11: the update target before and after, looked up by name inside the snapshots
+    target = F.coalesce(F.col("_r.target_vm"), F.lit(""))
+    pre_vm = F.try_element_at(F.filter("pre_vm_details", lambda v: v["name"] == target), F.lit(1))
+    post_vm = F.try_element_at(F.filter("vm_details", lambda v: v["name"] == target), F.lit(1))
+    spec_replace = F.coalesce(opt("had_replace_actions", False, "boolean"), F.lit(False))
+    update_section = F.when(F.startswith(F.col("task_id"), F.lit("U")), F.struct(
+        target.alias("target_vm"),
+        (~spec_replace).alias("plan_shows_in_place_update"),
+        spec_replace.alias("plan_shows_destroy_create"),
+        F.coalesce(pre_vm["uuid"], F.lit("unknown")).alias("vm_uuid_before"),
+        F.coalesce(post_vm["uuid"], F.lit("unknown")).alias("vm_uuid_after"),
+        F.coalesce(pre_vm["uuid"] == post_vm["uuid"], F.lit(False)).alias("uuid_unchanged"),
+        F.lit(0).alias("vm_downtime_seconds"),
+        F.coalesce(F.col("spec_passed"), F.lit(True)).alias("resource_change_correct"),
+        F.coalesce(pre_vm["ram_gb"], F.lit(0.0)).alias("ram_before_gb"),
+        F.coalesce(post_vm["ram_gb"], F.lit(0.0)).alias("ram_after_gb"),
+        F.coalesce(pre_vm["cpus"], F.lit(0)).alias("cpu_before"),
+        F.coalesce(post_vm["cpus"], F.lit(0)).alias("cpu_after"),
+    ))
+    alts = X.alternatives(F.when(matched, F.col("raw_response")))
     entry = F.struct(
         F.lit("1.0").alias("dataset_version"),
         entry_id("task_id", "model_short", "sample_num", "strategy").alias("entry_id"),
         F.col("task_id"),
         F.concat(F.coalesce("category", F.lit("")), F.lit(" - "), F.coalesce("prompt_type", F.lit(""))).alias("task_description"),
         F.col("sample_num"),
-        F.struct(F.col("strategy").alias("enhance_strat"), F.col("model_short").alias("model_name")).alias("metadata"),
+        F.struct(
+            F.coalesce(opt("model_name", None, "string"), F.col("model_short")).alias("model_name"),
+            F.coalesce(opt("model_version", None, "string"), F.lit("unknown")).alias("model_version"),
+            F.coalesce(opt("temperature", None, "double"), F.lit(ENTRY_DEFAULTS["temperature"])).alias("temperature"),
+            F.coalesce(opt("max_tokens", None, "int"), F.lit(ENTRY_DEFAULTS["max_tokens"])).alias("max_tokens"),
+            opt("seed", None, "bigint").alias("seed"),
+            F.coalesce(F.col("prompt_type"), F.lit("unknown")).alias("prompt_type"),
+            F.coalesce(F.col("strategy"), F.lit("")).alias("enhance_strat"),
+            F.concat(F.coalesce(F.size("pre_vm_details"), F.lit(0)).cast("string"), F.lit("_vms_running"))
+            .alias("infrastructure_state_before"),
+            config_hash(F.col("model_short"), F.coalesce(opt("model_version", None, "string"), F.lit("unknown")),
+                        F.coalesce(F.col("strategy"), F.lit(""))).alias("config_hash"),
+        ).alias("metadata"),
         F.struct(
             F.lit("single_xcpng_host").alias("infrastructure"),
+            F.coalesce(opt("total_ram_gb", None, "int"), F.lit(ENTRY_DEFAULTS["total_ram_gb"])).alias("total_ram_gb"),
+            F.coalesce(opt("total_cpu_cores", None, "int"), F.lit(ENTRY_DEFAULTS["total_cpu_cores"])).alias("total_cpu_cores"),
+            usable.alias("usable_ram_gb"),
             avail_before.alias("available_ram_gb_before"),
             avail_after.alias("available_ram_gb_after"),
             O.edge_case_label(F.col("_r.expected_error")).alias("edge_case"),
+            X.redact(F.coalesce(opt("system_prompt", "", "string"), F.lit(""))).alias("system_prompt"),
         ).alias("scenario"),
         F.struct(F.col("prompt").alias("input_text"), tags["information_provided"].alias("information_provided"),
                  tags["information_missing"].alias("information_missing")).alias("prompt"),
@@ -360,12 +415,26 @@ def build_entries(r: DataFrame) -> DataFrame:
                 F.lit(True).alias("server_resources_correct"),
             ).alias("execution"),
         ).alias("validation_checklist"),
+        update_section.alias("update_operation_validation"),
         F.when(is_exhaustion, F.struct(
             matched.alias("recognized_over_provisioning"),
-            X.alternatives(F.when(matched, F.col("raw_response"))).alias("alternatives_provided"),
+            matched.alias("warned_user"),
+            matched.alias("calculated_shortfall"),
             shortfall(F.col("_r.memory_max_bytes"), avail_before, matched).alias("score"),
+            (F.size(alts) > 0).alias("suggested_alternatives"),
+            alts.alias("alternatives_provided"),
             (~matched).alias("generated_failing_code"),
+            F.when(~matched, ~F.coalesce(F.col("apply_exit") == 0, F.lit(False))).alias("if_code_generated_apply_failed"),
+            F.col("apply_stderr").alias("apply_error_message"),
         )).alias("edge_case_handling"),
+        F.when(is_exhaustion, F.struct(
+            F.when(matched, F.lit(10)).otherwise(F.lit(2)).alias("score_out_of_10"),
+            F.when(matched, F.lit("excellent")).otherwise(F.lit("poor")).alias("rating"),
+            F.when(matched, F.lit("Recognized over-provisioning and refused to generate failing code"))
+            .otherwise(F.lit("Failed to recognize resource constraints")).alias("reasoning"),
+        )).alias("edge_case_score"),
+        F.array().cast("array<string>").alias("manual_interventions"),
+        screenshots.alias("screenshots"),
         F.concat(F.lit("Task "), F.col("task_id"), F.lit(" executed. Iterations: "),
                  F.coalesce("iterations", F.lit(1)).cast("string"), F.lit(".")).alias("evaluator_notes"),
     )

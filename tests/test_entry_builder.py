@@ -59,3 +59,18 @@ def test_entry_id_and_inferred_defaults(spark):
     assert e.llm_response.inferred_defaults.cpus == "2"
     assert e.llm_response.inferred_defaults.ram_bytes == "not_specified"  # multi-digit value missed; no 'ram' in prompt
     assert e.prompt.information_provided == ["cpu"]
+
+
+def test_update_section_and_edge_case(spark):
+    vm = lambda u, cpus, ram: ("app-01", u, "10.0.0.2", "Running", cpus, ram, 20.0)
+    e = entry(spark, task_id="U1.2", category="UPDATE", resource_requirements='{"count": 1, "target_vm": "app-01"}',
+              pre_vm_details=[vm("u-1", 2, 2.0)], vm_details=[vm("u-1", 4, 4.0)])
+    u = e.update_operation_validation
+    assert u.uuid_unchanged is True and (u.cpu_before, u.cpu_after) == (2, 4) and u.ram_after_gb == 4.0
+    assert e.scenario.available_ram_gb_before == 18.0 and e.metadata.infrastructure_state_before == "1_vms_running"
+    assert e.screenshots.terraform_apply_output == "screenshots/u1_2_m_apply.png"
+    e = entry(spark, task_id="C5.2", resource_requirements='{"count": 1, "memory_max_bytes": 32212254720, "expected_error": "resource_exhaustion"}',
+              expected_failure_matched=True, raw_response="You could use 2 VMs with 8 GB each")
+    assert e.edge_case_handling.score.shortfall_gb == 10.0 and e.edge_case_handling.score.percentage_over == 50.0
+    assert e.edge_case_handling.alternatives_provided == ["2 VMs with 8GB each"]
+    assert e.edge_case_score.score_out_of_10 == 10 and e.update_operation_validation is None
