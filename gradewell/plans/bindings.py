@@ -444,6 +444,7 @@ def result_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(', "memory_max_bytes": '), (vms * gb * F.lit(1 << 30)).cast("string"),
         F.when(t % 2 == 0, F.concat(F.lit(', "per_vm_cpus": 2'))).otherwise(F.lit("")),
         F.when(c % 11 == 0, F.lit(', "expected_error": "resource_exhaustion"')).otherwise(F.lit("")),
+        F.when(c % 4 == 2, F.concat(F.lit(', "target_vm": "vm-'), c.cast("string"), F.lit('"'))).otherwise(F.lit("")),
         F.lit("}"),
     )
     hcl = F.concat(
@@ -484,7 +485,13 @@ def result_rows(spark: SparkSession, sf: str) -> DataFrame:
             F.lit("Running").alias("status"), (c % 4 + 1).cast("int").alias("cpus"),
             gb.cast("double").alias("ram_gb"), F.lit(20.0).alias("disk_gb"),
         )).alias("vm_details"),
-        F.array().cast("array<struct<name:string,uuid:string,ip:string,status:string,cpus:int,ram_gb:double,disk_gb:double>>").alias("pre_vm_details"),
+        F.when(c % 8 == 2, F.array(F.struct(
+            F.concat(F.lit("vm-"), c.cast("string")).alias("name"), F.concat(F.lit("u-"), c.cast("string")).alias("uuid"),
+            F.lit("10.0.0.9").alias("ip"), F.lit("Running").alias("status"), F.lit(1).alias("cpus"),
+            F.lit(1.0).alias("ram_gb"), F.lit(20.0).alias("disk_gb"),
+        ))).otherwise(F.array().cast(
+            "array<struct<name:string,uuid:string,ip:string,status:string,cpus:int,ram_gb:double,disk_gb:double>>"
+        )).alias("pre_vm_details"),
         F.lit(None).cast("double").alias("usable_ram_gb"),
     )
 

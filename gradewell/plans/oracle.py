@@ -886,7 +886,12 @@ SELECT replace(lower(letter || '1.' || CAST(t % 3 + 1 AS VARCHAR)), '.', '_') ||
        CASE WHEN c % 11 = 0 THEN array_to_string(list_transform(list_zip(regexp_extract_all(raw, {_sql_str(ALT)}, 1),
               regexp_extract_all(raw, {_sql_str(ALT)}, 2), regexp_extract_all(raw, {_sql_str(ALT)}, 3)),
               lambda z: z[1] || ' VMs with ' || z[2] || upper(z[3]) || ' each'), ';') END AS alternatives,
-       CASE WHEN c % 11 = 0 THEN round_even(greatest(0.0::DOUBLE, vms * gb - 20.0::DOUBLE), 2) END AS shortfall_gb
+       CASE WHEN c % 11 = 0 THEN round_even(greatest(0.0::DOUBLE, vms * gb - (20.0::DOUBLE - CASE WHEN c % 8 = 2 THEN 1.0 ELSE 0.0 END)), 2) END AS shortfall_gb,
+       round_even(20.0::DOUBLE - CASE WHEN c % 8 = 2 THEN 1.0 ELSE 0.0 END, 2) AS avail_before,
+       CASE WHEN c % 8 = 2 THEN '1' ELSE '0' END || '_vms_running' AS state_before,
+       CASE WHEN letter = 'U' THEN c % 8 = 2 END AS uuid_unchanged,
+       CASE WHEN letter = 'U' THEN CASE WHEN c % 8 = 2 THEN 1 ELSE 0 END END AS cpu_before,
+       'screenshots/' || replace(lower(letter || '1.' || CAST(t % 3 + 1 AS VARCHAR)), '.', '_') || '_m0_apply.png' AS apply_screenshot
 FROM r5"""
 
 ORACLE["stream_pass_at_k"] = ORACLE["pass_at_k_by_task"]

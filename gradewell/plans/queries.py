@@ -410,6 +410,11 @@ def q_entry_outcomes(spark, sf):
         F.col("scenario.available_ram_gb_after").alias("avail_after"),
         F.array_join(F.col("edge_case_handling.alternatives_provided"), ";").alias("alternatives"),
         F.col("edge_case_handling.score.shortfall_gb").alias("shortfall_gb"),
+        F.col("scenario.available_ram_gb_before").alias("avail_before"),
+        F.col("metadata.infrastructure_state_before").alias("state_before"),
+        F.col("update_operation_validation.uuid_unchanged").alias("uuid_unchanged"),
+        F.col("update_operation_validation.cpu_before").alias("cpu_before"),
+        F.col("screenshots.terraform_apply_output").alias("apply_screenshot"),
     )
 
 
