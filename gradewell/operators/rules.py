@@ -132,7 +132,7 @@ def _vm_changes(col: str = "resource_changes") -> Column:
 
 
 # ---------------------------------------------------------------- V1 CREATE
-def create_rule(s: Callable[[str], Column]) -> tuple[Column, Column]:
+def create_rule(s: Callable[[str], Column]) -> tuple[Column, Callable[[Column], Column]]:
     vms = _vm_changes()
     creates = F.filter(vms, lambda v: v["action"] == "create")
     others = F.filter(vms, lambda v: ~v["action"].isin("create", "no-op"))
@@ -203,12 +203,11 @@ def create_rule(s: Callable[[str], Column]) -> tuple[Column, Column]:
     names_check = F.when(
         has_names, F.array(_check("vm_names", (F.size(missing) == 0) & (F.size(extra) == 0))),
     ).otherwise(F.array().cast(CHECK_T))
-    checks = F.concat(_string_checks(string_checks, errors), names_check)
-    return errors, checks
+    return errors, lambda errs: F.concat(_string_checks(string_checks, errs), names_check)
 
 
 # ---------------------------------------------------------------- V2 READ
-def read_rule(s: Callable[[str], Column]) -> tuple[Column, Column]:
+def read_rule(s: Callable[[str], Column]) -> tuple[Column, Callable[[Column], Column]]:
     changes = F.filter(F.col("resource_changes"), lambda v: v["action"] != "no-op")
     n = F.size(changes)
     addresses = _py_list(F.transform(F.slice(changes, 1, 3), lambda v: v["address"]))
@@ -222,7 +221,7 @@ def read_rule(s: Callable[[str], Column]) -> tuple[Column, Column]:
         _check("has_outputs", F.lit(None).cast("boolean")),
     )
     checks = F.when(n > 0, first).otherwise(F.concat(first, placeholders))
-    return errors, checks
+    return errors, lambda errs: checks
 
 
 # ---------------------------------------------------------------- V3 UPDATE
@@ -230,7 +229,7 @@ def _field_of(v: Column, field: Column) -> Column:
     return F.when(field == "memory_max", v["memory_max"]).when(field == "cpus", v["cpus"])
 
 
-def update_rule(s: Callable[[str], Column]) -> tuple[Column, Column]:
+def update_rule(s: Callable[[str], Column]) -> tuple[Column, Callable[[Column], Column]]:
     vms = _vm_changes()
     updates = F.filter(vms, lambda v: v["action"] == "update")
     forbidden = F.filter(vms, lambda v: v["action"].isin("create", "delete", "replace"))
@@ -267,16 +266,15 @@ def update_rule(s: Callable[[str], Column]) -> tuple[Column, Column]:
     target_check = F.when(
         has_target, F.array(_check("target_vm", target_in & (F.size(extra) == 0))),
     ).otherwise(F.array().cast(CHECK_T))
-    checks_ok = F.concat(_string_checks(string_checks, errors_ok), target_check)
     bad = F.size(forbidden) > 0
     errors = F.when(
         bad,
         F.array(fill(MSG["update_forbidden"], action=_first_action(forbidden))),
     ).otherwise(errors_ok)
-    checks = F.when(
+    # when no forbidden action is planned, the final errors are errors_ok
+    return errors, lambda errs: F.when(
         bad, F.array(_check("action_type_only_update", F.lit(False)))
-    ).otherwise(checks_ok)
-    return errors, checks
+    ).otherwise(F.concat(_string_checks(string_checks, errs), target_check))
 
 
 def had_replace_actions(col: str = "resource_changes") -> Column:
@@ -285,7 +283,7 @@ def had_replace_actions(col: str = "resource_changes") -> Column:
 
 
 # ---------------------------------------------------------------- V4 DELETE
-def delete_rule(s: Callable[[str], Column]) -> tuple[Column, Column]:
+def delete_rule(s: Callable[[str], Column]) -> tuple[Column, Callable[[Column], Column]]:
     vms = _vm_changes()
     deletes = F.filter(vms, lambda v: v["action"] == "delete")
     forbidden = F.filter(vms, lambda v: v["action"].isin("create", "replace", "update"))
@@ -309,16 +307,15 @@ def delete_rule(s: Callable[[str], Column]) -> tuple[Column, Column]:
     target_check = F.when(
         has_targets, F.array(_check("correct_vms_targeted", (F.size(missing) == 0) & (F.size(extra) == 0))),
     ).otherwise(F.array().cast(CHECK_T))
-    checks_ok = F.concat(_string_checks(F.array(_named("action_type_only_delete", F.lit(True))), errors_ok), target_check)
     bad = F.size(forbidden) > 0
     errors = F.when(
         bad,
         F.array(fill(MSG["delete_forbidden"], action=_first_action(forbidden))),
     ).otherwise(errors_ok)
-    checks = F.when(
+    only_delete = F.array(_named("action_type_only_delete", F.lit(True)))
+    return errors, lambda errs: F.when(
         bad, F.array(_check("action_type_only_delete", F.lit(False)))
-    ).otherwise(checks_ok)
-    return errors, checks
+    ).otherwise(F.concat(_string_checks(only_delete, errs), target_check))
 
 
 # ---------------------------------------------------------------- V5 quotas
@@ -390,7 +387,10 @@ RULES: dict[str, Callable] = {
 
 
 def register_rule(category: str, rule: Callable) -> None:
-    """Add or replace the rule used for a category."""
+    """Add or replace the rule used for a category. A rule maps a spec
+    accessor ``s(name) -> Column`` to ``(errors, checks_of(errors))``: an
+    array<string> expression and a function building the checks from the
+    (already computed) errors column."""
     RULES[category] = rule
 
 
@@ -410,30 +410,34 @@ def check_plans(plans: DataFrame, specs: DataFrame, key: str = "plan_id", task_c
         _vm_changes()
     )
     qt = projected_totals(quota_src)
-    q_err = quota_errors(qt["ram"], qt["cpu"], qt["disk"])
-    q_check = F.array(_check("host_resource_quotas", F.size(q_err) == 0))
 
-    branch_err = F.lit(None).cast("array<string>")
-    branch_chk = F.lit(None).cast(CHECK_T)
-    expr_e, expr_c = None, None
+    # 1st projection: each plan's rule errors and quota errors, computed once;
+    # 2nd: checks read those columns instead of re-evaluating the rules
+    expr_e, check_fns = None, {}
     for name, rule in RULES.items():
-        e, c = rule(s)
+        e, check_fn = rule(s)
+        check_fns[name] = check_fn
         expr_e = F.when(cat == name, e) if expr_e is None else expr_e.when(cat == name, e)
+    j = j.select("*", expr_e.alias("_rule_errors"),
+                 quota_errors(qt["ram"], qt["cpu"], qt["disk"]).alias("_quota_errors"))
+    rule_errs, q_err = F.col("_rule_errors"), F.col("_quota_errors")
+    expr_c = None
+    for name, check_fn in check_fns.items():
+        c = check_fn(rule_errs)
         expr_c = F.when(cat == name, c) if expr_c is None else expr_c.when(cat == name, c)
-    branch_err = expr_e.otherwise(branch_err)
-    branch_chk = expr_c.otherwise(branch_chk)
+    q_check = F.array(_check("host_resource_quotas", F.size(q_err) == 0))
 
     no_spec = F.col("_has_spec").isNull()
     known = cat.isin(*RULES.keys())
     errors = (
         F.when(no_spec, F.array(fill(MSG["no_spec"], task=task)))
         .when(~known, F.array(fill(MSG["bad_category"], category=F.coalesce(cat, F.lit("None")), task=task)))
-        .otherwise(F.concat(branch_err, q_err))
+        .otherwise(F.concat(rule_errs, q_err))
     )
     checks = (
         F.when(no_spec, F.array(_check("spec_exists", F.lit(False))))
         .when(~known, F.array(_check("category_valid", F.lit(False))))
-        .otherwise(F.concat(branch_chk, q_check))
+        .otherwise(F.concat(expr_c, q_check))
     )
     out = j.select(
         key,
