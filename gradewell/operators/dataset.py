@@ -244,14 +244,15 @@ def shortfall(req_memory_bytes, avail_gb, matched) -> Column:
 
 
 # ---------------------------------------------------------------- V8
-def build_entries(r: DataFrame) -> DataFrame:
+def build_entries(r: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """V8 (+V9, V10): nested result entry per row of a results table.
 
     Expected columns: task_id, category, prompt_type, prompt, resource_requirements (JSON text),
     code, raw_response, model_short, sample_num, strategy, init_exit, validate_exit,
     plan_exit, plan_stdout, plan_stderr, apply_exit, apply_status, apply_stderr,
     spec_passed, iterations, generation_time, expected_failure_matched, post_passed,
-    vm_details, pre_vm_details, usable_ram_gb.
+    vm_details, pre_vm_details, usable_ram_gb. ``keep`` names input columns
+    carried next to the entry.
     """
     reqs = F.from_json(F.col("resource_requirements"), REQS_SCHEMA)
     s1 = r.select("*", reqs.alias("_r"))
@@ -438,4 +439,4 @@ def build_entries(r: DataFrame) -> DataFrame:
         F.concat(F.lit("Task "), F.col("task_id"), F.lit(" executed. Iterations: "),
                  F.coalesce("iterations", F.lit(1)).cast("string"), F.lit(".")).alias("evaluator_notes"),
     )
-    return s3.select(entry.alias("entry"))
+    return s3.select(entry.alias("entry"), *keep)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.outcome import data_quality_violations, normalize_reference
-from . import agreement, bleu, complexity, metrics
+from . import agreement, bleu, complexity, dataset, metrics, rules
 
 
 # ---------------------------------------------------------------- J1-J3
@@ -103,3 +103,20 @@ def complexity_report(tasks: DataFrame, refs: DataFrame):
     scored = complexity.score_texts(t, "reference")
     dist = complexity.type_distribution(scored, "task_id").orderBy(F.desc("n_tasks"), "resource_type")
     return scored, dist, complexity.scoring_summary(scored)
+
+
+# ---------------------------------------------------------------- lifecycle (§3.1)
+def evaluate_results(results: DataFrame, plans: DataFrame, specs: DataFrame, plan_key: str = "plan_id") -> DataFrame:
+    """Results -> rule check of each result's plan -> nested entries.
+
+    ``results`` carries the entry-builder columns and ``plan_key``; its spec
+    outcome comes from checking the referenced plan document against its
+    spec (V6), so ``spec_passed`` and ``had_replace_actions`` are replaced.
+    Plans and results meet in one equi-join on the plan key.
+    """
+    checked = rules.check_plans(plans, specs, key=plan_key).select(
+        plan_key, F.col("passed").alias("spec_passed"), F.col("errors").alias("spec_errors"),
+        F.col("had_replace_actions"),
+    )
+    r = results.drop("spec_passed", "had_replace_actions").join(checked, plan_key, "left")
+    return dataset.build_entries(r, keep=[plan_key, "spec_errors"])

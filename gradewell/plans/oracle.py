@@ -963,3 +963,23 @@ FROM v"""
 ORACLE["bleu_by_conversation"] = f"""
 WITH {V_PAIRS}, {V_BLEU}
 SELECT conv_id, count(*) AS n_pairs, {_r('avg(bleu)')} AS avg_bleu, {_r('max(bleu)')} AS max_bleu FROM bl GROUP BY conv_id"""
+
+ORACLE["evaluated_entries"] = f"""
+WITH {V_PLAN_ROWS}, {V_PLANS}, {V_SPECS}, {V_RULES}, {V_FENCED},
+res AS (SELECT conv_id AS c, turn AS t, CAST(conv_id * 8 + turn AS BIGINT) AS plan_id FROM fenced),
+j AS (SELECT res.*, r.errors AS spec_errors FROM res LEFT JOIN r USING (plan_id)),
+k AS (SELECT *, CASE WHEN spec_errors IS NULL THEN NULL ELSE len(spec_errors) = 0 END AS spec_passed,
+             (c + t) % 5 <> 0 AS plan_success,
+             CASE WHEN t % 4 = 3 THEN 'skipped_plan_only' WHEN (c + t) % 5 <> 0 AND t % 2 = 0 THEN 'success' ELSE 'failed' END AS apply_status,
+             c % 11 = 0 AS matched,
+             CASE WHEN substr('CRUD', CAST(c % 4 + 1 AS INTEGER), 1) IN ('U', 'D') THEN c % 3 <> 0 END AS post_passed,
+             substr('CRUD', CAST(c % 4 + 1 AS INTEGER), 1) || '1.' || CAST(t % 3 + 1 AS VARCHAR) AS task_id
+      FROM j),
+ev AS (SELECT *, matched OR (CASE WHEN apply_status = 'skipped_plan_only' THEN plan_success ELSE apply_status = 'success' END) AS execution
+      FROM k)
+SELECT plan_id,
+       replace(lower(task_id), '.', '_') || '_m0_pass' || CAST(t + 1 AS VARCHAR) || CASE WHEN c % 3 = 0 THEN '_COT' ELSE '' END AS entry_id,
+       spec_passed, CAST(len(spec_errors) AS INTEGER) AS n_spec_errors,
+       matched OR (execution AND coalesce(spec_passed = TRUE, FALSE) AND coalesce(post_passed, TRUE)) AS meets_requirements,
+       coalesce(spec_passed, TRUE) AS resource_allocation_correct
+FROM ev"""

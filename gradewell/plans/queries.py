@@ -503,3 +503,19 @@ def q_bleu_by_conversation(spark, sf):
     b = _bleu_pairs(spark, sf)
     return rounded(b.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("bleu").alias("avg_bleu"),
                                             F.max("bleu").alias("max_bleu")))
+
+
+@register("evaluated_entries")
+def q_evaluated_entries(spark, sf):
+    """The §3.1 lifecycle: each evaluated sample refers to a plan (conv_id * 8 + turn);
+    the plan is checked against its spec and the outcome flows into the entry."""
+    results = B.result_rows(spark, sf).withColumn("plan_id", (F.col("conv_id") * 8 + F.col("turn")).cast("long"))
+    plans = RU.plan_documents(B.plan_rows(spark, sf))
+    e = RP.evaluate_results(results, plans, B.specs(spark, sf))
+    return e.select(
+        "plan_id", F.col("entry.entry_id").alias("entry_id"),
+        F.col("entry.spec_accuracy.passed").alias("spec_passed"),
+        F.size("spec_errors").alias("n_spec_errors"),
+        F.col("entry.final_outcome.meets_requirements").alias("meets_requirements"),
+        F.col("entry.final_outcome.resource_allocation_correct").alias("resource_allocation_correct"),
+    )
