@@ -116,9 +116,10 @@ def folder_name(folder, strategy) -> Column:
     return F.when((s != "") & (s != "baseline"), F.concat(_c(folder), F.lit("_"), s)).otherwise(_c(folder))
 
 
-def config_hash(*cols: Column) -> Column:
-    """sha256 of a key-sorted JSON rendering, first 16 hex (stable, own spacing)."""
-    st = F.struct(*sorted(cols, key=lambda c: c._jc.toString()))
+def config_hash(**fields: Column) -> Column:
+    """sha256 of a key-sorted JSON rendering of the named fields, first 16
+    hex digits (stable; JSON spacing is Spark's own, not byte-equal)."""
+    st = F.struct(*[fields[k].alias(k) for k in sorted(fields)])
     return F.substring(F.sha2(F.to_json(st), 256), 1, 16)
 
 
@@ -339,8 +340,9 @@ def build_entries(r: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
             F.coalesce(F.col("strategy"), F.lit("")).alias("enhance_strat"),
             F.concat(F.coalesce(F.size("pre_vm_details"), F.lit(0)).cast("string"), F.lit("_vms_running"))
             .alias("infrastructure_state_before"),
-            config_hash(F.col("model_short"), F.coalesce(opt("model_version", None, "string"), F.lit("unknown")),
-                        F.coalesce(F.col("strategy"), F.lit(""))).alias("config_hash"),
+            config_hash(model=F.col("model_short"),
+                        model_version=F.coalesce(opt("model_version", None, "string"), F.lit("unknown")),
+                        enhance_strat=F.coalesce(F.col("strategy"), F.lit(""))).alias("config_hash"),
         ).alias("metadata"),
         F.struct(
             F.lit("single_xcpng_host").alias("infrastructure"),

@@ -70,3 +70,10 @@ def test_matrix_and_ids(spark):
         DS.sample_seed("base", F.col("pass_no") - 1).alias("s")).collect()
     assert sorted(x.e for x in m) == ["c1_1_m_pass1", "c1_1_m_pass1_COT", "c1_1_m_pass2", "c1_1_m_pass2_COT"]
     assert sorted({x.s for x in m}) == [5, 6]
+
+
+def test_config_hash_is_key_order_independent(spark):
+    df = spark.createDataFrame([("m", "v1")], "a string, b string")
+    r = df.select(DS.config_hash(model=F.col("a"), version=F.col("b")).alias("x"),
+                  DS.config_hash(version=F.col("b"), model=F.col("a")).alias("y")).first()
+    assert r.x == r.y and len(r.x) == 16
