@@ -394,13 +394,18 @@ def register_rule(category: str, rule: Callable) -> None:
     RULES[category] = rule
 
 
-def check_plans(plans: DataFrame, specs: DataFrame, key: str = "plan_id", task_col: str | None = None) -> DataFrame:
+def check_plans(plans: DataFrame, specs: DataFrame, key: str = "plan_id", task_col: str | None = None,
+                broadcast_specs: bool = False) -> DataFrame:
     """V6 + J4: plans left-joined to specs; dispatch by category; quota errors appended.
 
+    ``broadcast_specs``: set when the spec table has a proven small size (a
+    spec file read on the driver, ``readers.read_specs``); data-sized spec
+    tables are left to the planner and AQE.
     Output: key, category, passed, errors, checks, had_replace_actions.
     """
     spec_cols = [c for c in specs.columns if c != key]
-    j = plans.join(specs.withColumn("_has_spec", F.lit(True)), key, "left")
+    sp = specs.withColumn("_has_spec", F.lit(True))
+    j = plans.join(F.broadcast(sp) if broadcast_specs else sp, key, "left")
     s = lambda c: F.col(c) if c in spec_cols else F.lit(None)
     task = F.trim(F.col(task_col) if task_col else F.col(key).cast("string"))
     cat = F.col("category")
