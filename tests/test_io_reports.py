@@ -165,3 +165,26 @@ def test_ground_truth_report(spark):
     s = summary.first()
     assert s.total == 2 and s.plan_matches == 1 and s.avg_bleu == 1.0
     assert [u.task_id for u in unmatched.collect()] == ["D1.2"]
+
+
+def test_yaml_specs_and_plan_files_end_to_end(spark, tmp_path):
+    from gradewell.operators import rules as RU
+
+    y = tmp_path / "specs.yaml"
+    y.write_text("C1.1:\n  category: CREATE\n  vm_count: 1\n  per_vm_cpus: 2\n  vm_names: [web-01]\n"
+                 "D1.2:\n  category: DELETE\n  target_vm: web-01\n")
+    pd = tmp_path / "plans"
+    pd.mkdir()
+    vm = {"type": "xenorchestra_vm", "address": "xenorchestra_vm.web", "name": "web"}
+    (pd / "C1.1.json").write_text(json.dumps({"resource_changes": [
+        {**vm, "change": {"actions": ["create"], "before": None,
+                          "after": {"name_label": "web-01", "cpus": 2, "memory_max": 1 << 30, "disk": [{"size": 1 << 34}]}}}]}))
+    (pd / "D1.2.json").write_text(json.dumps({"resource_changes": [
+        {**vm, "change": {"actions": ["delete"], "before": {"name_label": "web-01"}, "after": None}}]}))
+    rows = R.plan_change_rows(R.read_plans(spark, str(pd)).select("plan_id", "resource_changes"))
+    rows = rows.withColumn("plan_id", F.regexp_extract("plan_id", r"^(.*)\.json$", 1))
+    plans = RU.plan_documents(rows)
+    specs = R.read_specs(spark, str(y)).withColumnRenamed("task_id", "plan_id")
+    got = {r.plan_id: r for r in RU.check_plans(plans, specs, broadcast_specs=True).collect()}
+    assert got["C1.1"].passed is True and got["D1.2"].passed is True
+    assert {c.check for c in got["C1.1"].checks} >= {"vm_count", "cpus", "vm_names", "host_resource_quotas"}
