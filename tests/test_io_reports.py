@@ -188,3 +188,17 @@ def test_yaml_specs_and_plan_files_end_to_end(spark, tmp_path):
     got = {r.plan_id: r for r in RU.check_plans(plans, specs, broadcast_specs=True).collect()}
     assert got["C1.1"].passed is True and got["D1.2"].passed is True
     assert {c.check for c in got["C1.1"].checks} >= {"vm_count", "cpus", "vm_names", "host_resource_quotas"}
+
+
+def test_cli_metrics_and_complexity(spark, tmp_path):
+    from gradewell import cli
+
+    d = _entries(tmp_path)
+    p = tmp_path / "tasks.csv"
+    p.write_text(CSV, encoding="utf-8")
+    out = tmp_path / "out"
+    cli.run(["metrics", "--entries", str(d), "--tasks", str(p), "--out", str(out)])
+    s = spark.read.parquet(str(out / "summary")).first()
+    assert s.total_samples == 2 and s.unique_tasks == 2
+    cli.run(["complexity", "--tasks", str(p), "--out", str(tmp_path / "cx")])
+    assert spark.read.parquet(str(tmp_path / "cx" / "summary")).first().total_tasks_scored == 1
