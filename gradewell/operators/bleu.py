@@ -52,7 +52,8 @@ def bleu_formula(num: Sequence[Column], c_len: Column, r_len: Column) -> Column:
     return F.when(num[0] == 0, F.lit(0.0)).otherwise(bp * F.exp(s))
 
 
-def bleu(pairs: DataFrame, keys: Sequence[str], ref_col: str, cand_col: str) -> DataFrame:
+def bleu(pairs: DataFrame, keys: Sequence[str], ref_col: str, cand_col: str,
+         partition_keys: Sequence[str] | None = None) -> DataFrame:
     """One row per pair: ``keys``, token counts and ``bleu``.
 
     ``bleu`` is null when the reference is empty (not scored), 0 when either
@@ -63,9 +64,13 @@ def bleu(pairs: DataFrame, keys: Sequence[str], ref_col: str, cand_col: str) ->
     are satisfied by that partitioning and the n-grams themselves are never
     shuffled. A pair is two texts, so one task holds at most one pair's grams.
     Short pairs ride along as a single marker row (n = 0).
+
+    ``partition_keys`` (a subset of ``keys``, default all) lets a caller that
+    aggregates further by a coarser key (e.g. conversation) reuse the same
+    partitioning; a coarser group must still be bounded (a conversation).
     """
     keys = list(keys)
-    t = pairs.repartition(*keys).select(
+    t = pairs.repartition(*(list(partition_keys) if partition_keys else keys)).select(
         *keys,
         (F.coalesce(F.col(ref_col), F.lit("")) == "").alias("_unscored"),
         tokens(ref_col).alias("_rt"),

@@ -500,7 +500,8 @@ def q_judge_report_with_code(spark, sf):
 @register("bleu_by_conversation")
 def q_bleu_by_conversation(spark, sf):
     """A6 with scores: per conversation, pairs and average BLEU (null when none scored)."""
-    b = _bleu_pairs(spark, sf)
+    # partition pair texts by conversation once: pair and conversation aggregates share it
+    b = BL.bleu(B.pairs(spark, sf), ["conv_id", "turn"], "reference", "candidate", partition_keys=["conv_id"])
     return rounded(b.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("bleu").alias("avg_bleu"),
                                             F.max("bleu").alias("max_bleu")))
 
