@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.outcome import data_quality_violations, normalize_reference
@@ -16,23 +16,40 @@ from . import agreement, bleu, complexity, dataset, metrics, rules
 
 
 # ---------------------------------------------------------------- J1-J3
+# The three precedences are column expressions over one tasks-to-files join.
+def metrics_reference(file_col: str = "hcl", csv_col: str = "reference_hcl") -> Column:
+    """The file first, then the CSV column, default ''; 'nan' means empty."""
+    return normalize_reference(F.coalesce(F.col(file_col), F.col(csv_col), F.lit("")))
+
+
+def scoring_reference(file_col: str = "hcl", csv_col: str = "reference_hcl") -> Column:
+    """The CSV column first (when non-empty), then the file; none -> null (unscored)."""
+    return F.coalesce(F.nullif(F.col(csv_col), F.lit("")), F.col(file_col))
+
+
+def synced_reference(file_col: str = "hcl", csv_col: str = "reference_hcl") -> Column:
+    """The file overrides the column, else keep it (default '')."""
+    return F.coalesce(F.col(file_col), F.col(csv_col), F.lit(""))
+
+
+def with_reference_files(tasks: DataFrame, refs: DataFrame, key: str = "task_id") -> DataFrame:
+    """Tasks left-joined to their reference file text (``hcl``), once."""
+    return tasks.join(refs.select(key, "hcl"), key, "left")
+
+
 def references_for_metrics(tasks: DataFrame, refs: DataFrame) -> DataFrame:
-    """Reference per task, file first, then the CSV column, default ''."""
-    j = tasks.select("task_id", F.col("reference_hcl").alias("_csv")).join(refs, "task_id", "left")
-    return j.select("task_id", normalize_reference(F.coalesce(F.col("hcl"), F.col("_csv"), F.lit(""))).alias("reference"))
+    """J1 as a table: (task_id, reference)."""
+    return with_reference_files(tasks, refs).select("task_id", metrics_reference().alias("reference"))
 
 
 def references_for_scoring(tasks: DataFrame, refs: DataFrame) -> DataFrame:
-    """CSV column first (when non-empty), then the file; none -> null (unscored)."""
-    j = tasks.join(refs, "task_id", "left")
-    return j.withColumn("reference", F.coalesce(F.nullif(F.col("reference_hcl"), F.lit("")), F.col("hcl"))).drop("hcl")
+    """J2 as a table: tasks with ``reference`` (null when unscored)."""
+    return with_reference_files(tasks, refs).withColumn("reference", scoring_reference()).drop("hcl")
 
 
 def sync_references(tasks: DataFrame, refs: DataFrame) -> DataFrame:
-    """J3 + V15: the file overrides the column, else keep it (default ''); rows
-    get their data-quality violations (P18) for the caller to act on."""
-    j = tasks.join(refs, "task_id", "left")
-    out = j.withColumn("reference_hcl", F.coalesce(F.col("hcl"), F.col("reference_hcl"), F.lit(""))).drop("hcl")
+    """J3 + V15: synced reference column and each row's data-quality violations."""
+    out = with_reference_files(tasks, refs).withColumn("reference_hcl", synced_reference()).drop("hcl")
     return out.withColumn("violations", data_quality_violations("task_id", "category", "reference_hcl"))
 
 

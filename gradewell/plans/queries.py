@@ -463,21 +463,17 @@ def q_infra_context(spark, sf):
 @register("reference_precedence")
 def q_reference_precedence(spark, sf):
     tasks, files = B.task_references(spark, sf)
-    # item_id is the unique key here (task ids repeat across items)
-    t = tasks.withColumnRenamed("task_id", "tid").withColumnRenamed("item_id", "task_id")
-    f = files.withColumnRenamed("item_id", "task_id")
-    m = RP.references_for_metrics(t, f)
-    sc = RP.references_for_scoring(t, f).select("task_id", F.col("reference").alias("scoring_ref"))
-    sy = RP.sync_references(t.withColumn("category", F.col("category")), f).select(
-        "task_id", F.col("reference_hcl").alias("synced"), "tid", "category")
-    j = m.join(sc, "task_id").join(sy, "task_id")
+    # item_id is the unique key here (task ids repeat across items): one join, three precedences
+    j = RP.with_reference_files(tasks, files.select("item_id", "hcl"), key="item_id")
+    synced = RP.synced_reference()
+    scoring = RP.scoring_reference()
     return j.select(
-        F.col("task_id").alias("item_id"),
-        F.md5("reference").alias("metrics_ref_md5"),
-        F.md5(normalize_reference("scoring_ref")).alias("scoring_ref_md5"),
-        F.col("scoring_ref").isNull().alias("unscored"),
-        F.md5("synced").alias("synced_md5"),
-        F.array_join(data_quality_violations(F.col("tid"), F.col("category"), F.col("synced")), ",").alias("violations"),
+        "item_id",
+        F.md5(RP.metrics_reference()).alias("metrics_ref_md5"),
+        F.md5(normalize_reference(scoring)).alias("scoring_ref_md5"),
+        scoring.isNull().alias("unscored"),
+        F.md5(synced).alias("synced_md5"),
+        F.array_join(data_quality_violations(F.col("task_id"), F.col("category"), synced), ",").alias("violations"),
     )
 
 
