@@ -574,3 +574,22 @@ def task_references(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
     files = frags.join(t.select("item_id", "task_id"), F.col("frag_pos") == F.col("item_id")).filter(
         F.col("item_id") % 4 != 3).select("item_id", F.col("hcl"))
     return tasks, files
+
+
+def state_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The per-customer state documents as JSON text (attributes nested as objects)."""
+    c = read_table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    pool = F.to_json(F.struct(
+        F.struct(((F.col("c_nationkey") % 8) + 1).cast("string").alias("cores")).alias("cpus"),
+        F.concat(F.lit("pool-"), F.col("c_nationkey").cast("string")).alias("id"),
+    ))
+    vm = F.to_json(F.struct((k % 8 + 1).alias("cpus"), F.col("c_name").alias("name_label")))
+    doc = F.concat(
+        F.lit('{"version": 4, "resources": [{"mode": "data", "type": "xenorchestra_pool", "instances": [{"attributes": '),
+        pool,
+        F.lit('}]}, {"mode": "managed", "type": "xenorchestra_vm", "instances": [{"attributes": '),
+        vm,
+        F.lit("}]}]}"),
+    )
+    return c.select(k.alias("state_id"), doc.alias("doc"))

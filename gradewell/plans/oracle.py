@@ -983,3 +983,8 @@ SELECT plan_id,
        matched OR (execution AND coalesce(spec_passed = TRUE, FALSE) AND coalesce(post_passed, TRUE)) AS meets_requirements,
        coalesce(spec_passed, TRUE) AS resource_allocation_correct
 FROM ev"""
+
+ORACLE["state_key_search"] = """
+SELECT c_custkey AS state_id, 6 AS depth, '{"cores":"' || CAST(c_nationkey % 8 + 1 AS VARCHAR) || '"}' AS value FROM customer
+UNION ALL
+SELECT c_custkey AS state_id, 6 AS depth, CAST(c_custkey % 8 + 1 AS VARCHAR) AS value FROM customer"""

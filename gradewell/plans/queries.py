@@ -516,3 +516,10 @@ def q_evaluated_entries(spark, sf):
         F.col("entry.final_outcome.meets_requirements").alias("meets_requirements"),
         F.col("entry.final_outcome.resource_allocation_correct").alias("resource_allocation_correct"),
     )
+
+
+@register("state_key_search")
+def q_state_key_search(spark, sf):
+    """every value stored under ``cpus`` at any depth of each state document."""
+    hits = GR.find_key_values(B.state_json(spark, sf), "state_id", "doc", "cpus")
+    return hits.select("state_id", F.size("path").alias("depth"), "value")
