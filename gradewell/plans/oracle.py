@@ -988,3 +988,36 @@ ORACLE["state_key_search"] = """
 SELECT c_custkey AS state_id, 6 AS depth, '{"cores":"' || CAST(c_nationkey % 8 + 1 AS VARCHAR) || '"}' AS value FROM customer
 UNION ALL
 SELECT c_custkey AS state_id, 6 AS depth, CAST(c_custkey % 8 + 1 AS VARCHAR) AS value FROM customer"""
+
+ORACLE["repair_prompts"] = f"""
+WITH {V_ATTEMPTS},
+e AS (SELECT run_id, iteration,
+             CASE WHEN stage = 'spec_failed' THEN 'SPEC ACCURACY ERRORS: iteration ' ELSE 'Error: plan failed at iteration ' END
+               || CAST(iteration AS VARCHAR) AS error,
+             row_number() OVER (PARTITION BY run_id ORDER BY iteration DESC) AS rk
+      FROM att WHERE is_error),
+t AS (SELECT run_id, list(error ORDER BY rk DESC) AS errs FROM e WHERE rk <= 2 GROUP BY run_id),
+p AS (SELECT run_id, errs, 'Provision the VMs for user ' || CAST(run_id AS VARCHAR) AS prompt,
+             'resource "xenorchestra_vm" "u' || CAST(run_id AS VARCHAR) || '" {{}}' AS code,
+             errs[-1] AS newest FROM t)
+SELECT run_id, CAST(len(errs) AS INTEGER) AS n_errors,
+       md5('Here is the actual prompt:' || chr(10) || prompt || chr(10) || chr(10)
+           || 'Give me the full complete code, without these below errors:' || chr(10) || chr(10)
+           || array_to_string(list_transform(errs, lambda x, i: chr(10) || 'Error ' || CAST(i AS VARCHAR) || ':' || chr(10) || x || chr(10)), '')
+           || chr(10)) AS multi_error_md5,
+       md5('TASK:' || chr(10) || 'Refine the ground-truth Terraform HCL to resolve the documented errors.' || chr(10) || chr(10)
+           || 'ORIGINAL REQUIREMENT:' || chr(10) || prompt || chr(10) || chr(10) || 'ERROR HISTORY:' || chr(10)
+           || array_to_string(list_transform(errs, lambda x, i: 'ERROR ' || CAST(i AS VARCHAR) || ':' || chr(10) || x || chr(10) || chr(10)), '')
+           || chr(10) || chr(10) || 'INSTRUCTION:' || chr(10)
+           || 'The generation MUST NOT contain the errors listed above. Provide a single, complete, and definitive ground-truth HCL block using standard Markdown (```hcl).'
+           || chr(10) || chr(10) || 'Follow the structural rules defined in the system prompt.' || chr(10)) AS dataset_repair_md5,
+       md5(CASE WHEN contains(newest, 'SPEC ACCURACY ERRORS')
+                THEN 'Here is the actual prompt:' || chr(10) || prompt || chr(10) || chr(10) || 'Here is the incorrect configuration:' || chr(10)
+                     || code || chr(10) || chr(10) || 'Give me the full complete code, without these below errors:' || chr(10) || chr(10) || newest
+                ELSE 'Here is the actual prompt:' || chr(10) || prompt || chr(10) || chr(10) || 'Here is the incorrect configuration:' || chr(10)
+                     || code || chr(10) || chr(10) || 'Here is the Terraform plan error message (potentially empty):' || chr(10) || newest
+                     || chr(10) || chr(10) || 'Give me the full complete code, without these below errors:' END) AS repair_md5,
+       md5('Task Description:' || chr(10) || prompt || chr(10) || chr(10) || 'Task Category: CREATE' || chr(10) || chr(10)
+           || 'Generated Terraform Code:' || chr(10) || '```hcl' || chr(10) || code || chr(10) || '```' || chr(10) || chr(10)
+           || 'Does this generated code correctly fulfill the task? Evaluate it carefully, then end with your rating.') AS judge_user_md5
+FROM p"""

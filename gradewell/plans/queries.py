@@ -523,3 +523,31 @@ def q_state_key_search(spark, sf):
     """every value stored under ``cpus`` at any depth of each state document."""
     hits = GR.find_key_values(B.state_json(spark, sf), "state_id", "doc", "cpus")
     return hits.select("state_id", F.size("path").alias("depth"), "value")
+
+
+@register("repair_prompts")
+def q_repair_prompts(spark, sf):
+    """F37-F39 over W4: per run, the two newest errors (oldest first) feed the
+    multi-error and dataset repair prompts; the newest error and a stand-in code
+    feed the repair prompt and the judge messages."""
+    log = B.attempt_log(spark, sf).withColumn(
+        "error",
+        F.when(F.col("stage") == "spec_failed",
+               F.concat(F.lit("SPEC ACCURACY ERRORS: iteration "), F.col("iteration").cast("string")))
+        .otherwise(F.concat(F.lit("Error: plan failed at iteration "), F.col("iteration").cast("string"))),
+    )
+    tail = CH.error_tail(log, "run_id", "iteration").filter(F.col("prompt_no").isNotNull())
+    # at most two rows per run reach this aggregate (bounded by the tail length)
+    per_run = tail.groupBy("run_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("prompt_no", "error"))), lambda x: x["error"]).alias("errs"))
+    prompt = F.concat(F.lit("Provision the VMs for user "), F.col("run_id").cast("string"))
+    code = F.concat(F.lit('resource "xenorchestra_vm" "u'), F.col("run_id").cast("string"), F.lit('" {}'))
+    newest = F.element_at("errs", -1)
+    user_msg = DS.judge_messages(prompt, F.lit("CREATE"), code)[1]["content"]
+    return per_run.select(
+        "run_id", F.size("errs").alias("n_errors"),
+        F.md5(DS.multi_error_prompt(prompt, F.col("errs"))).alias("multi_error_md5"),
+        F.md5(DS.dataset_repair_prompt(prompt, F.col("errs"))).alias("dataset_repair_md5"),
+        F.md5(DS.repair_prompt(prompt, code, newest)).alias("repair_md5"),
+        F.md5(user_msg).alias("judge_user_md5"),
+    )
