@@ -512,7 +512,7 @@ def q_evaluated_entries(spark, sf):
     return e.select(
         "plan_id", F.col("entry.entry_id").alias("entry_id"),
         F.col("entry.spec_accuracy.passed").alias("spec_passed"),
-        F.size("spec_errors").alias("n_spec_errors"),
+        F.when(F.col("spec_errors").isNotNull(), F.size("spec_errors")).alias("n_spec_errors"),
         F.col("entry.final_outcome.meets_requirements").alias("meets_requirements"),
         F.col("entry.final_outcome.resource_allocation_correct").alias("resource_allocation_correct"),
     )
