@@ -24,90 +24,83 @@ MSG = {
 }
 
 
-def _last_by_name(vms: DataFrame, task_col: str, order_col: str | None) -> DataFrame:
-    """By-name lookup where the last duplicate wins."""
-    if order_col is None:
-        return vms.dropDuplicates([task_col, "name"])
-    cols = [c for c in vms.columns if c not in (task_col, "name")]
-    return vms.filter(F.col("name").isNotNull()).groupBy(task_col, "name").agg(
-        F.max_by(F.struct(*cols), F.col(order_col)).alias("_v")
-    ).select(task_col, "name", "_v.*")
-
-
 def verify_post_state(
     pre: DataFrame, post: DataFrame, specs: DataFrame, task_col: str = "task_id", order_col: str | None = None
 ) -> DataFrame:
     """V7 per task: UPDATE checks count, target, new value, uuid; DELETE checks targets are gone.
 
+    ``pre``/``post``: task_col, name, uuid, cpus, ram_gb (+ ``order_col``: the
+    last duplicate of a name wins; without it an arbitrary duplicate is kept).
     ``specs``: task_col, category, target_vm, target_vms, updated_field, new_value.
+
+    Plan: both snapshots as one table -> per (task, name) the last VM before and
+    after (one aggregate) and per task the VM counts (one aggregate); the spec
+    targets become rows joined to those once; errors are gathered per task in
+    target order (bounded by the spec's target list).
     """
-    counts_pre = pre.groupBy(task_col).agg(F.count(F.lit(1)).alias("n_pre"))
-    counts_post = post.groupBy(task_col).agg(F.count(F.lit(1)).alias("n_post"))
-    pre_n = _last_by_name(pre, task_col, order_col)
-    post_n = _last_by_name(post, task_col, order_col)
+    ordc = F.col(order_col) if order_col else F.lit(0)
 
-    # UPDATE: one target per task
-    upd = specs.filter(F.col("category") == "UPDATE").select(
-        task_col, F.col("target_vm").alias("name"), "updated_field", "new_value"
-    )
-    a = pre_n.select(task_col, "name", F.col("uuid").alias("pre_uuid"), F.lit(True).alias("_pre"))
-    b = post_n.select(task_col, "name", F.col("uuid").alias("post_uuid"), F.col("cpus").alias("post_cpus"),
-                      F.col("ram_gb").alias("post_ram_gb"), F.lit(True).alias("_post"))
-    u = (
-        upd.join(counts_pre, task_col, "left")
-        .join(counts_post, task_col, "left")
-        .join(a, [task_col, "name"], "left")
-        .join(b, [task_col, "name"], "left")
+    def side(df, tag):
+        return df.select(task_col, "name", F.lit(tag).alias("_side"), "uuid", "cpus", "ram_gb", ordc.alias("_ord"))
+
+    snap = side(pre, "pre").unionByName(side(post, "post"))
+    counts = snap.groupBy(task_col).agg(
+        F.count_if(F.col("_side") == "pre").alias("n_pre"), F.count_if(F.col("_side") == "post").alias("n_post"))
+    vm = F.struct("uuid", "cpus", "ram_gb")
+    is_pre, is_post = F.col("_side") == "pre", F.col("_side") == "post"
+    by_name = snap.filter(F.col("name").isNotNull()).groupBy(task_col, "name").agg(
+        F.max_by(F.when(is_pre, vm), F.when(is_pre, F.col("_ord"))).alias("pre_vm"),
+        F.max_by(F.when(is_post, vm), F.when(is_post, F.col("_ord"))).alias("post_vm"),
+        F.max(is_pre).alias("_has_pre"), F.max(is_post).alias("_has_post"),
     )
-    tgt = F.col("name")
+
+    cat = F.col("category")
+    tv = F.col("target_vms")
+    del_targets = F.when(F.coalesce(F.size(tv), F.lit(0)) > 0, tv).when(
+        F.coalesce(F.col("target_vm"), F.lit("")) != "", F.array("target_vm"))
+    null_s, null_l = F.lit(None).cast("string"), F.lit(None).cast("long")
+    upd_t = specs.filter(cat == "UPDATE").select(
+        task_col, "category", F.col("target_vm").alias("name"), F.lit(0).alias("tpos"), "updated_field", "new_value")
+    del_t = specs.filter(cat == "DELETE").select(
+        task_col, "category", F.posexplode_outer(del_targets).alias("tpos", "name"),
+        null_s.alias("updated_field"), null_l.alias("new_value"))
+    other_t = specs.filter(~F.coalesce(cat.isin("UPDATE", "DELETE"), F.lit(False))).select(
+        task_col, "category", null_s.alias("name"), F.lit(0).alias("tpos"), null_s.alias("updated_field"),
+        null_l.alias("new_value"))
+    targets = upd_t.unionByName(del_t).unionByName(other_t)
+    j = targets.join(by_name, [task_col, "name"], "left").join(counts, task_col, "left")
+
+    tgt, field, val = F.col("name"), F.col("updated_field"), F.col("new_value")
     has_target = F.coalesce(tgt, F.lit("")) != ""
-    both = F.col("_pre").isNotNull() & F.col("_post").isNotNull()
-    field, val = F.col("updated_field"), F.col("new_value")
-    post_mem = (F.coalesce(F.col("post_ram_gb"), F.lit(0.0)) * F.lit(float(GIB))).cast("long")
-    post_cpu = F.coalesce(F.col("post_cpus"), F.lit(0)).cast("long")
+    both = F.coalesce(F.col("_has_pre"), F.lit(False)) & F.coalesce(F.col("_has_post"), F.lit(False))
+    post_mem = (F.coalesce(F.col("post_vm.ram_gb"), F.lit(0.0)) * F.lit(float(GIB))).cast("long")
+    post_cpu = F.coalesce(F.col("post_vm.cpus"), F.lit(0)).cast("long")
     has_fv = (F.coalesce(field, F.lit("")) != "") & val.isNotNull()
-    upd_errors = F.array_compact(F.array(
-        F.when(F.coalesce(F.col("n_pre"), F.lit(0)) != F.coalesce(F.col("n_post"), F.lit(0)),
-               F.lit(MSG["count_changed"])),
-        F.when(has_target & F.col("_post").isNull(),
-               fill(MSG["target_missing"], target=tgt)),
+    update_errs = F.array(
+        F.when(has_target & ~F.coalesce(F.col("_has_post"), F.lit(False)), fill(MSG["target_missing"], target=tgt)),
         F.when(has_target & both & has_fv & (field == "memory_max") & (post_mem != val),
                fill(MSG["value"], target=tgt, field=F.lit("memory_max"), actual=post_mem.cast("string"),
                     expected=val.cast("string"))),
         F.when(has_target & both & has_fv & (field == "cpus") & (post_cpu != val),
                fill(MSG["value"], target=tgt, field=F.lit("cpus"), actual=post_cpu.cast("string"),
                     expected=val.cast("string"))),
-        F.when(has_target & both & ~F.col("pre_uuid").eqNullSafe(F.col("post_uuid")),
+        F.when(has_target & both & ~F.col("pre_vm.uuid").eqNullSafe(F.col("post_vm.uuid")),
                fill(MSG["uuid"], target=tgt)),
-    ))
-    upd_out = u.select(task_col, F.lit("UPDATE").alias("category"), upd_errors.alias("errors"))
-
-    # DELETE: every listed target must be gone; one row per (task, target) then gathered per task
-    dl = specs.filter(F.col("category") == "DELETE").select(
-        task_col,
-        F.posexplode(
-            F.coalesce(F.col("target_vms"), F.when(F.coalesce(F.col("target_vm"), F.lit("")) != "", F.array("target_vm")))
-        ).alias("tpos", "name"),
-    ).filter(F.coalesce(F.col("name"), F.lit("")) != "")
-    still = dl.join(post_n.select(task_col, "name", F.lit(True).alias("_there")), [task_col, "name"], "left")
-    del_rows = still.select(
-        task_col, "tpos",
-        F.when(F.col("_there").isNotNull(),
-               fill(MSG["still_exists"], target=F.col("name"))).alias("err"),
-    )
-    # target lists are part of one spec row, so gathering them per task is bounded by the spec
-    del_out = (
-        specs.filter(F.col("category") == "DELETE").select(task_col)
-        .join(del_rows.groupBy(task_col).agg(
-            F.array_sort(F.collect_list(F.struct("tpos", "err"))).alias("_e")), task_col, "left")
-        .select(task_col, F.lit("DELETE").alias("category"),
-                F.coalesce(F.array_compact(F.transform("_e", lambda x: x["err"])), F.array().cast("array<string>")).alias("errors"))
     )
-    other = specs.filter(~F.coalesce(F.col("category").isin("UPDATE", "DELETE"), F.lit(False))).select(
-        task_col, F.col("category"), F.array().cast("array<string>").alias("errors")
+    delete_errs = F.array(F.when(has_target & F.coalesce(F.col("_has_post"), F.lit(False)),
+                                 fill(MSG["still_exists"], target=tgt)))
+    row_errs = F.when(cat == "UPDATE", update_errs).when(cat == "DELETE", delete_errs).otherwise(
+        F.array().cast("array<string>"))
+    per_task = j.groupBy(task_col, "category").agg(
+        F.max("n_pre").alias("n_pre"), F.max("n_post").alias("n_post"),
+        F.array_sort(F.collect_list(F.struct("tpos", row_errs.alias("e")))).alias("_rows"),
     )
-    out = upd_out.unionByName(del_out).unionByName(other)
-    return out.withColumn("passed", F.size("errors") == 0)
+    count_err = F.when(
+        (F.col("category") == "UPDATE") & (F.coalesce(F.col("n_pre"), F.lit(0)) != F.coalesce(F.col("n_post"), F.lit(0))),
+        F.array(F.lit(MSG["count_changed"])),
+    ).otherwise(F.array().cast("array<string>"))
+    errors = F.array_compact(F.concat(count_err, F.flatten(F.transform("_rows", lambda x: x["e"]))))
+    return per_task.select(task_col, "category", errors.alias("errors")).withColumn("passed", F.size("errors") == 0)
 
 
 def update_validation(pre: DataFrame, post: DataFrame, specs: DataFrame, task_col: str = "task_id") -> DataFrame:
