@@ -1021,3 +1021,9 @@ SELECT run_id, CAST(len(errs) AS INTEGER) AS n_errors,
            || 'Generated Terraform Code:' || chr(10) || '```hcl' || chr(10) || code || chr(10) || '```' || chr(10) || chr(10)
            || 'Does this generated code correctly fulfill the task? Evaluate it carefully, then end with your rating.') AS judge_user_md5
 FROM p"""
+
+ORACLE["execution_units"] = """
+WITH runs AS (SELECT DISTINCT user_id AS run_id FROM events),
+units(unit, start, members) AS (VALUES ('c1.1', 0, 'c1.1'), ('c1.2', 1, 'c1.2'), ('c2.2', 2, 'c2.2'), ('c5.2', 3, 'c5.2'),
+                                       ('c1.3', 4, 'c1.3,u1.2,d1.2'), ('c2.3', 7, 'c2.3,r1.2,d2.2'))
+SELECT run_id, unit, CAST(start AS INTEGER) AS start, members FROM runs, units"""

@@ -551,3 +551,14 @@ def q_repair_prompts(spark, sf):
         F.md5(DS.repair_prompt(prompt, code, newest)).alias("repair_md5"),
         F.md5(user_msg).alias("judge_user_md5"),
     )
+
+
+@register("execution_units")
+def q_execution_units(spark, sf):
+    """Each run (user) executes the fixed benchmark order; partial chains
+    are one unit each, started at their first member's position."""
+    runs = read_table(spark, sf, "events").select(F.col("user_id").alias("run_id")).distinct()
+    order = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(t).alias("task_id")) for i, t in enumerate(CH.BENCHMARK_ORDER)])
+    tasks = runs.select("run_id", F.inline(order))
+    u = CH.execution_units(tasks, "task_id", "pos", run_cols=("run_id",))
+    return u.select("run_id", "unit", "start", F.array_join("members", ",").alias("members"))
