@@ -56,7 +56,7 @@ def sync_references(tasks: DataFrame, refs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- J6 / J7
 def missing_ids(requested: DataFrame, available: DataFrame, key: str = "task_id") -> DataFrame:
     """Requested ids absent from the dataset (case-insensitive)."""
-    r = requested.select(F.lower(F.trim(key)).alias("_k"), key)
+    r = requested.withColumn("_k", F.lower(F.trim(key)))
     a = available.select(F.lower(F.trim(key)).alias("_k"))
     return r.join(a, "_k", "left_anti").drop("_k")
 

@@ -1027,3 +1027,12 @@ WITH runs AS (SELECT DISTINCT user_id AS run_id FROM events),
 units(unit, start, members) AS (VALUES ('c1.1', 0, 'c1.1'), ('c1.2', 1, 'c1.2'), ('c2.2', 2, 'c2.2'), ('c5.2', 3, 'c5.2'),
                                        ('c1.3', 4, 'c1.3,u1.2,d1.2'), ('c2.3', 7, 'c2.3,r1.2,d2.2'))
 SELECT run_id, unit, CAST(start AS INTEGER) AS start, members FROM runs, units"""
+
+ORACLE["requested_tasks"] = f"""
+WITH {V_BENCH},
+req(task_id, rank) AS (VALUES ('c1.1', 1), ('c1.2', 2), ('c2.2', 3), ('c5.2', 4), ('c1.3', 5), ('u1.2', 6),
+                              ('d1.2', 7), ('c2.3', 8), ('r1.2', 9), ('d2.2', 10)),
+avail AS (SELECT lower(trim(task_id)) AS task_id, max(item_id) AS item_id FROM bt2 GROUP BY 1)
+SELECT req.task_id, CAST(req.rank AS INTEGER) AS rank, avail.item_id,
+       CASE WHEN avail.task_id IS NULL THEN 'missing' ELSE 'present' END AS status
+FROM req LEFT JOIN avail USING (task_id)"""

@@ -562,3 +562,19 @@ def q_execution_units(spark, sf):
     tasks = runs.select("run_id", F.inline(order))
     u = CH.execution_units(tasks, "task_id", "pos", run_cols=("run_id",))
     return u.select("run_id", "unit", "start", F.array_join("members", ",").alias("members"))
+
+
+@register("requested_tasks")
+def q_requested_tasks(spark, sf):
+    """J6 + J7 + T3: the fixed benchmark ids against the tasks present in the
+    data: present ids in requested order (the last duplicate, by item, wins),
+    missing ids listed."""
+    tasks = B.bench_tasks(spark, sf).select("task_id", "item_id")
+    present = RP.in_requested_order(tasks, CH.BENCHMARK_ORDER, "item_id").select(
+        F.lower("task_id").alias("task_id"), F.col("_rank").alias("rank"), "item_id", F.lit("present").alias("status"))
+    requested = spark.range(len(CH.BENCHMARK_ORDER)).select(
+        F.element_at(F.array(*[F.lit(t) for t in CH.BENCHMARK_ORDER]), (F.col("id") + 1).cast("int")).alias("task_id"),
+        (F.col("id") + 1).cast("int").alias("rank"))
+    missing = RP.missing_ids(requested, tasks).select(
+        "task_id", "rank", F.lit(None).cast("long").alias("item_id"), F.lit("missing").alias("status"))
+    return present.unionByName(missing)
