@@ -571,7 +571,8 @@ def q_requested_tasks(spark, sf):
     missing ids listed."""
     tasks = B.bench_tasks(spark, sf).select("task_id", "item_id")
     present = RP.in_requested_order(tasks, CH.BENCHMARK_ORDER, "item_id").select(
-        F.lower("task_id").alias("task_id"), F.col("_rank").alias("rank"), "item_id", F.lit("present").alias("status"))
+        F.lower("task_id").alias("task_id"), F.col("_rank").cast("int").alias("rank"), "item_id",
+        F.lit("present").alias("status"))
     requested = spark.range(len(CH.BENCHMARK_ORDER)).select(
         F.element_at(F.array(*[F.lit(t) for t in CH.BENCHMARK_ORDER]), (F.col("id") + 1).cast("int")).alias("task_id"),
         (F.col("id") + 1).cast("int").alias("rank"))
