@@ -123,10 +123,6 @@ def _compact(*items: Column) -> Column:
     return F.array_compact(F.concat(*items))
 
 
-def _when_arr(cond: Column, value: str) -> Column:
-    return F.when(cond, F.array(F.lit(value))).otherwise(F.array().cast("array<string>"))
-
-
 def _vm_changes(col: str = "resource_changes") -> Column:
     return F.filter(F.col(col), lambda v: v["type"] == VM_TYPE)
 

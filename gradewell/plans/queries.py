@@ -168,14 +168,10 @@ def q_code_extraction(spark, sf):
         f.select("conv_id", "turn", "category"), ["conv_id", "turn"]
     ).select(
         "conv_id", "turn", "code", F.length("code").alias("code_chars"),
-        _no_usable_code(F.col("code"), F.col("category")).alias("no_usable_code"),
+        no_usable_code(F.col("code"), F.col("category")).alias("no_usable_code"),
     )
 
 
-def _no_usable_code(code, category):
-    return no_usable_code(code, category)
-
-
 @register("text_hygiene")
 def q_text_hygiene(spark, sf):
     t = B.error_texts(spark, sf)
