@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.passk import K_VALUES, pass_at_k
-from ..operators.metrics import METRICS, truthy
+from ..operators.metrics import METRICS, macro_average, truthy
 from ..session import ensure_checkpoint_dir
 
 
@@ -62,10 +62,28 @@ def run_to_completion(spark: SparkSession, counts_stream: DataFrame, name: str |
 
 
 def foreach_batch_pass_at_k(sink_path: str):
-    """A ``foreachBatch`` function that rewrites the pass@k table per micro-batch
-    (complete-mode counts in, idempotent overwrite out)."""
+    """A ``foreachBatch`` function that rewrites, per micro-batch, the pass@k
+    table (A2) and its macro averages (A3) from the complete-mode counts.
+    Overwrites make a replayed epoch idempotent."""
 
     def _write(batch: DataFrame, epoch_id: int) -> None:
-        pass_at_k_from_counts(batch).write.mode("overwrite").parquet(sink_path)
+        per_task = pass_at_k_from_counts(batch)
+        per_task.write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/per_task")
+        macro_average(per_task).write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/summary")
 
     return _write
+
+
+def run_with_sink(spark: SparkSession, counts_stream: DataFrame, sink_path: str,
+                  checkpoint_root: str | None = None) -> None:
+    """Drain available results through ``foreach_batch_pass_at_k`` (complete mode)."""
+    name = f"st1_sink_{uuid.uuid4().hex[:8]}"
+    root = checkpoint_root or ensure_checkpoint_dir(spark)
+    q = (
+        counts_stream.writeStream.outputMode("complete")
+        .foreachBatch(foreach_batch_pass_at_k(sink_path))
+        .option("checkpointLocation", f"{root.rstrip('/')}/streams/{name}")
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()

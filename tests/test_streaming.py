@@ -21,3 +21,20 @@ def test_stream_equals_batch_with_redelivery(spark, tmp_path):
     g = sorted(tuple(r) for r in got.collect())
     w = sorted(tuple(r) for r in want.select(*got.columns).collect())
     assert g == w and len(g) == 3
+
+
+def test_foreach_batch_sink_without_watermark(spark, tmp_path):
+    rows = [(f"e{i}", f"T{i % 4}", None, i % 3 != 0, i % 2 == 0, i % 5 == 0) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    src = tmp_path / "results"
+    df.write.parquet(str(src / "a"))
+    df.limit(10).write.parquet(str(src / "b"))  # re-delivery
+    stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").parquet(str(src))
+    counts = ST.task_counts_stream(stream, key="entry_id")
+    out = str(tmp_path / "sink")
+    ST.run_with_sink(spark, counts, out, checkpoint_root=str(tmp_path / "ckpt"))
+    got = sorted(tuple(r) for r in spark.read.parquet(out + "/per_task").collect())
+    want = sorted(tuple(r) for r in M.pass_at_k_table(df).select(*spark.read.parquet(out + "/per_task").columns).collect())
+    assert got == want
+    s = spark.read.parquet(out + "/summary").first()
+    assert s.unique_tasks == 4 and s.pass1_plan is not None
