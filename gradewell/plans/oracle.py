@@ -1036,3 +1036,15 @@ avail AS (SELECT lower(trim(task_id)) AS task_id, max(item_id) AS item_id FROM b
 SELECT req.task_id, CAST(req.rank AS INTEGER) AS rank, avail.item_id,
        CASE WHEN avail.task_id IS NULL THEN 'missing' ELSE 'present' END AS status
 FROM req LEFT JOIN avail USING (task_id)"""
+
+ORACLE["snapshot_names"] = """
+WITH d AS (SELECT doc_id, text AS content,
+                  regexp_replace(regexp_replace(regexp_replace(' run/' || source || ' :: ' || lang || '!',
+                      '[^A-Za-z0-9_-]+', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS label,
+                  sha256(text) AS digest
+           FROM documents WHERE coalesce(length(text), 0) > 0),
+f AS (SELECT label, min(digest) AS first FROM d GROUP BY label)
+SELECT doc_id, label,
+       'terraform_tfstate_pre_destroy_' || label || CASE WHEN digest <> first THEN '_' || left(digest, 8) ELSE '' END || '.json'
+         AS snapshot_name
+FROM d JOIN f USING (label)"""

@@ -575,3 +575,14 @@ def q_requested_tasks(spark, sf):
     missing = RP.missing_ids(requested, tasks).select(
         "task_id", "rank", F.lit(None).cast("long").alias("item_id"), F.lit("missing").alias("status"))
     return present.unionByName(missing)
+
+
+@register("snapshot_names")
+def q_snapshot_names(spark, sf):
+    """S13 + F26: documents as state snapshots labelled by their source (with
+    spaces and punctuation added to exercise the clean-up); empty ones are
+    skipped, a taken label gets a unique digest suffix."""
+    d = read_table(spark, sf, "documents").select(
+        "doc_id", F.concat(F.lit(" run/"), F.col("source"), F.lit(" :: "), F.col("lang"), F.lit("!")).alias("label"),
+        F.col("text").alias("content"))
+    return SK.snapshot_rows(d, "label").select("doc_id", "label", "snapshot_name")
