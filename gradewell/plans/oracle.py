@@ -1048,3 +1048,11 @@ SELECT doc_id, label,
        'terraform_tfstate_pre_destroy_' || label || CASE WHEN digest <> first THEN '_' || left(digest, 8) ELSE '' END || '.json'
          AS snapshot_name
 FROM d JOIN f USING (label)"""
+
+ORACLE["distribution_document"] = f"""
+WITH {V_HCL}, s AS ({_scored('hcl', 'doc')}),
+per_type AS (SELECT resource_type, count(DISTINCT doc) AS n_tasks
+             FROM (SELECT doc, unnest(resource_types) AS resource_type FROM s) GROUP BY resource_type)
+SELECT (SELECT count(*) FROM s) AS total_tasks_scored, CAST(count(*) AS INTEGER) AS n_types,
+       string_agg(resource_type || '=' || CAST(n_tasks AS VARCHAR), ',' ORDER BY resource_type) AS resource_type_counts
+FROM per_type"""

@@ -586,3 +586,15 @@ def q_snapshot_names(spark, sf):
         "doc_id", F.concat(F.lit(" run/"), F.col("source"), F.lit(" :: "), F.col("lang"), F.lit("!")).alias("label"),
         F.col("text").alias("content"))
     return SK.snapshot_rows(d, "label").select("doc_id", "label", "snapshot_name")
+
+
+@register("distribution_document")
+def q_distribution_document(spark, sf):
+    """The resource-type distribution as one document row
+    (total_tasks_scored + a type -> count map, rendered sorted for comparison)."""
+    scored = _scored_brands(spark, sf)
+    doc = SK.distribution_document(CX.type_distribution(scored, "doc"), CX.scoring_summary(scored))
+    counts = F.array_join(F.transform(F.array_sort(F.map_entries("resource_type_counts")),
+                                      lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return doc.select("total_tasks_scored", F.size("resource_type_counts").alias("n_types"),
+                      counts.alias("resource_type_counts"))
