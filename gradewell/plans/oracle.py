@@ -1056,3 +1056,15 @@ per_type AS (SELECT resource_type, count(DISTINCT doc) AS n_tasks
 SELECT (SELECT count(*) FROM s) AS total_tasks_scored, CAST(count(*) AS INTEGER) AS n_types,
        string_agg(resource_type || '=' || CAST(n_tasks AS VARCHAR), ',' ORDER BY resource_type) AS resource_type_counts
 FROM per_type"""
+
+ORACLE["verdict_writeback"] = f"""
+WITH {V_JUDGED}, {V_VERDICTS}
+SELECT doc_id AS entry_id,
+       CASE WHEN doc_id % 2 = 0 THEN verdict WHEN doc_id % 3 = 0 THEN 'Correct' END AS verdict,
+       CASE WHEN doc_id % 2 = 0 THEN 'judge-1' WHEN doc_id % 3 = 0 THEN 'judge-0' END AS judge_model
+FROM jv"""
+
+ORACLE["artifacts_roundtrip"] = f"""
+WITH {V_ATTEMPTS}
+SELECT CAST(run_id AS VARCHAR) AS task_id, stage AS kind, count(*) AS n, max(iteration) AS last_iteration
+FROM att GROUP BY 1, 2"""

@@ -598,3 +598,36 @@ def q_distribution_document(spark, sf):
                                       lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
     return doc.select("total_tasks_scored", F.size("resource_type_counts").alias("n_types"),
                       counts.alias("resource_type_counts"))
+
+
+@register("verdict_writeback")
+def q_verdict_writeback(spark, sf):
+    """Entries (judged rows) get a new judge verdict for even ids; others keep
+    the stored one (ids % 3 = 0) or stay without."""
+    j = AG.with_verdict(B.judged(spark, sf))
+    old = F.when(F.col("doc_id") % 3 == 0, F.struct(
+        F.lit("Correct").alias("verdict"), F.lit("judge-0").alias("judge_model"), F.lit("stored").alias("raw_response")))
+    entries = j.select(F.col("doc_id").alias("entry_id"), "task_id", old.alias("judge_verdict"))
+    verdicts = j.filter(F.col("doc_id") % 2 == 0).select(
+        F.col("doc_id").alias("entry_id"), "verdict", F.lit("judge-1").alias("judge_model"),
+        F.col("judge_text").alias("raw_response"))
+    w = SK.with_verdicts(entries, verdicts)
+    return w.select("entry_id", F.col("judge_verdict.verdict").alias("verdict"),
+                    F.col("judge_verdict.judge_model").alias("judge_model"))
+
+
+@register("artifacts_roundtrip")
+def q_artifacts_roundtrip(spark, sf):
+    """The iteration log written as a long artifact table partitioned by
+    task under the shared checkpoint folder, read back and counted."""
+    import uuid
+
+    log = B.attempt_log(spark, sf)
+    arts = log.select(
+        F.col("run_id").cast("string").alias("task_id"), F.lit(1).alias("sample"), "iteration",
+        F.col("stage").alias("kind"), F.concat(F.lit("iteration "), F.col("iteration").cast("string")).alias("content"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/artifacts-{uuid.uuid4().hex[:12]}"
+    SK.write_artifacts(arts, path)
+    # explicit schema: partition values stay text (no type inference from folder names)
+    back = spark.read.schema(arts.schema).parquet(path)
+    return back.groupBy("task_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("iteration").alias("last_iteration"))
