@@ -1068,3 +1068,5 @@ ORACLE["artifacts_roundtrip"] = f"""
 WITH {V_ATTEMPTS}
 SELECT CAST(run_id AS VARCHAR) AS task_id, stage AS kind, count(*) AS n, max(iteration) AS last_iteration
 FROM att GROUP BY 1, 2"""
+
+ORACLE["plans_roundtrip_spec_check"] = ORACLE["spec_check"]

@@ -631,3 +631,45 @@ def q_artifacts_roundtrip(spark, sf):
     # explicit schema: partition values stay text (no type inference from folder names)
     back = spark.read.schema(arts.schema).parquet(path)
     return back.groupBy("task_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("iteration").alias("last_iteration"))
+
+
+@register("plans_roundtrip_spec_check")
+def q_plans_roundtrip(spark, sf):
+    """S5 + P6 end to end: the plan rows are written as nested plan JSON
+    (before/after states, disk lists; JSON Lines under the shared checkpoint
+    folder), read back with the plan reader and rule-checked. The result must
+    equal ``spec_check`` computed from the rows directly."""
+    import uuid
+
+    rows = B.plan_rows(spark, sf)
+    deleting = F.array_contains("actions", "delete") & ~F.array_contains("actions", "create")
+    state = F.struct(
+        F.col("name_label"), F.col("memory_max"), F.col("cpus"),
+        F.transform("disk_sizes", lambda d: F.struct(d.alias("size"))).alias("disk"),
+    )
+    change = F.struct(
+        F.col("pos"), F.col("type"),
+        F.concat(F.col("type"), F.lit(".vm_"), F.col("pos").cast("string")).alias("address"),
+        F.concat(F.lit("vm_"), F.col("pos").cast("string")).alias("name"),
+        F.struct(
+            F.col("actions"),
+            F.when(F.array_contains("actions", "delete") | F.array_contains("actions", "update"),
+                   F.struct(F.col("name_label"))).alias("before"),
+            F.when(~deleting, state).alias("after"),
+        ).alias("change"),
+    )
+    # one document per plan: a plan is one document in the source format
+    docs = rows.groupBy("plan_id").agg(F.array_sort(F.collect_list(change)).alias("rc")).select(
+        F.col("plan_id").cast("string").alias("plan_key"), F.transform("rc", lambda c: c.dropFields("pos")).alias("resource_changes"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/plans-{uuid.uuid4().hex[:12]}"
+    docs.write.mode("overwrite").json(path)
+    back = RD.read_plans(spark, path, key_field="plan_key").select(
+        F.col("plan_id").cast("long").alias("plan_id"), "resource_changes")
+    plans = RU.plan_documents(RD.plan_change_rows(back))
+    r = RU.check_plans(plans, B.specs(spark, sf))
+    return r.select(
+        "plan_id", "category", "passed", F.size("errors").alias("n_errors"),
+        F.array_join("errors", " | ").alias("errors"), _checks_text(F.col("checks")).alias("checks"),
+        _checks_text(F.col("checks"), "ok").alias("checks_true"),
+        "had_replace_actions",
+    )

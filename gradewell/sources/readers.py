@@ -149,16 +149,24 @@ PLAN_SCHEMA = _st(
 )
 
 
-def read_plans(spark: SparkSession, path: str) -> DataFrame:
+def read_plans(spark: SparkSession, path: str, key_field: str | None = None) -> DataFrame:
     """Plan JSON documents; an unreadable document keeps its text in
-    ``_corrupt_record`` (the reference's ``(None, error)`` return)."""
-    return (
-        spark.read.schema(PLAN_SCHEMA)
+    ``_corrupt_record`` (the reference's ``(None, error)`` return).
+
+    By default each file is one (pretty-printed) document and ``plan_id`` is
+    its file name; with ``key_field`` the input is JSON Lines and each
+    document carries its own key in that field."""
+    schema = PLAN_SCHEMA if key_field is None else T.StructType(
+        [T.StructField(key_field, T.StringType())] + PLAN_SCHEMA.fields)
+    df = (
+        spark.read.schema(schema)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(path, multiLine=True)
-        .withColumn("plan_id", F.col("_metadata.file_name"))
+        .json(path, multiLine=key_field is None)
     )
+    if key_field is None:
+        return df.withColumn("plan_id", F.col("_metadata.file_name"))
+    return df.withColumnRenamed(key_field, "plan_id")
 
 
 def plan_change_rows(plans: DataFrame, key: str = "plan_id") -> DataFrame:
