@@ -1070,3 +1070,16 @@ SELECT CAST(run_id AS VARCHAR) AS task_id, stage AS kind, count(*) AS n, max(ite
 FROM att GROUP BY 1, 2"""
 
 ORACLE["plans_roundtrip_spec_check"] = ORACLE["spec_check"]
+
+ORACLE["tasks_csv_roundtrip"] = f"""
+WITH {V_BENCH}, {V_HCL}
+SELECT 'T' || CAST(bt2.item_id AS VARCHAR) AS task_id, category, md5(prompt) AS prompt_md5,
+       md5(frag.hcl) AS reference_md5, CAST(length(prompt) AS INTEGER) AS prompt_chars
+FROM bt2 LEFT JOIN frag ON frag.frag_pos = bt2.item_id
+WHERE bt2.item_id % 10 <> 9"""
+
+ORACLE["conversations_roundtrip"] = """
+SELECT CAST(conv_id AS VARCHAR) AS conv_id,
+       CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS BIGINT) AS turn,
+       role, md5(text) AS content_md5
+FROM conversations"""

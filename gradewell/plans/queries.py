@@ -673,3 +673,38 @@ def q_plans_roundtrip(spark, sf):
         _checks_text(F.col("checks"), "ok").alias("checks_true"),
         "had_replace_actions",
     )
+
+
+@register("tasks_csv_roundtrip")
+def q_tasks_csv_roundtrip(spark, sf):
+    """S1 + P4: a task table with multi-line prompts and quoted HCL is written as
+    CSV (quotes doubled) under the shared checkpoint folder and read back with
+    the task reader; rows with a blank id are dropped on reading."""
+    import uuid
+
+    t = B.bench_tasks(spark, sf)
+    frags = B.hcl_fragments(spark, sf).select(F.col("frag_pos").alias("item_id"), F.col("hcl").alias("reference_hcl"))
+    rows = t.join(frags, "item_id", "left").select(
+        F.when(F.col("item_id") % 10 == 9, F.lit("  ")).otherwise(F.concat(F.lit("T"), F.col("item_id").cast("string")))
+        .alias("task_id"),
+        "category", F.lit("detailed").alias("prompt_type"), "prompt", "reference_hcl")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tasks-{uuid.uuid4().hex[:12]}"
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    back = RD.read_tasks(spark, path)
+    return back.select("task_id", "category", F.md5("prompt").alias("prompt_md5"),
+                       F.md5("reference_hcl").alias("reference_md5"), F.length("prompt").alias("prompt_chars"))
+
+
+@register("conversations_roundtrip")
+def q_conversations_roundtrip(spark, sf):
+    """Turns grouped into one message array per conversation (JSON Lines
+    under the shared checkpoint folder), read back and exploded to turns."""
+    import uuid
+
+    cv = read_table(spark, sf, "conversations").select(
+        F.col("conv_id").cast("string").alias("file"), "turn", "role", F.col("text").alias("content"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/conversations-{uuid.uuid4().hex[:12]}"
+    SK.write_conversations(cv, path)
+    back = RD.read_conversations(spark, path, key_field="file")
+    return back.select(F.col("file").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role",
+                       F.md5("content").alias("content_md5"))

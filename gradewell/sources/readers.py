@@ -240,9 +240,14 @@ def infra_context(states: DataFrame, key: str = "state_id") -> DataFrame:
 CONVERSATION_SCHEMA = T.ArrayType(_st(("role", S), ("content", S)))
 
 
-def read_conversations(spark: SparkSession, path: str) -> DataFrame:
-    """One conversation per JSON file (array of role/content); exploded to turns."""
-    raw = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("file"), F.from_json("value", CONVERSATION_SCHEMA).alias("messages"))
+def read_conversations(spark: SparkSession, path: str, key_field: str | None = None) -> DataFrame:
+    """One conversation per JSON file (array of role/content), or with
+    ``key_field`` JSON Lines of ``{key_field, messages}``; exploded to turns."""
+    if key_field is None:
+        raw = spark.read.text(path, wholetext=True).select(
+            F.col("_metadata.file_name").alias("file"), F.from_json("value", CONVERSATION_SCHEMA).alias("messages"))
+    else:
+        schema = T.StructType([T.StructField(key_field, T.StringType()), T.StructField("messages", CONVERSATION_SCHEMA)])
+        raw = spark.read.schema(schema).json(path).select(F.col(key_field).alias("file"), "messages")
     return raw.select("file", F.posexplode("messages").alias("turn", "m")).select(
         "file", "turn", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
