@@ -1083,3 +1083,5 @@ SELECT CAST(conv_id AS VARCHAR) AS conv_id,
        CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS BIGINT) AS turn,
        role, md5(text) AS content_md5
 FROM conversations"""
+
+ORACLE["states_roundtrip_context"] = ORACLE["infra_context"]

@@ -708,3 +708,22 @@ def q_conversations_roundtrip(spark, sf):
     back = RD.read_conversations(spark, path, key_field="file")
     return back.select(F.col("file").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role",
                        F.md5("content").alias("content_md5"))
+
+
+@register("states_roundtrip_context")
+def q_states_roundtrip(spark, sf):
+    """S6 + P8: the per-customer state documents written as JSON Lines under the
+    shared checkpoint folder, read back with the state reader (attributes as raw
+    JSON text) and reduced to their identifier context; equals infra_context."""
+    import uuid
+
+    docs = B.state_documents(spark, sf).select(F.col("state_id").cast("string").alias("state_key"), "resources")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/states-{uuid.uuid4().hex[:12]}"
+    docs.write.mode("overwrite").json(path)
+    back = RD.read_states(spark, path, key_field="state_key").withColumn("state_id", F.col("state_id").cast("long"))
+    ctx = RD.infra_context(back)
+    return ctx.select(
+        "state_id", "kind", "type", F.col("rpos").alias("resource_pos"), F.size("fields").alias("n_fields"),
+        F.array_join(F.array_sort(F.map_keys("fields")), ",").alias("field_keys"),
+        F.col("fields")["name_label"].alias("name_label_json"),
+    )

@@ -201,13 +201,19 @@ VM_KEYS = ("id", "uuid", "name_label", "name", "cpus", "memory_max", "power_stat
            "wait_for_ip", "name_description")
 
 
-def read_states(spark: SparkSession, path: str) -> DataFrame:
-    """State documents; ``attributes`` stays raw JSON text (heterogeneous)."""
-    return (
-        spark.read.schema(STATE_SCHEMA).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record").json(path, multiLine=True)
-        .withColumn("state_id", F.col("_metadata.file_name"))
+def read_states(spark: SparkSession, path: str, key_field: str | None = None) -> DataFrame:
+    """State documents; ``attributes`` stays raw JSON text (heterogeneous).
+    One document per file (``state_id`` = file name), or with ``key_field``
+    JSON Lines whose documents carry their own key."""
+    schema = STATE_SCHEMA if key_field is None else T.StructType(
+        [T.StructField(key_field, T.StringType())] + STATE_SCHEMA.fields)
+    df = (
+        spark.read.schema(schema).option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_corrupt_record").json(path, multiLine=key_field is None)
     )
+    if key_field is None:
+        return df.withColumn("state_id", F.col("_metadata.file_name"))
+    return df.withColumnRenamed(key_field, "state_id")
 
 
 def infra_context(states: DataFrame, key: str = "state_id") -> DataFrame:
