@@ -32,15 +32,16 @@ def rewrite(df: DataFrame, new_path: str, fmt: str = "parquet") -> str:
 
 
 def distribution_document(per_type: DataFrame, summary: DataFrame) -> DataFrame:
-    """``{total_tasks_scored, resource_type_counts{}}`` as one row. The map
-    is bounded by the resource-type vocabulary; both sides are one-row frames
-    combined on a constant key."""
-    counts = per_type.agg(
-        F.map_from_entries(F.collect_list(F.struct("resource_type", "n_tasks"))).alias("resource_type_counts"))
-    return (
-        summary.select("total_tasks_scored", F.lit(1).alias("_k"))
-        .join(counts.withColumn("_k", F.lit(1)), "_k")
-        .drop("_k")
+    """``{total_tasks_scored, resource_type_counts{}}`` as one row. The
+    per-type rows and the total are stacked and folded by one aggregate; the map
+    is bounded by the resource-type vocabulary."""
+    stacked = per_type.select(F.lit(False).alias("_total"), "resource_type", F.col("n_tasks").cast("long").alias("n")).unionByName(
+        summary.select(F.lit(True).alias("_total"), F.lit(None).cast("string").alias("resource_type"),
+                       F.col("total_tasks_scored").cast("long").alias("n")))
+    return stacked.agg(
+        F.max(F.when(F.col("_total"), F.col("n"))).alias("total_tasks_scored"),
+        F.map_from_entries(F.filter(F.collect_list(F.when(~F.col("_total"), F.struct("resource_type", "n"))),
+                                    lambda e: e.isNotNull())).alias("resource_type_counts"),
     )
 
 
