@@ -164,9 +164,7 @@ def q_ground_truth_unmatched(spark, sf):
 def q_code_extraction(spark, sf):
     f = B.fenced(spark, sf)
     code = TX.extract_code("response")
-    return f.select("conv_id", "turn", code.alias("code")).join(
-        f.select("conv_id", "turn", "category"), ["conv_id", "turn"]
-    ).select(
+    return f.select("conv_id", "turn", "category", code.alias("code")).select(
         "conv_id", "turn", "code", F.length("code").alias("code_chars"),
         no_usable_code(F.col("code"), F.col("category")).alias("no_usable_code"),
     )
