@@ -53,9 +53,16 @@ def with_verdicts(entries: DataFrame, verdicts: DataFrame, key: str = "entry_id"
     return j.withColumn("judge_verdict", F.coalesce(F.col("_new"), old)).drop("_new")
 
 
-def write_artifacts(artifacts: DataFrame, path: str) -> None:
-    """Long table (task_id, sample, iteration, kind, content) partitioned by task."""
-    artifacts.write.mode("append").partitionBy("task_id").parquet(path)
+def write_artifacts(artifacts: DataFrame, path: str, files_per_task: int = 4) -> None:
+    """Long table (task_id, sample, iteration, kind, content) partitioned by task.
+
+    Rows are clustered by (task, one of ``files_per_task`` hash buckets) before
+    the write, so each task folder receives at most that many files (instead of
+    one per shuffle partition) while a hot task is still written by several
+    tasks in parallel."""
+    bucket = F.pmod(F.xxhash64("sample", "iteration", "kind"), F.lit(files_per_task))
+    (artifacts.repartition("task_id", bucket)
+     .write.mode("append").partitionBy("task_id").parquet(path))
 
 
 def snapshot_rows(states: DataFrame, label_col: str, content_col: str = "content") -> DataFrame:
