@@ -56,6 +56,13 @@ MSG = {
 }
 
 CHECK_T = "array<struct<check:string,passed:boolean,ok:boolean>>"
+# Spec fields a rule may read; absent columns read as typed nulls.
+SPEC_TYPES = {
+    "vm_count": "bigint", "min_vm_count": "bigint", "max_vm_count": "bigint", "per_vm_memory_max": "bigint",
+    "per_vm_cpus": "bigint", "per_vm_disk_size": "bigint", "vm_names": "array<string>", "max_total_ram_gb": "double",
+    "max_total_cpus": "bigint", "updated_field": "string", "new_value": "bigint", "target_vm": "string",
+    "target_vms": "array<string>", "delete_count": "bigint",
+}
 
 
 def _check(name: str, passed: Column, ok: Column | None = None) -> Column:
@@ -344,6 +351,25 @@ def projected_totals(changes: Column) -> Column:
     )
 
 
+def plan_quota_totals(plans: DataFrame, key: str = "plan_id") -> DataFrame:
+    """J9 + W7 relationally, for large plan documents: explode the VM changes,
+    keep the last write per (plan, name) with ``max_by`` and drop deletes, then
+    sum per plan. Both aggregates are satisfied by the plan-key partitioning
+    that assembling plan documents already produced (no extra shuffle)."""
+    ev = plans.select(key, F.explode(_vm_changes()).alias("c")).filter(
+        (F.coalesce(F.col("c.name_label"), F.lit("")) != "")
+        & F.col("c.action").isin("create", "update", "replace", "delete"))
+    last = ev.groupBy(key, F.col("c.name_label").alias("_name")).agg(F.max_by("c", F.col("c.pos")).alias("c"))
+    zero = F.lit(0).cast("long")
+    disk = F.aggregate(F.coalesce(F.col("c.disk_sizes"), F.array().cast("array<bigint>")), zero,
+                       lambda a, d: a + F.coalesce(d, zero))
+    return last.filter(F.col("c.action") != "delete").groupBy(key).agg(
+        F.sum(F.coalesce(F.col("c.memory_max"), zero)).alias("_q_ram"),
+        F.sum(F.coalesce(F.col("c.cpus"), zero)).alias("_q_cpu"),
+        F.sum(disk).alias("_q_disk"),
+    )
+
+
 def host_quota(state_rows: DataFrame, host_col: str, name_col: str, order_cols: list[str]) -> DataFrame:
     """V5 over a host table.
 
@@ -391,18 +417,21 @@ def register_rule(category: str, rule: Callable) -> None:
 
 
 def check_plans(plans: DataFrame, specs: DataFrame, key: str = "plan_id", task_col: str | None = None,
-                broadcast_specs: bool = False) -> DataFrame:
+                broadcast_specs: bool = False, quota: str = "in_document") -> DataFrame:
     """V6 + J4: plans left-joined to specs; dispatch by category; quota errors appended.
 
     ``broadcast_specs``: set when the spec table has a proven small size (a
     spec file read on the driver, ``readers.read_specs``); data-sized spec
     tables are left to the planner and AQE.
+    ``quota``: ``"in_document"`` (array expressions per plan, best for plans of
+    ordinary size) or ``"relational"`` (``plan_quota_totals``, linear in plan
+    size, for very large plan documents); results are identical.
     Output: key, category, passed, errors, checks, had_replace_actions.
     """
     spec_cols = [c for c in specs.columns if c != key]
     sp = specs.withColumn("_has_spec", F.lit(True))
     j = plans.join(F.broadcast(sp) if broadcast_specs else sp, key, "left")
-    s = lambda c: F.col(c) if c in spec_cols else F.lit(None)
+    s = lambda c: F.col(c) if c in spec_cols else F.lit(None).cast(SPEC_TYPES.get(c, "string"))
     task = F.trim(F.col(task_col) if task_col else F.col(key).cast("string"))
     cat = F.col("category")
 
@@ -410,7 +439,17 @@ def check_plans(plans: DataFrame, specs: DataFrame, key: str = "plan_id", task_c
     quota_src = F.when(cat == "READ", F.array().cast(plans.schema["resource_changes"].dataType)).otherwise(
         _vm_changes()
     )
-    qt = projected_totals(quota_src)
+    if quota == "relational":
+        j = j.join(plan_quota_totals(plans, key), key, "left")
+        zero = F.lit(0).cast("long")
+        is_read = cat == "READ"
+        qt = F.struct(
+            F.when(is_read, zero).otherwise(F.coalesce(F.col("_q_ram"), zero)).alias("ram"),
+            F.when(is_read, zero).otherwise(F.coalesce(F.col("_q_cpu"), zero)).alias("cpu"),
+            F.when(is_read, zero).otherwise(F.coalesce(F.col("_q_disk"), zero)).alias("disk"),
+        )
+    else:
+        qt = projected_totals(quota_src)
 
     # 1st projection: each plan's rule errors and quota errors, computed once;
     # 2nd: checks read those columns instead of re-evaluating the rules

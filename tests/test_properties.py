@@ -79,3 +79,18 @@ def test_quota_independent_of_row_order(spark, events, rnd):
     t = RU.projected_totals(F.col("resource_changes"))
     a, b = [r.t for r in df.select(t.alias("t")).orderBy(F.lit(1)).collect()]
     assert a == b
+
+
+@SETTINGS
+@given(st.lists(st.lists(st.tuples(st.sampled_from(["a", "b", ""]), st.sampled_from(["create", "update", "delete", "no-op", "replace"]),
+                                   st.integers(0, 30), st.integers(0, 40)), min_size=1, max_size=10), min_size=1, max_size=6))
+def test_relational_quota_equals_in_document(spark, plans):
+    rows = []
+    for p, evs in enumerate(plans):
+        changes = [(i + 1, "xenorchestra_vm", a, f"vm.{i}", n or None, m << 30, c, [1 << 35]) for i, (n, a, m, c) in enumerate(evs)]
+        rows.append((f"p{p}", changes))
+    docs = spark.createDataFrame(rows, f"plan_id string, resource_changes array<{CHANGE}>")
+    specs = spark.createDataFrame([(f"p{p}", "CREATE") for p in range(len(plans))], "plan_id string, category string")
+    a = {r.plan_id: (r.errors, r.checks) for r in RU.check_plans(docs, specs).collect()}
+    b = {r.plan_id: (r.errors, r.checks) for r in RU.check_plans(docs, specs, quota="relational").collect()}
+    assert a == b
