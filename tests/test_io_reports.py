@@ -202,3 +202,27 @@ def test_cli_metrics_and_complexity(spark, tmp_path):
     assert s.total_samples == 2 and s.unique_tasks == 2
     cli.run(["complexity", "--tasks", str(p), "--out", str(tmp_path / "cx")])
     assert spark.read.parquet(str(tmp_path / "cx" / "summary")).first().total_tasks_scored == 1
+
+
+def test_cli_check_plans_and_sync(spark, tmp_path):
+    from gradewell import cli
+
+    y = tmp_path / "specs.yaml"
+    y.write_text("C1.1:\n  category: CREATE\n  vm_count: 2\n")
+    pd = tmp_path / "plans"
+    pd.mkdir()
+    vm = {"type": "xenorchestra_vm", "address": "xenorchestra_vm.web", "name": "web"}
+    (pd / "C1.1.json").write_text(json.dumps({"resource_changes": [
+        {**vm, "change": {"actions": ["create"], "before": None, "after": {"name_label": "web-01", "cpus": 2}}}]}))
+    cli.run(["check-plans", "--plans", str(pd), "--specs", str(y), "--out", str(tmp_path / "spec")])
+    r = spark.read.parquet(str(tmp_path / "spec" / "spec_accuracy")).first()
+    assert r.plan_id == "C1.1" and r.passed is False and r.errors == ["SPEC ERROR: Expected 2 VMs, found 1."]
+    p = tmp_path / "tasks.csv"
+    p.write_text(CSV, encoding="utf-8")
+    refs = tmp_path / "references"
+    refs.mkdir()
+    (refs / "U1.2.tf").write_text('resource "xenorchestra_vm" "a" {}\n')
+    cli.run(["sync-references", "--tasks", str(p), "--references", str(refs), "--out", str(tmp_path / "sync")])
+    got = {x.task_id: x for x in spark.read.parquet(str(tmp_path / "sync" / "tasks")).collect()}
+    assert got["U1.2"].reference_hcl.startswith("resource") and got["U1.2"].violations == []
+    assert got["C1.1"].reference_hcl == 'resource "x" "y" {}'

@@ -53,3 +53,9 @@ def test_scans_are_pruned(spark):
     txt = df._jdf.queryExecution().executedPlan().toString()
     schema = re.search(r"ReadSchema: (struct<[^>]*>)", txt).group(1)
     assert "props" not in schema and "value" not in schema and "event_type" in schema
+
+
+def test_post_state_and_extraction_shuffles(spark, static_plans):
+    # all joins as sort-merge here (broadcast off): 7; with broadcasts allowed the digest shows 5
+    assert len(re.findall(r"Exchange hashpartitioning", plan(spark, "post_state_check"))) <= 7
+    assert "Exchange" not in plan(spark, "code_extraction")
