@@ -94,3 +94,22 @@ def test_relational_quota_equals_in_document(spark, plans):
     a = {r.plan_id: (r.errors, r.checks) for r in RU.check_plans(docs, specs).collect()}
     b = {r.plan_id: (r.errors, r.checks) for r in RU.check_plans(docs, specs, quota="relational").collect()}
     assert a == b
+
+
+CODE = st.text(alphabet=st.sampled_from(list('abc{}= "\n\t.éx_1')), min_size=0, max_size=40)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(CODE, CODE, st.sampled_from(["hcl", "HCL", "tf", "terraform", ""])), min_size=1, max_size=20))
+def test_extract_code_fenced_blocks(spark, cases):
+    rows = []
+    for first, last, tag in cases:
+        body = last.strip()
+        # a tag word at the start of a body would be read as a language tag; keep bodies unambiguous
+        if body.lower().startswith(("hcl", "terraform", "tf")):
+            body = "x" + body
+        rows.append((f"```hcl\n{first}\n```\nthen:\n```{tag}\n{body}\n```", body, first.strip()))
+    df = spark.createDataFrame(rows, "r string, body string, first string")
+    for got, body, first in df.select(T.extract_code("r"), "body", "first").collect():
+        want = body if body else (first if first and not first.lower().startswith(("hcl", "terraform", "tf")) else got)
+        assert got == want
