@@ -129,7 +129,7 @@ def vm_ram_ok(actual_memory: Column | str, vm_details: Column | str) -> Column:
     tol = F.floor(F.lit(RAM_MARGIN) * target)
     ok = F.forall(
         _c(vm_details),
-        lambda v: F.abs(F.round(F.coalesce(v["ram_gb"], F.lit(0.0)) * GIB).cast("long") - target) <= tol,
+        lambda v: F.abs(F.bround(F.coalesce(v["ram_gb"], F.lit(0.0)) * GIB, 0).cast("long") - target) <= tol,
     )
     return F.when(F.coalesce(F.size(_c(vm_details)), F.lit(0)) > 0, ok)
 
