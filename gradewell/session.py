@@ -81,3 +81,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers: once per application, as a zip that Spark
+    hands to every executor. Needed where the driver found the package by its own ``sys.path``."""
+    import pathlib
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_gradewell_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="gradewell-zip-"), "gradewell_package.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"{root.name}/{p.relative_to(root)}")
+    sc.addPyFile(target)
+    sc._gradewell_shipped = True
