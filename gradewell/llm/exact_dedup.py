@@ -21,6 +21,7 @@ from contextlib import contextmanager
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import scratch, text_or_empty, written
 
@@ -56,10 +57,10 @@ def locators(docs: DataFrame) -> Column:
         return F.lit(None).cast("struct<file: string, row: bigint>")
 
 
-def remembered(spark: SparkSession, signatures: str, state: str, **options: str) -> DataFrame:
+def remembered(spark: SparkSession, signatures: str, schema: T.StructType, state: str, **options: str) -> DataFrame:
     """Stream a folder of (id, digest, place) rows through the keyed state; one row per digest so far."""
     table = f"{state}/changed"
-    rows = spark.readStream.schema(spark.read.parquet(signatures).schema).options(**options).parquet(signatures)
+    rows = spark.readStream.schema(schema).options(**options).parquet(signatures)
     seen = rows.groupBy("digest").agg(
         F.max("id").alias("keep_id"), F.max_by("place", "id").alias("place"), F.count("*").alias("group_size")
     )
@@ -68,6 +69,7 @@ def remembered(spark: SparkSession, signatures: str, state: str, **options: str)
         changed.write.mode("overwrite").parquet(f"{table}/batch={batch}")
 
     with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB,
+                  spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
                   spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
                   spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="256"):
         query = (
@@ -75,9 +77,9 @@ def remembered(spark: SparkSession, signatures: str, state: str, **options: str)
             .option("checkpointLocation", f"{state}/stream").start()
         )
         query.awaitTermination()
-    schema = seen.schema.add("batch", "long")
+    kept = T.StructType([*seen.schema.fields, T.StructField("batch", T.LongType())])
     return (
-        spark.read.schema(schema).parquet(table)
+        spark.read.schema(kept).parquet(table)
         .groupBy("digest")
         .agg(F.max_by(F.struct("keep_id", "place", "group_size"), "batch").alias("x"))
         .select("digest", "x.*")
@@ -111,7 +113,7 @@ def duplicate_report(
     if digest is sha256:
         signed = signed.drop("text_sha256")
     signed.write.parquet(f"{folder}/signatures")
-    state = written(spark, remembered(spark, f"{folder}/signatures", f"{folder}/state", **stream_options), "dedup-state")
+    state = written(spark, remembered(spark, f"{folder}/signatures", signed.schema, f"{folder}/state", **stream_options), "dedup-state")
     # a Bloom filter of the hits, of bounded size, keeps other texts out of the shuffle
     with settings(spark, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0"):
         groups = checked_groups(spark, plain, state, digest)

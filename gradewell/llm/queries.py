@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import read_table
 from . import chat, decontaminate, exact_dedup, html_extract, jaccard_join, packing, quality, sharding, token_counts, warc
 from .common import prepared
+from .oracle import ORACLE as ORACLE
 
 VOCABULARY = "word_bpe_49k.json"
 CHAT_VOCABULARY = "byte_bpe_50k.json"
@@ -78,5 +79,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_ngram_jaccard_join,
     )
 }
-
-ORACLE: dict[str, str] = {}
