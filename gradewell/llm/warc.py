@@ -37,6 +37,7 @@ def _base32(digest_hex: str) -> str:
 
 
 def _uri(url: str | None) -> str:
+    """The url as it stands, but for characters that a header can't hold, which are percent-encoded."""
     return urllib.parse.quote(url or "", safe="!#$&'()*+,/:;=?@[]%~-._")
 
 
@@ -189,7 +190,7 @@ def read(spark: SparkSession, path: str, id_col: str = "page_id") -> DataFrame:
                     ):
                         raise ValueError(f"payload of {headers.get('warc-record-id')} is damaged")
                     text = payload.decode() if kind == "response" else None
-                    url = urllib.parse.unquote(headers["warc-target-uri"])
+                    url = headers["warc-target-uri"]
                     rows.append((_page(headers.get("warc-record-id")), url, length, digest, kind, _page(headers.get("warc-refers-to")), text))
                     size += len(payload)
                     if size >= 4 << 20:
