@@ -48,6 +48,8 @@ def run(argv: list[str] | None = None) -> dict[str, DataFrame]:
     k = sub.add_parser("check-plans")
     k.add_argument("--plans", required=True)
     k.add_argument("--specs", required=True)
+    k.add_argument("--sample-suffix", default=r"_(?:sample|pass)\d+$",
+                   help="pattern cut from a plan file's stem to get its task id (several samples per task)")
     s = sub.add_parser("sync-references")
     s.add_argument("--tasks", required=True)
     s.add_argument("--references", required=True)
@@ -68,10 +70,10 @@ def run(argv: list[str] | None = None) -> dict[str, DataFrame]:
         scored, dist, summ = RP.complexity_report(tasks, refs)
         tables = {"tasks": scored, "resource_type_distribution": dist, "summary": summ}
     elif a.cmd == "check-plans":
-        rows = R.plan_change_rows(R.read_plans(spark, a.plans).select("plan_id", "resource_changes"))
-        rows = rows.withColumn("plan_id", F.regexp_extract("plan_id", r"^(.*)\.json$", 1))
-        specs = R.read_specs(spark, a.specs).withColumnRenamed("task_id", "plan_id")
-        tables = {"spec_accuracy": RU.check_plans(RU.plan_documents(rows), specs, broadcast_specs=True)}
+        plans = R.plan_documents_of(R.read_plans(spark, a.plans))
+        stem = F.regexp_extract("plan_id", r"^(.*?)(?:\.json)?$", 1)
+        plans = plans.withColumn("plan_id", stem).withColumn("task_id", F.regexp_replace(stem, a.sample_suffix, ""))
+        tables = {"spec_accuracy": RU.check_plans(plans, R.read_specs(spark, a.specs), task_col="task_id")}
     else:
         tables = {"tasks": RP.sync_references(R.read_tasks(spark, a.tasks), R.read_references(spark, a.references))}
     _write(tables, a.out)

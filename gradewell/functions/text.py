@@ -30,7 +30,8 @@ REDACT_PATTERN = (
 REDACTED = '"[REDACTED]"'
 # ANSI escape sequences.
 ANSI_PATTERN = r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])"
-# Error text truncation: keep head and tail halves around a marker.
+# Error text truncation: keep head and tail halves around a marker; the length that prompts
+# are built with (callers pass it, nothing is cut by default).
 TRUNCATE_MAX = 4000
 TRUNCATE_MARKER = "\n... [TRUNCATED] ...\n"
 CONTEXT_MARKER = "\n... [TRUNCATED - extracted context]"
@@ -101,9 +102,11 @@ def strip_ansi(text: Column | str) -> Column:
     return F.regexp_replace(_c(text), ANSI_PATTERN, "")
 
 
-def truncate_middle(text: Column | str, max_chars: int = TRUNCATE_MAX) -> Column:
-    """over ``max_chars`` -> first half + marker + last half."""
+def truncate_middle(text: Column | str, max_chars: int | None = None) -> Column:
+    """over ``max_chars`` -> first half + marker + last half; without a limit the whole text."""
     t = _c(text)
+    if max_chars is None:
+        return t
     half = max_chars // 2
     return F.when(
         F.length(t) > max_chars,
@@ -111,15 +114,17 @@ def truncate_middle(text: Column | str, max_chars: int = TRUNCATE_MAX) -> Column
     ).otherwise(t)
 
 
-def truncate_head(text: Column | str, max_chars: int, marker: str = "") -> Column:
-    """keep the first ``max_chars`` characters, append ``marker`` if cut."""
+def truncate_head(text: Column | str, max_chars: int | None = None, marker: str = "") -> Column:
+    """keep the first ``max_chars`` characters, append ``marker`` if cut; without a limit the whole text."""
     t = _c(text)
+    if max_chars is None:
+        return t
     return F.when(
         F.length(t) > max_chars, F.concat(F.substring(t, 1, max_chars), F.lit(marker))
     ).otherwise(t)
 
 
-def sanitize_error(text: Column | str, max_chars: int = TRUNCATE_MAX) -> Column:
+def sanitize_error(text: Column | str, max_chars: int | None = None) -> Column:
     """F4 then F5, as error text is prepared for a repair prompt."""
     return truncate_middle(strip_ansi(text), max_chars)
 

@@ -51,13 +51,17 @@ def score_fragments(frags: DataFrame, doc_col: str, text_col: str, mode: str = "
         F.sum("loc").alias("loc"),
         F.sum("resources").alias("resources"),
         F.sum("interconnections").alias("interconnections"),
-        # distinct type sets per block, de-duplicated map-side; bounded by the type vocabulary
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("resource_types")))).alias("resource_types"),
         *[F.sum(f"total_{k}").alias(f"total_{k}") for k in SETTING_KEYS],
         F.max("_flags.provider_config_included").alias("provider_config_included"),
         F.max("_flags.vm_resource_defined").alias("vm_resource_defined"),
     )
-    return agg.withColumn("level", T.difficulty("loc", "resources", "interconnections"))
+    # types are exploded and de-duplicated map-side; a document's set is bounded by the type vocabulary
+    types = m.select(doc_col, F.explode("resource_types").alias("t")).groupBy(doc_col).agg(
+        F.array_sort(F.collect_set("t")).alias("resource_types"))
+    joined = agg.join(types, doc_col, "left")
+    none = F.array().cast("array<string>")
+    joined = joined.withColumn("resource_types", F.coalesce("resource_types", none))
+    return joined.withColumn("level", T.difficulty("loc", "resources", "interconnections"))
 
 
 def type_distribution(scored: DataFrame, doc_col: str) -> DataFrame:

@@ -62,6 +62,11 @@ JUDGE_USER_LAYOUT = (
     "Does this generated code correctly fulfill the task? Evaluate it carefully, then end with your rating."
 )
 JUDGE_PROMPT_CAP = 10000
+NOTES_LAYOUT = "Task {task} executed by {model}. Iterations: {iterations}."
+REASONING = {
+    True: "Recognized over-provisioning and refused to generate failing code",
+    False: "Failed to recognize resource constraints",
+}
 # Config defaults used by the entry builder when a column is absent.
 ENTRY_DEFAULTS = {
     "total_ram_gb": 24, "total_cpu_cores": 32, "usable_ram_gb": 20.0, "temperature": 0.2, "max_tokens": 4096,
@@ -69,7 +74,6 @@ ENTRY_DEFAULTS = {
 SCREENSHOTS = (("terraform_apply_output", "apply"), ("xen_orchestra_vm_list", "xo_list"),
                ("vm_details", "vm_details"), ("resource_usage", "resources"))
 JUDGE_CODE_CAP = 8000
-CONTEXT_CAP = 4000
 DEFAULT_USABLE_RAM_GB = 20
 RESOURCE_EXHAUSTION = "resource_exhaustion"
 
@@ -123,9 +127,10 @@ def config_hash(**fields: Column) -> Column:
     return F.substring(F.sha2(F.to_json(st), 256), 1, 16)
 
 
-def utc_stamps() -> Column:
-    """compact file stamp and ISO timestamp (session time zone must be UTC)."""
-    now = F.current_timestamp()
+def utc_stamps(at: Column | None = None) -> Column:
+    """compact file stamp and ISO timestamp of a time (default: now; the session
+    time zone must be UTC)."""
+    now = F.current_timestamp() if at is None else at
     return F.struct(
         F.date_format(now, "yyyyMMdd_HHmmss").alias("file"),
         F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"),
@@ -157,8 +162,9 @@ def with_examples(df: DataFrame, examples: DataFrame, category_col: str = "categ
     bounded dimension), so it is broadcast."""
     cat = F.upper(F.trim(F.col(category_col)))
     key = F.when(cat.isin(*O.CATEGORIES), cat).otherwise(F.lit("CREATE"))
-    ex = examples.select(F.col("category").alias("_ex_key"), "example")
-    return df.withColumn("_ex_key", key).join(F.broadcast(ex), "_ex_key", "left").drop("_ex_key")
+    # one example per category (the smallest, should a table repeat one); the planner broadcasts a small table
+    ex = examples.groupBy(F.col("category").alias("_ex_key")).agg(F.min("example").alias("example"))
+    return df.withColumn("_ex_key", key).join(ex, "_ex_key", "left").drop("_ex_key")
 
 
 def repair_prompt(prompt, code, error) -> Column:
@@ -201,15 +207,16 @@ def system_prompt(model_prompt, baseline_prompt, generic_prompt, dataset_prompt,
                   F.concat(base, F.lit("\n\n"), ctx)).otherwise(base)
 
 
-def judge_code(code) -> Column:
-    """Code as given to the judge, capped."""
-    return X.truncate_head(_c(code), JUDGE_CODE_CAP)
+def judge_code(code, limit: int | None = None) -> Column:
+    """Code as given to the judge, cut at ``limit`` characters if one is given."""
+    return X.truncate_head(_c(code), limit)
 
 
-def judge_messages(task_prompt, category, code) -> Column:
-    """the judge's system and user messages; prompt and code capped."""
-    user = _fill(JUDGE_USER_LAYOUT, task_prompt=X.truncate_head(_c(task_prompt), JUDGE_PROMPT_CAP),
-                 category=_c(category), terraform_code=judge_code(code))
+def judge_messages(task_prompt, category, code, prompt_limit: int | None = None, code_limit: int | None = None) -> Column:
+    """the judge's system and user messages; prompt and code are cut (F6) only at the
+    limits given (``JUDGE_PROMPT_CAP`` and ``JUDGE_CODE_CAP`` are those of the fixed layout)."""
+    user = _fill(JUDGE_USER_LAYOUT, task_prompt=X.truncate_head(_c(task_prompt), prompt_limit),
+                 category=_c(category), terraform_code=judge_code(code, code_limit))
     return F.array(
         F.struct(F.lit("system").alias("role"), F.lit(JUDGE_SYSTEM_PROMPT).alias("content")),
         F.struct(F.lit("user").alias("role"), user.alias("content")),
@@ -254,6 +261,12 @@ def build_entries(r: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     spec_passed, iterations, generation_time, expected_failure_matched, post_passed,
     vm_details, pre_vm_details, usable_ram_gb. ``keep`` names input columns
     carried next to the entry.
+
+    Read if present: evaluated_at (timestamp), evaluator, base_url, python_version,
+    terraform_version, git_commit, config (JSON text), init_/validate_/plan_/
+    apply_seconds, init_stderr, validate_stderr, spec_status, spec_errors, spec_checks,
+    had_replace_actions, post_status, post_errors, manual_interventions and the model's
+    and host's settings; else their defaults hold.
     """
     reqs = F.from_json(F.col("resource_requirements"), REQS_SCHEMA)
     s1 = r.select("*", reqs.alias("_r"))
@@ -279,16 +292,6 @@ def build_entries(r: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
                               "iterations", "expected_failure_matched")
     tags = prompt_tags("prompt", "prompt_type")
 
-    def stage(code_col, err_col, command, status_col=None, extra=()):
-        fields = [
-            O.stage_status(code_col, status_col).alias("status"),
-            F.lit(command).alias("command"),
-            F.coalesce(F.col(code_col), F.lit(1)).alias("exit_code"),
-            O.stage_error(code_col, err_col if err_col else F.lit(None).cast("string")).alias("error_message"),
-            *extra,
-        ]
-        return F.struct(*fields)
-
     is_exhaustion = F.col("_r.expected_error") == RESOURCE_EXHAUSTION
     code_flags = O.code_flags("code")
     cols = set(r.columns)
@@ -299,6 +302,28 @@ def build_entries(r: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         v = F.lit(default)
         return v.cast(dtype) if dtype else v
 
+    def stage(name, command, status_col=None, extra=()):
+        code_col, error = f"{name}_exit", opt(f"{name}_stderr", None, "string")
+        fields = [
+            O.stage_status(code_col, status_col).alias("status"),
+            F.lit(command).alias("command"),
+            F.coalesce(F.col(code_col), F.lit(1)).alias("exit_code"),
+            F.coalesce(opt(f"{name}_seconds", None, "double"), F.lit(0.0)).alias("execution_time_seconds"),
+            *extra,
+            O.stage_error(code_col, error).alias("error_message"),
+        ]
+        return F.struct(*fields)
+
+    at = F.coalesce(opt("evaluated_at", None, "timestamp"), F.current_timestamp())
+    texts, no_texts = "array<string>", F.array().cast("array<string>")
+    spec_status = F.coalesce(opt("spec_status", None, "string"), F.when(F.col("spec_passed").isNull(), F.lit("skipped")).otherwise(F.lit("executed")))
+    post_status = F.coalesce(opt("post_status", None, "string"), F.when(F.col("post_passed").isNull(), F.lit("not_applicable")).otherwise(F.lit("executed")))
+    version = F.coalesce(opt("model_version", None, "string"), F.lit("unknown"))
+    # the whole configuration, keys sorted; without one, the fields that name the run
+    of_config = F.substring(F.sha2(F.to_json(F.try_parse_json(opt("config", None, "string"))), 256), 1, 16)
+    run_hash = F.coalesce(of_config, config_hash(model=F.col("model_short"), model_version=version, enhance_strat=F.coalesce(F.col("strategy"), F.lit(""))))
+    env = O.inferred_environment("code")
+    short = shortfall(F.col("_r.memory_max_bytes"), avail_before, matched)
     clean_id = F.replace(F.lower(F.col("task_id")), F.lit("."), F.lit("_"))
     screenshots = F.struct(*[
         F.concat(F.lit("screenshots/"), clean_id, F.lit("_"), F.col("model_short"), F.lit(f"_{suffix}.png")).alias(name)
@@ -329,10 +354,12 @@ def build_entries(r: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         entry_id("task_id", "model_short", "sample_num", "strategy").alias("entry_id"),
         F.col("task_id"),
         F.concat(F.coalesce("category", F.lit("")), F.lit(" - "), F.coalesce("prompt_type", F.lit(""))).alias("task_description"),
+        utc_stamps(at)["iso"].alias("timestamp"),
+        opt("evaluator", None, "string").alias("evaluator"),
         F.col("sample_num"),
         F.struct(
             F.coalesce(opt("model_name", None, "string"), F.col("model_short")).alias("model_name"),
-            F.coalesce(opt("model_version", None, "string"), F.lit("unknown")).alias("model_version"),
+            version.alias("model_version"),
             F.coalesce(opt("temperature", None, "double"), F.lit(ENTRY_DEFAULTS["temperature"])).alias("temperature"),
             F.coalesce(opt("max_tokens", None, "int"), F.lit(ENTRY_DEFAULTS["max_tokens"])).alias("max_tokens"),
             opt("seed", None, "bigint").alias("seed"),
@@ -340,9 +367,10 @@ def build_entries(r: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
             F.coalesce(F.col("strategy"), F.lit("")).alias("enhance_strat"),
             F.concat(F.coalesce(F.size("pre_vm_details"), F.lit(0)).cast("string"), F.lit("_vms_running"))
             .alias("infrastructure_state_before"),
-            config_hash(model=F.col("model_short"),
-                        model_version=F.coalesce(opt("model_version", None, "string"), F.lit("unknown")),
-                        enhance_strat=F.coalesce(F.col("strategy"), F.lit(""))).alias("config_hash"),
+            *[F.coalesce(opt(c, None, "string"), F.lit("unknown")).alias(c)
+              for c in ("base_url", "python_version", "terraform_version", "git_commit")],
+            run_hash.alias("config_hash"),
+            F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("timestamp_utc"),
         ).alias("metadata"),
         F.struct(
             F.lit("single_xcpng_host").alias("infrastructure"),
@@ -359,23 +387,32 @@ def build_entries(r: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         F.struct(
             F.col("code").alias("generated_code"),
             X.redact(F.coalesce(F.col("raw_response"), F.lit(""))).alias("full_response_text"),
+            no_texts.alias("questions_asked"),
+            no_texts.alias("additional_files_generated"),
             F.coalesce("iterations", F.lit(1)).alias("iterations_needed"),
             F.coalesce(F.col("generation_time"), F.lit(0.0)).alias("time_to_generate_seconds"),
             F.struct(
+                env["os_version"].alias("os_version"),
                 O.inferred_default("_acpu", "prompt", "cpu").alias("cpus"),
                 O.inferred_default("_amem", "prompt", "ram").alias("ram_bytes"),
                 O.inferred_default("_adisk", "prompt", "disk").alias("disk_bytes"),
-                O.inferred_environment("code").alias("env"),
+                *[env[c].alias(c) for c in ("network", "storage_sr", "ip_mode")],
             ).alias("inferred_defaults"),
         ).alias("llm_response"),
         F.struct(
-            stage("init_exit", None, "terraform init").alias("terraform_init"),
-            stage("validate_exit", None, "terraform validate").alias("terraform_validate"),
-            stage("plan_exit", "plan_stderr", "terraform plan -out=tfplan", extra=[
+            stage("init", "terraform init").alias("terraform_init"),
+            stage("validate", "terraform validate").alias("terraform_validate"),
+            stage("plan", "terraform plan -out=tfplan", extra=[
                 O.plan_counts("plan_stdout")[f].alias(f)
                 for f in ("resources_to_create", "resources_to_modify", "resources_to_destroy")
             ]).alias("terraform_plan"),
-            stage("apply_exit", "apply_stderr", "terraform apply -auto-approve", "apply_status").alias("terraform_apply"),
+            stage("apply", "terraform apply -auto-approve", "apply_status").alias("terraform_apply"),
+            F.struct(
+                F.coalesce(F.size("vm_details"), F.lit(0)).alias("actual_vm_count"),
+                (F.coalesce(F.size("vm_details"), F.lit(0)) > 0).alias("vms_exist_in_xo"),
+                F.coalesce(F.forall("vm_details", lambda v: F.coalesce(v["status"] == "Running", F.lit(False))), F.lit(False)).alias("all_vms_running"),
+                F.col("vm_details"),
+            ).alias("verification"),
         ).alias("execution_results"),
         F.struct(
             F.col("_n").alias("vm_count"),
@@ -385,12 +422,16 @@ def build_entries(r: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
                      F.col("_tcpu").alias("total_cpus"), F.col("_tdisk").alias("total_size_bytes")).alias("actual"),
         ).alias("resource_expectations"),
         F.struct(
-            F.when(F.col("spec_passed").isNull(), F.lit("skipped")).otherwise(F.lit("completed")).alias("status"),
+            spec_status.alias("status"),
             F.col("spec_passed").alias("passed"),
+            opt("spec_checks", None, "array<struct<check:string,passed:boolean>>").alias("checks_performed"),
+            F.coalesce(opt("spec_errors", None, texts), no_texts).alias("errors"),
+            F.struct(opt("had_replace_actions", None, "boolean").alias("had_replace_actions")).alias("details"),
         ).alias("spec_accuracy"),
         F.struct(
-            F.when(F.col("post_passed").isNull(), F.lit("not_applicable")).otherwise(F.lit("completed")).alias("status"),
+            post_status.alias("status"),
             F.col("post_passed").alias("passed"),
+            F.coalesce(opt("post_errors", None, texts), no_texts).alias("errors"),
         ).alias("post_state_verification"),
         outcome.alias("final_outcome"),
         F.struct(
@@ -423,7 +464,8 @@ def build_entries(r: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
             matched.alias("recognized_over_provisioning"),
             matched.alias("warned_user"),
             matched.alias("calculated_shortfall"),
-            shortfall(F.col("_r.memory_max_bytes"), avail_before, matched).alias("score"),
+            short["shortfall_gb"].alias("shortfall_gb"),
+            short["percentage_over"].alias("percentage_over"),
             (F.size(alts) > 0).alias("suggested_alternatives"),
             alts.alias("alternatives_provided"),
             (~matched).alias("generated_failing_code"),
@@ -431,14 +473,13 @@ def build_entries(r: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
             F.col("apply_stderr").alias("apply_error_message"),
         )).alias("edge_case_handling"),
         F.when(is_exhaustion, F.struct(
-            F.when(matched, F.lit(10)).otherwise(F.lit(2)).alias("score_out_of_10"),
-            F.when(matched, F.lit("excellent")).otherwise(F.lit("poor")).alias("rating"),
-            F.when(matched, F.lit("Recognized over-provisioning and refused to generate failing code"))
-            .otherwise(F.lit("Failed to recognize resource constraints")).alias("reasoning"),
+            short["score_out_of_10"].alias("score_out_of_10"),
+            short["rating"].alias("rating"),
+            F.when(matched, F.lit(REASONING[True])).otherwise(F.lit(REASONING[False])).alias("reasoning"),
         )).alias("edge_case_score"),
-        F.array().cast("array<string>").alias("manual_interventions"),
+        F.coalesce(opt("manual_interventions", None, texts), no_texts).alias("manual_interventions"),
         screenshots.alias("screenshots"),
-        F.concat(F.lit("Task "), F.col("task_id"), F.lit(" executed. Iterations: "),
-                 F.coalesce("iterations", F.lit(1)).cast("string"), F.lit(".")).alias("evaluator_notes"),
+        _fill(NOTES_LAYOUT, task=F.col("task_id"), model=F.col("model_short"),
+              iterations=F.coalesce("iterations", F.lit(1)).cast("string")).alias("evaluator_notes"),
     )
     return s3.select(entry.alias("entry"), *keep)

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
+
 BLOCK = 256
 
 
@@ -39,15 +41,19 @@ def _blocks(t: DataFrame, keys: list[str], side: str, block: int) -> DataFrame:
     )
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; a zero vector stays zero, so its similarity is 0 with any other."""
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(size > 0, size, 1.0)
+
+
 def _best_in_block(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for row in pdf.itertuples(index=False):
             c = np.asarray(np.stack(row.cand_vecs), dtype=np.float64)
             r = np.asarray(np.stack(row.ref_vecs), dtype=np.float64)
-            c /= np.linalg.norm(c, axis=1, keepdims=True)
-            r /= np.linalg.norm(r, axis=1, keepdims=True)
-            sim = c @ r.T
+            sim = _unit(c) @ _unit(r).T
             key = {k: getattr(row, k) for k in keys}
             out.append(pd.DataFrame({**key, "side": "cand", "tok_id": np.asarray(row.cand_ids, dtype=np.int64),
                                      "best": sim.max(axis=1)}))
@@ -58,6 +64,7 @@ def _best_in_block(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator
 
 
 def embedding_match(tokens: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFrame:
+    ship_package(tokens.sparkSession)
     keys = list(keys)
     t = tokens.select(*keys, "side", F.col("tok_id").cast("long").alias("tok_id"), "vec")
     pairs = _blocks(t, keys, "cand", block).join(_blocks(t, keys, "ref", block), keys)
@@ -90,19 +97,14 @@ def encode_tokens(texts: DataFrame, encoder: Callable[[list[str]], list[list[lis
     vectors), run per Arrow batch with ``mapInPandas``; rows are
     ``(keys, side, tok_id, vec)`` ready for ``embedding_match``."""
     keys = list(keys)
-    key_fields = [f for f in texts.schema.fields if f.name in keys]
-    schema = T.StructType(key_fields + [
-        T.StructField("side", T.StringType()), T.StructField("tok_id", T.LongType()),
-        T.StructField("vec", T.ArrayType(T.DoubleType())),
-    ])
+    given = texts.select(*keys, F.col(side_col).alias("side"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    schema = T.StructType([f for f in given.schema.fields if f.name != "_text"] + [
+        T.StructField("vecs", T.ArrayType(T.ArrayType(T.DoubleType())))])
 
     def run(batches):
         for pdf in batches:
-            vecs = encoder(pdf[text_col].fillna("").tolist())
-            rows = []
-            for (_, rec), tv in zip(pdf.iterrows(), vecs):
-                for i, v in enumerate(tv):
-                    rows.append({**{k: rec[k] for k in keys}, "side": rec[side_col], "tok_id": i, "vec": list(map(float, v))})
-            yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
-
-    return texts.select(*keys, side_col, text_col).mapInPandas(run, schema)
+            vecs = encoder(pdf["_text"].tolist())
+            yield pdf.drop(columns="_text").assign(vecs=[np.asarray(v, dtype=np.float64).tolist() for v in vecs])
+
+    return given.mapInPandas(run, schema).select(*keys, "side", F.posexplode("vecs").alias("tok_id", "vec")).withColumn(
+        "tok_id", F.col("tok_id").cast("long"))

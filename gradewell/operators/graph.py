@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.outcome import bytes_to_gb, first_address
+from ..session import scratch_dir
 
 
 def cpu_count(cpus_json: Column | str) -> Column:
@@ -74,25 +75,33 @@ def host_snapshot(inventory: DataFrame, host_col: str = "host_id") -> DataFrame:
     )
 
 
-def find_key_values(docs: DataFrame, id_col: str, json_col: str, key: str, max_depth: int = 8) -> DataFrame:
+def find_key_values(docs: DataFrame, id_col: str, json_col: str, key: str) -> DataFrame:
     """every value stored under ``key`` at any depth of a JSON document.
 
     Documents are parsed to variant and unnested one level per step with
-    ``variant_explode_outer`` (a lateral table function), to a fixed depth;
-    rows: (id, path of positions, value as JSON). Work grows with document
-    size; no document is gathered anywhere.
+    ``variant_explode_outer`` (a lateral table function) until a level is empty;
+    each level is written to the shared folder once and derived from the one
+    above. Rows: (id, path of positions, value as JSON). No document is gathered
+    anywhere; an unreadable document has no rows.
     """
     spark = docs.sparkSession
     level = docs.select(F.col(id_col).alias("_id"), F.array().cast("array<int>").alias("path"),
                         F.try_parse_json(json_col).alias("v")).filter(F.col("v").isNotNull())
-    hits = None
-    for _ in range(max_depth):
+    levels = []
+    while True:
         ex = level.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer())).select(
             "_id", F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"), "key", "value")
-        ex = ex.filter(F.col("value").isNotNull())
-        found = ex.filter(F.col("key") == key).select("_id", "path", F.to_json("value").alias("value"))
-        hits = found if hits is None else hits.unionByName(found)
         kind = F.schema_of_variant("value")
-        level = ex.filter(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))).select(
-            "_id", "path", F.col("value").alias("v"))
+        ex = ex.filter(F.col("value").isNotNull()).withColumn(
+            "nested", F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")))
+        path = scratch_dir(spark, "key-search")
+        ex.filter(F.col("nested") | (F.col("key") == key)).write.parquet(path)
+        ex = spark.read.schema(ex.schema).parquet(path)
+        levels.append(ex.filter(F.col("key") == key).select("_id", "path", F.to_json("value").alias("value")))
+        level = ex.filter("nested").select("_id", "path", F.col("value").alias("v"))
+        if level.isEmpty():
+            break
+    hits = levels[0]
+    for more in levels[1:]:
+        hits = hits.unionByName(more)
     return hits.withColumnRenamed("_id", id_col)

@@ -135,8 +135,9 @@ def evaluate_results(results: DataFrame, plans: DataFrame, specs: DataFrame, pla
     # only plans that some result refers to are checked (semi join on the key)
     needed = plans.join(results.select(plan_key).distinct(), plan_key, "left_semi")
     checked = rules.check_plans(needed, specs, key=plan_key).select(
-        plan_key, F.col("passed").alias("spec_passed"), F.col("errors").alias("spec_errors"),
+        plan_key, F.col("passed").alias("spec_passed"), F.col("errors").alias("spec_errors"), F.col("status").alias("spec_status"),
+        F.transform("checks", lambda c: F.struct(c["check"].alias("check"), c["passed"].alias("passed"))).alias("spec_checks"),
         F.col("had_replace_actions"),
     )
-    r = results.drop("spec_passed", "had_replace_actions").join(checked, plan_key, "left")
+    r = results.drop(*[c for c in checked.columns if c != plan_key]).join(checked, plan_key, "left")
     return dataset.build_entries(r, keep=[plan_key, "spec_errors"])

@@ -59,7 +59,7 @@ CHECK_T = "array<struct<check:string,passed:boolean,ok:boolean>>"
 # Spec fields a rule may read; absent columns read as typed nulls.
 SPEC_TYPES = {
     "vm_count": "bigint", "min_vm_count": "bigint", "max_vm_count": "bigint", "per_vm_memory_max": "bigint",
-    "per_vm_cpus": "bigint", "per_vm_disk_size": "bigint", "vm_names": "array<string>", "max_total_ram_gb": "double",
+    "per_vm_cpus": "bigint", "per_vm_disk_size": "bigint", "vm_names": "array<string>", "max_total_ram_gb": "string",
     "max_total_cpus": "bigint", "updated_field": "string", "new_value": "bigint", "target_vm": "string",
     "target_vms": "array<string>", "delete_count": "bigint",
 }
@@ -141,7 +141,9 @@ def create_rule(s: Callable[[str], Column]) -> tuple[Column, Callable[[Column],
     others = F.filter(vms, lambda v: ~v["action"].isin("create", "no-op"))
     n = F.size(creates)
     vm_count, min_c, max_c = s("vm_count"), s("min_vm_count"), s("max_vm_count")
-    max_ram, max_cpu = s("max_total_ram_gb"), s("max_total_cpus")
+    # compared as a number, printed as written
+    ram_text, max_cpu = s("max_total_ram_gb"), s("max_total_cpus")
+    max_ram = ram_text.cast("double")
     p_mem, p_cpu, p_disk = s("per_vm_memory_max"), s("per_vm_cpus"), s("per_vm_disk_size")
     total_ram = F.aggregate(creates, F.lit(0).cast("long"), lambda a, v: a + F.coalesce(v["memory_max"], F.lit(0)))
     total_cpu = F.aggregate(creates, F.lit(0).cast("long"), lambda a, v: a + F.coalesce(v["cpus"], F.lit(0)))
@@ -154,7 +156,7 @@ def create_rule(s: Callable[[str], Column]) -> tuple[Column, Callable[[Column],
         F.when(vm_count.isNull() & (n > max_c),
                fill(MSG["max_count"], expected=_s(max_c), found=_s(n))),
         F.when(max_ram.isNotNull() & (total_ram > max_ram * F.lit(float(GIB))),
-               fill(MSG["total_ram"], total=_s(F.bround(total_ram / F.lit(float(GIB)), 2)), limit=_s(max_ram))),
+               fill(MSG["total_ram"], total=_s(F.bround(total_ram / F.lit(float(GIB)), 2)), limit=_s(ram_text))),
         F.when(max_cpu.isNotNull() & (total_cpu > max_cpu),
                fill(MSG["total_cpu"], total=_s(total_cpu), limit=_s(max_cpu))),
     )
@@ -335,39 +337,41 @@ def quota_errors(total_ram: Column, total_cpu: Column, total_disk: Column) -> Co
     ))
 
 
-def projected_totals(changes: Column) -> Column:
-    """J9 + W7 inside one plan: last write per name wins, delete removes,
-    nameless / no-op / other actions ignored. Returns struct(ram, cpu, disk)."""
-    ev = F.filter(changes, lambda v: F.coalesce(v["name_label"], F.lit("")) != "")
-    ev = F.filter(ev, lambda v: v["action"].isin("create", "update", "replace", "delete"))
-    last = F.filter(ev, lambda e: ~F.exists(ev, lambda x: (x["name_label"] == e["name_label"]) & (x["pos"] > e["pos"])))
-    live = F.filter(last, lambda e: e["action"] != "delete")
-    zero = F.lit(0).cast("long")
-    disk = lambda e: F.aggregate(F.coalesce(e["disk_sizes"], F.array().cast("array<bigint>")), zero, lambda a, d: a + F.coalesce(d, zero))
-    return F.struct(
-        F.aggregate(live, zero, lambda a, e: a + F.coalesce(e["memory_max"], zero)).alias("ram"),
-        F.aggregate(live, zero, lambda a, e: a + F.coalesce(e["cpus"], zero)).alias("cpu"),
-        F.aggregate(live, zero, lambda a, e: a + disk(e)).alias("disk"),
-    )
+EXISTING_T = "array<struct<name:string,ram_bytes:bigint,cpus:bigint,disk_bytes:bigint>>"
+
 
+def projected_totals(changes: Column, existing: Column | None = None) -> Column:
+    """J9 + W7 inside one plan: the host's existing VMs overlaid by the plan's
+    changes; last write per name wins, delete removes, nameless / no-op / other
+    actions are ignored. Returns struct(ram, cpu, disk).
 
-def plan_quota_totals(plans: DataFrame, key: str = "plan_id") -> DataFrame:
-    """J9 + W7 relationally, for large plan documents: explode the VM changes,
-    keep the last write per (plan, name) with ``max_by`` and drop deletes, then
-    sum per plan. Both aggregates are satisfied by the plan-key partitioning
-    that assembling plan documents already produced (no extra shuffle)."""
-    ev = plans.select(key, F.explode(_vm_changes()).alias("c")).filter(
-        (F.coalesce(F.col("c.name_label"), F.lit("")) != "")
-        & F.col("c.action").isin("create", "update", "replace", "delete"))
-    last = ev.groupBy(key, F.col("c.name_label").alias("_name")).agg(F.max_by("c", F.col("c.pos")).alias("c"))
+    The events are sorted by (name, position) once and folded once, so the work is
+    that of a sort for a plan of any size."""
     zero = F.lit(0).cast("long")
-    disk = F.aggregate(F.coalesce(F.col("c.disk_sizes"), F.array().cast("array<bigint>")), zero,
-                       lambda a, d: a + F.coalesce(d, zero))
-    return last.filter(F.col("c.action") != "delete").groupBy(key).agg(
-        F.sum(F.coalesce(F.col("c.memory_max"), zero)).alias("_q_ram"),
-        F.sum(F.coalesce(F.col("c.cpus"), zero)).alias("_q_cpu"),
-        F.sum(disk).alias("_q_disk"),
-    )
+
+    def event(name, pos, live, ram, cpu, disk):
+        return F.struct(name.alias("name"), pos.cast("int").alias("pos"), live.alias("live"), F.coalesce(ram, zero).cast("long").alias("ram"),
+                        F.coalesce(cpu, zero).cast("long").alias("cpu"), F.coalesce(disk, zero).cast("long").alias("disk"))
+
+    disks = lambda v: F.aggregate(F.coalesce(v["disk_sizes"], F.array().cast("array<bigint>")), zero, lambda a, d: a + F.coalesce(d, zero))
+    events = F.transform(
+        F.filter(changes, lambda v: (F.coalesce(v["name_label"], F.lit("")) != "") & v["action"].isin("create", "update", "replace", "delete")),
+        lambda v: event(v["name_label"], v["pos"], v["action"] != "delete", v["memory_max"], v["cpus"], disks(v)))
+    if existing is not None:
+        named = F.filter(F.coalesce(existing, F.array().cast(EXISTING_T)), lambda v: F.coalesce(v["name"], F.lit("")) != "")
+        # a repeated name: the last listed VM counts
+        events = F.concat(F.transform(named, lambda v, i: event(v["name"], i - 1_000_000_000, F.lit(True), v["ram_bytes"], v["cpus"], v["disk_bytes"])),
+                          events)
+    start = F.struct(F.lit(None).cast("string").alias("name"), *[zero.alias(n) for n in ("r", "c", "d", "ram", "cpu", "disk")])
+
+    def step(acc, e):
+        same = F.coalesce(acc["name"] == e["name"], F.lit(False))
+        closed = [F.when(same, acc[t]).otherwise(acc[t] + acc[n]).alias(t) for n, t in (("r", "ram"), ("c", "cpu"), ("d", "disk"))]
+        own = [F.when(e["live"], e[t]).otherwise(zero).alias(n) for n, t in (("r", "ram"), ("c", "cpu"), ("d", "disk"))]
+        return F.struct(e["name"].alias("name"), *own, *closed)
+
+    return F.aggregate(F.array_sort(events), start, step, lambda acc: F.struct(
+        (acc["ram"] + acc["r"]).alias("ram"), (acc["cpu"] + acc["c"]).alias("cpu"), (acc["disk"] + acc["d"]).alias("disk")))
 
 
 def host_quota(state_rows: DataFrame, host_col: str, name_col: str, order_cols: list[str]) -> DataFrame:
@@ -416,50 +420,41 @@ def register_rule(category: str, rule: Callable) -> None:
     RULES[category] = rule
 
 
-def check_plans(plans: DataFrame, specs: DataFrame, key: str = "plan_id", task_col: str | None = None,
-                broadcast_specs: bool = False, quota: str = "in_document") -> DataFrame:
+def check_plans(plans: DataFrame, specs: DataFrame, key: str = "plan_id", task_col: str | None = None) -> DataFrame:
     """V6 + J4: plans left-joined to specs; dispatch by category; quota errors appended.
 
-    ``broadcast_specs``: set when the spec table has a proven small size (a
-    spec file read on the driver, ``readers.read_specs``); data-sized spec
-    tables are left to the planner and AQE.
-    ``quota``: ``"in_document"`` (array expressions per plan, best for plans of
-    ordinary size) or ``"relational"`` (``plan_quota_totals``, linear in plan
-    size, for very large plan documents); results are identical.
-    Output: key, category, passed, errors, checks, had_replace_actions.
+    ``task_col`` names the plans' task id: specs are then looked up by the trimmed
+    task id, so any number of samples share one spec; else plans and specs share
+    ``key``. If the plans have ``pre_vms`` (array of name, ram_bytes, cpus,
+    disk_bytes: the host before the plan), quotas count them too. A plan with a
+    ``plan_error`` isn't checked: status 'skipped', no verdict, the error as its
+    only message.
+    Output: key, category, status, passed, errors, checks, had_replace_actions.
     """
-    spec_cols = [c for c in specs.columns if c != key]
-    sp = specs.withColumn("_has_spec", F.lit(True))
-    j = plans.join(F.broadcast(sp) if broadcast_specs else sp, key, "left")
-    s = lambda c: F.col(c) if c in spec_cols else F.lit(None).cast(SPEC_TYPES.get(c, "string"))
+    spec_key = "task_id" if task_col else key
+    spec_cols = [c for c in specs.columns if c != spec_key]
+    sp = specs.select(F.trim(F.col(spec_key)).alias("_spec_key") if task_col else F.col(spec_key).alias("_spec_key"),
+                      *spec_cols, F.lit(True).alias("_has_spec"))
     task = F.trim(F.col(task_col) if task_col else F.col(key).cast("string"))
+    j = plans.join(sp, (F.coalesce(task, F.lit("")) if task_col else F.col(key)) == F.col("_spec_key"), "left")
+    s = lambda c: F.col(c) if c in spec_cols else F.lit(None).cast(SPEC_TYPES.get(c, "string"))
     cat = F.col("category")
 
     # quota over the plan's own changes; READ documents carry no names (only existing VMs count)
     quota_src = F.when(cat == "READ", F.array().cast(plans.schema["resource_changes"].dataType)).otherwise(
         _vm_changes()
     )
-    if quota == "relational":
-        j = j.join(plan_quota_totals(plans, key), key, "left")
-        zero = F.lit(0).cast("long")
-        is_read = cat == "READ"
-        qt = F.struct(
-            F.when(is_read, zero).otherwise(F.coalesce(F.col("_q_ram"), zero)).alias("ram"),
-            F.when(is_read, zero).otherwise(F.coalesce(F.col("_q_cpu"), zero)).alias("cpu"),
-            F.when(is_read, zero).otherwise(F.coalesce(F.col("_q_disk"), zero)).alias("disk"),
-        )
-    else:
-        qt = projected_totals(quota_src)
+    qt = projected_totals(quota_src, F.col("pre_vms").cast(EXISTING_T) if "pre_vms" in plans.columns else None)
 
-    # 1st projection: each plan's rule errors and quota errors, computed once;
+    # 1st projection: each plan's rule errors and quota totals, computed once;
     # 2nd: checks read those columns instead of re-evaluating the rules
     expr_e, check_fns = None, {}
     for name, rule in RULES.items():
         e, check_fn = rule(s)
         check_fns[name] = check_fn
         expr_e = F.when(cat == name, e) if expr_e is None else expr_e.when(cat == name, e)
-    j = j.select("*", expr_e.alias("_rule_errors"),
-                 quota_errors(qt["ram"], qt["cpu"], qt["disk"]).alias("_quota_errors"))
+    j = j.select("*", expr_e.alias("_rule_errors"), qt.alias("_quota"))
+    j = j.select("*", quota_errors(F.col("_quota.ram"), F.col("_quota.cpu"), F.col("_quota.disk")).alias("_quota_errors"))
     rule_errs, q_err = F.col("_rule_errors"), F.col("_quota_errors")
     expr_c = None
     for name, check_fn in check_fns.items():
@@ -467,23 +462,28 @@ def check_plans(plans: DataFrame, specs: DataFrame, key: str = "plan_id", task_c
         expr_c = F.when(cat == name, c) if expr_c is None else expr_c.when(cat == name, c)
     q_check = F.array(_check("host_resource_quotas", F.size(q_err) == 0))
 
+    broken = F.col("plan_error") if "plan_error" in plans.columns else F.lit(None).cast("string")
     no_spec = F.col("_has_spec").isNull()
     known = cat.isin(*RULES.keys())
     errors = (
-        F.when(no_spec, F.array(fill(MSG["no_spec"], task=task)))
-        .when(~known, F.array(fill(MSG["bad_category"], category=F.coalesce(cat, F.lit("None")), task=task)))
+        F.when(broken.isNotNull(), F.array(broken))
+        .when(no_spec, F.array(fill(MSG["no_spec"], task=task)))
+        .when(~F.coalesce(known, F.lit(False)), F.array(fill(MSG["bad_category"], category=F.coalesce(cat, F.lit("None")), task=task)))
         .otherwise(F.concat(rule_errs, q_err))
     )
     checks = (
-        F.when(no_spec, F.array(_check("spec_exists", F.lit(False))))
-        .when(~known, F.array(_check("category_valid", F.lit(False))))
+        F.when(broken.isNotNull(), F.array().cast(CHECK_T))
+        .when(no_spec, F.array(_check("spec_exists", F.lit(False))))
+        .when(~F.coalesce(known, F.lit(False)), F.array(_check("category_valid", F.lit(False))))
         .otherwise(F.concat(expr_c, q_check))
     )
     out = j.select(
         key,
+        *([task_col] if task_col and task_col != key else []),
         cat.alias("category"),
+        F.when(broken.isNull(), F.lit("executed")).otherwise(F.lit("skipped")).alias("status"),
         errors.alias("errors"),
         checks.alias("checks"),
         F.when(cat == "UPDATE", had_replace_actions()).alias("had_replace_actions"),
     )
-    return out.withColumn("passed", F.size("errors") == 0)
+    return out.withColumn("passed", F.when(F.col("status") == "executed", F.size("errors") == 0))

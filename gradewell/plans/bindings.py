@@ -214,6 +214,96 @@ def specs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- B7b plan samples on hosts
+PRE_VMS_T = "array<struct<name:string,ram_bytes:bigint,cpus:bigint,disk_bytes:bigint>>"
+
+
+def plan_sample_json(spark: SparkSession, sf: str) -> DataFrame:
+    """One plan document (JSON text) per order, also for orders without lines
+    (empty plans). Task id = order key modulo 200 (with blanks around), so many
+    samples share a spec. Every other block of 200 orders plans what its task asks
+    for, the rest what the return flags say. Lines 5 are another resource type,
+    lines 7 have no name. Every third order starts on a host with VMs. Documents of
+    orders with key % 97 = 0 are cut off."""
+    from pyspark.sql import types as T
+
+    o = read_table(spark, sf, "orders")
+    li = read_table(spark, sf, "lineitem")
+    k = F.col("o_orderkey")
+    t = k % 200
+    asked = F.element_at(F.array(*[F.array(F.lit(a)) for a in ("create", "no-op", "update", "delete", "create")]), (t % 5 + 1).cast("int"))
+    good = F.floor(k / 200) % 2 == 0
+    flagged = (
+        F.when(F.col("l_returnflag") == "A", F.array(F.lit("delete")))
+        .when(F.col("l_returnflag") == "N", F.array(F.lit("create")))
+        .when(F.col("l_linestatus") == "F", F.array(F.lit("delete"), F.lit("create")))
+        .otherwise(F.array(F.lit("update")))
+    )
+    name = F.when(F.col("l_linenumber") != 7, F.concat(F.lit("vm-"), F.col("l_suppkey").cast("string")))
+    q = F.col("l_quantity").cast("long")
+    state = F.struct(
+        name.alias("name_label"),
+        F.when(good, F.lit(1 << 28).cast("long")).otherwise(q * F.lit(1 << 26)).alias("memory_max"),
+        F.when(good, t % 4 + 1).otherwise(q).alias("cpus"),
+        F.array(F.struct(F.when(good, F.lit(1 << 30).cast("long")).otherwise(F.col("l_partkey") * F.lit(1 << 24)).alias("size"))).alias("disk"),
+    )
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    rows = li.withColumn("pos", F.row_number().over(w)).join(o.select("o_orderkey"), F.col("l_orderkey") == k)
+    kind = F.when(F.col("l_linenumber") == 5, F.lit("xenorchestra_network")).otherwise(F.lit("xenorchestra_vm"))
+    actions = F.when(good, asked).otherwise(flagged)
+    gone = F.array_contains(actions, "delete") & ~F.array_contains(actions, "create")
+    change = F.struct(
+        "pos", kind.alias("type"), F.concat(kind, F.lit(".r_"), F.col("pos").cast("string")).alias("address"),
+        F.struct(
+            actions.alias("actions"),
+            F.when(F.array_contains(actions, "delete") | F.array_contains(actions, "update"), F.struct(name.alias("name_label"))).alias("before"),
+            F.when(~gone, state).alias("after"),
+        ).alias("change"),
+    )
+    docs = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(change)).alias("rc"))  # an order's lines are few
+    vm = lambda n, r, c, d: F.struct(n.alias("name"), r.cast("long").alias("ram_bytes"), c.cast("long").alias("cpus"), d.cast("long").alias("disk_bytes"))
+    host = F.array(
+        vm(F.lit("vm-host"), F.lit(1 << 30), F.lit(2), F.lit(1 << 30)),
+        vm(F.concat(F.lit("vm-"), (k % 100).cast("string")), (k % 25) * F.lit(1 << 30), k % 33, F.lit(1 << 33)),
+        vm(F.lit(None).cast("string"), F.lit(1 << 40), F.lit(99), F.lit(1 << 50)),
+    )
+    pre = F.when(k % 3 == 0, host).when(k % 3 == 1, F.array().cast(T._parse_datatype_string(PRE_VMS_T)))
+    text = F.to_json(F.struct(
+        k.cast("string").alias("plan_key"),
+        F.concat(F.lit(" T"), t.cast("string"), F.lit(" ")).alias("task_id"),
+        pre.alias("pre_vms"),
+        F.transform("rc", lambda c: c.dropFields("pos")).alias("resource_changes"),
+    ))
+    return o.join(docs, k == F.col("l_orderkey"), "left").select(F.when(k % 97 == 0, F.substring(text, 1, 8)).otherwise(text).alias("value"))
+
+
+def task_specs(spark: SparkSession, sf: str) -> DataFrame:
+    """Specs of the 200 tasks of B7b, from the orders' task ids; none for task % 13 = 12."""
+    t = read_table(spark, sf, "orders").select((F.col("o_orderkey") % 200).alias("t")).distinct().filter("t % 13 <> 12")
+    cat = F.element_at(F.array(*[F.lit(c) for c in ("CREATE", "READ", "UPDATE", "DELETE", "MIGRATE")]), (F.col("t") % 5 + 1).cast("int"))
+    t = t.withColumn("category", cat)
+    none = F.lit(None).cast("long")
+    is_ = lambda c: F.col("category") == c
+    return t.select(
+        F.concat(F.lit("T"), F.col("t").cast("string"), F.lit("  ")).alias("task_id"),
+        "category",
+        F.when(is_("CREATE") & (F.col("t") % 2 == 0), F.col("t") % 4 + 1).otherwise(none).alias("vm_count"),
+        F.when(is_("CREATE") & (F.col("t") % 2 == 1), F.lit(1).cast("long")).otherwise(none).alias("min_vm_count"),
+        F.when(is_("CREATE") & (F.col("t") % 2 == 1), F.lit(7).cast("long")).otherwise(none).alias("max_vm_count"),
+        F.when(is_("CREATE"), F.when(F.col("t") % 4 == 0, F.lit("8")).otherwise(F.lit("4.5"))).alias("max_total_ram_gb"),
+        F.lit(None).cast("long").alias("max_total_cpus"),
+        F.when(is_("CREATE") & (F.col("t") % 3 == 0), F.lit(1 << 28).cast("long")).otherwise(none).alias("per_vm_memory_max"),
+        F.when(is_("CREATE") & (F.col("t") % 3 == 1), F.col("t") % 4 + 1).otherwise(none).alias("per_vm_cpus"),
+        F.when(is_("CREATE") & (F.col("t") % 3 == 2), F.lit(1 << 30).cast("long")).otherwise(none).alias("per_vm_disk_size"),
+        F.lit(None).cast("array<string>").alias("vm_names"),
+        F.when(is_("UPDATE"), F.lit("cpus")).alias("updated_field"),
+        F.when(is_("UPDATE"), F.col("t") % 4 + 1).otherwise(none).alias("new_value"),
+        F.when(is_("UPDATE") & (F.col("t") % 4 == 2), F.concat(F.lit("vm-"), (F.col("t") % 100).cast("string"))).alias("target_vm"),
+        F.lit(None).cast("array<string>").alias("target_vms"),
+        F.when(is_("DELETE") & (F.col("t") % 2 == 1), F.lit(3).cast("long")).otherwise(none).alias("delete_count"),
+    )
+
+
 # ---------------------------------------------------------------- B11 text
 ANSI_RED = "\x1b[31m"
 ANSI_RESET = "\x1b[0m"
@@ -456,6 +546,10 @@ def result_rows(spark: SparkSession, sf: str) -> DataFrame:
     apply_status = F.when(t % 4 == 3, F.lit("skipped_plan_only")).when((plan_exit == 0) & (t % 2 == 0), F.lit("success")).otherwise(F.lit("failed"))
     return f.join(cv, ["conv_id", "turn"]).select(
         "conv_id", "turn",
+        F.timestamp_seconds(F.lit(1_700_000_000) + c * 60 + t).alias("evaluated_at"),
+        (c % 7 * 0.5).cast("double").alias("plan_seconds"),
+        F.when(c % 2 == 0, F.concat(F.lit('{"z": 1, "model": {"b": [2, "x"], "a": '), (c % 4).cast("string"), F.lit("}}"))).alias("config"),
+        F.when(t % 2 == 0, F.lit("http://host/v1")).alias("base_url"),
         F.concat(F.substring(F.lit("CRUD"), (c % 4 + 1).cast("int"), 1), F.lit("1."), (t % 3 + 1).cast("string")).alias("task_id"),
         F.when(c % 4 == 0, F.lit("CREATE")).when(c % 4 == 1, F.lit("READ")).when(c % 4 == 2, F.lit("UPDATE")).otherwise(F.lit("DELETE")).alias("category"),
         F.when(c % 2 == 0, F.lit("detailed")).otherwise(F.lit("brief")).alias("prompt_type"),
@@ -497,14 +591,10 @@ def result_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def samples_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """B1 as a stream: the events file read by the file-stream source."""
+    """B1 as a stream: the events table (a file or a folder of files) read by the file-stream source."""
     schema = read_table(spark, sf, "events").schema
-    ev = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events.parquet")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(sf.rstrip("/"))
-    )
+    # a pattern, since the source takes a plain path for a folder
+    ev = spark.readStream.schema(schema).parquet(f"{sf.rstrip('/')}/events.parque[t]")
     et = F.col("event_type")
     return ev.select(
         F.concat(F.col("user_id").cast("string"), F.lit("_"), F.to_date("ts").cast("string")).alias("task_id"),
@@ -577,7 +667,8 @@ def task_references(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
 
 
 def state_json(spark: SparkSession, sf: str) -> DataFrame:
-    """The per-customer state documents as JSON text (attributes nested as objects)."""
+    """The per-customer state documents as JSON text (attributes nested as objects), each
+    wrapped in ``key % 4`` times four further levels, so depths differ between documents."""
     c = read_table(spark, sf, "customer")
     k = F.col("c_custkey")
     pool = F.to_json(F.struct(
@@ -592,4 +683,6 @@ def state_json(spark: SparkSession, sf: str) -> DataFrame:
         vm,
         F.lit("}]}]}"),
     )
+    deep = (k % 4 * 4).cast("int")
+    doc = F.concat(F.repeat(F.lit('{"n":'), deep), doc, F.repeat(F.lit("}"), deep))
     return c.select(k.alias("state_id"), doc.alias("doc"))

@@ -754,7 +754,7 @@ V_ATTEMPTS = """att AS (
 ORACLE["attempt_rollup"] = f"""
 WITH {V_ATTEMPTS}
 SELECT run_id, count(*) AS iterations, round(sum(gen_s), 2) AS total_gen_s,
-       least(count(*) FILTER (WHERE stage = 'spec_failed'), 2) AS spec_fail_count,
+       count(*) FILTER (WHERE stage = 'spec_failed') AS spec_fail_count,
        arg_max(stage, iteration) AS final_stage, arg_max(success, iteration) AS success,
        min(CASE WHEN success THEN iteration END) AS first_success_iter
 FROM att GROUP BY run_id"""
@@ -891,7 +891,18 @@ SELECT replace(lower(letter || '1.' || CAST(t % 3 + 1 AS VARCHAR)), '.', '_') ||
        CASE WHEN c % 8 = 2 THEN '1' ELSE '0' END || '_vms_running' AS state_before,
        CASE WHEN letter = 'U' THEN c % 8 = 2 END AS uuid_unchanged,
        CASE WHEN letter = 'U' THEN CASE WHEN c % 8 = 2 THEN 1 ELSE 0 END END AS cpu_before,
-       'screenshots/' || replace(lower(letter || '1.' || CAST(t % 3 + 1 AS VARCHAR)), '.', '_') || '_m0_apply.png' AS apply_screenshot
+       'screenshots/' || replace(lower(letter || '1.' || CAST(t % 3 + 1 AS VARCHAR)), '.', '_') || '_m0_apply.png' AS apply_screenshot,
+       'Task ' || letter || '1.' || CAST(t % 3 + 1 AS VARCHAR) || ' executed by m0. Iterations: ' || CAST(iterations AS VARCHAR) || '.' AS evaluator_notes,
+       strftime(make_timestamp((1700000000 + c * 60 + t) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS timestamp,
+       strftime(make_timestamp((1700000000 + c * 60 + t) * 1000000), '%Y-%m-%dT%H:%M:%S.000000+00:00') AS timestamp_utc,
+       left(sha256(CASE WHEN c % 2 = 0 THEN '{{"model":{{"a":' || CAST(c % 4 AS VARCHAR) || ',"b":[2,"x"]}},"z":1}}'
+         ELSE '{{"enhance_strat":"' || CASE WHEN c % 3 = 0 THEN 'COT' ELSE '' END || '","model":"m0","model_version":"unknown"}}' END), 16) AS config_hash,
+       CASE WHEN t % 2 = 0 THEN 'http://host/v1' ELSE 'unknown' END AS base_url,
+       CAST(c % 7 * 0.5 AS DOUBLE) AS plan_seconds, 1::INTEGER AS vms_found,
+       CASE WHEN spec_passed IS NULL THEN 'skipped' ELSE 'executed' END AS spec_status,
+       CASE WHEN post_passed IS NULL THEN 'not_applicable' ELSE 'executed' END AS post_status,
+       CASE WHEN c % 11 = 0 THEN CASE WHEN matched THEN 'excellent' ELSE 'poor' END END AS rating,
+       CASE WHEN contains(lower(code), 'ubuntu') THEN 'Ubuntu 22.04' ELSE 'unknown' END AS os_version
 FROM r5"""
 
 ORACLE["stream_pass_at_k"] = ORACLE["pass_at_k_by_task"]
@@ -980,14 +991,15 @@ ev AS (SELECT *, matched OR (CASE WHEN apply_status = 'skipped_plan_only' THEN p
 SELECT plan_id,
        replace(lower(task_id), '.', '_') || '_m0_pass' || CAST(t + 1 AS VARCHAR) || CASE WHEN c % 3 = 0 THEN '_COT' ELSE '' END AS entry_id,
        spec_passed, CAST(len(spec_errors) AS INTEGER) AS n_spec_errors,
+       CAST(coalesce(len(spec_errors), 0) AS INTEGER) AS n_entry_errors, CASE WHEN spec_errors IS NULL THEN 'skipped' ELSE 'executed' END AS spec_status,
        matched OR (execution AND coalesce(spec_passed = TRUE, FALSE) AND coalesce(post_passed, TRUE)) AS meets_requirements,
        coalesce(spec_passed, TRUE) AS resource_allocation_correct
 FROM ev"""
 
 ORACLE["state_key_search"] = """
-SELECT c_custkey AS state_id, 6 AS depth, '{"cores":"' || CAST(c_nationkey % 8 + 1 AS VARCHAR) || '"}' AS value FROM customer
+SELECT c_custkey AS state_id, CAST(6 + c_custkey % 4 * 4 AS INTEGER) AS depth, '{"cores":"' || CAST(c_nationkey % 8 + 1 AS VARCHAR) || '"}' AS value FROM customer
 UNION ALL
-SELECT c_custkey AS state_id, 6 AS depth, CAST(c_custkey % 8 + 1 AS VARCHAR) AS value FROM customer"""
+SELECT c_custkey AS state_id, CAST(6 + c_custkey % 4 * 4 AS INTEGER) AS depth, CAST(c_custkey % 8 + 1 AS VARCHAR) AS value FROM customer"""
 
 ORACLE["repair_prompts"] = f"""
 WITH {V_ATTEMPTS},
@@ -1043,11 +1055,11 @@ WITH d AS (SELECT doc_id, text AS content,
                       '[^A-Za-z0-9_-]+', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS label,
                   sha256(text) AS digest
            FROM documents WHERE coalesce(length(text), 0) > 0),
-f AS (SELECT label, min(digest) AS first FROM d GROUP BY label)
+f AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY digest, CAST(doc_id AS VARCHAR)) AS n FROM d)
 SELECT doc_id, label,
-       'terraform_tfstate_pre_destroy_' || label || CASE WHEN digest <> first THEN '_' || left(digest, 8) ELSE '' END || '.json'
+       'terraform_tfstate_pre_destroy_' || label || CASE WHEN n > 1 THEN '_' || digest || '_' || CAST(doc_id AS VARCHAR) ELSE '' END || '.json'
          AS snapshot_name
-FROM d JOIN f USING (label)"""
+FROM f"""
 
 ORACLE["distribution_document"] = f"""
 WITH {V_HCL}, s AS ({_scored('hcl', 'doc')}),
@@ -1066,7 +1078,8 @@ FROM jv"""
 
 ORACLE["artifacts_roundtrip"] = f"""
 WITH {V_ATTEMPTS}
-SELECT CAST(run_id AS VARCHAR) AS task_id, stage AS kind, count(*) AS n, max(iteration) AS last_iteration
+SELECT CAST(run_id AS VARCHAR) AS task_id, stage AS kind, count(*) AS n, max(iteration) AS last_iteration,
+       'iteration ' || CAST(max(iteration) AS VARCHAR) AS last_content, count(*) AS n_content
 FROM att GROUP BY 1, 2"""
 
 ORACLE["plans_roundtrip_spec_check"] = ORACLE["spec_check"]
@@ -1085,3 +1098,79 @@ SELECT CAST(conv_id AS VARCHAR) AS conv_id,
 FROM conversations"""
 
 ORACLE["states_roundtrip_context"] = ORACLE["infra_context"]
+
+
+# ------------------------------------------------------------------ plan samples on hosts
+_ASKED = "[['create'], ['no-op'], ['update'], ['delete'], ['create']][CAST(t % 5 + 1 AS INTEGER)]"
+V_SAMPLE_PLANS = f"""o AS (SELECT o_orderkey AS k, o_orderkey % 200 AS t, (o_orderkey // 200) % 2 = 0 AS good FROM orders),
+line AS (
+  SELECT k, t, good, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS pos,
+         CASE WHEN l_linenumber = 5 THEN 'xenorchestra_network' ELSE 'xenorchestra_vm' END AS type,
+         CASE WHEN good THEN {_ASKED} WHEN l_returnflag = 'A' THEN ['delete'] WHEN l_returnflag = 'N' THEN ['create']
+              WHEN l_linestatus = 'F' THEN ['delete', 'create'] ELSE ['update'] END AS actions,
+         CASE WHEN l_linenumber <> 7 THEN 'vm-' || CAST(l_suppkey AS VARCHAR) END AS name_label,
+         CASE WHEN good THEN 268435456 ELSE CAST(l_quantity AS BIGINT) * 67108864 END AS memory_max,
+         CASE WHEN good THEN t % 4 + 1 ELSE CAST(l_quantity AS BIGINT) END AS cpus,
+         CASE WHEN good THEN 1073741824 ELSE l_partkey * 16777216 END AS disk
+  FROM lineitem JOIN o ON o.k = l_orderkey),
+acted AS (SELECT *, {ACTION_SQL} AS action FROM line),
+docs AS (
+  SELECT k, list({{'pos': CAST(pos AS BIGINT), 'type': type, 'action': action, 'address': type || '.r_' || CAST(pos AS VARCHAR),
+                   'name_label': name_label, 'memory_max': CASE WHEN action <> 'delete' THEN CAST(memory_max AS BIGINT) END,
+                   'cpus': CASE WHEN action <> 'delete' THEN CAST(cpus AS BIGINT) END,
+                   'disk_sizes': CASE WHEN action <> 'delete' THEN [CAST(disk AS BIGINT)] ELSE []::BIGINT[] END}} ORDER BY pos) AS rc
+  FROM acted GROUP BY k),
+typed AS (SELECT rc[1:0] AS none FROM docs LIMIT 1),
+plans AS (
+  SELECT CAST(o.k AS VARCHAR) AS plan_id, 'T' || CAST(t AS VARCHAR) AS task, coalesce(rc, (SELECT none FROM typed)) AS rc,
+         CASE WHEN o.k % 3 = 0 THEN [
+           {{'pos': CAST(-3 AS BIGINT), 'type': '', 'action': 'existing', 'address': '', 'name_label': 'vm-host', 'memory_max': CAST(1073741824 AS BIGINT),
+             'cpus': CAST(2 AS BIGINT), 'disk_sizes': [CAST(1073741824 AS BIGINT)]}},
+           {{'pos': CAST(-2 AS BIGINT), 'type': '', 'action': 'existing', 'address': '', 'name_label': 'vm-' || CAST(o.k % 100 AS VARCHAR),
+             'memory_max': CAST(o.k % 25 * 1073741824 AS BIGINT), 'cpus': CAST(o.k % 33 AS BIGINT), 'disk_sizes': [CAST(8589934592 AS BIGINT)]}}]
+         ELSE (SELECT none FROM typed) END AS pre
+  FROM o LEFT JOIN docs ON docs.k = o.k WHERE o.k % 97 <> 0),
+specs AS (
+  SELECT 'T' || CAST(t AS VARCHAR) AS spec_task, cat AS category,
+         CASE WHEN cat = 'CREATE' AND t % 2 = 0 THEN t % 4 + 1 END AS vm_count,
+         CASE WHEN cat = 'CREATE' AND t % 2 = 1 THEN 1 END AS min_vm_count,
+         CASE WHEN cat = 'CREATE' AND t % 2 = 1 THEN 7 END AS max_vm_count,
+         CASE WHEN cat = 'CREATE' THEN CASE WHEN t % 4 = 0 THEN 8.0::DOUBLE ELSE 4.5::DOUBLE END END AS max_total_ram_gb,
+         CASE WHEN cat = 'CREATE' THEN CASE WHEN t % 4 = 0 THEN '8' ELSE '4.5' END END AS ram_text,
+         CAST(NULL AS BIGINT) AS max_total_cpus,
+         CASE WHEN cat = 'CREATE' AND t % 3 = 0 THEN 268435456 END AS per_vm_memory_max,
+         CASE WHEN cat = 'CREATE' AND t % 3 = 1 THEN t % 4 + 1 END AS per_vm_cpus,
+         CASE WHEN cat = 'CREATE' AND t % 3 = 2 THEN 1073741824 END AS per_vm_disk_size,
+         CAST(NULL AS VARCHAR[]) AS vm_names,
+         CASE WHEN cat = 'UPDATE' THEN 'cpus' END AS updated_field, CASE WHEN cat = 'UPDATE' THEN t % 4 + 1 END AS new_value,
+         CASE WHEN cat = 'UPDATE' AND t % 4 = 2 THEN 'vm-' || CAST(t % 100 AS VARCHAR) END AS target_vm,
+         CAST(NULL AS VARCHAR[]) AS target_vms, CASE WHEN cat = 'DELETE' AND t % 2 = 1 THEN 3 END AS delete_count
+  FROM (SELECT DISTINCT t, ['CREATE', 'READ', 'UPDATE', 'DELETE', 'MIGRATE'][CAST(t % 5 + 1 AS INTEGER)] AS cat FROM o WHERE t % 13 <> 12))"""
+
+V_SAMPLE_RULES = (
+    V_RULES.replace("s.*, s.plan_id IS NOT NULL AS has_spec", "p.pre, p.task, s.*, s.spec_task IS NOT NULL AS has_spec")
+    .replace("ON p.plan_id = s.plan_id", "ON p.task = s.spec_task")
+    .replace("list_filter(vms, lambda v: coalesce(v.name_label, '') <> '' AND v.action IN ('create', 'update', 'replace', 'delete')) AS q_ev",
+             "list_filter(list_concat(pre, CASE WHEN category = 'READ' THEN rc[1:0] ELSE vms END), lambda v: coalesce(v.name_label, '') <> '' "
+             "AND v.action IN ('existing', 'create', 'update', 'replace', 'delete')) AS q_ev")
+    .replace("CASE WHEN category = 'READ' THEN 0 ELSE", "CASE WHEN FALSE THEN 0 ELSE")
+    .replace(_s("max_total_ram_gb"), "ram_text")
+    .replace("r AS (SELECT plan_id, category,", "r AS (SELECT plan_id, task, category,")
+    .replace(_s("plan_id"), "task")
+)
+
+ORACLE["plan_samples_spec_check"] = f"""
+WITH {V_SAMPLE_PLANS}, {V_SAMPLE_RULES}
+SELECT plan_id, task AS task_id, category, 'executed' AS status, len(errors) = 0 AS passed, CAST(len(errors) AS INTEGER) AS n_errors,
+       array_to_string(errors, ' | ') AS errors,
+       array_to_string(list_transform(checks, lambda c: c.check || '=' || coalesce(CAST(c.passed AS VARCHAR), 'null')), ',') AS checks,
+       had_replace_actions
+FROM r
+UNION ALL
+SELECT NULL, NULL, NULL, 'skipped', NULL, 1, 'plan document can''t be parsed as JSON', '', NULL FROM o WHERE k % 97 = 0"""
+
+ORACLE["entries_merge"] = f"""
+WITH e AS (SELECT entry_id FROM ({ORACLE["entry_outcomes"]}))
+SELECT entry_id, CAST(regexp_extract(entry_id, '_pass(\\d+)', 1) AS BIGINT) AS sample_num,
+       regexp_extract(entry_id, '_pass(\\d+)', 1) = '1' AS rerun
+FROM e"""

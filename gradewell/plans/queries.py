@@ -26,7 +26,7 @@ from ..operators import metrics, running
 from ..operators import post_state as PS
 from ..operators import report as RP
 from ..operators import rules as RU
-from ..session import ensure_checkpoint_dir, read_table
+from ..session import read_table, scratch_dir
 from ..sources import readers as RD
 from ..sources import sinks as SK
 from ..streaming import progress as ST
@@ -174,7 +174,7 @@ def q_code_extraction(spark, sf):
 def q_text_hygiene(spark, sf):
     t = B.error_texts(spark, sf)
     red = TX.redact("text")
-    san = TX.sanitize_error("text")
+    san = TX.sanitize_error("text", TX.TRUNCATE_MAX)
     head = TX.truncate_head("text", TX.TRUNCATE_MAX, TX.CONTEXT_MARKER)
     return t.select(
         "doc_id",
@@ -294,6 +294,22 @@ def q_spec_check_summary(spark, sf):
     )
 
 
+@register("plan_samples_spec_check")
+def q_plan_samples_spec_check(spark, sf):
+    """S5 -> P6 -> J4 -> V1-V6 with J9: plan documents (JSON Lines, some unreadable,
+    some empty) read nested and checked in place; specs are looked up by trimmed
+    task id, quotas start from the VMs on the host. Every document has a row."""
+    path = scratch_dir(spark, "plan-samples")
+    B.plan_sample_json(spark, sf).write.text(path)
+    extra = (T.StructField("task_id", T.StringType()), T.StructField("pre_vms", T._parse_datatype_string(B.PRE_VMS_T)))
+    plans = RD.plan_documents_of(RD.read_plans(spark, path, key_field="plan_key", extra=extra), "task_id", "pre_vms")
+    r = RU.check_plans(plans, B.task_specs(spark, sf), task_col="task_id")
+    return r.select(
+        "plan_id", F.trim("task_id").alias("task_id"), "category", "status", "passed", F.size("errors").alias("n_errors"),
+        F.array_join("errors", " | ").alias("errors"), _checks_text(F.col("checks")).alias("checks"), "had_replace_actions",
+    )
+
+
 @register("host_quota")
 def q_host_quota(spark, sf):
     h = RU.host_quota(B.host_state_rows(spark, sf), "host_id", "name_label", ["prio", "plan_id", "pos"])
@@ -391,7 +407,7 @@ def q_entry_outcomes(spark, sf):
         F.array_join(F.col("prompt.information_provided"), ",").alias("info_provided"),
         F.array_join(F.col("prompt.information_missing"), ",").alias("info_missing"),
         lr["inferred_defaults"]["cpus"].alias("inferred_cpus"), lr["inferred_defaults"]["ram_bytes"].alias("inferred_ram"),
-        lr["inferred_defaults"]["disk_bytes"].alias("inferred_disk"), lr["inferred_defaults"]["env"]["ip_mode"].alias("ip_mode"),
+        lr["inferred_defaults"]["disk_bytes"].alias("inferred_disk"), lr["inferred_defaults"]["ip_mode"].alias("ip_mode"),
         F.md5(lr["full_response_text"]).alias("response_md5"),
         F.col("resource_expectations.expected.per_vm_memory_max_bytes").alias("expected_mem"),
         F.col("resource_expectations.actual.total_memory_max_bytes").alias("actual_total_mem"),
@@ -403,12 +419,17 @@ def q_entry_outcomes(spark, sf):
         F.col("scenario.edge_case").alias("edge_case"),
         F.col("scenario.available_ram_gb_after").alias("avail_after"),
         F.array_join(F.col("edge_case_handling.alternatives_provided"), ";").alias("alternatives"),
-        F.col("edge_case_handling.score.shortfall_gb").alias("shortfall_gb"),
+        F.col("edge_case_handling.shortfall_gb").alias("shortfall_gb"),
         F.col("scenario.available_ram_gb_before").alias("avail_before"),
         F.col("metadata.infrastructure_state_before").alias("state_before"),
         F.col("update_operation_validation.uuid_unchanged").alias("uuid_unchanged"),
         F.col("update_operation_validation.cpu_before").alias("cpu_before"),
         F.col("screenshots.terraform_apply_output").alias("apply_screenshot"),
+        "evaluator_notes", "timestamp", F.col("metadata.timestamp_utc").alias("timestamp_utc"),
+        F.col("metadata.config_hash").alias("config_hash"), F.col("metadata.base_url").alias("base_url"),
+        ex["terraform_plan"]["execution_time_seconds"].alias("plan_seconds"), ex["verification"]["actual_vm_count"].alias("vms_found"),
+        F.col("spec_accuracy.status").alias("spec_status"), F.col("post_state_verification.status").alias("post_status"),
+        F.col("edge_case_score.rating").alias("rating"), lr["inferred_defaults"]["os_version"].alias("os_version"),
     )
 
 
@@ -417,12 +438,9 @@ def q_entry_outcomes(spark, sf):
 
 @register("stream_pass_at_k")
 def q_stream_pass_at_k(spark, sf):
-    # re-delivered results are dropped by id; the watermark on the result
-    # timestamp bounds the de-duplication state
-    counts = ST.task_counts_stream(B.samples_stream(spark, sf), key="event_id", event_time="ts",
-                                   watermark="2 days")
-    done = ST.run_to_completion(spark, counts)
-    return rounded(ST.pass_at_k_from_counts(done))
+    # re-delivered results are dropped by id, however late
+    counts = ST.task_counts_stream(B.samples_stream(spark, sf), key="event_id")
+    return rounded(ST.pass_at_k_from_counts(ST.run_to_completion(spark, counts)))
 
 
 # ------------------------------------------------------------ sink -> source round trip
@@ -434,14 +452,26 @@ def q_entries_roundtrip(spark, sf):
     experiment folder under the shared checkpoint folder, read back with the
     explicit entry schema, flattened and scored. The written table also cuts
     the lineage of the builder plan."""
-    import uuid
+    e = DS.build_entries(B.result_rows(spark, sf)).select("entry.*")
+    e = e.withColumn("model_folder", F.col("metadata.model_name")).withColumn("strategy", F.col("metadata.enhance_strat"))
+    folder = SK.write_entries(e, scratch_dir(spark, "entries"))
+    back = RD.entry_samples(RD.read_entries(spark, folder, one_per_file=False))
+    return rounded(metrics.pass_at_k_table(back))
 
+
+@register("entries_merge")
+def q_entries_merge(spark, sf):
+    """S8 + S9: all entries are written; the first passes are run again and written
+    with a new description; the table read back holds every entry once, new where
+    it was run again."""
     e = DS.build_entries(B.result_rows(spark, sf)).select("entry.*")
     e = e.withColumn("model_folder", F.col("metadata.model_name")).withColumn("strategy", F.col("metadata.enhance_strat"))
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/entries-{uuid.uuid4().hex[:12]}"
+    root = scratch_dir(spark, "entries")
     SK.write_entries(e, root)
-    back = RD.entry_samples(RD.read_entries(spark, f"{root}/dataset", one_per_file=False))
-    return rounded(metrics.pass_at_k_table(back))
+    again = e.filter("sample_num = 1").withColumn("task_description", F.lit("run again"))
+    folder = SK.write_entries(again, root)
+    back = RD.read_entries(spark, folder, one_per_file=False)
+    return back.select("entry_id", "sample_num", (F.col("task_description") == "run again").alias("rerun"))
 
 
 @register("infra_context")
@@ -490,8 +520,7 @@ def q_judge_report_with_code(spark, sf):
 @register("bleu_by_conversation")
 def q_bleu_by_conversation(spark, sf):
     """A6 with scores: per conversation, pairs and average BLEU (null when none scored)."""
-    # partition pair texts by conversation once: pair and conversation aggregates share it
-    b = BL.bleu(B.pairs(spark, sf), ["conv_id", "turn"], "reference", "candidate", partition_keys=["conv_id"])
+    b = BL.bleu(B.pairs(spark, sf), ["conv_id", "turn"], "reference", "candidate")
     return rounded(b.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("bleu").alias("avg_bleu"),
                                             F.max("bleu").alias("max_bleu")))
 
@@ -507,6 +536,7 @@ def q_evaluated_entries(spark, sf):
         "plan_id", F.col("entry.entry_id").alias("entry_id"),
         F.col("entry.spec_accuracy.passed").alias("spec_passed"),
         F.when(F.col("spec_errors").isNotNull(), F.size("spec_errors")).alias("n_spec_errors"),
+        F.size("entry.spec_accuracy.errors").alias("n_entry_errors"), F.col("entry.spec_accuracy.status").alias("spec_status"),
         F.col("entry.final_outcome.meets_requirements").alias("meets_requirements"),
         F.col("entry.final_outcome.resource_allocation_correct").alias("resource_allocation_correct"),
     )
@@ -537,7 +567,7 @@ def q_repair_prompts(spark, sf):
     prompt = F.concat(F.lit("Provision the VMs for user "), F.col("run_id").cast("string"))
     code = F.concat(F.lit('resource "xenorchestra_vm" "u'), F.col("run_id").cast("string"), F.lit('" {}'))
     newest = F.element_at("errs", -1)
-    user_msg = DS.judge_messages(prompt, F.lit("CREATE"), code)[1]["content"]
+    user_msg = DS.judge_messages(prompt, F.lit("CREATE"), code, DS.JUDGE_PROMPT_CAP, DS.JUDGE_CODE_CAP)[1]["content"]
     return per_run.select(
         "run_id", F.size("errs").alias("n_errors"),
         F.md5(DS.multi_error_prompt(prompt, F.col("errs"))).alias("multi_error_md5"),
@@ -616,19 +646,19 @@ def q_verdict_writeback(spark, sf):
 
 @register("artifacts_roundtrip")
 def q_artifacts_roundtrip(spark, sf):
-    """The iteration log written as a long artifact table partitioned by
-    task under the shared checkpoint folder, read back and counted."""
-    import uuid
-
+    """The iteration log written as a long artifact table in hash buckets of its
+    tasks under the shared checkpoint folder, read back with its content."""
     log = B.attempt_log(spark, sf)
     arts = log.select(
         F.col("run_id").cast("string").alias("task_id"), F.lit(1).alias("sample"), "iteration",
         F.col("stage").alias("kind"), F.concat(F.lit("iteration "), F.col("iteration").cast("string")).alias("content"))
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/artifacts-{uuid.uuid4().hex[:12]}"
+    path = scratch_dir(spark, "artifacts")
     SK.write_artifacts(arts, path)
-    # explicit schema: partition values stay text (no type inference from folder names)
     back = spark.read.schema(arts.schema).parquet(path)
-    return back.groupBy("task_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("iteration").alias("last_iteration"))
+    return back.groupBy("task_id", "kind").agg(
+        F.count(F.lit(1)).alias("n"), F.max("iteration").alias("last_iteration"),
+        F.max_by("content", "iteration").alias("last_content"),
+        F.count_if(F.col("content") == F.concat(F.lit("iteration "), F.col("iteration").cast("string"))).alias("n_content"))
 
 
 @register("plans_roundtrip_spec_check")
@@ -637,8 +667,6 @@ def q_plans_roundtrip(spark, sf):
     (before/after states, disk lists; JSON Lines under the shared checkpoint
     folder), read back with the plan reader and rule-checked. The result must
     equal ``spec_check`` computed from the rows directly."""
-    import uuid
-
     rows = B.plan_rows(spark, sf)
     deleting = F.array_contains("actions", "delete") & ~F.array_contains("actions", "create")
     state = F.struct(
@@ -659,12 +687,10 @@ def q_plans_roundtrip(spark, sf):
     # one document per plan: a plan is one document in the source format
     docs = rows.groupBy("plan_id").agg(F.array_sort(F.collect_list(change)).alias("rc")).select(
         F.col("plan_id").cast("string").alias("plan_key"), F.transform("rc", lambda c: c.dropFields("pos")).alias("resource_changes"))
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/plans-{uuid.uuid4().hex[:12]}"
+    path = scratch_dir(spark, "plans")
     docs.write.mode("overwrite").json(path)
-    back = RD.read_plans(spark, path, key_field="plan_key").select(
-        F.col("plan_id").cast("long").alias("plan_id"), "resource_changes")
-    plans = RU.plan_documents(RD.plan_change_rows(back))
-    r = RU.check_plans(plans, B.specs(spark, sf))
+    plans = RD.plan_documents_of(RD.read_plans(spark, path, key_field="plan_key"))
+    r = RU.check_plans(plans.withColumn("plan_id", F.col("plan_id").cast("long")), B.specs(spark, sf))
     return r.select(
         "plan_id", "category", "passed", F.size("errors").alias("n_errors"),
         F.array_join("errors", " | ").alias("errors"), _checks_text(F.col("checks")).alias("checks"),
@@ -678,15 +704,13 @@ def q_tasks_csv_roundtrip(spark, sf):
     """S1 + P4: a task table with multi-line prompts and quoted HCL is written as
     CSV (quotes doubled) under the shared checkpoint folder and read back with
     the task reader; rows with a blank id are dropped on reading."""
-    import uuid
-
     t = B.bench_tasks(spark, sf)
     frags = B.hcl_fragments(spark, sf).select(F.col("frag_pos").alias("item_id"), F.col("hcl").alias("reference_hcl"))
     rows = t.join(frags, "item_id", "left").select(
         F.when(F.col("item_id") % 10 == 9, F.lit("  ")).otherwise(F.concat(F.lit("T"), F.col("item_id").cast("string")))
         .alias("task_id"),
         "category", F.lit("detailed").alias("prompt_type"), "prompt", "reference_hcl")
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tasks-{uuid.uuid4().hex[:12]}"
+    path = scratch_dir(spark, "tasks")
     rows.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
     back = RD.read_tasks(spark, path)
     return back.select("task_id", "category", F.md5("prompt").alias("prompt_md5"),
@@ -697,11 +721,9 @@ def q_tasks_csv_roundtrip(spark, sf):
 def q_conversations_roundtrip(spark, sf):
     """Turns grouped into one message array per conversation (JSON Lines
     under the shared checkpoint folder), read back and exploded to turns."""
-    import uuid
-
     cv = read_table(spark, sf, "conversations").select(
         F.col("conv_id").cast("string").alias("file"), "turn", "role", F.col("text").alias("content"))
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/conversations-{uuid.uuid4().hex[:12]}"
+    path = scratch_dir(spark, "conversations")
     SK.write_conversations(cv, path)
     back = RD.read_conversations(spark, path, key_field="file")
     return back.select(F.col("file").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role",
@@ -713,10 +735,8 @@ def q_states_roundtrip(spark, sf):
     """S6 + P8: the per-customer state documents written as JSON Lines under the
     shared checkpoint folder, read back with the state reader (attributes as raw
     JSON text) and reduced to their identifier context; equals infra_context."""
-    import uuid
-
     docs = B.state_documents(spark, sf).select(F.col("state_id").cast("string").alias("state_key"), "resources")
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/states-{uuid.uuid4().hex[:12]}"
+    path = scratch_dir(spark, "states")
     docs.write.mode("overwrite").json(path)
     back = RD.read_states(spark, path, key_field="state_key").withColumn("state_id", F.col("state_id").cast("long"))
     ctx = RD.infra_context(back)

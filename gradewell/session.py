@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -33,7 +36,6 @@ def get_session(master: str | None = None, app: str = "gradewell") -> SparkSessi
         .getOrCreate()
     )
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -61,8 +63,9 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in spark.checkpoint.dir.
 
-    Only when the setting is absent (local tests) is a scratch folder created.
-    Works without a SparkContext handle (e.g. remote sessions).
+    Only where the setting is absent and the master is local (tests) is a scratch
+    folder created; elsewhere a folder of one machine would be read back in part,
+    so that is an error. Works without a SparkContext handle (e.g. remote sessions).
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = None
@@ -72,6 +75,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # noqa: BLE001 - no driver-side context (remote session)
         sc = None
     if not configured:
+        master = sc.master if sc is not None else ""
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="gradewell-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", configured)
     if sc is not None and not sc.getCheckpointDir():
@@ -79,6 +85,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+_SCRATCH: list[tuple] = []
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder for a table that a returned
+    DataFrame still reads; deleted when the application ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+    if not _SCRATCH:
+        atexit.register(_clear_scratch)
+    _SCRATCH.append((spark, path))
+    return path
+
+
+def _clear_scratch() -> None:
+    for spark, path in _SCRATCH:
+        try:
+            jvm = spark._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+        except Exception:  # noqa: BLE001 - the session is gone; the folder's owner cleans up
+            return
+    _SCRATCH.clear()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.outcome import normalize_action
+
 S, L, I, D, B = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType(), T.BooleanType()
 
 
@@ -79,7 +81,8 @@ def read_entries(spark: SparkSession, path: str, one_per_file: bool = True) -> D
     """
     df = spark.read.schema(ENTRY_SCHEMA).json(path, multiLine=one_per_file)
     name = F.col("_metadata.file_name") if one_per_file else F.concat(F.col("entry_id"), F.lit(".json"))
-    return df.withColumn("file", name)
+    return df.withColumn("file", name).withColumn(
+        "path", F.col("_metadata.file_path") if one_per_file else F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("entry_id")))
 
 
 def entry_samples(entries: DataFrame) -> DataFrame:
@@ -96,6 +99,7 @@ def entry_samples(entries: DataFrame) -> DataFrame:
         F.coalesce(F.col("llm_response.time_to_generate_seconds"), F.lit(0.0)).alias("gen_s"),
         F.coalesce(F.col("llm_response.generated_code"), F.lit("")).alias("code"),
         "file",
+        *[c for c in ("path",) if c in entries.columns],
         F.col("metadata.model_name").alias("model_name"),
         F.col("metadata.enhance_strat").alias("strategy"),
     )
@@ -115,25 +119,27 @@ def read_references(spark: SparkSession, folder: str) -> DataFrame:
 SPEC_SCHEMA = _st(
     ("task_id", S), ("category", S), ("vm_count", L), ("min_vm_count", L), ("max_vm_count", L),
     ("per_vm_memory_max", L), ("per_vm_cpus", L), ("per_vm_disk_size", L), ("vm_names", T.ArrayType(S)),
-    ("max_total_ram_gb", D), ("max_total_cpus", L), ("updated_field", S), ("new_value", L),
+    ("max_total_ram_gb", S), ("max_total_cpus", L), ("updated_field", S), ("new_value", L),
     ("target_vm", S), ("target_vms", T.ArrayType(S)), ("delete_count", L),
 )
 
 
 def read_specs(spark: SparkSession, yaml_path: str) -> DataFrame:
-    """The spec file is one small YAML map (task -> sparse record); it is
-    parsed on the driver (Spark has no YAML source) and becomes a DataFrame."""
+    """The spec file is one small YAML map (task -> sparse record). Spark reads
+    it as one whole text (any storage it can reach); it is parsed on the driver
+    (Spark has no YAML source) and becomes a DataFrame. ``max_total_ram_gb`` stays
+    text, as written, since messages print it so."""
     import yaml
 
-    with open(yaml_path, encoding="utf-8") as f:
-        doc = yaml.safe_load(f) or {}
+    found = spark.read.text(yaml_path, wholetext=True).first()
+    doc = (yaml.safe_load(found["value"]) if found else None) or {}
     names = [f.name for f in SPEC_SCHEMA.fields]
     rows = []
     for task_id, rec in doc.items():
         rec = dict(rec or {})
         rec["task_id"] = str(task_id).strip()
         if rec.get("max_total_ram_gb") is not None:
-            rec["max_total_ram_gb"] = float(rec["max_total_ram_gb"])
+            rec["max_total_ram_gb"] = str(rec["max_total_ram_gb"])
         rows.append(tuple(rec.get(n) for n in names))
     return spark.createDataFrame(rows, SPEC_SCHEMA)
 
@@ -149,15 +155,16 @@ PLAN_SCHEMA = _st(
 )
 
 
-def read_plans(spark: SparkSession, path: str, key_field: str | None = None) -> DataFrame:
+def read_plans(spark: SparkSession, path: str, key_field: str | None = None,
+               extra: tuple[T.StructField, ...] = ()) -> DataFrame:
     """Plan JSON documents; an unreadable document keeps its text in
     ``_corrupt_record`` (the reference's ``(None, error)`` return).
 
     By default each file is one (pretty-printed) document and ``plan_id`` is
     its file name; with ``key_field`` the input is JSON Lines and each
-    document carries its own key in that field."""
-    schema = PLAN_SCHEMA if key_field is None else T.StructType(
-        [T.StructField(key_field, T.StringType())] + PLAN_SCHEMA.fields)
+    document carries its own key in that field. ``extra`` fields are read beside."""
+    schema = T.StructType(
+        ([] if key_field is None else [T.StructField(key_field, T.StringType())]) + list(extra) + PLAN_SCHEMA.fields)
     df = (
         spark.read.schema(schema)
         .option("mode", "PERMISSIVE")
@@ -169,6 +176,37 @@ def read_plans(spark: SparkSession, path: str, key_field: str | None = None) ->
     return df.withColumnRenamed(key_field, "plan_id")
 
 
+_DISKS = "array<bigint>"
+
+
+def plan_documents_of(plans: DataFrame, *keep: str) -> DataFrame:
+    """P6 + P7 in place: every plan as one row, with its changes as the rules read
+    them. Nothing is exploded or shuffled, so plans without changes stay, and an
+    unreadable document stays with its ``plan_error``. ``keep`` names further columns."""
+
+    def side(state):
+        disks = F.transform(F.filter(state["disk"], lambda d: d["size"].isNotNull()), lambda d: d["size"])
+        return state["name_label"], state["memory_max"], state["cpus"], F.coalesce(disks, F.array().cast(_DISKS))
+
+    def change(rc, i):
+        label, memory, cpus, disks = side(rc["change"]["after"])
+        old = side(rc["change"]["before"])
+        return F.struct(
+            (i + 1).alias("pos"), rc["type"].alias("type"),
+            normalize_action(F.coalesce(rc["change"]["actions"], F.array().cast("array<string>"))).alias("action"),
+            F.coalesce(rc["address"], F.lit("")).alias("address"),
+            F.coalesce(F.nullif(label, F.lit("")), old[0]).alias("name_label"),
+            memory.alias("memory_max"), cpus.alias("cpus"), disks.alias("disk_sizes"),
+            F.struct(*[x.alias(n) for n, x in zip(("name_label", "memory_max", "cpus", "disk_sizes"), old)]).alias("before"),
+        )
+
+    changes = F.transform("resource_changes", change)
+    empty = F.array().cast(plans.select(changes.alias("x")).schema["x"].dataType)
+    error = F.when(F.col("_corrupt_record").isNotNull(), F.lit("plan document can't be parsed as JSON")) \
+        if "_corrupt_record" in plans.columns else F.lit(None).cast("string")
+    return plans.select("plan_id", *keep, F.coalesce(changes, empty).alias("resource_changes"), error.alias("plan_error"))
+
+
 def plan_change_rows(plans: DataFrame, key: str = "plan_id") -> DataFrame:
     """P6 + P7: exploded resource changes with normalised action; the VM name
     falls back to the ``before`` side (deletes have no ``after``)."""
@@ -221,7 +259,8 @@ def infra_context(states: DataFrame, key: str = "state_id") -> DataFrame:
 
     Rows: (key, kind, pos, type, fields-as-JSON); only allow-listed keys with a
     non-null value are kept, and entries with nothing kept are dropped. The
-    rows stay a table (no per-document list), ordered by ``pos``.
+    rows stay a table (no per-document list), ordered by ``pos``. ``infra_summary``
+    lists every document, also those without rows here.
     """
     r = states.select(key, F.posexplode("resources").alias("rpos", "r"))
     i = r.select(key, "rpos", F.col("r.mode").alias("mode"), F.col("r.type").alias("type"),
@@ -242,6 +281,20 @@ def infra_context(states: DataFrame, key: str = "state_id") -> DataFrame:
     return data.unionByName(vm).filter(F.size("fields") > 0)
 
 
+def infra_summary(states: DataFrame, key: str = "state_id") -> DataFrame:
+    """One row per state document: its counts of resources, and of data sources and
+    managed VMs with identifier fields, and ``error`` where the document can't be read."""
+    corrupt = F.col("_corrupt_record") if "_corrupt_record" in states.columns else F.lit(None).cast("string")
+    found = infra_context(states, key).groupBy(key).agg(
+        F.count_if(F.col("kind") == "data_resources").alias("n_data_resources"),
+        F.count_if(F.col("kind") == "managed_vms").alias("n_managed_vms"))
+    listed = states.select(key, F.coalesce(F.size("resources"), F.lit(0)).alias("n_resources"),
+                           F.when(corrupt.isNotNull(), F.lit("Failed to parse terraform state")).alias("error"))
+    zero = F.lit(0).cast("long")
+    return listed.join(found, key, "left").select(
+        key, F.when(F.col("error").isNull(), F.col("n_resources")).alias("n_resources"), *[F.when(F.col("error").isNull(), F.coalesce(c, zero)).alias(c) for c in ("n_data_resources", "n_managed_vms")], "error")
+
+
 # ---------------------------------------------------------------- S7 conversations
 CONVERSATION_SCHEMA = T.ArrayType(_st(("role", S), ("content", S)))
 

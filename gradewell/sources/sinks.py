@@ -1,34 +1,71 @@
-"""Sinks (S8-S13). Writers never overwrite their own input: results go to a
-new path and replace the old one by ``mode('overwrite')`` of a distinct
-location (S9). Re-running an entry replaces only its partition (S8).
+"""Sinks (S8-S13). Writers never overwrite their own input: a table is written as
+a new version, which readers switch to once it is complete (S9). Re-running an
+entry replaces only that entry (S8).
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.dataset import folder_name
 
 
-def write_entries(entries: DataFrame, root: str, folder_col: str = "model_folder",
-                  strategy_col: str = "strategy") -> None:
-    """``dataset/{folder}[_{strategy}]/`` partitions of JSON entries; dynamic
-    partition overwrite so re-running an experiment replaces only its folder."""
-    out = entries.withColumn("experiment", folder_name(folder_col, strategy_col))
-    spark = entries.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        out.write.mode("overwrite").partitionBy("experiment").json(f"{root.rstrip('/')}/dataset")
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+VERSION = re.compile(r"version=(\d+)")
+
+
+def _listed(spark, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, ([s.getPath() for s in fs.listStatus(where)] if fs.exists(where) else [])
+
+
+def latest_version(spark, path: str) -> int | None:
+    """Number of the newest complete version of a table; a version counts once
+    its writer has committed (``_SUCCESS``), which is the switch-over."""
+    fs, found = _listed(spark, path)
+    done = [int(m[1]) for p in found
+            if (m := VERSION.fullmatch(p.getName())) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return max(done, default=None)
 
 
-def rewrite(df: DataFrame, new_path: str, fmt: str = "parquet") -> str:
-    """Write a dimension to a fresh path (readers switch to it afterwards)."""
-    df.write.mode("overwrite").format(fmt).save(new_path)
-    return new_path
+def new_version(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> str:
+    """Write a table as a new version beside the old ones, so it may read the
+    version it replaces; readers see it when it is complete. Returns its folder."""
+    spark = df.sparkSession
+    number = max([int(m[1]) for p in _listed(spark, path)[1] if (m := VERSION.fullmatch(p.getName()))], default=0) + 1
+    target = f"{path.rstrip('/')}/version={number}"
+    df.write.partitionBy(*partition_by).format(fmt).save(target)
+    return target
+
+
+def read_version(spark, path: str, fmt: str = "parquet", schema=None, number: int | None = None) -> DataFrame:
+    """The newest complete version, or the one named."""
+    number = latest_version(spark, path) if number is None else number
+    reader = spark.read.format(fmt)
+    return (reader.schema(schema) if schema is not None else reader).load(f"{path.rstrip('/')}/version={number}")
+
+
+def write_entries(entries: DataFrame, root: str, folder_col: str = "model_folder",
+                  strategy_col: str = "strategy", key: str = "entry_id") -> str:
+    """``dataset/version=n/experiment={folder}[_{strategy}]/`` of JSON entries.
+
+    Old and new entries are merged by ``key`` (new wins; the rows of one write stay as
+    given) into a new version: re-running one entry replaces that entry and leaves its
+    neighbours."""
+    spark = entries.sparkSession
+    path = f"{root.rstrip('/')}/dataset"
+    out = entries.withColumn("experiment", folder_name(folder_col, strategy_col)).drop(folder_col, strategy_col)
+    number = latest_version(spark, path)
+    if number is not None:
+        schema = T.StructType([f for f in out.schema.fields if f.name != "experiment"] + [T.StructField("experiment", T.StringType())])
+        old = read_version(spark, path, "json", schema, number)
+        new_keys = out.select("experiment", key).distinct()
+        out = old.join(new_keys, ["experiment", key], "left_anti").unionByName(out)
+    return new_version(out, path, "json", ("experiment",))
 
 
 def distribution_document(per_type: DataFrame, summary: DataFrame) -> DataFrame:
@@ -46,44 +83,44 @@ def distribution_document(per_type: DataFrame, summary: DataFrame) -> DataFrame:
 
 
 def with_verdicts(entries: DataFrame, verdicts: DataFrame, key: str = "entry_id") -> DataFrame:
-    """Add or replace ``judge_verdict`` from a verdict table (left join, new wins)."""
-    v = verdicts.select(key, F.struct("verdict", "judge_model", "raw_response").alias("_new"))
+    """Add or replace ``judge_verdict`` from a verdict table (left join, new wins; of
+    several verdicts for one entry the greatest by verdict, model and text)."""
+    v = verdicts.groupBy(key).agg(F.max(F.struct("verdict", "judge_model", "raw_response")).alias("_new"))
     j = entries.join(v, key, "left")
     old = F.col("judge_verdict") if "judge_verdict" in entries.columns else F.lit(None)
     return j.withColumn("judge_verdict", F.coalesce(F.col("_new"), old)).drop("_new")
 
 
-def write_artifacts(artifacts: DataFrame, path: str, files_per_task: int = 4) -> None:
-    """Long table (task_id, sample, iteration, kind, content) partitioned by task.
+def write_artifacts(artifacts: DataFrame, path: str, buckets: int = 32) -> None:
+    """Long table (task_id, sample, iteration, kind, content) in ``buckets``
+    hash folders, sorted by task inside a file, so a task is found by its bucket.
 
-    Rows are clustered by (task, one of ``files_per_task`` hash buckets) before
-    the write, so each task folder receives at most that many files (instead of
-    one per shuffle partition) while a hot task is still written by several
-    tasks in parallel."""
-    bucket = F.pmod(F.xxhash64("sample", "iteration", "kind"), F.lit(files_per_task))
-    (artifacts.repartition("task_id", bucket)
-     .write.mode("append").partitionBy("task_id").parquet(path))
+    The rebalance sizes the writing tasks by data: a bucket with a hot task is
+    split over several writers, small ones are merged. An existing table is replaced."""
+    out = artifacts.withColumn("bucket", F.pmod(F.xxhash64("task_id"), F.lit(buckets)).cast("int"))
+    (out.hint("rebalance", "bucket").sortWithinPartitions("bucket", "task_id", "sample", "iteration")
+     .write.mode("overwrite").partitionBy("bucket").parquet(path))
 
 
-def snapshot_rows(states: DataFrame, label_col: str, content_col: str = "content") -> DataFrame:
+def snapshot_rows(states: DataFrame, label_col: str, content_col: str = "content", key_col: str = "doc_id") -> DataFrame:
     """Keep non-empty snapshots; clean labels (F26); when a label is
     taken, later snapshots get a unique suffix.
 
-    Per label, the snapshot with the smallest content digest keeps the plain
-    name; every other one is suffixed with 8 hex digits of its own digest.
-    This needs only a partial aggregate per label (no window over a label, so
-    a label shared by a third of all snapshots is still spread over tasks)."""
+    Per label, the snapshot with the smallest (content digest, key) keeps the plain
+    name; every other one is suffixed with its whole digest and its key, so names
+    don't repeat. This needs only a partial aggregate per label (no window over a
+    label, so a label shared by a third of all snapshots is still spread over tasks)."""
     from ..functions.text import clean_label
 
     s = states.filter(F.coalesce(F.length(content_col), F.lit(0)) > 0).withColumn("label", clean_label(label_col))
-    s = s.withColumn("_digest", F.sha2(F.col(content_col), 256))
-    first = s.groupBy("label").agg(F.min("_digest").alias("_first"))
+    s = s.withColumn("_own", F.struct(F.sha2(F.col(content_col), 256).alias("d"), F.col(key_col).cast("string").alias("k")))
+    first = s.groupBy("label").agg(F.min("_own").alias("_first"))
     j = s.join(first, "label")
-    suffix = F.when(F.col("_digest") != F.col("_first"), F.concat(F.lit("_"), F.substring("_digest", 1, 8))).otherwise(F.lit(""))
+    suffix = F.when(F.col("_own") != F.col("_first"), F.concat(F.lit("_"), F.col("_own.d"), F.lit("_"), F.col("_own.k"))).otherwise(F.lit(""))
     return j.withColumn(
         "snapshot_name",
         F.concat(F.lit("terraform_tfstate_pre_destroy_"), F.col("label"), suffix, F.lit(".json")),
-    ).drop("_digest", "_first")
+    ).drop("_own", "_first")
 
 
 def write_conversations(turns: DataFrame, path: str, key: str = "file") -> None:

@@ -1,33 +1,46 @@
 """ST1: incremental pass@k while results arrive.
 
 Results land as files; a file stream feeds the per-task counts (A1), kept by
-Structured Streaming state in complete mode; pass@k (A2) and macro averages
-(A3) are derived from the counts table, which is tiny (one row per task).
-Re-delivered results are dropped by key; with an event-time column the
-de-duplication state is bounded by a watermark.
+Structured Streaming state on disk (RocksDB). Each micro-batch writes the counts
+of the tasks it changed; pass@k (A2) and macro averages (A3) are derived from the
+newest counts of every task, a table that stays with the executors. Re-delivered
+results are dropped by key, however late they come: keys don't expire.
 """
 
 from __future__ import annotations
 
-import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.passk import K_VALUES, pass_at_k
 from ..operators.metrics import METRICS, macro_average, truthy
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_dir
 
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
-def task_counts_stream(samples: DataFrame, key: str | None = None, event_time: str | None = None,
-                       watermark: str = "1 hour") -> DataFrame:
+
+@contextmanager
+def _state_on_disk(spark: SparkSession):
+    old = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def task_counts_stream(samples: DataFrame, key: str | None = None) -> DataFrame:
     """Streaming A1 counts per task; ``key`` de-duplicates re-delivered rows."""
-    s = samples
-    if key is not None:
-        if event_time is not None:
-            s = s.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([key])
-        else:
-            s = s.dropDuplicates([key])
+    s = samples if key is None else samples.dropDuplicates([key])
     return s.groupBy("task_id").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(truthy(f"{m}_ok")).alias(f"c_{m}") for m in METRICS],
@@ -42,48 +55,45 @@ def pass_at_k_from_counts(counts: DataFrame) -> DataFrame:
     )
 
 
-def run_to_completion(spark: SparkSession, counts_stream: DataFrame, name: str | None = None,
-                      checkpoint_root: str | None = None) -> DataFrame:
-    """Drain everything available (``availableNow``) into a memory table and
-    return it as a batch DataFrame. The checkpoint lives under the session's
-    shared checkpoint folder."""
-    name = name or f"st1_{uuid.uuid4().hex[:8]}"
-    root = checkpoint_root or ensure_checkpoint_dir(spark)
-    q = (
-        counts_stream.writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(name)
-        .option("checkpointLocation", f"{root.rstrip('/')}/streams/{name}")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    return spark.table(name)
+def counts_sink(path: str):
+    """A ``foreachBatch`` function that writes the counts each micro-batch changed
+    (update mode); a replayed batch replaces its own rows."""
 
+    def _write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
 
-def foreach_batch_pass_at_k(sink_path: str):
-    """A ``foreachBatch`` function that rewrites, per micro-batch, the pass@k
-    table (A2) and its macro averages (A3) from the complete-mode counts.
-    Overwrites make a replayed epoch idempotent."""
+    return _write
 
-    def _write(batch: DataFrame, epoch_id: int) -> None:
-        per_task = pass_at_k_from_counts(batch)
-        per_task.write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/per_task")
-        macro_average(per_task).write.mode("overwrite").parquet(f"{sink_path.rstrip('/')}/summary")
 
-    return _write
+def newest_counts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The newest counts of every task written by ``counts_sink``."""
+    values = [f.name for f in schema.fields if f.name != "task_id"]
+    table = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    return table.groupBy("task_id").agg(F.max_by(F.struct(*values), "batch").alias("x")).select("task_id", "x.*")
+
+
+def run_to_completion(spark: SparkSession, counts_stream: DataFrame, sink_path: str | None = None,
+                      checkpoint: str | None = None) -> DataFrame:
+    """Drain everything available (``availableNow``) through ``counts_sink`` and return
+    the newest counts as a batch DataFrame. Both folders lie in the shared checkpoint
+    folder unless given; with the same two a later run goes on where this one ends."""
+    sink_path = sink_path or scratch_dir(spark, "counts")
+    with _state_on_disk(spark):
+        q = (
+            counts_stream.writeStream.outputMode("update")
+            .foreachBatch(counts_sink(sink_path))
+            .option("checkpointLocation", checkpoint or scratch_dir(spark, "counts-stream"))
+            .trigger(availableNow=True)
+            .start()
+        )
+        q.awaitTermination()
+    return newest_counts(spark, sink_path, counts_stream.schema)
 
 
 def run_with_sink(spark: SparkSession, counts_stream: DataFrame, sink_path: str,
-                  checkpoint_root: str | None = None) -> None:
-    """Drain available results through ``foreach_batch_pass_at_k`` (complete mode)."""
-    name = f"st1_sink_{uuid.uuid4().hex[:8]}"
-    root = checkpoint_root or ensure_checkpoint_dir(spark)
-    q = (
-        counts_stream.writeStream.outputMode("complete")
-        .foreachBatch(foreach_batch_pass_at_k(sink_path))
-        .option("checkpointLocation", f"{root.rstrip('/')}/streams/{name}")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
+                  checkpoint: str | None = None) -> None:
+    """Drain available results and write the pass@k table (A2) and its macro averages (A3)."""
+    root = sink_path.rstrip("/")
+    per_task = pass_at_k_from_counts(run_to_completion(spark, counts_stream, f"{root}/counts", checkpoint))
+    per_task.write.mode("overwrite").parquet(f"{root}/per_task")
+    macro_average(spark.read.parquet(f"{root}/per_task")).write.mode("overwrite").parquet(f"{root}/summary")

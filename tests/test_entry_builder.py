@@ -71,6 +71,6 @@ def test_update_section_and_edge_case(spark):
     assert e.screenshots.terraform_apply_output == "screenshots/u1_2_m_apply.png"
     e = entry(spark, task_id="C5.2", resource_requirements='{"count": 1, "memory_max_bytes": 32212254720, "expected_error": "resource_exhaustion"}',
               expected_failure_matched=True, raw_response="You could use 2 VMs with 8 GB each")
-    assert e.edge_case_handling.score.shortfall_gb == 10.0 and e.edge_case_handling.score.percentage_over == 50.0
+    assert e.edge_case_handling.shortfall_gb == 10.0 and e.edge_case_handling.percentage_over == 50.0
     assert e.edge_case_handling.alternatives_provided == ["2 VMs with 8GB each"]
     assert e.edge_case_score.score_out_of_10 == 10 and e.update_operation_validation is None

@@ -66,7 +66,7 @@ def test_references_specs_plans(spark, tmp_path):
     y = tmp_path / "specs.yaml"
     y.write_text("C1.1:\n  category: CREATE\n  vm_count: 1\n  max_total_ram_gb: 8\n  vm_names: [a, b]\n")
     sp = R.read_specs(spark, str(y)).first()
-    assert sp.task_id == "C1.1" and sp.vm_count == 1 and sp.max_total_ram_gb == 8.0 and sp.vm_names == ["a", "b"]
+    assert sp.task_id == "C1.1" and sp.vm_count == 1 and sp.max_total_ram_gb == "8" and sp.vm_names == ["a", "b"]
     plan = {"resource_changes": [{"type": "xenorchestra_vm", "address": "xenorchestra_vm.vm",
                                   "change": {"actions": ["delete"], "before": {"name_label": "legacy-vm"}, "after": None}}]}
     pd = tmp_path / "plans"
@@ -102,18 +102,23 @@ def test_sinks(spark, tmp_path):
                               "entry_id string, model_folder string, strategy string, v string")
     root = str(tmp_path / "out")
     SK.write_entries(e, root)
-    assert sorted(os.listdir(os.path.join(root, "dataset")))[:2] == ["_SUCCESS", "experiment=m"] or \
-        "experiment=m_COT" in os.listdir(os.path.join(root, "dataset"))
-    SK.write_entries(e.filter("strategy = 'COT'").withColumn("v", F.lit("z")), root)
-    back = spark.read.json(os.path.join(root, "dataset"))
-    assert back.count() == 2 and back.filter("v = 'z'").count() == 1
+    # of two entries in one folder, one is run again: its neighbours stay
+    more = e.union(spark.createDataFrame([("c1_2_m_pass1", "m", "", "n")], e.schema))
+    SK.write_entries(more, root)
+    folder = SK.write_entries(e.filter("strategy = ''").withColumn("v", F.lit("z")), root)
+    assert folder.endswith("version=3") and SK.latest_version(spark, os.path.join(root, "dataset")) == 3
+    assert {"experiment=m", "experiment=m_COT"} <= set(os.listdir(folder))
+    back = {r.entry_id: r.v for r in spark.read.json(folder).collect()}
+    assert back == {"c1_1_m_pass1": "z", "c1_1_m_pass1_COT": "y", "c1_2_m_pass1": "n"}
     v = spark.createDataFrame([("c1_1_m_pass1", "Correct", "j", "Rating: Correct")],
                               "entry_id string, verdict string, judge_model string, raw_response string")
-    w = {r.entry_id: r.judge_verdict for r in SK.with_verdicts(e, v).collect()}
+    w = {r.entry_id: r.judge_verdict for r in SK.with_verdicts(e, v.union(v)).collect()}
+    assert SK.with_verdicts(e, v.union(v)).count() == 2
     assert w["c1_1_m_pass1"].verdict == "Correct" and w["c1_1_m_pass1_COT"] is None
-    snaps = spark.createDataFrame([("C1.3 / u1.2", "{}"), ("C1.3 / u1.2", '{"a":1}'), ("x", "")], "label string, content string")
+    snaps = spark.createDataFrame([("C1.3 / u1.2", "{}", 1), ("C1.3 / u1.2", '{"a":1}', 2), ("C1.3 / u1.2", "{}", 3), ("x", "", 4)],
+                                  "label string, content string, doc_id long")
     names = sorted(r.snapshot_name for r in SK.snapshot_rows(snaps, "label").collect())
-    assert len(names) == 2 and len(set(names)) == 2
+    assert len(names) == 3 and len(set(names)) == 3
     assert "terraform_tfstate_pre_destroy_C1_3_u1_2.json" in names
     assert all(n.startswith("terraform_tfstate_pre_destroy_C1_3_u1_2") for n in names)
 
@@ -181,12 +186,20 @@ def test_yaml_specs_and_plan_files_end_to_end(spark, tmp_path):
                           "after": {"name_label": "web-01", "cpus": 2, "memory_max": 1 << 30, "disk": [{"size": 1 << 34}]}}}]}))
     (pd / "D1.2.json").write_text(json.dumps({"resource_changes": [
         {**vm, "change": {"actions": ["delete"], "before": {"name_label": "web-01"}, "after": None}}]}))
-    rows = R.plan_change_rows(R.read_plans(spark, str(pd)).select("plan_id", "resource_changes"))
-    rows = rows.withColumn("plan_id", F.regexp_extract("plan_id", r"^(.*)\.json$", 1))
-    plans = RU.plan_documents(rows)
+    (pd / "R1.1.json").write_text(json.dumps({"resource_changes": []}))
+    (pd / "D2.2.json").write_text(json.dumps({}))
+    (pd / "X.json").write_text('{"resource_changes": [')
+    with open(y, "a") as f:
+        f.write("R1.1:\n  category: READ\nD2.2:\n  category: DELETE\n  delete_count: 1\n")
+    plans = R.plan_documents_of(R.read_plans(spark, str(pd)))
+    plans = plans.withColumn("plan_id", F.regexp_extract("plan_id", r"^(.*)\.json$", 1))
     specs = R.read_specs(spark, str(y)).withColumnRenamed("task_id", "plan_id")
-    got = {r.plan_id: r for r in RU.check_plans(plans, specs, broadcast_specs=True).collect()}
+    got = {r.plan_id: r for r in RU.check_plans(plans, specs).collect()}
     assert got["C1.1"].passed is True and got["D1.2"].passed is True
+    # plans without changes and unreadable ones have a row
+    assert got["R1.1"].passed is True
+    assert got["D2.2"].errors == ["SPEC ERROR: Expected 1 deletions, found 0."]
+    assert got["X"].status == "skipped" and got["X"].passed is None and len(got["X"].errors) == 1
     assert {c.check for c in got["C1.1"].checks} >= {"vm_count", "cpus", "vm_names", "host_resource_quotas"}
 
 
@@ -214,9 +227,11 @@ def test_cli_check_plans_and_sync(spark, tmp_path):
     vm = {"type": "xenorchestra_vm", "address": "xenorchestra_vm.web", "name": "web"}
     (pd / "C1.1.json").write_text(json.dumps({"resource_changes": [
         {**vm, "change": {"actions": ["create"], "before": None, "after": {"name_label": "web-01", "cpus": 2}}}]}))
+    (pd / "C1.1_sample2.json").write_text((pd / "C1.1.json").read_text())
     cli.run(["check-plans", "--plans", str(pd), "--specs", str(y), "--out", str(tmp_path / "spec")])
-    r = spark.read.parquet(str(tmp_path / "spec" / "spec_accuracy")).first()
-    assert r.plan_id == "C1.1" and r.passed is False and r.errors == ["SPEC ERROR: Expected 2 VMs, found 1."]
+    rows = spark.read.parquet(str(tmp_path / "spec" / "spec_accuracy")).collect()
+    assert {(r.plan_id, r.task_id) for r in rows} == {("C1.1", "C1.1"), ("C1.1_sample2", "C1.1")}
+    assert all(r.passed is False and r.errors == ["SPEC ERROR: Expected 2 VMs, found 1."] for r in rows)
     p = tmp_path / "tasks.csv"
     p.write_text(CSV, encoding="utf-8")
     refs = tmp_path / "references"
@@ -226,3 +241,54 @@ def test_cli_check_plans_and_sync(spark, tmp_path):
     got = {x.task_id: x for x in spark.read.parquet(str(tmp_path / "sync" / "tasks")).collect()}
     assert got["U1.2"].reference_hcl.startswith("resource") and got["U1.2"].violations == []
     assert got["C1.1"].reference_hcl == 'resource "x" "y" {}'
+
+
+def test_checkpoint_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    import pytest
+
+    from gradewell import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Cluster())
+
+
+def test_states_without_resources_and_unreadable_ones_are_listed(spark, tmp_path):
+    sd = tmp_path / "states"
+    sd.mkdir()
+    (sd / "empty.json").write_text("{}")
+    (sd / "broken.json").write_text('{"resources": [')
+    got = {r.state_id: r for r in R.infra_summary(R.read_states(spark, str(sd))).collect()}
+    assert (got["empty.json"].n_managed_vms, got["empty.json"].error) == (0, None)
+    assert got["broken.json"].n_managed_vms is None and got["broken.json"].error
+
+
+def test_quota_counts_the_vms_already_on_the_host(spark):
+    from gradewell.operators import rules as RU
+
+    change = "struct<pos:int,type:string,action:string,address:string,name_label:string,memory_max:bigint,cpus:bigint,disk_sizes:array<bigint>>"
+    pre = "array<struct<name:string,ram_bytes:bigint,cpus:bigint,disk_bytes:bigint>>"
+    big = [("db", 10 << 30, 20, 0), (None, 1 << 50, 999, 0), ("old", 9 << 30, 5, 0)]
+    vm = lambda pos, action, name, ram: (pos, "xenorchestra_vm", action, "a", name, ram, 2, [1])
+    rows = [("grow", "T ", [vm(1, "update", "db", 12 << 30)], big), ("swap", " T", [vm(1, "delete", "old", None), vm(2, "create", "new", 8 << 30)], big),
+            ("none", "T", [], None)]
+    plans = spark.createDataFrame(rows, f"plan_id string, task_id string, resource_changes array<{change}>, pre_vms {pre}")
+    totals = plans.select("plan_id", RU.projected_totals(F.col("resource_changes"), F.col("pre_vms")).alias("t"))
+    got = {r.plan_id: tuple(r.t) for r in totals.collect()}
+    assert got == {"grow": (21 << 30, 7, 1), "swap": (18 << 30, 22, 1), "none": (0, 0, 0)}
+    specs = spark.createDataFrame([("T", "READ")], "task_id string, category string")
+    checked = {r.plan_id: r for r in RU.check_plans(plans, specs, task_col="task_id").collect()}
+    assert set(checked) == {"grow", "swap", "none"} and checked["none"].passed is True

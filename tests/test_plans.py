@@ -35,7 +35,7 @@ def test_bleu_shuffles_pair_texts_once(spark, static_plans):
 def test_spec_check_one_shuffle_for_window_and_documents(spark, static_plans):
     p = plan(spark, "spec_check")
     # plan rows once (window, document assembly and the spec join reuse it) + the specs side
-    assert len(re.findall(r"Exchange hashpartitioning\(plan_id#\d+L", p)) == 2
+    assert len(re.findall(r"Exchange hashpartitioning\((?:plan_id|_spec_key)#\d+L", p)) == 2
     assert len(re.findall(r"Exchange hashpartitioning", p)) == 2
 
 
@@ -59,3 +59,23 @@ def test_post_state_and_extraction_shuffles(spark, static_plans):
     # all joins as sort-merge here (broadcast off): 7; with broadcasts allowed the digest shows 5
     assert len(re.findall(r"Exchange hashpartitioning", plan(spark, "post_state_check"))) <= 7
     assert "Exchange" not in plan(spark, "code_extraction")
+
+
+def test_nested_plans_are_checked_without_a_shuffle_before_the_spec_join(spark, static_plans):
+    p = plan(spark, "plan_samples_spec_check")
+    # plans by task id and specs by key; the distinct of the spec binding
+    assert len(re.findall(r"Exchange hashpartitioning", p)) <= 3
+    assert "Window" not in p and "Generate" not in p and "collect_list" not in p
+
+
+def test_streams_keep_no_table_on_the_driver(spark):
+    import inspect
+
+    from gradewell.streaming import progress
+
+    assert 'format("memory")' not in inspect.getsource(progress)
+
+
+def test_bleu_by_conversation_partitions_on_the_pair(spark, static_plans):
+    p = plan(spark, "bleu_by_conversation")
+    assert re.search(r"Exchange hashpartitioning\(conv_id#\d+L, turn#\d+L, \d+\), REPARTITION_BY_COL", p)

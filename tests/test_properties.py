@@ -83,17 +83,24 @@ def test_quota_independent_of_row_order(spark, events, rnd):
 
 @SETTINGS
 @given(st.lists(st.lists(st.tuples(st.sampled_from(["a", "b", ""]), st.sampled_from(["create", "update", "delete", "no-op", "replace"]),
-                                   st.integers(0, 30), st.integers(0, 40)), min_size=1, max_size=10), min_size=1, max_size=6))
-def test_relational_quota_equals_in_document(spark, plans):
-    rows = []
+                                   st.integers(0, 30), st.integers(0, 40)), min_size=0, max_size=10), min_size=1, max_size=6))
+def test_quota_equals_a_plain_overlay(spark, plans):
+    rows, want = [], {}
     for p, evs in enumerate(plans):
         changes = [(i + 1, "xenorchestra_vm", a, f"vm.{i}", n or None, m << 30, c, [1 << 35]) for i, (n, a, m, c) in enumerate(evs)]
         rows.append((f"p{p}", changes))
+        vms = {"host": (1, 2, 3), "a": (4, 5, 6)}
+        for n, a, m, c in evs:
+            if n and a == "delete":
+                vms.pop(n, None)
+            elif n and a != "no-op":
+                vms[n] = (m << 30, c, 1 << 35)
+        want[f"p{p}"] = tuple(sum(v[k] for v in vms.values()) for k in range(3))
     docs = spark.createDataFrame(rows, f"plan_id string, resource_changes array<{CHANGE}>")
-    specs = spark.createDataFrame([(f"p{p}", "CREATE") for p in range(len(plans))], "plan_id string, category string")
-    a = {r.plan_id: (r.errors, r.checks) for r in RU.check_plans(docs, specs).collect()}
-    b = {r.plan_id: (r.errors, r.checks) for r in RU.check_plans(docs, specs, quota="relational").collect()}
-    assert a == b
+    host = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(r).cast("long").alias("ram_bytes"), F.lit(c).cast("long").alias("cpus"),
+                              F.lit(d).cast("long").alias("disk_bytes")) for n, r, c, d in (("host", 1, 2, 3), ("a", 4, 5, 6))])
+    got = docs.select("plan_id", RU.projected_totals(F.col("resource_changes"), host).alias("t")).collect()
+    assert {r.plan_id: tuple(r.t) for r in got} == want
 
 
 CODE = st.text(alphabet=st.sampled_from(list('abc{}= "\n\t.éx_1')), min_size=0, max_size=40)
@@ -104,12 +111,11 @@ CODE = st.text(alphabet=st.sampled_from(list('abc{}= "\n\t.éx_1')), min_size=0,
 def test_extract_code_fenced_blocks(spark, cases):
     rows = []
     for first, last, tag in cases:
-        body = last.strip()
         # a tag word at the start of a body would be read as a language tag; keep bodies unambiguous
-        if body.lower().startswith(("hcl", "terraform", "tf")):
-            body = "x" + body
-        rows.append((f"```hcl\n{first}\n```\nthen:\n```{tag}\n{body}\n```", body, first.strip()))
-    df = spark.createDataFrame(rows, "r string, body string, first string")
-    for got, body, first in df.select(T.extract_code("r"), "body", "first").collect():
-        want = body if body else (first if first and not first.lower().startswith(("hcl", "terraform", "tf")) else got)
+        first, last = (" x" + b if b.strip().lower().startswith(("hcl", "terraform", "tf")) else b for b in (first, last))
+        # a block is stripped, then the tag and its line breaks go; the last block with content wins
+        kept = [b.rstrip().lstrip("\r\n") if t else b.strip() for b, t in ((last, tag), (first, "hcl"))]
+        rows.append((f"```hcl\n{first}\n```\nthen:\n```{tag}\n{last}\n```", kept[0] or kept[1]))
+    df = spark.createDataFrame(rows, "r string, want string")
+    for got, want in df.select(T.extract_code("r"), "want").collect():
         assert got == want

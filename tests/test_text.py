@@ -106,9 +106,10 @@ def test_verdict(spark):
 def test_ansi_and_truncation(spark):
     assert one(spark, T.strip_ansi(F.col("x")), "\x1b[31mred\x1b[0m") == "red"
     s = "a" * 2500 + "b" * 2500
-    r = one(spark, T.truncate_middle(F.col("x")), s)
+    r = one(spark, T.truncate_middle(F.col("x"), T.TRUNCATE_MAX), s)
     assert r == "a" * 2000 + "\n... [TRUNCATED] ...\n" + "b" * 2000
-    assert one(spark, T.truncate_middle(F.col("x")), "short") == "short"
+    assert one(spark, T.truncate_middle(F.col("x"), 9), "short") == "short"
+    assert one(spark, T.truncate_middle(F.col("x")), s) == s  # no limit unless given
 
 
 def test_complexity_pieces(spark):
