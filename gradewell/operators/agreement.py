@@ -161,9 +161,3 @@ def bleu_band(score: Column | str) -> Column:
         .when(s >= 0.5, F.lit("fair"))
         .otherwise(F.lit("poor"))
     )
-
-
-def latest_per_key(df: DataFrame, key: str, order_col: str) -> DataFrame:
-    """J7 helper: last duplicate wins (by an explicit position)."""
-    w = Window.partitionBy(key).orderBy(F.col(order_col).desc())
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")

@@ -158,11 +158,10 @@ def build_prompt(prompt, strategy, category=None, examples: DataFrame | None = N
 
 def with_examples(df: DataFrame, examples: DataFrame, category_col: str = "category") -> DataFrame:
     """Worked example per category; categories outside the fixed four use
-    the CREATE example. ``examples`` has at most one row per category (a fixed,
-    bounded dimension), so it is broadcast."""
+    the CREATE example. The planner broadcasts ``examples`` if it is small."""
     cat = F.upper(F.trim(F.col(category_col)))
     key = F.when(cat.isin(*O.CATEGORIES), cat).otherwise(F.lit("CREATE"))
-    # one example per category (the smallest, should a table repeat one); the planner broadcasts a small table
+    # one example per category (the smallest, should a table repeat one)
     ex = examples.groupBy(F.col("category").alias("_ex_key")).agg(F.min("example").alias("example"))
     return df.withColumn("_ex_key", key).join(ex, "_ex_key", "left").drop("_ex_key")
 

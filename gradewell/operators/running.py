@@ -83,8 +83,3 @@ def running_progress(
         (F.lit(100.0) * F.col("seq") / F.col("run_rows")).alias("pct_done"),
         "run_rows",
     )
-
-
-def upfront_estimate_minutes(passes: int, tasks: int, minutes_per_task: int = 10) -> int:
-    """W1 up-front estimate: passes x tasks x a fixed per-task constant."""
-    return passes * tasks * minutes_per_task

@@ -432,13 +432,14 @@ def vm_objects(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Data
 
 # ---------------------------------------------------------------- B13 vecs
 def vec_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """Pair p compares the vectors of label p (reference tokens) with those
-    of label p + 1 (candidate tokens); edge pairs have one empty side."""
+    """Pair p compares the 16 vectors from id 16 p on (reference tokens) with the
+    next 16 (candidate tokens), so pairs have a bounded size and their number grows
+    with the table; the pairs at the ends have an empty side. Every 50th vector is zero."""
     e = read_table(spark, sf, "embeddings")
-    ref = e.select(F.col("label").alias("pair_id"), F.lit("ref").alias("side"),
-                   F.col("vec_id").alias("tok_id"), F.col("embedding").alias("vec"))
-    cand = e.select((F.col("label") - 1).alias("pair_id"), F.lit("cand").alias("side"),
-                    F.col("vec_id").alias("tok_id"), F.col("embedding").alias("vec"))
+    group = F.floor(F.col("vec_id") / 16).cast("long")
+    vec = F.when(F.col("vec_id") % 50 == 7, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
+    ref = e.select(group.alias("pair_id"), F.lit("ref").alias("side"), F.col("vec_id").alias("tok_id"), vec.alias("vec"))
+    cand = e.select((group - 1).alias("pair_id"), F.lit("cand").alias("side"), F.col("vec_id").alias("tok_id"), vec.alias("vec"))
     return ref.unionByName(cand)
 
 

@@ -725,13 +725,13 @@ FROM inv GROUP BY host_id"""
 
 # ------------------------------------------------------------------ embeddings
 ORACLE["embedding_match"] = """
-WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-tok AS (SELECT label AS pair_id, 'ref' AS side, vec_id, v FROM e
-        UNION ALL SELECT label - 1 AS pair_id, 'cand' AS side, vec_id, v FROM e),
+WITH e AS (SELECT vec_id, vec_id // 16 AS label, CAST(embedding AS DOUBLE[]) AS v, vec_id % 50 = 7 AS zero FROM embeddings),
+tok AS (SELECT label AS pair_id, 'ref' AS side, vec_id, v, zero FROM e
+        UNION ALL SELECT label - 1 AS pair_id, 'cand' AS side, vec_id, v, zero FROM e),
 prs AS (SELECT DISTINCT pair_id FROM tok),
-pb AS (SELECT c.pair_id, c.vec_id, max(list_cosine_similarity(c.v, r.v)) AS best
+pb AS (SELECT c.pair_id, c.vec_id, max(CASE WHEN c.zero OR r.zero THEN 0.0 ELSE list_cosine_similarity(c.v, r.v) END) AS best
        FROM tok c JOIN tok r ON r.pair_id = c.pair_id AND r.side = 'ref' WHERE c.side = 'cand' GROUP BY 1, 2),
-rb AS (SELECT r.pair_id, r.vec_id, max(list_cosine_similarity(r.v, c.v)) AS best
+rb AS (SELECT r.pair_id, r.vec_id, max(CASE WHEN c.zero OR r.zero THEN 0.0 ELSE list_cosine_similarity(r.v, c.v) END) AS best
        FROM tok r JOIN tok c ON c.pair_id = r.pair_id AND c.side = 'cand' WHERE r.side = 'ref' GROUP BY 1, 2),
 pp AS (SELECT pair_id, avg(best) AS p FROM pb GROUP BY 1),
 rr AS (SELECT pair_id, avg(best) AS r FROM rb GROUP BY 1),
@@ -1174,3 +1174,50 @@ WITH e AS (SELECT entry_id FROM ({ORACLE["entry_outcomes"]}))
 SELECT entry_id, CAST(regexp_extract(entry_id, '_pass(\\d+)', 1) AS BIGINT) AS sample_num,
        regexp_extract(entry_id, '_pass(\\d+)', 1) = '1' AS rerun
 FROM e"""
+
+ORACLE["text_predicates"] = """
+WITH d AS (SELECT doc_id, doc_id % 2 AS exit_code,
+                  text || CASE WHEN doc_id % 5 = 0 THEN ' Error: Out of MEMORY on host' WHEN doc_id % 5 = 1 THEN ' not enough memory' ELSE '' END AS stderr,
+                  text, upper(lang) || ' - ' || source AS description,
+                  CASE doc_id % 4 WHEN 0 THEN CAST(n_chars AS VARCHAR) WHEN 1 THEN CAST(-doc_id AS VARCHAR) WHEN 2 THEN 'x' || CAST(doc_id AS VARCHAR) END AS setting
+           FROM documents)
+SELECT doc_id,
+       exit_code <> 0 AND regexp_matches(lower(stderr), 'insufficient memory|out of memory|not enough memory') AS exhausted,
+       octet_length(encode(coalesce(text, ''))) >= 11 AS has_content, octet_length(encode(coalesce(text, ''))) >= 51 AS has_context,
+       split_part(description, ' - ', 1) AS category,
+       CASE WHEN try_cast(setting AS INTEGER) > 0 THEN try_cast(setting AS INTEGER) ELSE 4 END AS workers
+FROM d"""
+
+ORACLE["run_predicates"] = """
+SELECT event_id,
+       coalesce(CASE WHEN user_id % 3 <> 0 THEN event_type = 'click' END, CASE WHEN event_type <> 'view' THEN event_type = 'purchase' END, FALSE) AS judge_apply_ok,
+       user_id % 3 > 0 AND event_id % 2 = 0 AND lower(['U1.2', 'D1.2', 'C1.1', 'D2.2'][CAST(event_id % 4 + 1 AS INTEGER)]) IN ('u1.2', 'd1.2', 'd2.2')
+         AND event_type <> 'signup' AS needs_context
+FROM events"""
+
+ORACLE["redacted_messages"] = f"""
+WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') || CASE WHEN turn % 2 = 0 THEN chr(10) || 'api_key = s3cret, Password: "a b"' ELSE '' END AS content
+           FROM conversations)
+SELECT conv_id, turn, role, md5(regexp_replace(content, {_sql_str(REDACT)}, '\\1\\2"[REDACTED]"', 'g')) AS redacted_md5, md5(content) AS kept_md5
+FROM m"""
+
+ORACLE["system_prompts"] = f"""
+WITH {V_BENCH},
+p AS (SELECT item_id, pass_no, strategy, CASE WHEN item_id % 2 = 0 THEN 'model prompt ' || folder END AS model_prompt,
+             CASE WHEN item_id % 3 = 0 THEN 'baseline' || CASE WHEN item_id % 4 = 0 THEN ' on host ' || CAST(item_id AS VARCHAR) ELSE '' END END AS baseline,
+             'on host ' || CAST(item_id AS VARCHAR) AS context
+      FROM m),
+b AS (SELECT *, CASE WHEN strategy = 'dataset' THEN 'dataset prompt' ELSE coalesce(model_prompt, baseline, 'generic') END AS base FROM p)
+SELECT item_id, pass_no, strategy, CASE WHEN contains(base, context) THEN base ELSE base || chr(10) || chr(10) || context END AS system_prompt
+FROM b"""
+
+ORACLE["task_filter"] = f"""
+WITH {V_BENCH}
+SELECT item_id, task_id, category FROM bt2 WHERE lower(task_id) = 'c1.1'"""
+
+ORACLE["registered_rule"] = f"""
+WITH {V_SAMPLE_PLANS}
+SELECT p.plan_id, s.category, s.category = 'MIGRATE' AND len(list_filter(rc, lambda v: v.action = 'delete')) = 0 AS passed,
+       CASE WHEN len(list_filter(rc, lambda v: v.action = 'delete')) > 0
+            THEN 'MIGRATE task must not delete (' || CAST(len(list_filter(rc, lambda v: v.action = 'delete')) AS VARCHAR) || ').' END AS error
+FROM plans p JOIN specs s ON p.task = s.spec_task WHERE s.category = 'MIGRATE'"""

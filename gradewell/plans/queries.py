@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import outcome as O
 from ..functions import text as TX
 from ..functions.outcome import data_quality_violations, no_usable_code, normalize_reference
 from ..operators import agreement as AG
@@ -745,3 +746,89 @@ def q_states_roundtrip(spark, sf):
         F.array_join(F.array_sort(F.map_keys("fields")), ",").alias("field_keys"),
         F.col("fields")["name_label"].alias("name_label_json"),
     )
+
+
+# ------------------------------------------------------------ predicates and small functions
+
+
+@register("text_predicates")
+def q_text_predicates(spark, sf):
+    """P17, P21, F17, F32 over documents: the text as a command's stderr and as state
+    content, a description to split, and a worker setting with a fallback."""
+    d, i = read_table(spark, sf, "documents"), F.col("doc_id")
+    stderr = F.concat("text", F.when(i % 5 == 0, F.lit(" Error: Out of MEMORY on host")).when(i % 5 == 1, F.lit(" not enough memory")).otherwise(F.lit("")))
+    setting = F.when(i % 4 == 0, F.col("n_chars").cast("string")).when(i % 4 == 1, (-i).cast("string")).when(
+        i % 4 == 2, F.concat(F.lit("x"), i.cast("string")))
+    return d.select(
+        "doc_id", O.expected_exhaustion(i % 2, stderr).alias("exhausted"),
+        O.min_content("text", 11).alias("has_content"), O.min_content("text", 51).alias("has_context"),
+        TX.category_of(F.concat(F.upper("lang"), F.lit(" - "), F.col("source"))).alias("category"),
+        O.positive_int(setting, 4).alias("workers"),
+    )
+
+
+@register("run_predicates")
+def q_run_predicates(spark, sf):
+    """P3 and P24 over events: the judge's apply fallback, and which chain steps get
+    the state of the step before."""
+    e, et = read_table(spark, sf, "events"), F.col("event_type")
+    task = F.element_at(F.array(*[F.lit(t) for t in (" U1.2", "D1.2 ", "C1.1", "D2.2")]), (F.col("event_id") % 4 + 1).cast("int"))
+    return e.select(
+        "event_id",
+        O.apply_ok_judge(F.when(F.col("user_id") % 3 != 0, et == "click"), F.when(et != "view", et == "purchase")).alias("judge_apply_ok"),
+        O.needs_dependent_context(F.col("user_id") % 3, F.col("event_id") % 2 == 0, task,
+                                  F.when(et == "signup", F.lit("dataset"))).alias("needs_context"),
+    )
+
+
+@register("redacted_messages")
+def q_redacted_messages(spark, sf):
+    """messages with secrets redacted; the given messages stay as they are."""
+    cv = read_table(spark, sf, "conversations")
+    secret = F.when(F.col("turn") % 2 == 0, F.lit('\napi_key = s3cret, Password: "a b"')).otherwise(F.lit(""))
+    content = F.concat(F.coalesce("text", F.lit("")), secret)
+    m = cv.select("conv_id", "turn", "role", F.array(F.struct(F.col("role"), content.alias("content"))).alias("messages"))
+    return m.withColumn("safe", TX.redact_messages("messages")).select(
+        "conv_id", "turn", F.col("safe")[0]["role"].alias("role"),
+        F.md5(F.col("safe")[0]["content"]).alias("redacted_md5"), F.md5(F.col("messages")[0]["content"]).alias("kept_md5"))
+
+
+@register("system_prompts")
+def q_system_prompts(spark, sf):
+    """F38 over the run matrix: the first configured prompt, with the platform context."""
+    m = DS.run_matrix(B.bench_tasks(spark, sf), PASSES, STRATEGIES)
+    i = F.col("item_id")
+    context = F.concat(F.lit("on host "), i.cast("string"))
+    baseline = F.when(i % 3 == 0, F.concat(F.lit("baseline"), F.when(i % 4 == 0, F.concat(F.lit(" "), context)).otherwise(F.lit(""))))
+    return m.select("item_id", "pass_no", "strategy", DS.system_prompt(
+        F.when(i % 2 == 0, F.concat(F.lit("model prompt "), F.col("folder"))), baseline, F.lit("generic"), F.lit("dataset prompt"),
+        "strategy", context).alias("system_prompt"))
+
+
+@register("task_filter")
+def q_task_filter(spark, sf):
+    """P5: the rows of one task, whatever the case of the id asked for."""
+    return RD.filter_task(B.bench_tasks(spark, sf), "c1.1").select("item_id", "task_id", "category")
+
+
+@register("registered_rule")
+def q_registered_rule(spark, sf):
+    """A rule of the caller's for a category that has none."""
+    def no_deletes(s):
+        gone = F.size(F.filter("resource_changes", lambda v: v["action"] == "delete"))
+        errors = F.when(gone > 0, F.array(F.concat(F.lit("MIGRATE task must not delete ("), gone.cast("string"), F.lit(").")))).otherwise(
+            F.array().cast("array<string>"))
+        return errors, lambda errs: F.array().cast(RU.CHECK_T)
+
+    path = scratch_dir(spark, "plan-samples")
+    B.plan_sample_json(spark, sf).write.text(path)
+    extra = (T.StructField("task_id", T.StringType()),)
+    plans = RD.plan_documents_of(RD.read_plans(spark, path, key_field="plan_key", extra=extra), "task_id")
+    RU.register_rule("MIGRATE", no_deletes)
+    try:
+        r = RU.check_plans(plans, B.task_specs(spark, sf), task_col="task_id")
+    finally:
+        RU.RULES.pop("MIGRATE")
+    own = F.filter("errors", lambda e: F.startswith(e, F.lit("MIGRATE")))
+    return r.filter("category = 'MIGRATE'").select(
+        "plan_id", "category", (F.size(own) == 0).alias("passed"), F.try_element_at(own, F.lit(1)).alias("error"))
