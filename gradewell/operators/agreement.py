@@ -136,6 +136,8 @@ def ground_truth_summary(compared: DataFrame) -> DataFrame:
     ]
     if "bleu" in compared.columns:
         aggs.append(F.coalesce(F.avg("bleu"), F.lit(0.0)).alias("avg_bleu"))
+    if "f1" in compared.columns:
+        aggs.append(F.coalesce(F.avg("f1"), F.lit(0.0)).alias("avg_f1"))
     s = compared.agg(*aggs)
     pct = lambda c: (F.lit(100.0) * F.col(c) / F.col("total"))
     return s.select(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.outcome import data_quality_violations, normalize_reference
-from . import agreement, bleu, complexity, dataset, metrics, rules
+from . import agreement, bleu, complexity, dataset, embed, metrics, rules
 
 
 # ---------------------------------------------------------------- J1-J3
@@ -74,16 +74,26 @@ def in_requested_order(df: DataFrame, ids: Sequence[str], order_col: str, key: s
 
 
 # ---------------------------------------------------------------- V12
-def metrics_report(samples: DataFrame, refs: DataFrame | None = None, key: str = "file"):
-    """(summary, per_task, scored rows). BLEU is scored against the task's
-    reference when one exists (null otherwise); ``key`` identifies a sample
-    (the result document's file name)."""
+def _with_scores(rows: DataFrame, pairs: DataFrame, keys: list[str], vectors: DataFrame | None) -> DataFrame:
+    """Rows with the BLEU of their (ref, cand) pair, and with ``f1`` if token vectors are given."""
+    out = rows.join(bleu.bleu(pairs, keys, "ref", "cand").select(*keys, "bleu"), keys, "left")
+    if vectors is not None:
+        out = out.join(embed.embedding_match(vectors, keys).select(*keys, "f1"), keys, "left")
+    return out
+
+
+def metrics_report(samples: DataFrame, refs: DataFrame | None = None, vectors: DataFrame | None = None, key: str | None = None):
+    """(summary, per_task, scored rows). BLEU, and with ``vectors`` (token vectors of
+    reference and candidate per sample, ``embed.encode_tokens``) the embedding F1, are
+    scored against the task's reference when one exists (null otherwise). ``key``
+    identifies a sample: by default its whole path where the samples have one, since
+    file names repeat across folders."""
+    key = key or ("path" if "path" in samples.columns else "file")
+    scored = samples
     if refs is not None:
         s = samples.join(refs, "task_id", "left")
-        b = bleu.bleu(s.select(key, "reference", "code"), [key], "reference", "code").select(key, "bleu")
-        scored = s.join(b, key, "left")
-    else:
-        scored = samples
+        pairs = s.select(key, F.col("reference").alias("ref"), F.col("code").alias("cand"))
+        scored = _with_scores(s, pairs, [key], vectors)
     return metrics.global_summary(scored), metrics.per_task_breakdown(scored).orderBy("task_id"), scored
 
 
@@ -97,17 +107,31 @@ def judge_report(rows: DataFrame):
 
 
 # ---------------------------------------------------------------- V14
-def ground_truth_report(results: DataFrame, truth: DataFrame, order_col: str = "file"):
-    """First ground-truth row per task (by file name), comparison and summary;
-    BLEU between the two codes when both are non-empty."""
+def stage_flags(entries: DataFrame) -> DataFrame:
+    """The rows the ground-truth comparison reads: plan and apply are what the stages'
+    own status says (not the final outcome), spec is false where no check is recorded."""
+    ran = lambda stage: F.coalesce(F.col(f"execution_results.{stage}.status") == "success", F.lit(False))
+    return entries.select(
+        F.coalesce("task_id", F.lit("")).alias("task_id"),
+        ran("terraform_plan").alias("plan_ok"), ran("terraform_apply").alias("apply_ok"),
+        F.when(F.col("spec_accuracy").isNull(), F.lit(False)).otherwise(F.col("spec_accuracy.passed")).alias("spec_ok"),
+        F.coalesce(F.col("final_outcome.total_iterations"), F.lit(1)).alias("iterations"),
+        F.coalesce(F.col("llm_response.generated_code"), F.lit("")).alias("code"),
+        *[c for c in ("file", "path", "entry_id") if c in entries.columns],
+    )
+
+
+def ground_truth_report(results: DataFrame, truth: DataFrame, order_col: str = "file", vectors: DataFrame | None = None):
+    """First ground-truth row per task (by ``order_col``, which identifies a result),
+    comparison and summary; BLEU, and with ``vectors`` the embedding F1, between the two
+    codes when both are non-empty. Rows come from ``stage_flags``."""
     gt = agreement.first_per_group(truth, "task_id", [order_col])
     cmp = agreement.compare_with_ground_truth(results, gt.select("task_id", "plan_ok", "apply_ok", "spec_ok", "iterations"))
     if "code" in results.columns and "code" in truth.columns:
-        pairs = results.select("task_id", F.col(order_col).alias("_f"), F.col("code").alias("cand")).join(
+        pairs = results.select("task_id", order_col, F.col("code").alias("cand")).join(
             gt.select("task_id", F.col("code").alias("ref")), "task_id")
         pairs = pairs.filter((F.col("cand") != "") & (F.col("ref") != ""))
-        b = bleu.bleu(pairs, ["task_id", "_f"], "ref", "cand").select("task_id", F.col("_f").alias(order_col), "bleu")
-        cmp = cmp.join(b, ["task_id", order_col], "left")
+        cmp = _with_scores(cmp, pairs, ["task_id", order_col], vectors)
     unmatched = results.select("task_id").distinct().join(truth.select("task_id"), "task_id", "left_anti")
     return cmp, agreement.ground_truth_summary(cmp), unmatched
 

@@ -1221,3 +1221,54 @@ SELECT p.plan_id, s.category, s.category = 'MIGRATE' AND len(list_filter(rc, lam
        CASE WHEN len(list_filter(rc, lambda v: v.action = 'delete')) > 0
             THEN 'MIGRATE task must not delete (' || CAST(len(list_filter(rc, lambda v: v.action = 'delete')) AS VARCHAR) || ').' END AS error
 FROM plans p JOIN specs s ON p.task = s.spec_task WHERE s.category = 'MIGRATE'"""
+
+ORACLE["metrics_report"] = f"""
+WITH s AS (SELECT conv_id, turn, conv_id % 7 AS task, coalesce(text, '') AS code FROM conversations),
+refs AS (SELECT task, arg_min(code, {{'c': conv_id, 't': turn}}) AS reference FROM s WHERE task <> 6 GROUP BY task),
+pairs AS (SELECT s.conv_id, s.turn, refs.reference, s.code AS candidate FROM s LEFT JOIN refs USING (task)),
+{V_BLEU},
+e AS (SELECT vec_id // 4 AS g, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id // 4 < 25),
+cs AS (SELECT c.g AS cg, r.g AS rg, c.vec_id AS ci, r.vec_id AS ri, list_cosine_similarity(c.v, r.v) AS sim FROM e c JOIN e r ON r.g < 7),
+pp AS (SELECT cg, rg, avg(best) AS p FROM (SELECT cg, rg, ci, max(sim) AS best FROM cs GROUP BY 1, 2, 3) GROUP BY 1, 2),
+rr AS (SELECT cg, rg, avg(best) AS r FROM (SELECT cg, rg, ri, max(sim) AS best FROM cs GROUP BY 1, 2, 3) GROUP BY 1, 2),
+f AS (SELECT cg, rg, round(CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 4) AS f1 FROM pp JOIN rr USING (cg, rg))
+SELECT 'T' || CAST(s.task AS VARCHAR) AS task_id, count(*) AS n, {_r('avg(CASE WHEN s.turn % 2 = 0 THEN 1.0 ELSE 0.0 END)')} AS plan_pct,
+       {_r('avg(CASE WHEN s.conv_id % 3 <> 0 AND s.turn % 3 = 0 THEN 1.0 ELSE 0.0 END)')} AS spec_pct,
+       {_r('avg(s.turn % 3 + 1)')} AS avg_iterations, {_r('avg(bl.bleu)')} AS avg_bleu, {_r('avg(f.f1)')} AS avg_f1
+FROM s JOIN bl ON bl.conv_id = s.conv_id AND bl.turn = s.turn LEFT JOIN f ON f.cg = s.conv_id % 25 AND f.rg = s.task
+GROUP BY s.task"""
+
+ORACLE["ground_truth_report"] = f"""
+WITH {V_FENCED},
+r0 AS (SELECT f.conv_id AS c, f.turn AS t, f.response, c % 4 + 1 AS gb FROM fenced f),
+e AS (SELECT c, t, substr('CRUD', CAST(c % 4 + 1 AS INTEGER), 1) || '1.' || CAST(t % 3 + 1 AS VARCHAR) AS task_id,
+             (c + t) % 5 <> 0 AS plan_ok, t % 4 <> 3 AND (c + t) % 5 <> 0 AND t % 2 = 0 AS apply_ok,
+             CASE WHEN t % 3 = 0 THEN NULL ELSE c % 2 = 0 END AS spec_ok,
+             coalesce(CASE WHEN t % 3 <> 0 THEN 'resource "xenorchestra_vm" "vm" {{' || chr(10) || '  cpus = ' || CAST(c % 4 + 1 AS VARCHAR)
+                   || chr(10) || '  memory_max = ' || CAST(gb AS VARCHAR) || ' * 1024 * 1024 * 1024' || chr(10) || '  network {{' || chr(10)
+                   || '    network_id = data.xenorchestra_network.net.id' || chr(10) || '  }}' || chr(10) || '}}'
+                   ELSE {_extract_code('response')} END, '') AS code
+      FROM r0),
+gt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY c, t) AS n FROM e WHERE c % 3 = 0) WHERE n = 1),
+j AS (SELECT e.c AS conv_id, e.t AS turn, e.plan_ok = gt.plan_ok AS plan_match, e.apply_ok = gt.apply_ok AS apply_match,
+             e.spec_ok IS NOT DISTINCT FROM gt.spec_ok AS spec_match, gt.code AS reference, e.code AS candidate
+      FROM e JOIN gt USING (task_id) WHERE e.c % 3 <> 0),
+pairs AS (SELECT conv_id, turn, reference, candidate FROM j WHERE reference <> '' AND candidate <> ''),
+{V_BLEU}
+SELECT count(*) AS total, count(*) FILTER (WHERE plan_match) AS plan_matches, count(*) FILTER (WHERE apply_match) AS apply_matches,
+       count(*) FILTER (WHERE spec_match) AS spec_matches, {_r('coalesce(avg(bleu), 0.0)')} AS avg_bleu,
+       {_r('100.0 * count(*) FILTER (WHERE plan_match) / count(*)')} AS plan_pct,
+       {_r('100.0 * count(*) FILTER (WHERE apply_match) / count(*)')} AS apply_pct,
+       {_r('100.0 * count(*) FILTER (WHERE spec_match) / count(*)')} AS spec_pct
+FROM j LEFT JOIN bl USING (conv_id, turn)"""
+
+ORACLE["reference_sync"] = f"""
+WITH {V_BENCH},
+d AS (SELECT doc_id % 30 AS k, arg_min(text, doc_id) AS hcl FROM documents GROUP BY 1),
+files AS (SELECT substr('CRUDM', CAST(k % 5 + 1 AS INTEGER), 1) || CAST(k % 5 + 1 AS VARCHAR) || '.' || CAST(k % 3 + 1 AS VARCHAR) AS task_id, hcl FROM d WHERE k < 15),
+j AS (SELECT item_id, bt2.task_id, category, coalesce(files.hcl, CASE WHEN item_id % 2 = 0 THEN prompt END, '') AS reference FROM bt2 LEFT JOIN files USING (task_id))
+SELECT item_id, task_id, md5(reference) AS reference_md5,
+       array_to_string(list_filter([CASE WHEN NOT regexp_matches(task_id, '^[CRUD]\\d\\.\\d$') THEN 'task_id_format' END,
+                                    CASE WHEN trim(reference) = '' THEN 'reference_blank' END,
+                                    CASE WHEN category NOT IN ('CREATE', 'READ', 'UPDATE', 'DELETE') THEN 'category_invalid' END], lambda q: q IS NOT NULL), ',') AS violations
+FROM j"""

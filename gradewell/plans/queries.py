@@ -832,3 +832,39 @@ def q_registered_rule(spark, sf):
     own = F.filter("errors", lambda e: F.startswith(e, F.lit("MIGRATE")))
     return r.filter("category = 'MIGRATE'").select(
         "plan_id", "category", (F.size(own) == 0).alias("passed"), F.try_element_at(own, F.lit(1)).alias("error"))
+
+
+# ------------------------------------------------------------ reports
+
+
+@register("metrics_report")
+def q_metrics_report(spark, sf):
+    """V12 with A6: the per-task table of the metrics report, with BLEU and embedding F1
+    against each task's reference."""
+    samples, refs, vectors = B.report_samples(spark, sf)
+    _, per_task, _ = RP.metrics_report(samples, refs, vectors)
+    return rounded(per_task)
+
+
+@register("ground_truth_report")
+def q_ground_truth_report(spark, sf):
+    """V14 with A12: entries of one strategy compared with the first entry of the task in
+    another, by the stages' own status, with the codes' BLEU."""
+    e = DS.build_entries(B.result_rows(spark, sf), keep=["conv_id", "turn"])
+    name = F.concat(F.lpad(F.col("conv_id").cast("string"), 9, "0"), F.lit("_"), F.lpad(F.col("turn").cast("string"), 5, "0"))
+    rows = RP.stage_flags(e.select("entry.*", name.alias("file")))
+    own = F.substring("file", 1, 9).cast("long") % 3 == 0
+    _, summary, _ = RP.ground_truth_report(rows.filter(~own), rows.filter(own))
+    return rounded(summary)
+
+
+@register("reference_sync")
+def q_reference_sync(spark, sf):
+    """V15 with P18: the synced reference column and every row's rule violations."""
+    t = B.bench_tasks(spark, sf).withColumn("reference_hcl", F.when(F.col("item_id") % 2 == 0, F.col("prompt")))
+    d = read_table(spark, sf, "documents").groupBy((F.col("doc_id") % 30).alias("k")).agg(F.min_by("text", "doc_id").alias("hcl"))
+    letter = F.substring(F.lit("CRUDM"), (F.col("k") % 5 + 1).cast("int"), 1)
+    files = d.select(F.concat(letter, (F.col("k") % 5 + 1).cast("string"), F.lit("."), (F.col("k") % 3 + 1).cast("string")).alias("task_id"), "hcl", "k")
+    files = files.filter("k < 15").drop("k")  # one file per task id: ids repeat every 15 keys
+    return RP.sync_references(t, files).select(
+        "item_id", "task_id", F.md5("reference_hcl").alias("reference_md5"), F.array_join("violations", ",").alias("violations"))
