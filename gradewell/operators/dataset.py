@@ -61,6 +61,14 @@ JUDGE_USER_LAYOUT = (
     "```hcl\n{terraform_code}\n```\n\n"
     "Does this generated code correctly fulfill the task? Evaluate it carefully, then end with your rating."
 )
+COT_LAYOUT = (
+    "Here is an example:\n\nExample prompt: {example_prompt}\nExample output: Let's think step by step. {thought}\n"
+    "```hcl\n{hcl}\n```\n\nHere is the actual prompt to answer. Let's think step by step:\n{question}"
+)
+FSP_LAYOUT = (
+    "Here is an example:\n\nExample prompt: {example_prompt}\nExample output:\n"
+    "```hcl\n{hcl}\n```\n\nHere is the actual prompt to answer:\n{question}"
+)
 JUDGE_PROMPT_CAP = 10000
 NOTES_LAYOUT = "Task {task} executed by {model}. Iterations: {iterations}."
 REASONING = {
@@ -98,12 +106,16 @@ def _fill(layout: str, **cols: Column) -> Column:
 
 
 # ---------------------------------------------------------------- J14 / F20-F25
-def run_matrix(tasks: DataFrame, passes: Sequence[int], strategies: Sequence[str]) -> DataFrame:
-    """Every task x pass x strategy. The pass/strategy grid is a fixed literal
-    array expanded per row (constant factor), not a join."""
-    grid = F.array(*[F.struct(F.lit(p).alias("pass_no"), F.lit(s).alias("strategy"))
-                     for p in passes for s in strategies])
-    return tasks.select("*", F.inline(grid))
+def run_matrix(tasks: DataFrame, passes: Sequence[int], strategies: Sequence[str],
+               models: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Every task x pass x strategy, and with ``models`` (folder, short name) every
+    model; without, a task row names its own. The grid is a fixed literal array expanded
+    per row (constant factor), not a join."""
+    own = [(F.lit(f).alias("folder"), F.lit(s).alias("model_short")) for f, s in models] or [()]
+    grid = F.array(*[F.struct(F.lit(p).alias("pass_no"), F.lit(s).alias("strategy"), *m)
+                     for m in own for p in passes for s in strategies])
+    kept = [c for c in tasks.columns if not models or c not in ("folder", "model_short")]
+    return tasks.select(*kept, F.inline(grid))
 
 
 def entry_id(task_id, model_short, sample_num, strategy) -> Column:
@@ -143,26 +155,35 @@ def sample_seed(base_seed, pass_index) -> Column:
 
 
 # ---------------------------------------------------------------- F36-F39
-def build_prompt(prompt, strategy, category=None, examples: DataFrame | None = None) -> Column:
-    """user prompt by strategy. COT/FSP wrap the prompt around the worked
-    example of the task's category (``example`` column joined by ``with_examples``)."""
+def build_prompt(prompt, strategy, examples: bool = False) -> Column:
+    """user prompt by strategy. COT and FSP set the prompt into their own frames
+    around the worked example of the task's category (the ``example`` column joined by
+    ``with_examples``: prompt, thought, hcl)."""
     s = F.coalesce(_c(strategy), F.lit(""))
     p = _c(prompt)
-    wrapped = F.concat(F.coalesce(F.col("example"), F.lit("")), p) if examples is not None else p
+
+    def framed(layout):
+        if not examples:
+            return p
+        ex = F.col("example")
+        return _fill(layout, example_prompt=ex["prompt"], thought=ex["thought"], hcl=ex["hcl"], question=p)
+
     return (
-        F.when(s.isin("COT", "FSP"), wrapped)
+        F.when(s == "COT", framed(COT_LAYOUT))
+        .when(s == "FSP", framed(FSP_LAYOUT))
         .when(s == "dataset", _fill(DATASET_PROMPT, prompt=p))
         .otherwise(F.concat(F.lit(BASELINE_PREFIX), p))
     )
 
 
 def with_examples(df: DataFrame, examples: DataFrame, category_col: str = "category") -> DataFrame:
-    """Worked example per category; categories outside the fixed four use
-    the CREATE example. The planner broadcasts ``examples`` if it is small."""
+    """Worked example (struct of prompt, thought, hcl) per category; categories
+    outside the fixed four use the CREATE example. The planner broadcasts ``examples``
+    if it is small."""
     cat = F.upper(F.trim(F.col(category_col)))
     key = F.when(cat.isin(*O.CATEGORIES), cat).otherwise(F.lit("CREATE"))
     # one example per category (the smallest, should a table repeat one)
-    ex = examples.groupBy(F.col("category").alias("_ex_key")).agg(F.min("example").alias("example"))
+    ex = examples.groupBy(F.col("category").alias("_ex_key")).agg(F.min(F.struct("prompt", "thought", "hcl")).alias("example"))
     return df.withColumn("_ex_key", key).join(ex, "_ex_key", "left").drop("_ex_key")
 
 

@@ -30,7 +30,7 @@ def verify_post_state(
     """V7 per task: UPDATE checks count, target, new value, uuid; DELETE checks targets are gone.
 
     ``pre``/``post``: task_col, name, uuid, cpus, ram_gb (+ ``order_col``: the
-    last duplicate of a name wins; without it an arbitrary duplicate is kept).
+    last duplicate of a name wins; without it the greatest by uuid, cpus and RAM).
     ``specs``: task_col, category, target_vm, target_vms, updated_field, new_value.
 
     Plan: both snapshots as one table -> per (task, name) the last VM before and
@@ -38,7 +38,7 @@ def verify_post_state(
     targets become rows joined to those once; errors are gathered per task in
     target order (bounded by the spec's target list).
     """
-    ordc = F.col(order_col) if order_col else F.lit(0)
+    ordc = F.col(order_col) if order_col else F.struct("uuid", "cpus", "ram_gb")
 
     def side(df, tag):
         return df.select(task_col, "name", F.lit(tag).alias("_side"), "uuid", "cpus", "ram_gb", ordc.alias("_ord"))
@@ -103,16 +103,23 @@ def verify_post_state(
     return per_task.select(task_col, "category", errors.alias("errors")).withColumn("passed", F.size("errors") == 0)
 
 
-def update_validation(pre: DataFrame, post: DataFrame, specs: DataFrame, task_col: str = "task_id") -> DataFrame:
-    """V9 + J11: before/after of the target VM of an update task; missing sides default."""
+def update_validation(pre: DataFrame, post: DataFrame, specs: DataFrame, task_col: str = "task_id",
+                      order_col: str | None = None) -> DataFrame:
+    """V9 + J11: before/after of the target VM of an update task; missing sides default.
+    Of VMs with the same name the first by ``order_col`` counts (without it, the
+    smallest by uuid, RAM and cpus)."""
+
+    def first(df, names):
+        vm = F.struct(*[F.col(c).alias(n) for c, n in zip(("uuid", "ram_gb", "cpus"), names)])
+        one = df.groupBy(task_col, F.col("name").alias("target_vm")).agg(
+            F.min_by(vm, F.col(order_col) if order_col else vm).alias("vm"))
+        return one.select(task_col, "target_vm", "vm.*")
+
     upd = specs.filter(F.col("category") == "UPDATE").select(task_col, F.col("target_vm"), "had_replace_actions", "spec_passed") \
         if "had_replace_actions" in specs.columns else \
         specs.filter(F.col("category") == "UPDATE").select(
             task_col, "target_vm", F.lit(False).alias("had_replace_actions"), F.lit(True).alias("spec_passed"))
-    a = pre.select(task_col, F.col("name").alias("target_vm"), F.col("uuid").alias("u0"),
-                   F.col("ram_gb").alias("r0"), F.col("cpus").alias("c0"))
-    b = post.select(task_col, F.col("name").alias("target_vm"), F.col("uuid").alias("u1"),
-                    F.col("ram_gb").alias("r1"), F.col("cpus").alias("c1"))
+    a, b = first(pre, ("u0", "r0", "c0")), first(post, ("u1", "r1", "c1"))
     j = upd.join(a, [task_col, "target_vm"], "left").join(b, [task_col, "target_vm"], "left")
     replace = F.coalesce(F.col("had_replace_actions"), F.lit(False))
     return j.select(

@@ -504,9 +504,12 @@ def bench_tasks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def worked_examples(spark: SparkSession, sf: str) -> DataFrame:
-    """The worked example per category = text of its lowest item."""
+    """The worked example per category: its lowest item's text as prompt, its highest as code."""
     t = bench_tasks(spark, sf).filter(F.col("category") != "MIGRATE")
-    return t.groupBy("category").agg(F.min_by("prompt", "item_id").alias("example"))
+    return t.groupBy("category").agg(
+        F.min_by("prompt", "item_id").alias("prompt"),
+        F.concat(F.lit("Plan the "), F.min("category"), F.lit(".")).alias("thought"),
+        F.max_by("prompt", "item_id").alias("hcl"))
 
 
 # ---------------------------------------------------------------- B4b results

@@ -797,9 +797,10 @@ V_BENCH = """bt AS (
 bt2 AS (SELECT *, letter || CAST(item_id % 5 + 1 AS VARCHAR) || '.' || CAST(item_id % 3 + 1 AS VARCHAR) AS task_id,
                CASE letter WHEN 'C' THEN 'CREATE' WHEN 'R' THEN 'READ' WHEN 'U' THEN 'UPDATE' WHEN 'D' THEN 'DELETE' ELSE 'MIGRATE' END AS category
         FROM bt),
-ex AS (SELECT category, arg_min(prompt, item_id) AS example FROM bt2 WHERE category <> 'MIGRATE' GROUP BY category),
+ex AS (SELECT category, arg_min(prompt, item_id) AS ex_prompt, 'Plan the ' || category || '.' AS thought, arg_max(prompt, item_id) AS hcl
+       FROM bt2 WHERE category <> 'MIGRATE' GROUP BY category),
 grid AS (SELECT * FROM (VALUES (1), (2), (3)) p(pass_no), (VALUES (''), ('COT'), ('FSP'), ('dataset'), ('multi-turn')) s(strategy)),
-m AS (SELECT bt2.*, grid.pass_no, grid.strategy, ex.example
+m AS (SELECT bt2.*, grid.pass_no, grid.strategy, ex.ex_prompt, ex.thought, ex.hcl
       FROM bt2, grid LEFT JOIN ex ON ex.category = CASE WHEN bt2.category IN ('CREATE', 'READ', 'UPDATE', 'DELETE') THEN bt2.category ELSE 'CREATE' END)"""
 
 ORACLE["run_matrix"] = f"""
@@ -809,7 +810,12 @@ SELECT item_id, pass_no, strategy,
          || CASE WHEN strategy <> '' THEN '_' || strategy ELSE '' END AS entry_id,
        CASE WHEN strategy <> '' AND strategy <> 'baseline' THEN folder || '_' || strategy ELSE folder END AS folder,
        CASE WHEN base_seed IS NOT NULL THEN base_seed + pass_no - 1 END AS seed,
-       md5(CASE WHEN strategy IN ('COT', 'FSP') THEN coalesce(example, '') || prompt
+       md5(CASE WHEN strategy = 'COT' THEN 'Here is an example:' || chr(10) || chr(10) || 'Example prompt: ' || coalesce(ex_prompt, '') || chr(10)
+                  || 'Example output: Let''s think step by step. ' || coalesce(thought, '') || chr(10) || '```hcl' || chr(10) || coalesce(hcl, '')
+                  || chr(10) || '```' || chr(10) || chr(10) || 'Here is the actual prompt to answer. Let''s think step by step:' || chr(10) || prompt
+                WHEN strategy = 'FSP' THEN 'Here is an example:' || chr(10) || chr(10) || 'Example prompt: ' || coalesce(ex_prompt, '') || chr(10)
+                  || 'Example output:' || chr(10) || '```hcl' || chr(10) || coalesce(hcl, '')
+                  || chr(10) || '```' || chr(10) || chr(10) || 'Here is the actual prompt to answer:' || chr(10) || prompt
                 WHEN strategy = 'dataset' THEN 'TASK:' || chr(10) || 'Generate the definitive ground-truth Terraform HCL for the following infrastructure requirement.'
                      || chr(10) || chr(10) || 'REQUIREMENT:' || chr(10) || prompt || chr(10) || chr(10)
                      || 'Follow the structural rules defined in the system prompt. RESOLVE ALL IDENTIFIERS using data sources.' || chr(10)
@@ -1272,3 +1278,10 @@ SELECT item_id, task_id, md5(reference) AS reference_md5,
                                     CASE WHEN trim(reference) = '' THEN 'reference_blank' END,
                                     CASE WHEN category NOT IN ('CREATE', 'READ', 'UPDATE', 'DELETE') THEN 'category_invalid' END], lambda q: q IS NOT NULL), ',') AS violations
 FROM j"""
+
+ORACLE["run_matrix_models"] = f"""
+WITH {V_BENCH}
+SELECT item_id, pass_no, strategy, short AS model_short,
+       replace(lower(task_id), '.', '_') || '_' || short || '_pass' || CAST(pass_no AS VARCHAR) || CASE WHEN strategy <> '' THEN '_' || strategy ELSE '' END AS entry_id,
+       mf || CASE WHEN strategy NOT IN ('', 'baseline') THEN '_' || strategy ELSE '' END AS folder
+FROM m, (VALUES ('model_a', 'a'), ('model_b', 'b'), ('model_c', 'c')) v(mf, short)"""

@@ -387,7 +387,19 @@ def q_run_matrix(spark, sf):
         DS.entry_id("task_id", "model_short", "pass_no", "strategy").alias("entry_id"),
         DS.folder_name("folder", "strategy").alias("folder"),
         DS.sample_seed("base_seed", F.col("pass_no") - 1).alias("seed"),
-        F.md5(DS.build_prompt("prompt", "strategy", "category", examples=True)).alias("prompt_md5"),
+        F.md5(DS.build_prompt("prompt", "strategy", examples=True)).alias("prompt_md5"),
+    )
+
+
+@register("run_matrix_models")
+def q_run_matrix_models(spark, sf):
+    """J14 with a model axis: every task x pass x strategy x model."""
+    models = (("model_a", "a"), ("model_b", "b"), ("model_c", "c"))
+    m = DS.run_matrix(B.bench_tasks(spark, sf), PASSES, STRATEGIES, models)
+    return m.select(
+        "item_id", "pass_no", "strategy", "model_short",
+        DS.entry_id("task_id", "model_short", "pass_no", "strategy").alias("entry_id"),
+        DS.folder_name("folder", "strategy").alias("folder"),
     )
 
 
