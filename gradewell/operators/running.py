@@ -2,15 +2,15 @@
 
 A plain ``Window.partitionBy(run).orderBy(seq)`` puts every row of a run into
 one task; a run holding a third of all rows would then be one task. Instead
-the ordered key is cut into fixed-width blocks:
+the ordered key is cut into blocks of equal width:
 
 1. per (run, block) count and sum            -- partial aggregate, tiny output
-2. prefix over blocks per run                -- window over rows/block_width rows
-3. per (run, block) window over <= width rows, plus the block offset
+2. prefix over blocks per run                -- window over rows / rows-per-block rows
+3. per (run, block) window over the block's rows, plus the block offset
 
-Every window partition is bounded by ``block_width`` distinct order keys, and
-the prefix window holds one row per block: with the default 2^18, a run of
-10^12 rows needs about 4M block rows, and a run holding a third of them 1.3M.
+The width follows from the keys' range and count, so sparse keys (hashes, times) give as
+few blocks as dense ones: with the default of 2^18 rows a block, 10^12 rows need about 4M
+block rows, and a run holding a third of them 1.3M.
 """
 
 from __future__ import annotations
@@ -24,13 +24,18 @@ def running_sum(
     run_col: str,
     order_col: str,
     value_col: str,
-    block_width: int = 1 << 18,
+    block_width: int | None = None,
+    rows_per_block: int = 1 << 18,
 ) -> DataFrame:
     """Add ``seq`` (1-based position in run), ``running_value`` and ``run_rows``.
 
     ``order_col`` must be integral; ties are broken by ``order_col`` only, so it
-    should be unique within a run (as an id is).
+    should be unique within a run (as an id is). Without a ``block_width`` the keys'
+    range and count are looked up first (one aggregate).
     """
+    if block_width is None:
+        low, high, n = df.agg(F.min(order_col), F.max(order_col), F.count(order_col)).first()
+        block_width = max(1, -(-(high - low + 1) * rows_per_block // n)) if n else 1
     blk = F.floor(F.col(order_col) / F.lit(block_width)).cast("long")
     tagged = df.withColumn("_blk", blk)
     blocks = tagged.groupBy(run_col, "_blk").agg(
@@ -61,7 +66,7 @@ def running_progress(
     run_col: str,
     order_col: str,
     duration_col: str,
-    block_width: int = 1 << 18,
+    block_width: int | None = None,
     units_per_second: float = 1.0,
 ) -> DataFrame:
     """Elapsed so far, average per sample, ETA for the rest, percent done.

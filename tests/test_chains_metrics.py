@@ -86,3 +86,13 @@ def test_find_key_values(spark):
     docs = spark.createDataFrame([(1, '{"a": {"k": 3, "b": [{"c": 1}, {"k": {"x": 2}}]}, "k": "top"}')], "id int, j string")
     got = sorted(r.value for r in find_key_values(docs, "id", "j", "k").collect())
     assert got == ['"top"', "3", '{"x":2}']
+
+
+def test_running_sum_of_sparse_keys_uses_few_blocks(spark):
+    from gradewell.operators.running import running_sum
+
+    rows = [("r", 1000 + i * 10**12, i + 1) for i in range(500)] + [("q", 5, 7)]
+    df = spark.createDataFrame(rows, "run string, k long, v long")
+    got = sorted((r.k, r.seq, r.running_value, r.run_rows) for r in running_sum(df, "run", "k", "v", rows_per_block=50).collect() if r.run == "r")
+    assert got == [(1000 + i * 10**12, i + 1, (i + 1) * (i + 2) // 2, 500) for i in range(500)]
+    assert running_sum(df.limit(0), "run", "k", "v").count() == 0
