@@ -1041,10 +1041,11 @@ SELECT run_id, CAST(len(errs) AS INTEGER) AS n_errors,
 FROM p"""
 
 ORACLE["execution_units"] = """
-WITH runs AS (SELECT DISTINCT user_id AS run_id FROM events),
-units(unit, start, members) AS (VALUES ('c1.1', 0, 'c1.1'), ('c1.2', 1, 'c1.2'), ('c2.2', 2, 'c2.2'), ('c5.2', 3, 'c5.2'),
-                                       ('c1.3', 4, 'c1.3,u1.2,d1.2'), ('c2.3', 7, 'c2.3,r1.2,d2.2'))
-SELECT run_id, unit, CAST(start AS INTEGER) AS start, members FROM runs, units"""
+WITH t AS (SELECT user_id AS run_id, ['c1.1', 'c1.2', 'c2.2', 'c5.2', 'c1.3', 'u1.2', 'd1.2', 'c2.3', 'r1.2', 'd2.2'][CAST(event_id % 10 + 1 AS INTEGER)] AS task_id,
+                  min(event_id) AS pos
+           FROM events GROUP BY 1, 2),
+u AS (SELECT *, CASE WHEN task_id IN ('c1.3', 'u1.2', 'd1.2') THEN 'c1.3' WHEN task_id IN ('c2.3', 'r1.2', 'd2.2') THEN 'c2.3' ELSE task_id END AS unit FROM t)
+SELECT run_id, unit, min(pos) AS start, string_agg(task_id, ',' ORDER BY pos) AS members FROM u GROUP BY run_id, unit"""
 
 ORACLE["requested_tasks"] = f"""
 WITH {V_BENCH},

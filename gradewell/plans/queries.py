@@ -592,11 +592,13 @@ def q_repair_prompts(spark, sf):
 
 @register("execution_units")
 def q_execution_units(spark, sf):
-    """Each run (user) executes the fixed benchmark order; partial chains
-    are one unit each, started at their first member's position."""
-    runs = read_table(spark, sf, "events").select(F.col("user_id").alias("run_id")).distinct()
-    order = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(t).alias("task_id")) for i, t in enumerate(CH.BENCHMARK_ORDER)])
-    tasks = runs.select("run_id", F.inline(order))
+    """Each run (user) executes the tasks its events name, in the order of their
+    first event; members of a partial chain are one unit, started where its first is."""
+    order = F.array(*[F.lit(t) for t in CH.BENCHMARK_ORDER])
+    tasks = read_table(spark, sf, "events").select(
+        F.col("user_id").alias("run_id"), F.element_at(order, (F.col("event_id") % 10 + 1).cast("int")).alias("task_id"),
+        F.col("event_id").alias("pos"))
+    tasks = tasks.groupBy("run_id", "task_id").agg(F.min("pos").alias("pos"))
     u = CH.execution_units(tasks, "task_id", "pos", run_cols=("run_id",))
     return u.select("run_id", "unit", "start", F.array_join("members", ",").alias("members"))
 
