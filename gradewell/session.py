@@ -103,7 +103,7 @@ def _clear_scratch() -> None:
         try:
             jvm = spark._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # noqa: BLE001 - the session is gone; the folder's owner cleans up
             return
     _SCRATCH.clear()
