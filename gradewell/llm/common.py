@@ -2,24 +2,51 @@
 
 from __future__ import annotations
 
-import uuid
+import ctypes
+import gc
+import sys
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, ship_package
+from ..session import scratch_dir, ship_package
+
+
+try:
+    LIBC = ctypes.CDLL("libc.so.6")
+    LIBC.malloc_trim  # noqa: B018 - glibc only
+except (OSError, AttributeError):
+    LIBC = None
+
+#: Bytes of text that Python code inside tasks works on at once; its arrays take some 100 times that.
+SLICE = 1 << 18
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """The session, with this package importable on executors whatever their path is."""
+    """The session, with this package importable on executors whatever their path is, and with
+    Arrow batches of at most 4 MB (or one row): a task's memory doesn't grow with the texts."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return spark
 
 
+def give_back(tokenizer: bool = False) -> None:
+    """Return memory that earlier batches and stages took to the system. Python workers live
+    through many tasks; without this their allocators keep what the largest one took. Compiled
+    tokenizer states stay only for tasks that use them."""
+    compiled = sys.modules.get("gradewell.llm.bpe_transducer")
+    if compiled is not None and not tokenizer:
+        compiled.forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if LIBC is not None:
+        LIBC.malloc_trim(0)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    """A new folder below the cluster's shared checkpoint folder, deleted when the application ends."""
+    return scratch_dir(spark, f"llm-{name}")
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:

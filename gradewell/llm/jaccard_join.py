@@ -8,8 +8,11 @@ recall; after verification the recall of the links found is estimated from their
 similarities, and the prefix is shortened again while that falls short.
 
 * Rows with the same words in the same order are one class of copies, verified once.
-* A trie node is represented by its smallest member, so a node of n members gives n - 1 edges, and
-  counts are made before the shuffle. Edges join candidates into groups (connected components).
+* Trie nodes are counted before the shuffle. In a node of at most ``node_limit`` members, pairs
+  whose whole labels agree too little to be at the threshold (five standard deviations below it) are
+  dropped, and the rest are given by a spanning forest; a larger node gives an edge from every member
+  to its smallest, without that filter. Edges join candidates into groups (connected components), so
+  chance collisions don't chain unlike documents into large groups.
 * Exact verification compares the shingle sets of all pairs of a group, in blocks of about
   ``block`` documents; a group of n documents is dealt to (n / block)^2 / 2 tasks, each of which
   returns sums per document and a spanning forest of its links, never the pairs.
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_of, runs, text_or_empty, written
+from .common import SLICE, bytes_of, give_back, runs, text_or_empty, written
 from .components import components
 from .exact_dedup import settings
 from .wordscan import U, Words, mix
@@ -97,9 +100,10 @@ def signatures(rows: DataFrame, trees: int, depth: int, size: int) -> DataFrame:
     )
 
     def sign(batches):
+        give_back()
         for batch in batches:
             texts = bytes_of(batch)
-            for a, b in runs([len(t) for t in texts], 1_000_000):
+            for a, b in runs([len(t) for t in texts], SLICE):
                 found, doc, hashes = shingles(texts[a:b], size)
                 order = order_hashes(found, b - a).view(np.int64)
                 label = labels(doc, hashes, b - a, trees * depth)
@@ -120,9 +124,10 @@ def sets_of(rows: DataFrame, size: int) -> DataFrame:
     """(root, rep, copies, blocks, set): the sorted shingle hashes of each text, as bytes."""
 
     def take(batches):
+        give_back()
         for batch in batches:
             texts = bytes_of(batch)
-            for a, b in runs([len(t) for t in texts], 1_000_000):
+            for a, b in runs([len(t) for t in texts], SLICE):
                 _, doc, hashes = shingles(texts[a:b], size)
                 ends = np.searchsorted(doc, np.arange(b - a + 1))
                 sets = [np.unique(hashes[ends[k] : ends[k + 1]]).tobytes() for k in range(b - a)]
@@ -183,6 +188,47 @@ def compare(left: list, right: list | None, threshold: float, depth: int, trees:
     return linked, spanning, found, weight
 
 
+def agreeing(members: DataFrame, threshold: float, values: int) -> DataFrame:
+    """Spanning edges (a, b) of the pairs in each node whose labels agree enough.
+
+    ``members`` are rows (tree, prefix, rep, label) of nodes with few members."""
+    chance_equal = threshold + (1 - threshold) / 256
+    least = values * (chance_equal - 5 * (chance_equal * (1 - chance_equal) / values) ** 0.5)
+
+    def close(reps, found):
+        marks = np.frombuffer(b"".join(found), dtype=np.uint8).reshape(len(reps), -1)
+        left = np.arange(len(reps))
+        edges = []
+        while len(left):  # grow one tree at a time
+            tree, left = [int(left[0])], left[1:]
+            for x in tree:
+                near = (marks[left] == marks[x]).sum(axis=1) >= least if len(left) else np.zeros(0, dtype=bool)
+                edges += [(reps[y], reps[x]) for y in left[near]]
+                tree += left[near].tolist()
+                left = left[~near]
+        return edges
+
+    def pick(batches):
+        give_back()
+        key, reps, found, out = None, [], [], []
+        for batch in batches:
+            for tree, prefix, rep, label in zip(*(c.to_pylist() for c in batch.columns)):
+                if (tree, prefix) != key:
+                    out += close(reps, found) if reps else []
+                    key, reps, found = (tree, prefix), [], []
+                reps.append(rep)
+                found.append(label)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out)], names=["a", "b"])
+                out = []
+        out += close(reps, found) if reps else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+    dealt = members.select("tree", "prefix", "rep", "label").repartition("tree", "prefix").sortWithinPartitions("tree", "prefix")
+    return dealt.mapInArrow(pick, "a bigint, b bigint")
+
+
 def verified(sets: DataFrame, threshold: float, depth: int, trees: int) -> DataFrame:
     """(a, b, links, found, weight): sums per document (b null) and spanning links of every task."""
     own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
@@ -206,6 +252,7 @@ def verified(sets: DataFrame, threshold: float, depth: int, trees: int) -> DataF
         return rows + ([(None, None, 0, found, weight)] if found else [])
 
     def check(batches):
+        give_back()
         key, members, out = None, {}, []
         for batch in batches:
             for root, lo, hi, own, rep, copies, data in zip(*(c.to_pylist() for c in batch.columns)):
@@ -227,7 +274,7 @@ def verified(sets: DataFrame, threshold: float, depth: int, trees: int) -> DataF
 
 def near_duplicates(
     spark: SparkSession, docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int = 32, depth: int = 9,
-    target_recall: float = 0.999, block: int = 256, id_col: str = "doc_id", text_col: str = "text",
+    target_recall: float = 0.999, block: int = 64, node_limit: int = 256, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per document: id, class_id (smallest id linked to it through links), n_links (other
     documents with a similarity of at least ``threshold``), n_copies (rows with the same words), th
@@ -250,8 +297,12 @@ def near_duplicates(
             "rep", "tree", F.substring("label", F.col("tree") * depth + 1, F.lit(prefix)).alias("prefix")
         )
         shared = nodes.groupBy("tree", "prefix").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
-        shared = written(spark, shared.drop("n"), "join-nodes")
-        edges = nodes.join(shared, ["tree", "prefix"]).where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+        shared = written(spark, shared, "join-nodes")
+        found = written(spark, nodes.join(shared, ["tree", "prefix"]).select("tree", "prefix", "hub", "n", "rep"), "join-node-members")
+        few = found.where(F.col("n") <= node_limit).join(worded.select("rep", "label"), "rep")
+        edges = agreeing(few, threshold, trees * depth).unionByName(
+            found.where((F.col("n") > node_limit) & (F.col("rep") != F.col("hub"))).select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+        )
         groups = written(spark, components(spark, edges, "join-candidates"), "join-groups")
         sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
         members = groups.join(sizes, "root").withColumnRenamed("vertex", "rep")
@@ -290,7 +341,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     """One document of each class, with all its columns: the one with the smallest id. Documents
     without words all stay."""
     told = written(spark, near_duplicates(spark, docs, id_col=id_col, text_col=text_col, **options), "join-report")
-    key = F.struct(F.col(id_col), F.col("th")).alias("k")
+    key = F.struct(F.col(id_col), F.col("th")).alias("__k")
     # of a class, the smallest (id, text hash) stays; classes are aggregated before the shuffle
     worded = told.where("n_links > 0")
     best = worded.groupBy("class_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), id_col, "th")).alias("best"))
@@ -298,10 +349,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     stays = F.col(id_col).eqNullSafe(F.col(f"best.{id_col}")) & (F.col("th") == F.col("best.th"))
     judged = worded.join(best, F.col("class_id").eqNullSafe(F.col("own_class"))).withColumn("stays", stays)
     judged = written(spark, judged.select(key, "stays"), "join-judged")
-    gone = judged.where(~F.col("stays")).select("k").distinct()
-    twice = judged.where("stays").groupBy("k").count().where("count > 1").select("k")
+    gone = judged.where(~F.col("stays")).select("__k").distinct()
+    twice = judged.where("stays").groupBy("__k").count().where("count > 1").select("__k")
     keyed = docs.withColumn("__key", F.struct(F.col(id_col), F.xxhash64(text_or_empty(text_col)).alias("th")))
-    match = F.col("__key").eqNullSafe(F.col("k"))
+    match = F.col("__key").eqNullSafe(F.col("__k"))
     left = keyed.join(gone, match, "left_anti")
     if twice.isEmpty():
         return left.drop("__key")
