@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -125,8 +126,8 @@ class Transducer:
         self.merges = merges
         self.max_states = max_states
         self.child: dict[int, int] = {}
-        self.token = [UNSET]
-        self.grows = [True]
+        self.token = array("i", [UNSET])
+        self.grows = bytearray([True])
         for i, symbols in merges.spelled.items():
             node = 0
             for s in symbols:
@@ -152,6 +153,8 @@ class Transducer:
         self.length = np.zeros(max(merges.spelled) + 1, dtype=np.int64)
         for i, symbols in merges.spelled.items():
             self.length[i] = len(symbols)
+        self.id_type = np.uint16 if max(merges.spelled) < 1 << 16 else np.int32
+        merges.ids, merges.spelled = {}, {}  # the trie has them now
         self.column = np.full(512, UNSET, dtype=np.int64)
         self.columns = 0
         self.width = 64
@@ -163,7 +166,7 @@ class Transducer:
         self.room = 4096
         self.next = np.full(self.room * self.width, UNSET, dtype=np.int32)
         self.weight = np.full(self.room * self.width, NO_WEIGHT, dtype=np.int8)
-        self.last = np.full(self.room * self.width, UNSET, dtype=np.int32)
+        self.last = np.zeros(self.room * self.width, dtype=self.id_type)
         self.state_of(((0, UNSET, 0),))
         self.state_of(("unknown",))
 
@@ -175,7 +178,7 @@ class Transducer:
             return before
         got = self.useful.get((node, before), 0)
         if got == 0:
-            ok = [self.merges.follows(before, t) for t in tokens]
+            ok = [not self.merges.crossed(before, t, False) for t in tokens]
             got = UNSET if all(ok) else before if any(ok) else None
             self.useful[node, before] = got
         return got
@@ -189,7 +192,7 @@ class Transducer:
                 grow = self.room * self.width
                 self.next = np.concatenate([self.next, np.full(grow, UNSET, dtype=np.int32)])
                 self.weight = np.concatenate([self.weight, np.full(grow, NO_WEIGHT, dtype=np.int8)])
-                self.last = np.concatenate([self.last, np.full(grow, UNSET, dtype=np.int32)])
+                self.last = np.concatenate([self.last, np.zeros(grow, dtype=self.id_type)])
                 self.room *= 2
         return got
 
@@ -204,7 +207,7 @@ class Transducer:
                 wide = self.width
                 while wide < self.columns:
                     wide *= 2
-                for name, none in (("next", UNSET), ("weight", NO_WEIGHT), ("last", UNSET)):
+                for name, none in (("next", UNSET), ("weight", NO_WEIGHT), ("last", 0)):
                     old = getattr(self, name).reshape(self.room, self.width)
                     new = np.full((self.room, wide), none, dtype=old.dtype)
                     new[:, : self.width] = old
@@ -248,7 +251,7 @@ class Transducer:
                 self.compile(key // 512, key % 512)
         return at
 
-    def run(self, symbols: np.ndarray, table: str, chunk: int = 256) -> np.ndarray:
+    def run(self, symbols: np.ndarray, table: str, chunk: int = 64) -> np.ndarray:
         """What ``table`` says at each symbol of a stream of whole words: "weight" (change of
         the token count) or "last" (last token of the encoding so far)."""
         n = len(symbols)
@@ -451,7 +454,12 @@ def counter(path: str) -> Counter:
     return _COUNTERS[path]
 
 
-def slices(texts: list[str], chars: int = 2_000_000):
+def forget() -> None:
+    """Drop the compiled states: for tasks of other operators in the same worker process."""
+    _COUNTERS.clear()
+
+
+def slices(texts: list[str], chars: int = 500_000):
     """Index ranges of consecutive texts of about so many characters."""
     begin, size = 0, 0
     for i, t in enumerate(texts):

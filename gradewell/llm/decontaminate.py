@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_of, runs, text_or_empty, written
+from .common import SLICE, bytes_of, give_back, runs, text_or_empty, written
 from .wordscan import Words
 
 HITS = "__hits"
@@ -144,9 +144,10 @@ def with_hits(
 
 def _marker(shared, text_col: str, arrow_type, more: bool):
     def mark(batches):
+        give_back()
         for batch in batches:
             texts, got = bytes_of(batch, text_col), []
-            for a, b in runs([len(t) for t in texts], 1_000_000):
+            for a, b in runs([len(t) for t in texts], SLICE):
                 got += scan(texts[a:b], shared.value)
             old = batch.column(batch.num_columns - 1).to_pylist() if more else [None] * len(got)
             hits = []

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe_transducer
-from .common import texts_of, text_or_empty, written
+from .common import give_back, texts_of, text_or_empty, written
 
 
 def sweep(classes: Iterable[tuple[int, int]], capacity: int) -> dict[str, np.ndarray]:
@@ -83,6 +83,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col:
     )
 
     def cut(batches):
+        give_back(tokenizer=True)
         counter = bpe_transducer.counter(vocabulary)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe_transducer
-from .common import bytes_of, texts_of, text_or_empty
+from .common import bytes_of, give_back, texts_of, text_or_empty
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,6 +33,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
     )
 
     def count(batches):
+        give_back(tokenizer=True)
         counter = bpe_transducer.counter(vocabulary)
         for batch in batches:
             texts = texts_of(batch)
