@@ -3,8 +3,9 @@
 Every text becomes a short vector of rates (symbols, capitals, repeated words, repeated five-word
 windows and so on). Preference pairs set a document labelled good before one labelled bad; logistic
 loss on the difference of their features gives the weights, so a document's strength is a weighted
-sum of its features. The threshold is the quantile of the strengths of the labelled sample at its
-share of bad labels; the score is the logistic function of the strength above the threshold.
+sum of its features. The threshold is the quantile of the labelled sample's strengths that misplaces
+the fewest of its labels (of several, the one in the widest gap, so a few wrong labels don't move
+it into the clean documents); the score is the logistic function of the strength above the threshold.
 
 Fitting takes at most ``max_labelled`` labelled rows, those with the smallest hash of their id, and
 ``partners`` pairs for each. Scoring is a narrow pass over whole texts.
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_of, runs, text_or_empty
+from .common import SLICE, bytes_of, give_back, runs, text_or_empty
 from .wordscan import Words
 
 SYMBOLS = b"!#$%&*|.,;:?<>{}()[]/\\@=+-_~^'\"`"
@@ -57,7 +58,6 @@ def features(texts: list[bytes]) -> np.ndarray:
         upper / np.maximum(1, upper + lower),
         per_text((data >= 48) & (data <= 57)) / size,
         per_text(data == 10) / size,
-        per_text(data >= 0x80) / size,
         *(per_text(data == s) / size for s in SYMBOLS),
         np.bincount(found.doc[1:][next_same], minlength=n) / per_word,
         repeats(found.doc, found.hash),
@@ -79,7 +79,7 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(values @ self.weights - self.threshold, -30, 30)))
 
 
-def fit(values: np.ndarray, good: np.ndarray, partners: int = 16, ridge: float = 1e-3, steps: int = 50) -> Ranking:
+def fit(values: np.ndarray, good: np.ndarray, partners: int = 16, ridge: float = 1e-5, steps: int = 50) -> Ranking:
     """Bradley-Terry weights by Newton steps on the pairs' logistic loss."""
     best, worst = np.flatnonzero(good), np.flatnonzero(~good)
     if not len(best) or not len(worst):
@@ -99,9 +99,13 @@ def fit(values: np.ndarray, good: np.ndarray, partners: int = 16, ridge: float =
         w = w - move
         if np.abs(move).max() < 1e-6:
             break
-    strength = np.sort(values @ w)
-    k = len(worst)
-    return Ranking(w, float(strength[k - 1] + strength[k]) / 2)
+    strength = values @ w
+    order = np.argsort(strength, kind="stable")
+    strength, ranked = strength[order], good[order]
+    misplaced = np.cumsum(ranked)[:-1] + np.cumsum(~ranked[::-1])[::-1][1:]
+    cuts = np.flatnonzero(misplaced == misplaced.min())
+    k = cuts[np.argmax(strength[cuts + 1] - strength[cuts])]
+    return Ranking(w, float(strength[k] + strength[k + 1]) / 2)
 
 
 def held_out(id_col: str) -> Column:
@@ -122,9 +126,10 @@ def learn(
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
 
     def measure(batches):
+        give_back()
         for batch in batches:
             texts = bytes_of(batch)
-            for a, b in runs([len(t) for t in texts], 1_000_000):
+            for a, b in runs([len(t) for t in texts], SLICE):
                 values = features(texts[a:b])
                 own = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([own.column("good"), pa.array(values.tolist())], names=["good", "v"])
@@ -148,6 +153,7 @@ def scores(spark: SparkSession, docs: DataFrame, ranking: Ranking, id_col: str =
     )
 
     def rate(batches):
+        give_back()
         for batch in batches:
             score = score_texts(bytes_of(batch), ranking)
             yield pa.RecordBatch.from_arrays(
@@ -158,7 +164,7 @@ def scores(spark: SparkSession, docs: DataFrame, ranking: Ranking, id_col: str =
 
 
 def score_texts(texts: list[bytes], ranking: Ranking) -> np.ndarray:
-    parts = [ranking.score(features(texts[a:b])) for a, b in runs([len(t) for t in texts], 1_000_000)]
+    parts = [ranking.score(features(texts[a:b])) for a, b in runs([len(t) for t in texts], SLICE)]
     return np.concatenate([np.zeros(0), *parts])
 
 
@@ -166,6 +172,7 @@ def accepted(docs: DataFrame, ranking: Ranking, text_col: str = "text") -> DataF
     """The documents that score 0.5 or more, with all their columns; a narrow pass."""
 
     def keep(batches):
+        give_back()
         for batch in batches:
             yield batch.filter(pa.array(score_texts(bytes_of(batch, text_col), ranking) >= 0.5))
 
