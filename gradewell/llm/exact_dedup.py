@@ -71,7 +71,8 @@ def remembered(spark: SparkSession, signatures: str, schema: T.StructType, state
     with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB,
                   spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
                   spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
-                  spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="256"):
+                  spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="64",
+                  spark__sql__streaming__stateStore__maintenanceInterval="10s"):
         query = (
             seen.writeStream.outputMode("update").foreachBatch(put).trigger(availableNow=True)
             .option("checkpointLocation", f"{state}/stream").start()
@@ -140,13 +141,13 @@ def duplicate_report(
 def deduplicated(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **stream_options: str) -> DataFrame:
     """The documents that stay, with all their columns."""
     report = written(spark, duplicate_report(spark, docs, id_col, text_col, **stream_options), "dedup-report")
-    key = F.struct(F.col(id_col), F.col("text_sha256")).alias("k")
+    key = F.struct(F.col(id_col), F.col("text_sha256")).alias("__k")
     gone = report.where(~F.col("kept")).select(key)
-    twice = report.where(F.col("kept")).groupBy(key).count().where(F.col("count") > 1).select("k")
+    twice = report.where(F.col("kept")).groupBy(key).count().where(F.col("count") > 1).select("__k")
     keyed = docs.withColumn("__key", F.struct(F.col(id_col), sha256(text_or_empty(text_col)).alias("text_sha256")))
-    left = keyed.join(gone, F.col("__key").eqNullSafe(F.col("k")), "left_anti")
+    left = keyed.join(gone, F.col("__key").eqNullSafe(F.col("__k")), "left_anti")
     if twice.isEmpty():
         return left.drop("__key")
-    match = F.col("__key").eqNullSafe(F.col("k"))
+    match = F.col("__key").eqNullSafe(F.col("__k"))
     one = left.join(twice, match, "left_semi").dropDuplicates(["__key"])
     return left.join(twice, match, "left_anti").unionByName(one).drop("__key")

@@ -15,7 +15,7 @@ from gradewell.llm.common import prepared
 from gradewell.llm.wordscan import Words
 
 SF = "/root/testdata/sf0.01"
-SCHEMA = "doc_id long, text string, lang string, digest string, rep string, root string, kept string, hub string"
+SCHEMA = "doc_id long, text string, k string, digest string, rep string, root string, kept string, id string"
 
 
 def docs_of(spark, pairs):
