@@ -71,7 +71,6 @@ class Merges:
             if whole in self.made:
                 raise ValueError("two merges spell the same token; the transducer needs one")
             self.made[whole] = (a, b, r)
-        self.may: dict[tuple[int, int], bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
         self.reach: dict[int, bool] = {}
         self.spelled = {i: s for i, s in spelled.items() if self.reachable(i)}
@@ -111,10 +110,7 @@ class Merges:
         return got
 
     def follows(self, left: int, right: int) -> bool:
-        got = self.may.get((left, right))
-        if got is None:
-            got = self.may[left, right] = not self.crossed(left, right, False)
-        return got
+        return not self.crossed(left, right, False)
 
 
 class Transducer:
@@ -149,6 +145,7 @@ class Transducer:
                 up.extend(own)
                 if self.token[node] >= 0:
                     up.append(self.token[node])
+        self.below = [None if x is None else tuple(x) for x in self.below]
         self.useful: dict[tuple[int, int], int | None] = {}
         self.length = np.zeros(max(merges.spelled) + 1, dtype=np.int64)
         for i, symbols in merges.spelled.items():
@@ -167,7 +164,7 @@ class Transducer:
         self.next = np.full(self.room * self.width, UNSET, dtype=np.int32)
         self.weight = np.full(self.room * self.width, NO_WEIGHT, dtype=np.int8)
         self.last = np.zeros(self.room * self.width, dtype=self.id_type)
-        self.state_of(((0, UNSET, 0),))
+        self.state_of((0, UNSET, 0))
         self.state_of(("unknown",))
 
     def matters(self, node: int, before: int) -> int | None:
@@ -178,7 +175,7 @@ class Transducer:
             return before
         got = self.useful.get((node, before), 0)
         if got == 0:
-            ok = [not self.merges.crossed(before, t, False) for t in tokens]
+            ok = [self.merges.follows(before, t) for t in tokens]
             got = UNSET if all(ok) else before if any(ok) else None
             self.useful[node, before] = got
         return got
@@ -223,8 +220,9 @@ class Transducer:
             self.next[at], self.weight[at] = (START if symbol >= END else UNKNOWN), 0
             return
         found = None
-        grown = []
-        for node, before, since in self.states[state]:
+        grown: list[int] = []
+        entries = iter(self.states[state])
+        for node, before, since in zip(entries, entries, entries):
             child = self.child.get(node * 512 + symbol)
             if child is None:
                 continue
@@ -234,12 +232,13 @@ class Transducer:
             if self.grows[child]:
                 before = self.matters(child, before)
                 if before is not None:
-                    grown.append((child, before, since))
+                    grown += (child, before, since)
         t, weight = found
         if symbol >= END:
             target = START
         else:
-            target = self.state_of((*((c, b, s + weight) for c, b, s in grown), (0, t, 0)))
+            grown[2::3] = [since + weight for since in grown[2::3]]
+            target = self.state_of((*grown, 0, t, 0))
         self.next[at], self.weight[at], self.last[at] = target, weight, t
 
     def step(self, state: np.ndarray, cols: np.ndarray, symbols: np.ndarray) -> np.ndarray:
@@ -320,13 +319,23 @@ class Counter:
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         if spec["model"]["type"] != "BPE" or not spec["model"]["end_of_word_suffix"] or kinds != ["NFC", "Replace", "Lowercase"]:
             raise ValueError(f"{path}: not a lower-casing byte-pair vocabulary with word ends")
-        self.library = Tokenizer.from_file(path)
+        # normaliser and pre-tokenizer without the model; the whole library only for texts that need it
+        self.front = Tokenizer.from_str(json.dumps(spec | {"model": spec["model"] | {"vocab": {}, "merges": []}, "added_tokens": []}))
+        self.path, self.whole = path, None
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.transducer = Transducer(Merges(spec["model"]))
         self.kind = np.zeros(0x110000 + 1, dtype=np.uint8)
         self.plain: set[str] = set()
         self.odd: set[str] = set()
 
+    @property
+    def library(self):
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        return self.whole
+
     @staticmethod
     def lowered(text: str) -> str:
         if text.isascii():
@@ -342,14 +351,14 @@ class Counter:
             return False
         chars = set(text)
         for c in chars - self.plain - self.odd:
-            same = " ".join(self.lowered(c).split()) == " ".join(self.library.normalizer.normalize_str(c).split())
+            same = " ".join(self.lowered(c).split()) == " ".join(self.front.normalizer.normalize_str(c).split())
             (self.plain if same else self.odd).add(c)
         return bool(self.odd) and not chars.isdisjoint(self.odd)
 
     def kinds(self, points: np.ndarray) -> np.ndarray:
         got = self.kind[points]
         if (got == 0).any():
-            pieces = self.library.pre_tokenizer.pre_tokenize_str
+            pieces = self.front.pre_tokenizer.pre_tokenize_str
             for p in np.unique(points[got == 0]).tolist():
                 c = chr(p)
                 if not pieces(c):
