@@ -278,7 +278,8 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: id, class_id (smallest id linked to it through links), n_links (other
     documents with a similarity of at least ``threshold``), n_copies (rows with the same words), th
-    (a hash of the text, which tells rows with the same id apart)."""
+    (a hash of the text, which tells rows with the same id apart), root (a number of its own for each
+    class; class_id isn't, as ids repeat and may be null)."""
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     signed = written(spark, signatures(rows, trees, depth, size).withColumn("key", F.monotonically_increasing_id()), "join-signatures")
@@ -324,7 +325,7 @@ def near_duplicates(
     smallest = named.groupBy("root").agg(F.min("id").alias("class_id"))
     told = written(
         spark,
-        named.join(smallest, "root").select("n_words", "w0", "w1", "copies", "class_id", F.coalesce("links", F.lit(0)).alias("links")),
+        named.join(smallest, "root").select("n_words", "w0", "w1", "copies", "class_id", "root", F.coalesce("links", F.lit(0)).alias("links")),
         "join-told",
     )
     linked = F.when(F.col("n_words") > 0, F.col("copies") - 1 + F.col("links")).otherwise(0).cast("long")
@@ -334,6 +335,7 @@ def near_duplicates(
         linked.alias("n_links"),
         F.when(F.col("n_words") > 0, F.col("copies")).otherwise(1).cast("long").alias("n_copies"),
         "th",
+        "root",
     )
 
 
@@ -344,10 +346,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     key = F.struct(F.col(id_col), F.col("th")).alias("__k")
     # of a class, the smallest (id, text hash) stays; classes are aggregated before the shuffle
     worded = told.where("n_links > 0")
-    best = worded.groupBy("class_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), id_col, "th")).alias("best"))
-    best = written(spark, best.withColumnRenamed("class_id", "own_class"), "join-best")
+    best = worded.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), id_col, "th")).alias("best"))
+    best = written(spark, best, "join-best")
     stays = F.col(id_col).eqNullSafe(F.col(f"best.{id_col}")) & (F.col("th") == F.col("best.th"))
-    judged = worded.join(best, F.col("class_id").eqNullSafe(F.col("own_class"))).withColumn("stays", stays)
+    judged = worded.join(best, "root").withColumn("stays", stays)
     judged = written(spark, judged.select(key, "stays"), "join-judged")
     gone = judged.where(~F.col("stays")).select("__k").distinct()
     twice = judged.where("stays").groupBy("__k").count().where("count > 1").select("__k")

@@ -62,7 +62,7 @@ def op9_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(prepared(spark), sf_dir, "documents")
-    return jaccard_join.near_duplicates(spark, docs).drop("th")
+    return jaccard_join.near_duplicates(spark, docs).drop("th", "root")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

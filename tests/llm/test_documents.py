@@ -210,6 +210,15 @@ def test_one_of_each(spark):
     assert sorted((r["doc_id"] for r in got.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    """Classes that share their smallest id, or have no id at all, each keep a row."""
+    base = {c: " ".join(f"{c}{k}" for k in range(60)) for c in "abcd"}
+    ids = {"a": (1, 2), "b": (1, 3), "c": (None, None), "d": (None, None)}
+    pairs = [(i, base[c] + tail) for c in base for i, tail in zip(ids[c], ("", " end"))]
+    got = jaccard_join.one_of_each(prepared(spark), docs_of(spark, pairs)).collect()
+    assert sorted(((r["doc_id"], r["text"][0]) for r in got), key=repr) == [(1, "a"), (1, "b"), (None, "c"), (None, "d")]
+
+
 def test_near_duplicates_empty(spark):
     assert jaccard_join.near_duplicates(prepared(spark), docs_of(spark, [])).count() == 0
     assert jaccard_join.one_of_each(spark, docs_of(spark, [])).count() == 0
