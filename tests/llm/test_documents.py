@@ -247,6 +247,20 @@ def test_shards_keep_groups_whole(spark):
     assert sum(len(v) > 1 for v in groups.values()) <= 1
 
 
+def test_shards_gather_every_group_that_fits(spark):
+    """All rows linked in pairs, and groups of half a shard: neither is left spread by a full quota."""
+    for pairs, shards in (
+        ([(k, f"text {k // 2}") for k in range(1600)], 8),
+        ([(k, f"group {k // 50}" if k < 500 else f"text {k}") for k in range(800)], 8),
+    ):
+        rows = sharding.label_propagation_shards(prepared(spark), docs_of(spark, pairs), shards=shards).collect()
+        check_shards(pairs, rows, shards)
+        groups = defaultdict(set)
+        for r in rows:
+            groups[r["text_crc32"]].add(r["shard"])
+        assert sum(len(v) > 1 for v in groups.values()) == 0
+
+
 def test_shards_split_a_hot_group(spark):
     pairs = [(k, "hot" if k % 3 else f"text {k}") for k in range(300)]
     check_shards(pairs, sharding.label_propagation_shards(prepared(spark), docs_of(spark, pairs), shards=8).collect(), 8)
