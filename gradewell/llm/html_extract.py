@@ -5,9 +5,12 @@ learnt from labelled pages: pages whose markup names the article (one ``article`
 element) tell which words and tags lie inside. One linear scan finds the contiguous run with the
 largest sum; its words, block by block, are the main text.
 
-What is never part of an article, by element or by a word of its class, id or role (menus, page
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments), scores
-nothing and gives no text, wherever it stands.
+What is never part of an article, by element or by a name in its class, id or role (menus, page
+headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments), and what is
+hidden, scores nothing and gives no text, wherever it stands, unless it holds an ``article`` or
+``main`` element. A name that only contains such a word (``has-sidebar``) drops nothing: the
+element's begin and end score below zero, learnt by name, and so do those of elements that are kept
+for the article they hold. A run inside a layout wrapper pays neither.
 
 Character references are decoded; white space inside a block becomes one space; empty blocks go;
 blocks are joined by one line break. A null page is empty and gives the empty text. Unclosed tags
@@ -36,8 +39,8 @@ TAG = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>",
     re.DOTALL,
 )
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
+ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NO_DISPLAY = re.compile(r"display\s*:\s*none")
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
 # element names that fix what is a block, what has no content, what holds raw text
@@ -69,6 +72,7 @@ class Weights:
     link: float = 0.2
     tags: dict[str, float] = field(default_factory=dict)
     unseen: float = -0.2
+    outside: float = -20.0  # begin or end of an element with an unseen name that contains an outside word
 
 
 @dataclass
@@ -77,6 +81,7 @@ class Page:
 
     kind: "" for text, else the tag's name; value: words in the run, 0 for tags; block: number of
     the block a run belongs to; inside: within the labelled article; link: within a link.
+    marks: (kind, begin, end) of elements whose begin and end score as ".name".
     """
 
     kind: list[str] = field(default_factory=list)
@@ -85,32 +90,44 @@ class Page:
     block: list[int] = field(default_factory=list)
     inside: list[bool] = field(default_factory=list)
     link: list[bool] = field(default_factory=list)
+    marks: list[tuple[str, int, int]] = field(default_factory=list)
     articles: int = 0
 
 
-def boilerplate(name: str, attrs: str, in_article: bool) -> bool:
+def boilerplate(name: str, attrs: str, in_article: bool) -> tuple[bool, list[str]]:
+    """Whether the element is outside any article, and the kinds its begin and end score as."""
     if name in OUTSIDE or (name == "header" and not in_article):
-        return True
+        return True, [f".{name}"]
     if not attrs or name in ("html", "body", "main", "article"):
-        return False
-    if HIDDEN.search(attrs):
-        return True
-    return any(
-        not OUTSIDE_WORDS.isdisjoint(SPLIT.split((a or b or c).lower())) for a, b, c in NAMED.findall(attrs)
-    )
+        return False, []
+    drop, kinds = False, []
+    for key, *values in ATTR.findall(attrs):
+        key, value = key.lower(), "".join(values).lower()
+        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and NO_DISPLAY.search(value)):
+            drop = True
+            kinds.append(".hidden")
+        elif key in ("class", "id", "role"):
+            for named in value.split():
+                words = [w for w in SPLIT.split(named) if w and not w.isdigit()]
+                if not OUTSIDE_WORDS.isdisjoint(words):
+                    drop = drop or OUTSIDE_WORDS.issuperset(words)
+                    kinds.append("." + "-".join(words))
+    return drop, sorted(set(kinds))
 
 
 def tokens(page: str) -> Page:
     """The page's words and tags outside boilerplate."""
     out = Page()
     stack: list[str] = []
-    skip_from = None  # depth of the stack where boilerplate began
+    opened: list[tuple[list[str], int]] = []  # of each open element: its kinds, and where it began
+    drops: list[int] = []  # depths of open elements that go unless they hold an article
     article = 0
     links = 0
     block = 0
+    columns = (out.kind, out.value, out.text, out.block, out.inside, out.link)
 
     def put(text: str) -> None:
-        if text and skip_from is None:
+        if text:
             out.kind.append("")
             out.value.append(len(text.split()))
             out.text.append(text)
@@ -127,14 +144,23 @@ def tokens(page: str) -> Page:
         out.link.append(links > 0)
 
     def pop(depth: int) -> None:
-        nonlocal skip_from, article, links
+        nonlocal article, links
         while len(stack) > depth:
             gone = stack.pop()
-            if skip_from is None:
-                article -= gone in ("article", "main")
-                links -= gone == "a"
-            elif len(stack) <= skip_from:
-                skip_from = None
+            kinds, begin = opened.pop()
+            article -= gone in ("article", "main")
+            links -= gone == "a"
+            if drops and drops[-1] == len(stack):
+                drops.pop()
+                for column in columns:
+                    del column[begin:]
+                while out.marks and out.marks[-1][1] >= begin:
+                    out.marks.pop()
+            else:
+                for kind in kinds:
+                    out.marks.append((kind, begin, len(out.kind)))
+                for kind in kinds:
+                    put_tag(kind)
 
     at, end = 0, len(page)
     while at < end:
@@ -156,8 +182,7 @@ def tokens(page: str) -> Page:
         if closes:
             if name in stack:
                 pop(len(stack) - 1 - stack[::-1].index(name))
-            if skip_from is None:
-                put_tag(name)
+            put_tag(name)
             continue
         if name in BLOCKS:  # paragraphs and list items end where the next block begins
             for open_name, enders in (("p", BLOCKS), ("li", ("li",)), ("dt", ("dt", "dd")), ("dd", ("dt", "dd")), ("option", ("option",))):
@@ -165,23 +190,27 @@ def tokens(page: str) -> Page:
                     depth = len(stack) - 1 - stack[::-1].index(open_name)
                     if not any(x in BLOCKS for x in stack[depth + 1 :]):
                         pop(depth)
-        outside = skip_from is None and boilerplate(name, m["attrs"], article > 0)
+        outside, kinds = boilerplate(name, m["attrs"], article > 0)
         if name in RAW and not m["attrs"].endswith("/"):
             stop = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
             at = stop.end() if stop else end
             continue
-        if skip_from is None and not outside:
+        if not outside:
             put_tag(name)
         if name in VOID or m["attrs"].rstrip().endswith("/") and name not in BLOCKS:
             continue
+        if name in ("article", "main"):
+            drops.clear()  # what holds it stays
+            article += 1
+            out.articles += article == 1
+        links += name == "a"
         if outside:
-            skip_from = len(stack)
-        elif skip_from is None:
-            if name in ("article", "main"):
-                article += 1
-                out.articles += article == 1
-            links += name == "a"
+            drops.append(len(stack))
+        opened.append((kinds, len(out.kind)))
+        for kind in kinds:
+            put_tag(kind)
         stack.append(name)
+    pop(0)
     return out
 
 
@@ -190,7 +219,7 @@ def best_run(page: Page, weights: Weights) -> tuple[int, int]:
     if not page.kind:
         return 0, 0
     score = np.array(
-        [n * (weights.link if link else weights.word) if not kind else weights.tags.get(kind, weights.unseen)
+        [n * (weights.link if link else weights.word) if not kind else weights.tags.get(kind, weights.outside if kind[0] == "." else weights.unseen)
          for kind, n, link in zip(page.kind, page.value, page.link)]
     )
     total = np.concatenate([[0.0], np.cumsum(score)])
@@ -213,8 +242,10 @@ def main_text(page: str, weights: Weights) -> str:
 
 def from_counts(seen: dict[tuple[bool, str], int]) -> Weights:
     """Weights from counts of (inside the article, kind): log odds of being inside, kept above zero
-    for words and below for tags."""
-    total = {side: sum(n for (s, _), n in seen.items() if s == side) for side in (True, False)}
+    for words and below for tags. For the kinds of marks, the count is the most words that one of their
+    elements held, and those that held no part of the article must cost more than their words score."""
+    marks = {k for k in seen if k[1][0] == "."}
+    total = {side: sum(n for k, n in seen.items() if k[0] == side and k not in marks) for side in (True, False)}
     if not total[True]:
         return Weights()
 
@@ -227,8 +258,9 @@ def from_counts(seen: dict[tuple[bool, str], int]) -> Weights:
     # tags that occur inside articles at all cost little, so that lines of one word stay
     tags = {
         k: -0.1 if seen.get((True, k), 0) > seen.get((False, k), 0) else -min(max(0.1, -odds(k)), 4.0)
-        for k in {k for _, k in seen} - {"#word", "#link"}
+        for k in {k for s, k in seen if (s, k) not in marks} - {"#word", "#link"}
     }
+    tags |= {k: -0.1 if (True, k) in marks else -word * (seen[False, k] + 1) for _, k in marks}
     return Weights(word, link, tags)
 
 
@@ -248,14 +280,20 @@ def learn(pages: DataFrame, max_labelled: int = 2_000, id_col: str = "page_id",
                 if got.articles == 1:
                     own: Counter = Counter()
                     for kind, n, inside, link in zip(got.kind, got.value, got.inside, got.link):
-                        own[inside, kind or ("#link" if link else "#word")] += 1 if kind else n
+                        if kind[:1] != ".":
+                            own[inside, kind or ("#link" if link else "#word")] += 1 if kind else n
+                    for kind, begin, stop in got.marks:
+                        key = any(got.inside[begin:stop]), kind
+                        own[key] = max(own[key], sum(got.value[begin:stop]))
                     if own:
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([k[0] for k in own]), pa.array([k[1] for k in own]), pa.array(list(own.values()), type=pa.int64())],
                             names=["inside", "kind", "n"],
                         )
 
-    counts = rows.mapInArrow(count, "inside boolean, kind string, n bigint").groupBy("inside", "kind").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(count, "inside boolean, kind string, n bigint")
+    most = F.when(F.startswith("kind", F.lit(".")), F.max("n")).otherwise(F.sum("n"))
+    counts = counts.groupBy("inside", "kind").agg(most.alias("n"))
     return from_counts({(r["inside"], r["kind"]): r["n"] for r in counts.collect()})
 
 

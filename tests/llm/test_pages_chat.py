@@ -111,6 +111,29 @@ def test_page_cases(page, text):
     assert html_extract.main_text(page, html_extract.Weights()) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<div class='layout has-sidebar'><article><p>body text</article><aside>side</aside></div>", "body text"),
+        ("<div id=page class='no-sidebar comments-open'><p>body text</div>", "body text"),
+        ("<div class=menu-collapsed><nav>menu</nav><p>body text</div>", "body text"),
+        ("<form id=aspnet><div class=sidebar>s</div><main>body text</main></form>", "body text"),
+        ("<section title='the hidden cost'>body text</section><p hidden>x</p><p style='Display: none'>y</p>", "body text"),
+        ("<p>body text here</p><div class=post-comments><p>nice</div>", "body text here"),
+    ],
+)
+def test_layout_names_drop_no_article(page, text):
+    assert html_extract.main_text(page, html_extract.Weights()) == text
+
+
+def test_scores_of_names_are_learnt(spark):
+    page = "<div class=has-menu><article><p>" + "word " * 30 + "</article><div class=post-comments>" + "talk " * 25 + "</div></div>"
+    weights = html_extract.learn(pages_of(prepared(spark), [(k, "u", page) for k in range(5)]))
+    assert weights.tags[".has-menu"] == -0.1 and weights.tags[".post-comments"] == -26 * weights.word
+    plain = page.replace("article>", "section>")
+    assert html_extract.main_text(plain, weights) == ("word " * 30).strip()
+
+
 def test_links_around_the_article_are_left_out():
     weights = html_extract.Weights(1.0, 0.2, {"li": -2.0, "a": -1.0, "p": -0.1})
     page = "<ul>" + "<li><a href=x>go</a></li>" * 20 + "</ul><p>" + "content " * 30 + "</p><ul>" + "<li><a>more</a></li>" * 9 + "</ul>"
