@@ -876,9 +876,10 @@ def q_ground_truth_report(spark, sf):
 def q_reference_sync(spark, sf):
     """V15 with P18: the synced reference column and every row's rule violations."""
     t = B.bench_tasks(spark, sf).withColumn("reference_hcl", F.when(F.col("item_id") % 2 == 0, F.col("prompt")))
-    d = read_table(spark, sf, "documents").groupBy((F.col("doc_id") % 30).alias("k")).agg(F.min_by("text", "doc_id").alias("hcl"))
-    letter = F.substring(F.lit("CRUDM"), (F.col("k") % 5 + 1).cast("int"), 1)
-    files = d.select(F.concat(letter, (F.col("k") % 5 + 1).cast("string"), F.lit("."), (F.col("k") % 3 + 1).cast("string")).alias("task_id"), "hcl", "k")
-    files = files.filter("k < 15").drop("k")  # one file per task id: ids repeat every 15 keys
+    d = read_table(spark, sf, "documents")
+    k = F.col("doc_id") % 30
+    letter = F.substring(F.lit("CRUDM"), (k % 5 + 1).cast("int"), 1)
+    task = F.concat(letter, (k % 5 + 1).cast("string"), F.lit("."), (k % 3 + 1).cast("string"))
+    files = d.groupBy(task.alias("task_id")).agg(F.min_by("text", "doc_id").alias("hcl"))
     return RP.sync_references(t, files).select(
         "item_id", "task_id", F.md5("reference_hcl").alias("reference_md5"), F.array_join("violations", ",").alias("violations"))

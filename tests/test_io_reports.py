@@ -292,3 +292,14 @@ def test_quota_counts_the_vms_already_on_the_host(spark):
     specs = spark.createDataFrame([("T", "READ")], "task_id string, category string")
     checked = {r.plan_id: r for r in RU.check_plans(plans, specs, task_col="task_id").collect()}
     assert set(checked) == {"grow", "swap", "none"} and checked["none"].passed is True
+
+
+def test_reference_sync_uses_every_document(spark, tmp_path):
+    """Documents whose ids leave a remainder of 15 or more by 30 are references too."""
+    from gradewell.plans.queries import REGISTRY
+
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.range(15, 30).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    told = {r["reference_md5"] for r in REGISTRY["reference_sync"](spark, str(tmp_path)).collect()}
+    assert told & {r["m"] for r in docs.selectExpr("md5(text) AS m").collect()}
