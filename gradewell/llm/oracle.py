@@ -49,8 +49,38 @@ SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS
 FROM w LEFT JOIN cover ON w.doc_id = cover.doc_id LEFT JOIN named ON w.doc_id = named.doc_id
 """
 
+
+def pivot_clusters(rounds: int = 10, k: int = 8) -> str:
+    """Plain integer k-means, its rounds written out one after the other."""
+    assigned = """a{r} AS MATERIALIZED (
+  SELECT rn, min({{'d': d, 'c': c}}) AS best
+  FROM (SELECT e.rn, c.c, sum((e.x - c.x) * (e.x - c.x)) AS d FROM e JOIN c{r} c ON e.i = c.i GROUP BY e.rn, c.c) GROUP BY rn)"""
+    moved = """c{n} AS MATERIALIZED (
+  SELECT c.c, c.i, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (
+    SELECT a.best.c AS c, e.i, (sum(e.x) - (sum(e.x) % count(*) + count(*)) % count(*)) // count(*) AS x
+    FROM e JOIN a{r} a ON e.rn = a.rn GROUP BY 1, 2) m ON c.c = m.c AND c.i = m.i)"""
+    steps = ",\n".join(f"{assigned.format(r=r)},\n{moved.format(r=r, n=r + 1)}" for r in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(list_filter(embedding, lambda x: isfinite(CAST(x AS DOUBLE)))) = 64 AND len(embedding) = 64),
+e AS MATERIALIZED (SELECT rn, unnest(range(1, 65)) AS i, unnest(v) AS x FROM v),
+c0 AS MATERIALIZED (
+  SELECT c, unnest(range(1, 65)) AS i, CAST(unnest(v) AS HUGEINT) AS x
+  FROM (SELECT v, row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c FROM v) WHERE c < {k}),
+{steps},
+{assigned.format(r=rounds)},
+final AS (SELECT vec_id, a.best.c AS c, a.best.d AS d FROM a{rounds} a JOIN v ON a.rn = v.rn),
+named AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS digest FROM c{rounds} GROUP BY c)
+SELECT vec_id, CAST(final.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY final.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, digest AS centroid_sha256
+FROM final JOIN named ON final.c = named.c
+"""
+
+
 ORACLE = {
     "op1_exact_dedup": EXACT_DEDUP,
     "op4_chat_format": CHAT_FORMAT,
     "op7_decontamination": DECONTAMINATION,
+    "op13_pivot_clusters": pivot_clusters(),
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import chat, decontaminate, exact_dedup, html_extract, jaccard_join, packing, quality, sharding, token_counts, warc
+from . import chat, decontaminate, exact_dedup, html_extract, jaccard_join, packing, pivot_clusters, quality, sharding, token_counts, warc
 from .common import prepared
 from .oracle import ORACLE as ORACLE
 
@@ -65,6 +65,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(spark, docs).drop("th", "root")
 
 
+def op13_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_clusters.clusters(spark, read_table(prepared(spark), sf_dir, "embeddings"), k=8, rounds=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_exact_dedup,
@@ -77,5 +81,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_label_propagation_shards,
         op10_ngram_jaccard_join,
+        op13_pivot_clusters,
     )
 }
