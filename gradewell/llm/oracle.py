@@ -49,6 +49,31 @@ SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS
 FROM w LEFT JOIN cover ON w.doc_id = cover.doc_id LEFT JOIN named ON w.doc_id = named.doc_id
 """
 
+PHRASES = """
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM piece),
+total AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+f AS MATERIALIZED (
+  SELECT lang, k, p, count(*) AS f
+  FROM (SELECT lang, k, ws[i:i + k - 1] AS p FROM (
+    SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k)))
+  GROUP BY lang, k, p HAVING count(*) >= 100),
+longer AS (
+  SELECT lang, part, max(f) AS f FROM (
+    SELECT lang, f, unnest([p[1:k - 1], p[2:k]]) AS part FROM f WHERE k > 2) GROUP BY lang, part),
+cand AS (SELECT f.lang, f.k, f.p, f.f AS a FROM f LEFT JOIN longer ON f.lang = longer.lang AND f.p = longer.part
+  WHERE f.k > 1 AND (longer.f IS NULL OR 100 * longer.f < 100 * f.f)),
+cut AS (SELECT lang, p, a, j, p[1:j] AS head, p[j + 1:k] AS rest FROM (SELECT *, unnest(range(1, k)) AS j FROM cand)),
+scored AS (
+  SELECT cut.lang, cut.p, a, j, h.f AS l, t.f AS r, n, 1000 * CAST(a AS HUGEINT) * n // (CAST(h.f AS HUGEINT) * t.f) AS score
+  FROM cut JOIN f h ON h.lang = cut.lang AND h.p = cut.head JOIN f t ON t.lang = cut.lang AND t.p = cut.rest JOIN total ON total.lang = cut.lang),
+worst AS (SELECT *, array_to_string(p, ' ') AS phrase FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM worst)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
 
 def pivot_clusters(rounds: int = 10, k: int = 8) -> str:
     """Plain integer k-means, its rounds written out one after the other."""
@@ -82,5 +107,6 @@ ORACLE = {
     "op1_exact_dedup": EXACT_DEDUP,
     "op4_chat_format": CHAT_FORMAT,
     "op7_decontamination": DECONTAMINATION,
+    "op11_phrase_collocations": PHRASES,
     "op13_pivot_clusters": pivot_clusters(),
 }

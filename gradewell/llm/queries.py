@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import chat, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, packing, pivot_clusters, quality, sharding, token_counts, warc
+from . import chat, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, packing, phrase_mining, pivot_clusters, quality, sharding, token_counts, warc
 from .common import prepared
 from .oracle import ORACLE as ORACLE
 
@@ -65,6 +65,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(spark, docs).drop("th", "root")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(prepared(spark), sf_dir, "documents")
+    return phrase_mining.collocations(spark, docs, min_count=100, top=2000)
+
+
 def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(prepared(spark), sf_dir, "documents")
     return language_id.languages(spark, docs, language_id.learn(spark, docs))
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_label_propagation_shards,
         op10_ngram_jaccard_join,
+        op11_phrase_collocations,
         op12_language_id,
         op13_pivot_clusters,
     )
