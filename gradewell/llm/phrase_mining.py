@@ -137,6 +137,19 @@ class Batch:
         return out
 
 
+def shared(spark: SparkSession, bits: np.ndarray):
+    """A filter as a broadcast of its non-zero words, never more than the whole table."""
+    at = np.flatnonzero(bits)
+    return spark.sparkContext.broadcast((at.astype(np.uint32), bits[at]))
+
+
+def unfolded(share) -> np.ndarray:
+    at, words = share.value
+    bits = np.zeros(FILTER_BITS // 64, dtype=U)
+    bits[at] = words
+    return bits
+
+
 def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = keys & U(FILTER_BITS - 1)
     return (bits[at >> U(6)] >> (at & U(63))) & U(1) > 0
@@ -153,6 +166,7 @@ def counted(docs: DataFrame, sizes: list[int], proposed, before=None) -> DataFra
 
     def count(batches):
         give_back()
+        now, earlier = unfolded(proposed), unfolded(before) if before else None
         held, size_held = [], 0
 
         def added():
@@ -165,8 +179,8 @@ def counted(docs: DataFrame, sizes: list[int], proposed, before=None) -> DataFra
             stream = Batch(batch)
             for tokens in chunks(stream.data):
                 keys = stream.keys(tokens, max(sizes))
-                passes = [has(proposed.value, h) for _, h in keys[: max(sizes) - 1]]
-                old = [has(before.value, h) for _, h in keys[: max(sizes) - 1]] if before else None
+                passes = [has(now, h) for _, h in keys[: max(sizes) - 1]]
+                old = [has(earlier, h) for _, h in keys[: max(sizes) - 1]] if before else None
                 found = []
                 for size in sizes:
                     begin = border(keys, passes, size)
@@ -197,21 +211,26 @@ def bits_of(keys: DataFrame) -> np.ndarray:
 
 def frequent_hashes(spark: SparkSession, docs: DataFrame, sample: DataFrame, min_count: int, lowered: int) -> tuple[list[DataFrame], int]:
     """Tables (h, n) that together hold every frequent phrase, and the number of full passes."""
-    share = spark.sparkContext.broadcast
     proposed = np.zeros(FILTER_BITS // 64, dtype=U)
     for size in range(1, LONGEST + 1):
-        own = bits_of(counted(sample, [size], share(proposed)).where(F.col("n") >= lowered))
+        share = shared(spark, proposed)
+        own = bits_of(counted(sample, [size], share).where(F.col("n") >= lowered))
+        share.destroy()
         if not own.any():
             break
         proposed |= own
     tables, before = [], None
     while True:
-        found = counted(docs, list(range(1, LONGEST + 1)), share(proposed), None if before is None else share(before))
+        share = shared(spark, proposed)
+        found = counted(docs, list(range(1, LONGEST + 1)), share, before)
         tables.append(written(spark, found.where(F.col("n") >= min_count), "phrases-counted"))
-        grown = proposed | bits_of(tables[-1])
+        if before:
+            before.destroy()
+        before, grown = share, proposed | bits_of(tables[-1])
         if (grown == proposed).all():
+            before.destroy()
             return tables, len(tables)
-        before, proposed = proposed, grown
+        proposed = grown
 
 
 def same_words(stream: Batch, tokens: Tokens) -> np.ndarray:
@@ -235,15 +254,16 @@ def same_words(stream: Batch, tokens: Tokens) -> np.ndarray:
     return np.array([named.setdefault(lower(i), len(named)) for i in range(len(rep))])
 
 
-def phrase_counts(spark: SparkSession, docs: DataFrame, tables: list[DataFrame]) -> DataFrame:
-    """(lang, size, phrase, f) of the windows whose hash is in the tables, by text; size 0: all words."""
+def frequent_phrases(spark: SparkSession, docs: DataFrame, tables: list[DataFrame], min_count: int) -> DataFrame:
+    """(lang, size, phrase, f) of the frequent phrases, counted by their text; size 0: all words of a language."""
     union = tables[0]
     for t in tables[1:]:
         union = union.unionByName(t)
-    kept = spark.sparkContext.broadcast(bits_of(union))
+    share = shared(spark, bits_of(union))
 
     def count(batches):
         give_back()
+        kept = unfolded(share)
         for batch in batches:
             stream = Batch(batch)
             found: dict[tuple, int] = defaultdict(int)
@@ -259,7 +279,7 @@ def phrase_counts(spark: SparkSession, docs: DataFrame, tables: list[DataFrame])
                     return lower[number[i]]
 
                 for size, (begin, h) in enumerate(stream.keys(tokens, LONGEST), 1):
-                    begin = begin[has(kept.value, h[begin])]
+                    begin = begin[has(kept, h[begin])]
                     if not len(begin):
                         continue
                     _, rep, at, n = np.unique(h[begin], return_index=True, return_inverse=True, return_counts=True)
@@ -282,7 +302,10 @@ def phrase_counts(spark: SparkSession, docs: DataFrame, tables: list[DataFrame])
             names=["lang", "size", "phrase", "f"],
         )
 
-    return docs.mapInArrow(count, "lang string, size int, phrase string, f long").groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
+    counts = docs.mapInArrow(count, "lang string, size int, phrase string, f long").groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
+    frequent = written(spark, counts.where((F.col("f") >= min_count) | (F.col("size") == 0)), "phrases-frequent")
+    share.destroy()
+    return frequent
 
 
 def scored(frequent: DataFrame) -> DataFrame:
@@ -317,8 +340,7 @@ def collocations(
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), text_or_empty(text_col).alias("text"))
     sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0)
     tables, _ = frequent_hashes(spark, docs, sample, min_count, max(1, int(0.4 * min_count / one_in)))
-    counts = phrase_counts(spark, docs.select("lang", "text"), tables)
-    frequent = written(spark, counts.where(f"f >= {int(min_count)} OR size = 0"), "phrases-frequent")
+    frequent = frequent_phrases(spark, docs.select("lang", "text"), tables, min_count)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = scored(frequent).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long"), "phrase", "a", "l", "r", "n", "score")
