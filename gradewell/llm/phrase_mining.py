@@ -9,8 +9,9 @@ spaces and tabs. Everything is counted per language (null: ``und``).
    single words, and each longer phrase whose first and last words less one are both proposed. The
    border isn't written out: a window is counted if its two parts pass the filter.
 3. Expansion. A phrase that proves frequent but wasn't proposed is a border failure: it joins the
-   proposed set, and another full pass counts the windows that this opens. This repeats until no
-   phrase fails; then every frequent phrase has been counted, whatever the sample was.
+   proposed set, and another full pass counts the windows that this opens. A window that no pass has
+   counted yet is taken as frequent there, so the longer windows above it are counted in the same
+   pass. That closes the set: every frequent phrase has been counted, whatever the sample was.
 4. Texts. A last pass counts the frequent windows again by their text, so counts are exact.
 
 Up to step 3 a phrase is a 64-bit hash of its language and words. Equal hashes of different phrases
@@ -55,8 +56,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _BASE = 0x5851F42D4C957F2D
 with np.errstate(over="ignore"):
-    _VALUE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))[_LOWER]
-    _POWER = np.cumprod(np.concatenate([np.ones(1, dtype=U), np.full(CHUNK, _BASE, dtype=U)]), dtype=U)
+    _VALUE = np.where(_KIND == WORD, mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))[_LOWER], U(0))
+    _POWER, _INVERSE = (
+        np.cumprod(np.concatenate([np.ones(1, dtype=U), np.full(CHUNK, b, dtype=U)]), dtype=U) for b in (_BASE, pow(_BASE, -1, 1 << 64))
+    )
 
 
 class Tokens:
@@ -68,9 +71,9 @@ class Tokens:
     def __init__(self, first, stop, piece, hashes, new):
         self.first, self.stop, self.piece, self.hash, self.new = first, stop, piece, hashes, new
 
-    def windows(self, size: int) -> np.ndarray:
-        """First words of the windows of ``size`` words that end with a new word."""
-        begin = np.arange(max(0, self.new - size + 1), len(self.hash) - size + 1)
+    def windows(self, size: int, older: int = 0) -> np.ndarray:
+        """First words of the windows of ``size`` words that end with a new word, or one of the ``older`` before."""
+        begin = np.arange(max(0, self.new - older - size + 1), len(self.hash) - size + 1)
         return begin[self.piece[begin] == self.piece[begin + size - 1]]
 
 
@@ -82,17 +85,17 @@ def chunks(data: bytes):
     for begin in range(0, len(whole), CHUNK):
         part = whole[begin : begin + CHUNK]
         kind = _KIND[part]
-        word = (kind == WORD).view(np.int8)
-        edge = np.diff(word, prepend=np.int8(0), append=np.int8(0))
-        a, z = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        at = np.cumsum(kind == BREAK)
-        own = at[a] + pieces
-        # each word's hash: its bytes' values times the powers of their places in the word
-        place = np.flatnonzero(word) - np.repeat(a, z - a)
-        start = np.concatenate([[0], np.cumsum(z - a)])[:-1].astype(np.int64)
-        value = np.add.reduceat(_VALUE[part[word > 0]] * _POWER[place], start, dtype=U) if len(a) else np.zeros(0, dtype=U)
+        # words lie between separators; those before a word tell its piece
+        edge = np.concatenate([[-1], np.flatnonzero(kind), [len(part)]])
+        breaks = np.cumsum(kind[edge[:-1]] == BREAK) - (kind[-1] == BREAK)
+        filled = np.flatnonzero(np.diff(edge) > 1)
+        a, z, own = edge[filled] + 1, edge[filled + 1], breaks[filled] + pieces
+        # each word's hash: its bytes' values times the powers of their places in the word; separators count 0
+        value = np.zeros(0, dtype=U)
+        if len(a):
+            value = np.add.reduceat(np.take(_VALUE, part) * _POWER[: len(part)], a, dtype=U) * _INVERSE[a]
         a, z = a + begin, z + begin
-        pieces += int(at[-1])
+        pieces += int((kind == BREAK).sum())
         if open_at >= 0:
             if len(a) and a[0] == begin:  # the open word goes on
                 value[0] = (open_raw + int(value[0]) * pow(_BASE, begin - open_at, 1 << 64)) % (1 << 64)
@@ -125,15 +128,15 @@ class Batch:
         self.at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
         self.data = b"\n".join([*texts, b""])
 
-    def keys(self, tokens: Tokens, sizes: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each size from 1 on: (first words of its windows, hash of the window from each word on)."""
+    def keys(self, tokens: Tokens, sizes: int) -> list[np.ndarray]:
+        """For each size from 1 on, the hash of the window from each word on."""
         own = self.seeds[np.searchsorted(self.at, tokens.first, side="right") - 1]
         total, factor, out = np.zeros(len(tokens.hash), dtype=U), 1, []
         for size in range(1, sizes + 1):
             m = max(0, len(total) - size + 1)
             total[:m] += tokens.hash[size - 1 :] * U(factor)
             factor = factor * 0x2545F4914F6CDD1D % (1 << 64)
-            out.append((tokens.windows(size), mix(total + own * U(2 * size + 1))))
+            out.append(mix(total + own * U(2 * size + 1)))
         return out
 
 
@@ -155,10 +158,30 @@ def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> U(6)] >> (at & U(63))) & U(1) > 0
 
 
-def border(keys: list, passes: list[np.ndarray], size: int) -> np.ndarray:
-    """First words of the windows of a size whose parts pass; single words always do."""
-    begin = keys[size - 1][0]
-    return begin if size == 1 else begin[passes[size - 2][begin] & passes[size - 2][begin + 1]]
+def opened(tokens: Tokens, keys: list[np.ndarray], now: np.ndarray, before: np.ndarray | None) -> list[np.ndarray]:
+    """For each size, the first words of the windows to count: on or above the border of the filter ``now``.
+
+    With ``before``, the filter of an earlier pass, only those that it hadn't let be counted. What
+    isn't known yet of such a window is taken as frequent, so windows above it are counted as well.
+    """
+    out, part, part_before = [], None, None
+    for size, h in enumerate(keys, 1):
+        begin = tokens.windows(size, older=1)
+        known = None
+        if size > 1:
+            begin = begin[part[begin] & part[begin + 1]]
+            if before is not None:
+                known = part_before[begin] & part_before[begin + 1]
+        elif before is not None:
+            known = np.ones(len(begin), dtype=bool)
+        part, part_before = np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=bool)
+        part[begin] = has(now, h[begin])
+        if before is not None:
+            part_before[begin] = known & has(before, h[begin])
+            part[begin] |= ~known
+            begin = begin[~known]
+        out.append(begin[begin >= tokens.new - size + 1])
+    return out
 
 
 def counted(docs: DataFrame, sizes: list[int], proposed, before=None) -> DataFrame:
@@ -179,14 +202,8 @@ def counted(docs: DataFrame, sizes: list[int], proposed, before=None) -> DataFra
             stream = Batch(batch)
             for tokens in chunks(stream.data):
                 keys = stream.keys(tokens, max(sizes))
-                passes = [has(now, h) for _, h in keys[: max(sizes) - 1]]
-                old = [has(earlier, h) for _, h in keys[: max(sizes) - 1]] if before else None
-                found = []
-                for size in sizes:
-                    begin = border(keys, passes, size)
-                    if old is not None:
-                        begin = begin[~(old[size - 2][begin] & old[size - 2][begin + 1])] if size > 1 else begin[:0]
-                    found.append(keys[size - 1][1][begin])
+                found = opened(tokens, keys, now, earlier)
+                found = [keys[size - 1][found[size - 1]] for size in sizes]
                 h, n = np.unique(np.concatenate(found), return_counts=True)
                 held.append((h, n))
                 size_held += len(h)
@@ -224,13 +241,15 @@ def frequent_hashes(spark: SparkSession, docs: DataFrame, sample: DataFrame, min
         share = shared(spark, proposed)
         found = counted(docs, list(range(1, LONGEST + 1)), share, before)
         tables.append(written(spark, found.where(F.col("n") >= min_count), "phrases-counted"))
+        grown = proposed | bits_of(tables[-1])
+        # the second pass has counted all that its failures can open; it closes the set
+        closed = before is not None or (grown == proposed).all()
         if before:
             before.destroy()
-        before, grown = share, proposed | bits_of(tables[-1])
-        if (grown == proposed).all():
+        before, proposed = share, grown
+        if closed:
             before.destroy()
             return tables, len(tables)
-        proposed = grown
 
 
 def same_words(stream: Batch, tokens: Tokens) -> np.ndarray:
@@ -254,6 +273,25 @@ def same_words(stream: Batch, tokens: Tokens) -> np.ndarray:
     return np.array([named.setdefault(lower(i), len(named)) for i in range(len(rep))])
 
 
+def phrases(stream: Batch, tokens: Tokens):
+    """A function that gives the texts of windows: words with one space between them, cut out whole
+    where they stand so."""
+    begin = int(tokens.first[0]) if len(tokens.first) else 0
+    low = stream.data[begin : int(tokens.stop[-1]) if len(tokens.stop) else 0].translate(_LOWER.tobytes())
+    first, stop = tokens.first - begin, tokens.stop - begin
+    tight = np.zeros(len(first), dtype=bool)
+    tight[:-1] = (first[1:] == stop[:-1] + 1) & (np.frombuffer(low + b"\n", np.uint8)[stop[:-1]] == 0x20)
+
+    def name(at: np.ndarray, size: int) -> list[str]:
+        whole = np.logical_and.reduce([tight[at + k] for k in range(size - 1)]) if size > 1 else np.ones(len(at), dtype=bool)
+        return [
+            (low[a:z] if w else b" ".join([low[first[i + k] : stop[i + k]] for k in range(size)])).decode()
+            for i, a, z, w in zip(at.tolist(), first[at].tolist(), stop[at + size - 1].tolist(), whole.tolist())
+        ]
+
+    return name
+
+
 def frequent_phrases(spark: SparkSession, docs: DataFrame, tables: list[DataFrame], min_count: int) -> DataFrame:
     """(lang, size, phrase, f) of the frequent phrases, counted by their text; size 0: all words of a language."""
     union = tables[0]
@@ -264,36 +302,33 @@ def frequent_phrases(spark: SparkSession, docs: DataFrame, tables: list[DataFram
     def count(batches):
         give_back()
         kept = unfolded(share)
+        found: dict[tuple, int] = defaultdict(int)
         for batch in batches:
             stream = Batch(batch)
-            found: dict[tuple, int] = defaultdict(int)
+            distinct = len(set(stream.langs)) == len(set(stream.seeds.tolist()))
             for tokens in chunks(stream.data):
                 text = np.searchsorted(stream.at, tokens.first, side="right") - 1
                 for i, n in zip(*np.unique(text[tokens.new :], return_counts=True)):
                     found[stream.langs[i], 0, ""] += int(n)
-                number, lower = same_words(stream, tokens), {}
-
-                def word(i):
-                    if number[i] not in lower:
-                        lower[number[i]] = _LOWER[np.frombuffer(stream.data, np.uint8)[tokens.first[i] : tokens.stop[i]]].tobytes().decode()
-                    return lower[number[i]]
-
-                for size, (begin, h) in enumerate(stream.keys(tokens, LONGEST), 1):
-                    begin = begin[has(kept, h[begin])]
+                number, name = same_words(stream, tokens), phrases(stream, tokens)
+                keys = stream.keys(tokens, LONGEST)
+                for size, begin in enumerate(opened(tokens, keys, kept, None), 1):
+                    h = keys[size - 1][begin]
+                    begin, h = begin[has(kept, h)], h[has(kept, h)]
                     if not len(begin):
                         continue
-                    _, rep, at, n = np.unique(h[begin], return_index=True, return_inverse=True, return_counts=True)
-                    same = all((number[begin + k] == number[begin[rep][at] + k]).all() for k in range(size))
-                    same = same and len(set(stream.langs)) == len(set(stream.seeds.tolist()))
-                    if not same:  # two phrases with one hash
+                    _, rep, at, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                    same = distinct and all((number[begin + k] == number[begin[rep][at] + k]).all() for k in range(size))
+                    if not same:  # two phrases or languages with one hash
                         rep, n = np.arange(len(begin)), np.ones(len(begin), dtype=np.int64)
-                    for i, c in zip(begin[rep].tolist(), n.tolist()):
-                        found[stream.langs[text[i]], size, " ".join(map(word, range(i, i + size)))] += c
+                    lang = text[begin[rep]].tolist()
+                    for i, c, phrase in zip(lang, n.tolist(), name(begin[rep], size)):
+                        found[stream.langs[i], size, phrase] += c
                 if len(found) > HELD // 4:
                     yield rows(found)
                     found = defaultdict(int)
-            if found:
-                yield rows(found)
+        if found:
+            yield rows(found)
 
     def rows(found):
         lang, size, phrase = zip(*found)
