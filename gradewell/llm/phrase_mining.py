@@ -374,7 +374,7 @@ def collocations(
     prepared(spark)
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), text_or_empty(text_col).alias("text"))
     sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0)
-    tables, _ = frequent_hashes(spark, docs, sample, min_count, max(1, int(0.4 * min_count / one_in)))
+    tables, _ = frequent_hashes(spark, docs, sample, min_count, max(1, int(0.8 * min_count / one_in)))
     frequent = frequent_phrases(spark, docs.select("lang", "text"), tables, min_count)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = scored(frequent).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
