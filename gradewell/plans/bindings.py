@@ -696,8 +696,9 @@ def state_json(spark: SparkSession, sf: str) -> DataFrame:
 def report_samples(spark: SparkSession, sf: str):
     """Samples, references and token vectors of a metrics report: every conversation
     turn is a sample of one of seven tasks; tasks 0-5 have a reference (their first
-    turn's text); a sample's four candidate vectors and its task's four reference
-    vectors come from the embeddings."""
+    turn's text). A group is four vectors with consecutive ids: the candidate vectors of
+    a conversation's samples are the group with its number, the reference vectors of a task
+    the group with the task's number. A conversation beyond the vectors has none."""
     c, t = F.col("conv_id"), F.col("turn")
     task = F.concat(F.lit("T"), (c % 7).cast("string"))
     s = read_table(spark, sf, "conversations").select(
@@ -705,10 +706,9 @@ def report_samples(spark: SparkSession, sf: str):
         F.coalesce("text", F.lit("")).alias("code"),
         (t % 2 == 0).alias("plan_ok"), (t % 3 == 0).alias("apply_ok"), F.when(c % 3 != 0, t % 3 == 0).alias("spec_ok"),
         (t % 3 + 1).alias("iterations"), t.cast("double").alias("gen_s"),
-        (c % 25).alias("_cand"), (c % 7).alias("_ref"), F.struct(c, t).alias("_at"),
+        c.alias("_cand"), (c % 7).alias("_ref"), F.struct(c, t).alias("_at"),
     )
     refs = s.filter("task_id <> 'T6'").groupBy("task_id").agg(F.min_by("code", "_at").alias("reference"))
     e = read_table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("g"), F.col("vec_id").alias("tok_id"), F.col("embedding").alias("vec"))
-    e = e.filter("g < 25")  # the vectors that samples refer to
     side = lambda name, col: s.join(e, F.col(col) == F.col("g")).select("file", F.lit(name).alias("side"), "tok_id", "vec")
     return s.drop("_cand", "_ref", "_at"), refs, side("cand", "_cand").unionByName(side("ref", "_ref"))

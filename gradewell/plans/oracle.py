@@ -1234,15 +1234,15 @@ WITH s AS (SELECT conv_id, turn, conv_id % 7 AS task, coalesce(text, '') AS code
 refs AS (SELECT task, arg_min(code, {{'c': conv_id, 't': turn}}) AS reference FROM s WHERE task <> 6 GROUP BY task),
 pairs AS (SELECT s.conv_id, s.turn, refs.reference, s.code AS candidate FROM s LEFT JOIN refs USING (task)),
 {V_BLEU},
-e AS (SELECT vec_id // 4 AS g, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id // 4 < 25),
-cs AS (SELECT c.g AS cg, r.g AS rg, c.vec_id AS ci, r.vec_id AS ri, list_cosine_similarity(c.v, r.v) AS sim FROM e c JOIN e r ON r.g < 7),
+e AS (SELECT vec_id // 4 AS g, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+cs AS (SELECT c.g AS cg, r.g AS rg, c.vec_id AS ci, r.vec_id AS ri, list_cosine_similarity(c.v, r.v) AS sim FROM e c JOIN e r ON r.g = c.g % 7),
 pp AS (SELECT cg, rg, avg(best) AS p FROM (SELECT cg, rg, ci, max(sim) AS best FROM cs GROUP BY 1, 2, 3) GROUP BY 1, 2),
 rr AS (SELECT cg, rg, avg(best) AS r FROM (SELECT cg, rg, ri, max(sim) AS best FROM cs GROUP BY 1, 2, 3) GROUP BY 1, 2),
 f AS (SELECT cg, rg, round(CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 4) AS f1 FROM pp JOIN rr USING (cg, rg))
 SELECT 'T' || CAST(s.task AS VARCHAR) AS task_id, count(*) AS n, {_r('avg(CASE WHEN s.turn % 2 = 0 THEN 1.0 ELSE 0.0 END)')} AS plan_pct,
        {_r('avg(CASE WHEN s.conv_id % 3 <> 0 AND s.turn % 3 = 0 THEN 1.0 ELSE 0.0 END)')} AS spec_pct,
        {_r('avg(s.turn % 3 + 1)')} AS avg_iterations, {_r('avg(bl.bleu)')} AS avg_bleu, {_r('avg(f.f1)')} AS avg_f1
-FROM s JOIN bl ON bl.conv_id = s.conv_id AND bl.turn = s.turn LEFT JOIN f ON f.cg = s.conv_id % 25 AND f.rg = s.task
+FROM s JOIN bl ON bl.conv_id = s.conv_id AND bl.turn = s.turn LEFT JOIN f ON f.cg = s.conv_id AND f.rg = s.task
 GROUP BY s.task"""
 
 ORACLE["ground_truth_report"] = f"""

@@ -7,6 +7,13 @@ from gradewell.plans import bindings as B
 from conftest import SF_SMALL
 
 
+def unit(vectors):
+    """Vectors of length one; a zero vector stays, so its similarity is 0."""
+    v = np.stack(vectors)
+    length = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, length, out=np.zeros_like(v), where=length > 0)
+
+
 def brute(tokens):
     by = {}
     for r in tokens:
@@ -15,8 +22,7 @@ def brute(tokens):
     for k, s in by.items():
         if not s["ref"] or not s["cand"]:
             continue
-        c = np.stack(s["cand"]); c /= np.linalg.norm(c, axis=1, keepdims=True)
-        r = np.stack(s["ref"]); r /= np.linalg.norm(r, axis=1, keepdims=True)
+        c, r = unit(s["cand"]), unit(s["ref"])
         sim = c @ r.T
         p, rr = sim.max(axis=1).mean(), sim.max(axis=0).mean()
         out[k] = (p, rr, 2 * p * rr / (p + rr), 10 * p * rr / (9 * p + rr))
