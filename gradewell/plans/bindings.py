@@ -611,6 +611,22 @@ def samples_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def deliveries(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """B1 in two deliveries with a ``run_no``: first every sample, those of every third event under
+    another task and with other outcomes; then these once more as a second run with B1's own values,
+    and the next third's rows again without a run number."""
+    s = samples(spark, sf).select("event_id", "task_id", "plan_ok", "apply_ok", "spec_ok")
+    third, rerun = F.col("event_id") % 3, F.col("event_id") % 3 == 0
+    first = s.select(
+        "event_id", F.when(rerun, F.concat(F.lit("old_"), "task_id")).otherwise(F.col("task_id")).alias("task_id"),
+        *[F.when(rerun, ~F.coalesce(c, F.lit(False))).otherwise(F.col(c)).alias(c) for c in ("plan_ok", "apply_ok", "spec_ok")],
+        F.lit(1).alias("run_no"),
+    )
+    stale = s.where(third == 1).select("event_id", F.lit("stale").alias("task_id"), *[F.lit(True).alias(c) for c in ("plan_ok", "apply_ok", "spec_ok")],
+                                       F.lit(None).cast("int").alias("run_no"))
+    return {"first": first, "second": s.where(rerun).withColumn("run_no", F.lit(2)).unionByName(stale)}
+
+
 # ---------------------------------------------------------------- state documents
 def state_documents(spark: SparkSession, sf: str) -> DataFrame:
     """One state document per customer, shaped like a state file: a pool data

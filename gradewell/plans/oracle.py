@@ -913,6 +913,9 @@ FROM r5"""
 
 ORACLE["stream_pass_at_k"] = ORACLE["pass_at_k_by_task"]
 
+# whatever was delivered before, the newest version of each entry counts
+ORACLE["stream_pass_at_k_replaced"] = ORACLE["pass_at_k_by_task"]
+
 ORACLE["entries_roundtrip_pass_at_k"] = f"""
 WITH {V_FENCED},
 r0 AS (SELECT f.conv_id AS c, f.turn AS t FROM fenced f),

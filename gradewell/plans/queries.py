@@ -456,6 +456,20 @@ def q_stream_pass_at_k(spark, sf):
     return rounded(ST.pass_at_k_from_counts(ST.run_to_completion(spark, counts)))
 
 
+@register("stream_pass_at_k_replaced")
+def q_stream_pass_at_k_replaced(spark, sf):
+    """ST1 with S8's replaced entries: results land in two deliveries, and a stream with one
+    checkpoint is run after each, several files a batch. The second delivery replaces every third
+    entry and brings another third again in its old version."""
+    root = scratch_dir(spark, "deliveries")
+    changes, checkpoint = scratch_dir(spark, "changes"), scratch_dir(spark, "changes-stream")
+    for name, rows in B.deliveries(spark, sf).items():
+        rows.write.parquet(f"{root}/{name}")
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 4).parquet(root)
+        counts = ST.run_changes(spark, ST.changes_stream(stream, "event_id", "run_no"), changes, checkpoint)
+    return rounded(ST.pass_at_k_from_counts(counts))
+
+
 # ------------------------------------------------------------ sink -> source round trip
 
 

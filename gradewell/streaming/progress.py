@@ -5,15 +5,23 @@ Structured Streaming state on disk (RocksDB). Each micro-batch writes the counts
 of the tasks it changed; pass@k (A2) and macro averages (A3) are derived from the
 newest counts of every task, a table that stays with the executors. Re-delivered
 results are dropped by key, however late they come: keys don't expire.
+
+Where results are replaced (S8: an entry that is run again), ``changes_stream`` keeps the newest
+version of every entry in state and gives what a newer one changes: the old outcome taken back
+from its task's counts, the new one added. Each micro-batch writes the sums of its changes by task;
+``counts_from_changes`` adds them up.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.passk import K_VALUES, pass_at_k
 from ..operators.metrics import METRICS, macro_average, truthy
@@ -47,6 +55,94 @@ def task_counts_stream(samples: DataFrame, key: str | None = None) -> DataFrame:
     )
 
 
+COUNTS = ["n", *(f"c_{m}" for m in METRICS)]
+CHANGE = T.StructType([T.StructField("task_id", T.StringType()), *(T.StructField(c, T.LongType()) for c in COUNTS)])
+NEWEST = T.StructType([T.StructField("version", T.LongType()), T.StructField("task_id", T.StringType()),
+                       *(T.StructField(f"ok_{m}", T.LongType()) for m in METRICS)])
+#: Version of a row without one: older than all others.
+UNVERSIONED = -(1 << 63)
+
+
+def _order(entry: tuple) -> tuple:
+    """Entries by version; of equal versions the greater outcome, whatever came first."""
+    return entry[0], entry[1] is not None, entry[1] or "", entry[2:]
+
+
+def _replace(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The newest version of one entry goes into state; its change to the counts comes out."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    old = state.get if state.exists else None
+    old = None if old is None else (old[0], old[1], *old[2:])
+    new, seen_ms = old, 0
+    for part in rows:
+        for r in part.itertuples(index=False):
+            seen_ms = max(seen_ms, r.seen_ms)
+            row = (int(r.version), None if pd.isna(r.task_id) else r.task_id, *(int(getattr(r, f"ok_{m}")) for m in METRICS))
+            new = row if new is None or _order(row) > _order(new) else new
+    state.update(new)
+    if seen_ms:
+        state.setTimeoutTimestamp(max(seen_ms, state.getCurrentWatermarkMs()) + 1)
+    if old is None or new[1:] != old[1:]:
+        counted = [(e[1], sign, *(sign * (ok > 0) for ok in e[2:])) for e, sign in ((old, -1), (new, 1)) if e is not None]
+        yield pd.DataFrame(counted, columns=CHANGE.names)
+
+
+def changes_stream(samples: DataFrame, key: str, version: str, forget_after: str | None = None) -> DataFrame:
+    """Changes to the counts per task (task_id, n, c_...) as entries arrive and are replaced.
+
+    The row with the greatest ``version`` (a number or a time) counts for its ``key``, in whatever
+    order rows arrive; a repeated or older row changes nothing, and a row that names another task
+    moves the entry there. Keys stay in state for good, unless ``forget_after`` (an interval; ``version``
+    must be a time) lets go of those whose newest row is that much older than the newest of all. Rows
+    older than that are then ignored; a newer row of a forgotten key counts as another entry.
+    """
+    kind = samples.schema[version].dataType
+    at = F.unix_micros(version) if isinstance(kind, T.TimestampType) else F.col(version).cast("long")
+    s = samples.withWatermark(version, forget_after) if forget_after else samples
+    s = s.select(
+        *([version] if forget_after else []),
+        F.col(key).cast("string").alias("key"), F.coalesce(at, F.lit(UNVERSIONED)).alias("version"), "task_id",
+        *[F.coalesce(F.col(f"{m}_ok").cast("long"), F.lit(-1)).alias(f"ok_{m}") for m in METRICS],
+        (F.coalesce(F.unix_millis(version), F.lit(0)) if forget_after else F.lit(0)).cast("long").alias("seen_ms"),
+    )
+    timeout = GroupStateTimeout.EventTimeTimeout if forget_after else GroupStateTimeout.NoTimeout
+    return s.groupBy("key").applyInPandasWithState(_replace, CHANGE, NEWEST, "update", timeout)
+
+
+def changes_sink(path: str):
+    """A ``foreachBatch`` function that writes the sums of a micro-batch's changes by task; a replayed
+    batch replaces its own rows, so no change counts twice."""
+
+    def _write(changes: DataFrame, batch: int) -> None:
+        sums = changes.groupBy("task_id").agg(*[F.sum(c).alias(c) for c in COUNTS])
+        sums.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+
+    return _write
+
+
+def counts_from_changes(spark: SparkSession, path: str) -> DataFrame:
+    """A1 counts of every task that still has an entry, from what ``changes_sink`` has written."""
+    table = spark.read.schema(T.StructType([*CHANGE.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    return table.groupBy("task_id").agg(*[F.sum(c).alias(c) for c in COUNTS]).where("n > 0")
+
+
+def run_changes(spark: SparkSession, changes: DataFrame, sink_path: str, checkpoint: str) -> DataFrame:
+    """Drain everything available and return the counts as a batch DataFrame. With the same two
+    folders a later run, or one after a failure, goes on where this one ends."""
+    with _state_on_disk(spark):
+        q = (
+            changes.writeStream.outputMode("update")
+            .foreachBatch(changes_sink(sink_path))
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        q.awaitTermination()
+    return counts_from_changes(spark, sink_path)
+
+
 def pass_at_k_from_counts(counts: DataFrame) -> DataFrame:
     """A2 over a counts table (batch)."""
     return counts.select(

@@ -61,3 +61,44 @@ def test_stream_reads_a_table_that_is_a_folder(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
     got = ST.run_to_completion(spark, ST.task_counts_stream(B.samples_stream(spark, str(tmp_path)), key="event_id"))
     assert got.agg(F.sum("n")).first()[0] == spark.read.parquet(str(tmp_path / "events.parquet")).count()
+
+
+def changed(spark, tmp_path, deliveries, **options):
+    """Counts after each delivery, over one checkpoint."""
+    src, sink, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    out = []
+    for i, rows in enumerate(deliveries):
+        df = spark.createDataFrame(rows, SCHEMA.replace("ts timestamp", "v long")).repartition(2)
+        df = df.withColumn("at", F.timestamp_seconds("v"))
+        df.write.parquet(f"{src}/{i}")
+        stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(src)
+        counts = ST.run_changes(spark, ST.changes_stream(stream, "entry_id", options.get("version", "v"), options.get("forget")), sink, checkpoint)
+        out.append({r.task_id: (r.n, r.c_plan, r.c_apply, r.c_spec) for r in counts.collect()})
+    return out
+
+
+def test_a_newer_version_takes_the_old_outcome_back(spark, tmp_path):
+    got = changed(spark, tmp_path, [
+        [("a", "T1", 1, True, True, None), ("b", "T1", 1, True, False, False), ("c", "T2", 5, False, False, False), ("c", "T2", 3, True, True, True)],
+        [("a", "T1", 2, True, False, True), ("c", "T2", 4, True, True, True), ("b", "T1", 1, True, False, False)],  # newer, older, repeated
+        [("c", "T1", 6, True, True, True), ("b", None, 7, True, None, None), ("a", "T1", None, False, False, False)],  # moved, without task, unversioned
+        [],
+    ])
+    assert got[0] == {"T1": (2, 2, 1, 0), "T2": (1, 0, 0, 0)}
+    assert got[1] == {"T1": (2, 2, 0, 1), "T2": (1, 0, 0, 0)}
+    assert got[2] == got[3] == {"T1": (2, 2, 1, 2), None: (1, 1, 0, 0)}
+
+
+def test_equal_versions_do_not_depend_on_the_order(spark, tmp_path):
+    x, y = [("a", "T1", 1, True, None, False)], [("a", "T1", 1, False, True, True)]
+    assert changed(spark, tmp_path / "xy", [x, y])[-1] == changed(spark, tmp_path / "yx", [y, x])[-1] == {"T1": (1, 1, 0, 0)}
+
+
+def test_forgotten_entries_leave_the_state_and_keep_their_counts(spark, tmp_path):
+    day = 86_400
+    got = changed(spark, tmp_path, [
+        [("a", "T1", day, True, True, True), ("b", "T1", 2 * day, True, False, True)],
+        [("c", "T2", 50 * day, True, True, True)],
+        [("a", "T1", day + 5, False, False, False), ("c", "T2", 51 * day, False, True, True)],  # too old; replaced
+    ], version="at", forget="10 days")
+    assert got[-1] == {"T1": (2, 2, 1, 2), "T2": (1, 0, 1, 1)}
