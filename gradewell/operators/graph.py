@@ -75,33 +75,59 @@ def host_snapshot(inventory: DataFrame, host_col: str = "host_id") -> DataFrame:
     )
 
 
+#: Levels that one chain of lateral joins goes down; a deeper document goes on from a written table.
+CHAIN = 32
+
+
+def json_depth(doc: Column) -> Column:
+    """How many objects and arrays a JSON text opens inside one another."""
+    unescaped = F.regexp_replace(doc, r"\\\\.", "")
+    brackets = F.regexp_replace(F.regexp_replace(unescaped, '"[^"]*"', ""), r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(F.split(brackets, ""), start, step)["most"]
+
+
+def _descended(rows: DataFrame, key: str) -> DataFrame:
+    """One level down: hits stay as they are, an open value gives its hits and its nested values."""
+    spark = rows.sparkSession
+    ex = rows.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()))
+    # the columns of the function are named pos, key and value
+    kind = F.schema_of_variant("value")
+    nested = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+    below = F.concat("path", F.array(F.col("pos").cast("int")))
+    nothing, no_hit = F.lit(None).cast("variant"), F.lit(None).cast("string")
+    out = F.array_compact(F.array(
+        F.when(F.col("hit").isNotNull(), F.struct("path", "hit", nothing.alias("v"))),
+        F.when(F.col("value").isNotNull() & (F.col("key") == key), F.struct(below.alias("path"), F.to_json("value").alias("hit"), nothing.alias("v"))),
+        F.when(F.col("value").isNotNull() & nested, F.struct(below.alias("path"), no_hit.alias("hit"), F.col("value").alias("v"))),
+    ))
+    return ex.select("_id", F.inline(out))
+
+
 def find_key_values(docs: DataFrame, id_col: str, json_col: str, key: str) -> DataFrame:
     """every value stored under ``key`` at any depth of a JSON document.
 
     Documents are parsed to variant and unnested one level per step with
-    ``variant_explode_outer`` (a lateral table function) until a level is empty;
-    each level is written to the shared folder once and derived from the one
-    above. Rows: (id, path of positions, value as JSON). No document is gathered
-    anywhere; an unreadable document has no rows.
+    ``variant_explode_outer`` (a lateral table function). The steps form one chain, as
+    many as the deepest document needs (one aggregate over the texts tells): finished
+    hits travel on beside the subtrees that are still open, so a document is read once,
+    in one job, however deep it is. Only documents deeper than ``CHAIN`` levels go on
+    from a table written after that many levels. Rows: (id, path of positions, value as
+    JSON). No document is gathered anywhere; an unreadable document has no rows.
     """
     spark = docs.sparkSession
-    level = docs.select(F.col(id_col).alias("_id"), F.array().cast("array<int>").alias("path"),
-                        F.try_parse_json(json_col).alias("v")).filter(F.col("v").isNotNull())
-    levels = []
-    while True:
-        ex = level.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer())).select(
-            "_id", F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"), "key", "value")
-        kind = F.schema_of_variant("value")
-        ex = ex.filter(F.col("value").isNotNull()).withColumn(
-            "nested", F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")))
-        path = scratch_dir(spark, "key-search")
-        ex.filter(F.col("nested") | (F.col("key") == key)).write.parquet(path)
-        ex = spark.read.schema(ex.schema).parquet(path)
-        levels.append(ex.filter(F.col("key") == key).select("_id", "path", F.to_json("value").alias("value")))
-        level = ex.filter("nested").select("_id", "path", F.col("value").alias("v"))
-        if level.isEmpty():
-            break
-    hits = levels[0]
-    for more in levels[1:]:
-        hits = hits.unionByName(more)
-    return hits.withColumnRenamed("_id", id_col)
+    rows = docs.select(F.col(id_col).alias("_id"), F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("hit"),
+                       F.try_parse_json(json_col).alias("v")).filter(F.col("v").isNotNull())
+    levels = docs.where(F.try_parse_json(json_col).isNotNull()).agg(F.max(json_depth(F.col(json_col)))).first()[0] or 0
+    for level in range(1, levels + 1):
+        rows = _descended(rows, key)
+        if level % CHAIN == 0 and level < levels:
+            path = scratch_dir(spark, "key-search")
+            rows.write.parquet(path)
+            rows = spark.read.schema(rows.schema).parquet(path)
+    return rows.where("hit IS NOT NULL").select(F.col("_id").alias(id_col), "path", F.col("hit").alias("value"))

@@ -2,15 +2,17 @@
 
 A plain ``Window.partitionBy(run).orderBy(seq)`` puts every row of a run into
 one task; a run holding a third of all rows would then be one task. Instead
-the ordered key is cut into blocks of equal width:
+the rows are cut into blocks of equally many rows by their order:
 
-1. per (run, block) count and sum            -- partial aggregate, tiny output
-2. prefix over blocks per run                -- window over rows / rows-per-block rows
-3. per (run, block) window over the block's rows, plus the block offset
+1. rows in blocks                            -- range partitioning by (run, key), written once
+2. per (run, block) count and sum            -- partial aggregate, tiny output
+3. prefix over blocks per run                -- window over rows / rows-per-block rows
+4. per (run, block) window over the block's rows, plus the block offset
 
-The width follows from the keys' range and count, so sparse keys (hashes, times) give as
-few blocks as dense ones: with the default of 2^18 rows a block, 10^12 rows need about 4M
-block rows, and a run holding a third of them 1.3M.
+A block's bounds are order statistics of (run, key), which Spark samples, so its size depends on
+the number of rows alone: sparse keys, clusters of times and outliers give the blocks that dense
+keys give. With the default of 2^18 rows a block, 10^12 rows need about 4M block rows, and a run
+holding a third of them 1.3M. The written table fixes every row's block, whatever is computed again.
 """
 
 from __future__ import annotations
@@ -18,6 +20,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
+
+
+def ordered_blocks(df: DataFrame, run_col: str, order_col: str, rows_per_block: int) -> DataFrame:
+    """The rows with their block ``_blk``: about ``rows_per_block`` rows that follow each other by
+    (run, key). Rows equal in both share a block."""
+    blocks = max(1, -(-df.count() // rows_per_block))
+    placed = df.repartitionByRange(blocks, run_col, order_col).withColumn("_blk", F.spark_partition_id().cast("long"))
+    path = scratch_dir(df.sparkSession, "running-blocks")
+    placed.write.parquet(path)
+    return df.sparkSession.read.schema(placed.schema).parquet(path)
+
 
 def running_sum(
     df: DataFrame,
@@ -29,15 +43,13 @@ def running_sum(
 ) -> DataFrame:
     """Add ``seq`` (1-based position in run), ``running_value`` and ``run_rows``.
 
-    ``order_col`` must be integral; ties are broken by ``order_col`` only, so it
-    should be unique within a run (as an id is). Without a ``block_width`` the keys'
-    range and count are looked up first (one aggregate).
+    Ties are broken by ``order_col`` only, so it should be unique within a run (as an id is).
+    With a ``block_width`` (integral keys) blocks are cut by key distance instead, without a written table.
     """
     if block_width is None:
-        low, high, n = df.agg(F.min(order_col), F.max(order_col), F.count(order_col)).first()
-        block_width = max(1, -(-(high - low + 1) * rows_per_block // n)) if n else 1
-    blk = F.floor(F.col(order_col) / F.lit(block_width)).cast("long")
-    tagged = df.withColumn("_blk", blk)
+        tagged = ordered_blocks(df, run_col, order_col, rows_per_block)
+    else:
+        tagged = df.withColumn("_blk", F.floor(F.col(order_col) / F.lit(block_width)).cast("long"))
     blocks = tagged.groupBy(run_col, "_blk").agg(
         F.count(F.lit(1)).alias("_bn"), F.sum(F.col(value_col)).alias("_bs")
     )
@@ -68,13 +80,14 @@ def running_progress(
     duration_col: str,
     block_width: int | None = None,
     units_per_second: float = 1.0,
+    rows_per_block: int = 1 << 18,
 ) -> DataFrame:
     """Elapsed so far, average per sample, ETA for the rest, percent done.
 
     Pass durations as integer ticks (e.g. centiseconds with
     ``units_per_second=100``) to get exact, order-independent running sums.
     """
-    r = running_sum(df, run_col, order_col, duration_col, block_width)
+    r = running_sum(df, run_col, order_col, duration_col, block_width, rows_per_block)
     elapsed = F.col("running_value") / F.lit(float(units_per_second))
     avg = elapsed / F.col("seq")
     remaining = F.col("run_rows") - F.col("seq")

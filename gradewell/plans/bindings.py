@@ -36,6 +36,16 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def clustered_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """B1 with other order keys: ids in clusters of 50 far apart, and every thousandth beyond 2^60."""
+    e = F.col("event_id")
+    far = F.floor(e / 50).cast("long") * 10**9 + e % 50
+    return samples(spark, sf).select(
+        "folder", F.when(e % 1000 == 999, e + F.lit(1 << 60)).otherwise(far).alias("position"),
+        F.round(F.col("gen_s") * 100).cast("long").alias("gen_cs"),
+    )
+
+
 # ---------------------------------------------------------------- B2 judged
 def judged(spark: SparkSession, sf: str) -> DataFrame:
     """B2: labels as judge responses (verdict text in five layouts) and spec results."""

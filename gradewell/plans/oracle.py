@@ -85,6 +85,16 @@ tot AS (SELECT folder, count(*) AS total_samples,
                {_r('avg(coalesce(gen_s, 0.0))')} AS avg_gen_s FROM samples GROUP BY folder)
 SELECT * FROM tot JOIN macro USING (folder)"""
 
+ORACLE["running_progress_outliers"] = f"""
+WITH {V_SAMPLES},
+k AS (SELECT folder, CASE WHEN event_id % 1000 = 999 THEN event_id + 1152921504606846976 ELSE event_id // 50 * 1000000000 + event_id % 50 END AS position,
+             CAST(round(gen_s * 100) AS BIGINT) AS cs FROM samples),
+r AS (SELECT folder, position, row_number() OVER w AS seq, sum(cs) OVER w AS run_cs, count(*) OVER (PARTITION BY folder) AS run_rows
+      FROM k WINDOW w AS (PARTITION BY folder ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT folder, position, seq, run_cs / 100.0 AS elapsed_s, run_cs / 100.0 / seq AS avg_per_sample_s, run_rows - seq AS remaining,
+       run_cs / 100.0 / seq * (run_rows - seq) AS eta_s, 100.0 * seq / run_rows AS pct_done, run_rows
+FROM r"""
+
 ORACLE["running_progress"] = f"""
 WITH {V_SAMPLES},
 r AS (SELECT folder, event_id,

@@ -88,6 +88,14 @@ def q_running_progress(spark, sf):
     return r.drop("gen_cs")
 
 
+@register("running_progress_outliers")
+def q_running_progress_outliers(spark, sf):
+    """W1 over keys with gaps, clusters and outliers, in blocks of 1,000 rows."""
+    s = B.clustered_samples(spark, sf)
+    r = running.running_progress(s, "folder", "position", "gen_cs", units_per_second=100.0, rows_per_block=1000)
+    return r.drop("gen_cs")
+
+
 @register("duplicate_plan_keys")
 def q_duplicate_plan_keys(spark, sf):
     li = read_table(spark, sf, "lineitem")

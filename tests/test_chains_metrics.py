@@ -96,3 +96,41 @@ def test_running_sum_of_sparse_keys_uses_few_blocks(spark):
     got = sorted((r.k, r.seq, r.running_value, r.run_rows) for r in running_sum(df, "run", "k", "v", rows_per_block=50).collect() if r.run == "r")
     assert got == [(1000 + i * 10**12, i + 1, (i + 1) * (i + 2) // 2, 500) for i in range(500)]
     assert running_sum(df.limit(0), "run", "k", "v").count() == 0
+
+
+def test_blocks_are_bounded_by_rows_whatever_the_keys(spark):
+    """One outlier, clustered times and a run with nine tenths of the rows."""
+    from gradewell.operators.running import ordered_blocks, running_sum
+
+    keys = [1 << 60, -(1 << 60)] + [t * 10**12 + i for t in range(4) for i in range(500)]
+    rows = [("r", k, 1) for k in keys] + [(f"s{i % 3}", i, 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "run string, k long, v long").repartition(5)
+    sizes = sorted(r["count"] for r in ordered_blocks(df, "run", "k", 200).groupBy("_blk").count().collect())
+    assert len(sizes) >= 9 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    got = [(r.k, r.seq, r.running_value) for r in running_sum(df, "run", "k", "v", rows_per_block=200).where("run = 'r'").collect()]
+    assert sorted(got) == [(k, i, i) for i, k in enumerate(sorted(keys), 1)]
+
+
+def test_key_search_below_the_chain_and_in_odd_documents(spark, monkeypatch):
+    import json
+
+    from gradewell.operators import graph
+
+    def plain(v, path=()):
+        items = enumerate(v) if isinstance(v, list) else enumerate(v[k] for k in sorted(v)) if isinstance(v, dict) else ()
+        keys = sorted(v) if isinstance(v, dict) else None
+        for i, x in items:
+            if keys and keys[i] == "k":
+                yield path + (i,), x
+            yield from plain(x, path + (i,))
+
+    deep = {"k": [1]}
+    for i in range(9):
+        deep = [deep, {"k": {"k": "[{" * i}}] if i % 2 else {"a": deep, "k": i}
+    docs = [(1, deep), (2, {"k": {"k": {"k": 3}}}), (3, []), (4, 5), (5, {"x": 'a"k":{[\\'}), (6, {"k": []})]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in docs] + [(7, "{"), (8, None), (9, "[[[[[[[[[[[[[")], "id int, j string")
+    want = sorted((i, p, json.dumps(x, sort_keys=True)) for i, d in docs for p, x in plain(d))
+    for chain in (32, 2):
+        monkeypatch.setattr(graph, "CHAIN", chain)
+        got = graph.find_key_values(df, "id", "j", "k")
+        assert sorted((r.id, tuple(r.path), json.dumps(json.loads(r.value), sort_keys=True)) for r in got.collect()) == want
