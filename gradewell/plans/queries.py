@@ -471,10 +471,12 @@ def q_stream_pass_at_k_replaced(spark, sf):
     entry and brings another third again in its old version."""
     root = scratch_dir(spark, "deliveries")
     changes, checkpoint = scratch_dir(spark, "changes"), scratch_dir(spark, "changes-stream")
+    pages = None
     for name, rows in B.deliveries(spark, sf).items():
         rows.write.parquet(f"{root}/{name}")
+        pages = pages or max(64, rows.count() // 100)
         stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 4).parquet(root)
-        counts = ST.run_changes(spark, ST.changes_stream(stream, "event_id", "run_no"), changes, checkpoint)
+        counts = ST.run_changes(spark, ST.changes_stream(stream, "event_id", "run_no", pages), changes, checkpoint)
     return rounded(ST.pass_at_k_from_counts(counts))
 
 

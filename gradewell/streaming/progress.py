@@ -8,8 +8,9 @@ results are dropped by key, however late they come: keys don't expire.
 
 Where results are replaced (S8: an entry that is run again), ``changes_stream`` keeps the newest
 version of every entry in state and gives what a newer one changes: the old outcome taken back
-from its task's counts, the new one added. Each micro-batch writes the sums of its changes by task;
-``counts_from_changes`` adds them up.
+from its task's counts, the new one added. Entries are kept in pages (a hash of the key), so that
+Python is called once for a page and not for every entry. Each micro-batch writes the sums of its
+changes by task; ``counts_from_changes`` adds them up.
 """
 
 from __future__ import annotations
@@ -57,58 +58,75 @@ def task_counts_stream(samples: DataFrame, key: str | None = None) -> DataFrame:
 
 COUNTS = ["n", *(f"c_{m}" for m in METRICS)]
 CHANGE = T.StructType([T.StructField("task_id", T.StringType()), *(T.StructField(c, T.LongType()) for c in COUNTS)])
-NEWEST = T.StructType([T.StructField("version", T.LongType()), T.StructField("task_id", T.StringType()),
-                       *(T.StructField(f"ok_{m}", T.LongType()) for m in METRICS)])
+OKS = [f"ok_{m}" for m in METRICS]
+#: A page of entries: one array per field, in the order of the keys.
+PAGE = T.StructType([
+    T.StructField("key", T.ArrayType(T.StringType())), T.StructField("version", T.ArrayType(T.LongType())),
+    T.StructField("task_id", T.ArrayType(T.StringType())), *(T.StructField(c, T.ArrayType(T.LongType())) for c in (*OKS, "seen_ms")),
+])
 #: Version of a row without one: older than all others.
 UNVERSIONED = -(1 << 63)
 
 
 def _order(entry: tuple) -> tuple:
     """Entries by version; of equal versions the greater outcome, whatever came first."""
-    return entry[0], entry[1] is not None, entry[1] or "", entry[2:]
+    version, task, *oks = entry
+    return version, task is not None, task or "", oks
+
+
+def _replace(page: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The newest version of each entry goes into the page; the changes to the counts come out, summed by task."""
+    newest = {k: ((version, task, *oks), seen) for k, version, task, *oks, seen in zip(*state.get)} if state.exists else {}
+    old = {}
+    for part in parts if not state.hasTimedOut else ():
+        rows = part.astype(object).where(part.notna(), None)
+        for key, version, task, *oks, seen in zip(*(rows[c].tolist() for c in ("key", "version", "task_id", *OKS, "seen_ms"))):
+            row = (int(version), task, *map(int, oks))
+            now, seen_before = newest.get(key, (None, 0))
+            old.setdefault(key, now)
+            newest[key] = (row if now is None or _order(row) > _order(now) else now, max(seen_before, int(seen)))
+    sums: dict = {}
+    for key, was in old.items():
+        for entry, sign in ((was, -1), (newest[key][0], 1)):
+            if entry is not None and (was is None or was[1:] != newest[key][0][1:]):
+                total = sums.setdefault(entry[1], [0] * len(COUNTS))
+                for i, x in enumerate((1, *(ok > 0 for ok in entry[2:]))):
+                    total[i] += sign * x
+    if any(seen for _, seen in newest.values()):  # only where entries are forgotten
+        watermark = state.getCurrentWatermarkMs()
+        newest = {k: x for k, x in newest.items() if x[1] >= watermark}
+        if newest:
+            state.setTimeoutTimestamp(max(watermark, min(seen for _, seen in newest.values())) + 1)
+    if newest:
+        state.update([list(column) for column in zip(*((k, *entry, seen) for k, (entry, seen) in newest.items()))])
+    elif state.exists:
+        state.remove()
+    if sums:
+        yield pd.DataFrame([(task, *total) for task, total in sums.items()], columns=CHANGE.names)
 
 
-def _replace(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The newest version of one entry goes into state; its change to the counts comes out."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    old = state.get if state.exists else None
-    old = None if old is None else (old[0], old[1], *old[2:])
-    new, seen_ms = old, 0
-    for part in rows:
-        for r in part.itertuples(index=False):
-            seen_ms = max(seen_ms, r.seen_ms)
-            row = (int(r.version), None if pd.isna(r.task_id) else r.task_id, *(int(getattr(r, f"ok_{m}")) for m in METRICS))
-            new = row if new is None or _order(row) > _order(new) else new
-    state.update(new)
-    if seen_ms:
-        state.setTimeoutTimestamp(max(seen_ms, state.getCurrentWatermarkMs()) + 1)
-    if old is None or new[1:] != old[1:]:
-        counted = [(e[1], sign, *(sign * (ok > 0) for ok in e[2:])) for e, sign in ((old, -1), (new, 1)) if e is not None]
-        yield pd.DataFrame(counted, columns=CHANGE.names)
-
-
-def changes_stream(samples: DataFrame, key: str, version: str, forget_after: str | None = None) -> DataFrame:
+def changes_stream(samples: DataFrame, key: str, version: str, pages: int = 1 << 20, forget_after: str | None = None) -> DataFrame:
     """Changes to the counts per task (task_id, n, c_...) as entries arrive and are replaced.
 
     The row with the greatest ``version`` (a number or a time) counts for its ``key``, in whatever
     order rows arrive; a repeated or older row changes nothing, and a row that names another task
-    moves the entry there. Keys stay in state for good, unless ``forget_after`` (an interval; ``version``
-    must be a time) lets go of those whose newest row is that much older than the newest of all. Rows
-    older than that are then ignored; a newer row of a forgotten key counts as another entry.
+    moves the entry there. ``pages`` stays the same for a checkpoint's life; one for every 100 entries
+    expected keeps a page small. Keys stay in state for good, unless ``forget_after`` (an interval;
+    ``version`` must be a time) lets go of those whose newest row is that much older than the newest of
+    all. Rows older than that are then ignored; a newer row of a forgotten key counts as another entry.
     """
     kind = samples.schema[version].dataType
     at = F.unix_micros(version) if isinstance(kind, T.TimestampType) else F.col(version).cast("long")
     s = samples.withWatermark(version, forget_after) if forget_after else samples
     s = s.select(
         *([version] if forget_after else []),
+        F.pmod(F.xxhash64(key), F.lit(pages)).alias("page"),
         F.col(key).cast("string").alias("key"), F.coalesce(at, F.lit(UNVERSIONED)).alias("version"), "task_id",
         *[F.coalesce(F.col(f"{m}_ok").cast("long"), F.lit(-1)).alias(f"ok_{m}") for m in METRICS],
         (F.coalesce(F.unix_millis(version), F.lit(0)) if forget_after else F.lit(0)).cast("long").alias("seen_ms"),
     )
     timeout = GroupStateTimeout.EventTimeTimeout if forget_after else GroupStateTimeout.NoTimeout
-    return s.groupBy("key").applyInPandasWithState(_replace, CHANGE, NEWEST, "update", timeout)
+    return s.groupBy("page").applyInPandasWithState(_replace, CHANGE, PAGE, "update", timeout)
 
 
 def changes_sink(path: str):

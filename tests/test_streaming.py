@@ -72,7 +72,7 @@ def changed(spark, tmp_path, deliveries, **options):
         df = df.withColumn("at", F.timestamp_seconds("v"))
         df.write.parquet(f"{src}/{i}")
         stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(src)
-        counts = ST.run_changes(spark, ST.changes_stream(stream, "entry_id", options.get("version", "v"), options.get("forget")), sink, checkpoint)
+        counts = ST.run_changes(spark, ST.changes_stream(stream, "entry_id", options.get("version", "v"), options.get("pages", 2), options.get("forget")), sink, checkpoint)
         out.append({r.task_id: (r.n, r.c_plan, r.c_apply, r.c_spec) for r in counts.collect()})
     return out
 
