@@ -211,6 +211,13 @@ def data_quality_violations(task_id: Column | str, category: Column | str, refer
     )
 
 
+def supported_category(task_id: Column | str, category: Column | str) -> Column:
+    """The category, stripped and in upper case; one that isn't blank and isn't known is an error."""
+    cat = F.upper(strip_ws(F.coalesce(_c(category), F.lit(""))))
+    message = F.concat(F.lit("Unsupported task category '"), _c(category), F.lit("' for task "), F.coalesce(_c(task_id), F.lit("None")))
+    return F.when((cat == "") | cat.isin(*CATEGORIES), cat).otherwise(F.raise_error(message).cast("string"))
+
+
 def normalize_reference(ref: Column | str) -> Column:
     """Missing or ``nan`` reference -> empty string."""
     r = F.coalesce(_c(ref), F.lit(""))

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.outcome import data_quality_violations, normalize_reference
+from ..functions.outcome import data_quality_violations, normalize_reference, supported_category
 from . import agreement, bleu, complexity, dataset, embed, metrics, rules
 
 
@@ -53,6 +53,19 @@ def sync_references(tasks: DataFrame, refs: DataFrame) -> DataFrame:
     return out.withColumn("violations", data_quality_violations("task_id", "category", "reference_hcl"))
 
 
+#: Rules whose violations ``guarded`` counts.
+QUALITY_RULES = ("task_id_format", "reference_blank", "category_invalid")
+
+
+def guarded(tasks: DataFrame, observation: Observation | None = None, strict: bool = False) -> DataFrame:
+    """P18 in the job that uses the rows, without a second scan: ``observation`` counts the rows that
+    violate each rule while they pass; ``strict`` ends the job at the first unsupported category."""
+    if observation is not None:
+        tasks = tasks.observe(observation, F.count(F.lit(1)).alias("rows"),
+                              *[F.count_if(F.array_contains("violations", rule)).alias(rule) for rule in QUALITY_RULES])
+    return tasks.withColumn("category", supported_category("task_id", "category")) if strict else tasks
+
+
 # ---------------------------------------------------------------- J6 / J7
 def missing_ids(requested: DataFrame, available: DataFrame, key: str = "task_id") -> DataFrame:
     """Requested ids absent from the dataset (case-insensitive)."""
@@ -137,12 +150,18 @@ def ground_truth_report(results: DataFrame, truth: DataFrame, order_col: str = "
 
 
 # ---------------------------------------------------------------- V11
+def ranked_types(dist: DataFrame) -> DataFrame:
+    """The place of each resource type as the report prints them, most tasks first, then by name.
+    The window holds one row per resource type."""
+    return dist.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_tasks"), "resource_type")))
+
+
 def complexity_report(tasks: DataFrame, refs: DataFrame):
     """Score every task's reference (unscored rows pass through) and the
     resource-type distribution."""
     t = references_for_scoring(tasks, refs)
     scored = complexity.score_texts(t, "reference")
-    dist = complexity.type_distribution(scored, "task_id").orderBy(F.desc("n_tasks"), "resource_type")
+    dist = ranked_types(complexity.type_distribution(scored, "task_id")).orderBy("rank")
     return scored, dist, complexity.scoring_summary(scored)
 
 

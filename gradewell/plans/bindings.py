@@ -513,6 +513,21 @@ def bench_tasks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def ragged_task_lines(spark: SparkSession, sf: str, parts: int = 4) -> DataFrame:
+    """B12 as CSV text, (part, value) in ``parts`` files that each begin with their header: every
+    third row has a fifth cell and every sixth a sixth one, beyond the four that the header names."""
+    t, i = bench_tasks(spark, sf), F.col("item_id")
+    row = [F.concat(F.lit("T"), i.cast("string")), F.col("category"), F.regexp_replace("prompt", r"[\r\n]+", " "), F.lit("2")]
+    row = [F.coalesce(c, F.lit("")).alias(f"c{k}") for k, c in enumerate(row)]
+    level, more = (i % 6 + 1).cast("string").alias("c4"), F.lit("more").alias("c5")
+    csv = lambda *cells: F.to_csv(F.struct(*cells), {"quoteAll": "true", "escape": '"'})
+    line = F.when(i % 6 == 0, csv(*row, level, more)).when(i % 3 == 0, csv(*row, level)).otherwise(csv(*row))
+    lines = t.select((i % parts).cast("int").alias("part"), F.lit(1).alias("at"), line.alias("value"))
+    header = spark.range(parts).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("at"),
+                                       F.lit("task_id,category,prompt,complexity_level").alias("value"))
+    return header.unionByName(lines).repartition(parts, "part").sortWithinPartitions("part", "at").drop("at")
+
+
 def worked_examples(spark: SparkSession, sf: str) -> DataFrame:
     """The worked example per category: its lowest item's text as prompt, its highest as code."""
     t = bench_tasks(spark, sf).filter(F.col("category") != "MIGRATE")

@@ -1111,6 +1111,22 @@ SELECT 'T' || CAST(bt2.item_id AS VARCHAR) AS task_id, category, md5(prompt) AS
 FROM bt2 LEFT JOIN frag ON frag.frag_pos = bt2.item_id
 WHERE bt2.item_id % 10 <> 9"""
 
+ORACLE["tasks_csv_overflow"] = rf"""
+WITH {V_BENCH}
+SELECT 'T' || CAST(item_id AS VARCHAR) AS task_id, category, md5(regexp_replace(prompt, '[\r\n]+', ' ', 'g')) AS prompt_md5,
+       CASE WHEN item_id % 3 = 0 THEN CAST(item_id % 6 + 1 AS VARCHAR) ELSE '2' END AS complexity_level
+FROM bt2"""
+
+ORACLE["complexity_report"] = f"""
+WITH {V_BENCH}, {V_HCL},
+t AS (SELECT bt2.item_id, coalesce(CASE WHEN item_id % 2 = 0 THEN nullif(prompt, '') WHEN item_id % 3 = 1 THEN 'nan' END,
+                                   CASE WHEN item_id % 4 <> 3 THEN frag.hcl END) AS hcl
+      FROM bt2 LEFT JOIN frag ON frag.frag_pos = bt2.item_id),
+texts AS (SELECT * FROM t WHERE trim(coalesce(hcl, '')) <> ''),
+s AS ({_scored('texts', 'item_id')}),
+d AS (SELECT resource_type, count(DISTINCT item_id) AS n_tasks FROM (SELECT item_id, unnest(resource_types) AS resource_type FROM s) GROUP BY 1)
+SELECT CAST(row_number() OVER (ORDER BY n_tasks DESC, resource_type) AS INTEGER) AS rank, resource_type, n_tasks, repeat('█', CAST(n_tasks AS INTEGER)) AS bar FROM d"""
+
 ORACLE["conversations_roundtrip"] = """
 SELECT CAST(conv_id AS VARCHAR) AS conv_id,
        CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS BIGINT) AS turn,

@@ -756,6 +756,25 @@ def q_tasks_csv_roundtrip(spark, sf):
                        F.md5("reference_hcl").alias("reference_md5"), F.length("prompt").alias("prompt_chars"))
 
 
+@register("tasks_csv_overflow")
+def q_tasks_csv_overflow(spark, sf):
+    """S1 + P18: task files in which some rows have one or two cells more than the header names;
+    the first one too many is the row's level, as in the reference."""
+    path = scratch_dir(spark, "ragged-tasks")
+    B.ragged_task_lines(spark, sf).write.partitionBy("part").text(path)
+    return RD.read_tasks(spark, path).select("task_id", "category", F.md5("prompt").alias("prompt_md5"), "complexity_level")
+
+
+@register("complexity_report")
+def q_complexity_report(spark, sf):
+    """V11 + T2 + F34 as one report: every task's reference is scored (the CSV column before the
+    file), and the resource types are ranked as printed."""
+    tasks, files = B.task_references(spark, sf)
+    keyed = lambda df: df.withColumn("task_id", F.col("item_id"))  # noqa: E731  task ids repeat across items
+    _, dist, _ = RP.complexity_report(keyed(tasks).select("task_id", "reference_hcl"), keyed(files).select("task_id", "hcl"))
+    return dist
+
+
 @register("conversations_roundtrip")
 def q_conversations_roundtrip(spark, sf):
     """Turns grouped into one message array per conversation (JSON Lines

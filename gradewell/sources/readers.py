@@ -30,16 +30,20 @@ TASK_SCHEMA = _st(
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     """Task CSV with header, multi-line quoted cells and doubled-quote escapes.
-    P4: rows whose key is blank after stripping are dropped."""
+    P4: rows whose key is blank after stripping are dropped. P18: of a row with more cells
+    than the header names, the first one too many is its ``complexity_level``."""
     from ..functions.text import strip_ws
 
     # columns are matched by header name (files may carry a subset, in any order);
-    # no inference: every cell is read as text
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
+    # no inference: every cell is read as text, one column more than the header names
+    read = lambda **o: spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8", **o)
+    names = read().columns
+    raw = read(schema=T.StructType([T.StructField(n, S) for n in [*names, "_cell_too_many"]]), enforceSchema=True)
     df = raw.select(*[
-        (F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in TASK_SCHEMA.fields
-    ])
+        (F.col(f"`{f.name}`") if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in TASK_SCHEMA.fields if f.name != "complexity_level"
+    ], F.coalesce("_cell_too_many", "complexity_level" if "complexity_level" in names else F.lit(None).cast("string")).alias("complexity_level"))
+    df = df.select(*[f.name for f in TASK_SCHEMA.fields])
     return df.filter(F.coalesce(strip_ws("task_id"), F.lit("")) != "").withColumn("task_id", strip_ws("task_id"))
 
 
@@ -125,23 +129,26 @@ SPEC_SCHEMA = _st(
 
 
 def read_specs(spark: SparkSession, yaml_path: str) -> DataFrame:
-    """The spec file is one small YAML map (task -> sparse record). Spark reads
-    it as one whole text (any storage it can reach); it is parsed on the driver
-    (Spark has no YAML source) and becomes a DataFrame. ``max_total_ram_gb`` stays
-    text, as written, since messages print it so."""
-    import yaml
-
-    found = spark.read.text(yaml_path, wholetext=True).first()
-    doc = (yaml.safe_load(found["value"]) if found else None) or {}
+    """YAML maps (task -> sparse record), one or several files or a folder of them. Spark
+    reads each file as one whole text and parses it in the task that read it; an empty file has
+    no specs. ``max_total_ram_gb`` stays text, as written, since messages print it so."""
     names = [f.name for f in SPEC_SCHEMA.fields]
-    rows = []
-    for task_id, rec in doc.items():
-        rec = dict(rec or {})
-        rec["task_id"] = str(task_id).strip()
-        if rec.get("max_total_ram_gb") is not None:
-            rec["max_total_ram_gb"] = str(rec["max_total_ram_gb"])
-        rows.append(tuple(rec.get(n) for n in names))
-    return spark.createDataFrame(rows, SPEC_SCHEMA)
+
+    def parse(parts):
+        import pandas as pd
+        import yaml
+
+        for part in parts:
+            rows = []
+            for text in part["value"]:
+                for task_id, rec in (yaml.safe_load(text) or {}).items():
+                    rec = dict(rec or {}) | {"task_id": str(task_id).strip()}
+                    if rec.get("max_total_ram_gb") is not None:
+                        rec["max_total_ram_gb"] = str(rec["max_total_ram_gb"])
+                    rows.append([rec.get(n) for n in names])
+            yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    return spark.read.text(yaml_path, wholetext=True).mapInPandas(parse, SPEC_SCHEMA)
 
 
 # ---------------------------------------------------------------- S5 plans

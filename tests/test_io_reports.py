@@ -303,3 +303,39 @@ def test_reference_sync_uses_every_document(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     told = {r["reference_md5"] for r in REGISTRY["reference_sync"](spark, str(tmp_path)).collect()}
     assert told & {r["m"] for r in docs.selectExpr("md5(text) AS m").collect()}
+
+
+def test_cells_beyond_the_header(spark, tmp_path):
+    """The first cell too many is the row's level; rows with too few cells have none."""
+    f = tmp_path / "tasks.csv"
+    f.write_text('task_id,category,prompt,complexity_level\nC1.1,CREATE,"a, b",2\nR1.1,READ,x,2,5\nU1.1,UPDATE,"y\ny",2,"6",z\nD1.1,DELETE\n')
+    got = {r.task_id: (r.category, r.prompt, r.complexity_level) for r in R.read_tasks(spark, str(f)).collect()}
+    assert got == {"C1.1": ("CREATE", "a, b", "2"), "R1.1": ("READ", "x", "5"), "U1.1": ("UPDATE", "y\ny", "6"), "D1.1": ("DELETE", None, None)}
+    (tmp_path / "short.csv").write_text("task_id,category\nC1.1,CREATE,4\n")
+    assert R.read_tasks(spark, str(tmp_path / "short.csv")).first().complexity_level == "4"
+
+
+def test_the_guard_counts_and_stops_in_the_job_itself(spark):
+    import pytest
+    from pyspark.sql import Observation
+
+    from gradewell.operators import report as RP
+
+    tasks = spark.createDataFrame([("C1.1", " create ", "x"), ("bad", "READ", "y"), ("D1.1", "MIGRATE", " "), ("U1.1", "", None)],
+                                  "task_id string, category string, reference_hcl string")
+    rows = RP.sync_references(tasks, spark.createDataFrame([], "task_id string, hcl string"))
+    seen = Observation("quality")
+    RP.guarded(rows, seen).write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 4, "task_id_format": 1, "reference_blank": 2, "category_invalid": 3}
+    with pytest.raises(Exception, match="Unsupported task category 'MIGRATE' for task D1.1"):
+        RP.guarded(rows, strict=True).collect()
+    known = RP.guarded(rows.where("category <> 'MIGRATE'"), strict=True)
+    assert sorted(r.category for r in known.collect()) == ["", "CREATE", "READ"]
+
+
+def test_specs_of_a_folder(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("C1.1:\n  category: CREATE\n  vm_count: 1\n")
+    (tmp_path / "b.yaml").write_text("D1.1:\n  category: DELETE\n  target_vms: [x, y]\nR1.1:\n")
+    (tmp_path / "c.yaml").write_text("")
+    got = {r.task_id: (r.category, r.vm_count, r.target_vms) for r in R.read_specs(spark, str(tmp_path)).collect()}
+    assert got == {"C1.1": ("CREATE", 1, None), "D1.1": ("DELETE", None, ["x", "y"]), "R1.1": (None, None, None)}
