@@ -21,12 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE, bytes_of, give_back, runs, text_or_empty, written
+from .common import SLICE, bytes_of, give_back, runs, text_or_empty, unused, written
 from .wordscan import Words
 
-HITS = "__hits"
-
-
 @dataclass
 class Windows:
     """Windows of one length, sorted by hash: where each is, and a table of the hashes' low bits."""
@@ -121,9 +118,9 @@ def blocks(spark: SparkSession, benchmark: DataFrame, size: int, block_bytes: in
 
 def with_hits(
     spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int, block_bytes: int,
-    text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    hits: str, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """The documents, all their columns, and a struct ``__hits``: n_words, runs of hit words, ids."""
+    """The documents, all their columns, and a struct named ``hits``: n_words, runs of hit words, ids."""
     spark_type = T.StructType(
         [
             T.StructField("n_words", T.LongType()),
@@ -136,13 +133,13 @@ def with_hits(
     for known in blocks(spark, benchmark, size, block_bytes, item_col, item_text):
         if more:  # one block at a time in memory
             rows = written(spark, rows, "hits")
-        schema = T.StructType([f for f in rows.schema.fields if f.name != HITS] + [T.StructField(HITS, spark_type)])
-        rows = rows.mapInArrow(_marker(spark.sparkContext.broadcast(known), text_col, arrow_type, more), schema)
+        schema = T.StructType([f for f in rows.schema.fields if f.name != hits] + [T.StructField(hits, spark_type)])
+        rows = rows.mapInArrow(_marker(spark.sparkContext.broadcast(known), hits, text_col, arrow_type, more), schema)
         more = True
     return rows
 
 
-def _marker(shared, text_col: str, arrow_type, more: bool):
+def _marker(shared, name: str, text_col: str, arrow_type, more: bool):
     def mark(batches):
         give_back()
         for batch in batches:
@@ -158,7 +155,7 @@ def _marker(shared, text_col: str, arrow_type, more: bool):
                 hits.append({"n_words": n, "runs": [x for s in spans for x in s], "items": sorted(items)})
             kept = batch.columns[:-1] if more else batch.columns
             names = batch.schema.names[: len(kept)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(hits, type=arrow_type)], names=[*names, HITS])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(hits, type=arrow_type)], names=[*names, name])
 
     return mark
 
@@ -169,8 +166,8 @@ def contamination(
 ) -> DataFrame:
     """One row per document: n_words, n_hit, n_items, items_sha256, contaminated."""
     rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col))
-    marked = with_hits(spark, rows, benchmark, size, block_bytes, text_col, item_col, item_text)
-    hits = F.col(HITS)
+    marked = with_hits(spark, rows, benchmark, size, block_bytes, unused(rows, "hits"), text_col, item_col, item_text)
+    hits = F.col(marked.columns[-1])
     n_hit = F.aggregate(
         F.sequence(F.lit(0), F.size(hits["runs"]) - 1),
         F.lit(0).cast("long"),
@@ -194,9 +191,10 @@ def decontaminate(
     of hit words are cut from their texts ("spans"). All columns stay; other texts are unchanged."""
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    marked = with_hits(spark, docs, benchmark, size, block_bytes, text_col, item_col, item_text)
+    name = unused(docs, "hits")
+    marked = with_hits(spark, docs, benchmark, size, block_bytes, name, text_col, item_col, item_text)
     if remove == "documents":
-        return marked.where(F.size(F.col(HITS)["runs"]) == 0).drop(HITS)
+        return marked.where(F.size(F.col(name)["runs"]) == 0).drop(name)
     place = docs.columns.index(text_col)
 
     def cut(batches):
