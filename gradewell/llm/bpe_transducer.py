@@ -21,7 +21,9 @@ A run cuts the symbol stream of a batch into equal chunks and steps all chunks t
 state): the head is what comes before the first word end, the only part that depends on
 the entering state; from there on the map is constant. Maps compose by running a head
 from the exit state to its left, and counts compose by a prefix sum, so all chunks are
-scanned in parallel and only heads are read twice.
+scanned in parallel and only heads are read twice. Chunks inside one long word have no
+constant part: all together are run from the entry states that can occur there (mostly the
+one that a short run-up gives), and these maps are composed from the left.
 """
 
 from __future__ import annotations
@@ -35,6 +37,11 @@ import numpy as np
 END = 256
 START, UNKNOWN = 0, 1
 UNSET = -1
+#: Symbols that a chunk without a word end is run up by, from a state as at a word's begin.
+RUN_UP = 32
+#: A run may compile so many states, and one more for every so many symbols; a stream that goes
+#: beyond is given to the library, as compiling would cost more than reading it.
+FEW_STATES, SYMBOLS_PER_STATE = 4096, 32
 NO_WEIGHT = -128
 SPACE, LETTER, NUMBER, OTHER = 1, 2, 3, 4
 
@@ -46,6 +53,10 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class TooManyStates(Exception):
+    """A run met more new states than it may compile."""
+
+
 class Merges:
     """Merge rules over symbols, and which tokens may stand side by side."""
 
@@ -160,7 +171,7 @@ class Transducer:
     def reset(self) -> None:
         self.keys: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.room = 4096
+        self.room, self.allowed = 4096, self.max_states
         self.next = np.full(self.room * self.width, UNSET, dtype=np.int32)
         self.weight = np.full(self.room * self.width, NO_WEIGHT, dtype=np.int8)
         self.last = np.zeros(self.room * self.width, dtype=self.id_type)
@@ -246,6 +257,8 @@ class Transducer:
         at = state * self.width + cols
         new = self.next[at] < 0
         if new.any():
+            if len(self.states) > self.allowed:
+                raise TooManyStates
             for key in np.unique(state[new].astype(np.int64) * 512 + symbols[new]).tolist():
                 self.compile(key // 512, key % 512)
         return at
@@ -258,14 +271,13 @@ class Transducer:
             return np.zeros(0, dtype=getattr(self, table).dtype)
         if len(self.states) > self.max_states:
             self.reset()
+        self.allowed = len(self.states) + FEW_STATES + n // SYMBOLS_PER_STATE
         cols = self.columns_for(symbols)
         chunk = max(1, min(chunk, n))
         lanes = -(-n // chunk)
         fill = lanes * chunk - n  # after the last word: symbols that end words at once
-        by_step = [
-            np.ascontiguousarray(np.concatenate([x, np.full(fill, x[-1], dtype=x.dtype)]).reshape(lanes, chunk).T)
-            for x in (symbols, cols)
-        ]
+        stream, cols = (np.concatenate([x, np.full(fill, x[-1], dtype=x.dtype)]) for x in (symbols, cols))
+        by_step = [np.ascontiguousarray(x.reshape(lanes, chunk).T) for x in (stream, cols)]
         out = np.empty((chunk, lanes), dtype=getattr(self, table).dtype)
         state = np.full(lanes, UNKNOWN, dtype=np.int32)
         state[0] = START
@@ -274,9 +286,39 @@ class Transducer:
             out[k] = getattr(self, table)[at]
             state = self.next[at]
         flat = np.ascontiguousarray(out.T).reshape(-1)
-        # heads: from each boundary with a known state to its left, on to the next word end
-        known = np.flatnonzero(state[:-1] != UNKNOWN)
-        where, state = (known + 1) * chunk, state[known]
+        # chunks without a word end: their maps aren't constant. They are made for the entry states that
+        # may occur, a guess by a short run-up and what the left neighbour's map leaves, until these are
+        # closed; then the maps are composed from the left
+        inner = np.flatnonzero(state == UNKNOWN)
+
+        def run_on(lane: np.ndarray, entry: np.ndarray, steps: range, write: bool = False) -> np.ndarray:
+            for k in steps:
+                place = lane * chunk + k
+                at = self.step(entry, cols[place], stream[place])
+                if write:
+                    flat[place] = getattr(self, table)[at]
+                entry = self.next[at]
+            return entry
+
+        if len(inner):
+            guess = run_on(inner, np.full(len(inner), START, dtype=np.int32), range(-min(RUN_UP, chunk), 0))
+            left = state[inner - 1]
+            maps: dict[int, dict[int, int]] = {lane: {} for lane in inner.tolist()}
+            new = dict.fromkeys(zip(inner.tolist(), np.where(left == UNKNOWN, guess, left).tolist()))
+            while new:
+                lane, entry = (np.array(x, dtype=np.int32) for x in zip(*new))
+                leave = run_on(lane.astype(np.int64), entry, range(chunk)).tolist()
+                for (i, e), x in zip(new, leave):
+                    maps[i][e] = x
+                new = dict.fromkeys((i + 1, x) for (i, _), x in zip(new, leave) if i + 1 in maps and x not in maps[i + 1])
+            for i in inner.tolist():
+                state[i] = maps[i][int(state[i - 1])]
+            run_on(inner, state[inner - 1], range(chunk), write=True)
+        # heads: from each boundary on to the next word end
+        headed = np.ones(lanes, dtype=bool)
+        headed[inner] = False
+        where = np.flatnonzero(headed[1:]) + 1
+        where, state = where * chunk, state[where - 1]
         state, where = state[where < n], where[where < n]
         while len(where):
             s = symbols[where]
@@ -305,7 +347,8 @@ class Counter:
 
     The transducer covers lower-casing byte-pair vocabularies that mark word ends. Texts
     with the vocabulary's special strings, or with characters that the library normalises
-    unlike Python, are given to the library itself.
+    unlike Python, are given to the library itself, and so are slices of texts that need very many
+    new states, such as long random strings.
     """
 
     def __init__(self, path: str):
@@ -424,13 +467,25 @@ class Counter:
             out[2 if self.needs_library(t) else 0 if t.isascii() else 1].append(i)
         return out
 
+    def transduced(self, stream: np.ndarray, table: str) -> np.ndarray | None:
+        """What the transducer says of a stream; none where it would need too many new states (those
+        it has made so far stay)."""
+        try:
+            return self.transducer.run(stream, table)
+        except TooManyStates:
+            return None
+
     def count(self, texts: list[str]) -> np.ndarray:
         """Number of tokens of each text."""
         counts = np.zeros(len(texts), dtype=np.int64)
         *easy, hard = self.groups(texts)
         for own in filter(None, easy):
             stream, begin = self.symbols([texts[i] for i in own])
-            total = np.concatenate([[0], np.cumsum(self.transducer.run(stream, "weight"), dtype=np.int64)])[begin]
+            weight = self.transduced(stream, "weight")
+            if weight is None:
+                hard += own
+                continue
+            total = np.concatenate([[0], np.cumsum(weight, dtype=np.int64)])[begin]
             counts[own] = total[1:] - total[:-1]
         for i in hard:
             counts[i] = len(self.library.encode(texts[i], add_special_tokens=False).ids)
@@ -442,7 +497,10 @@ class Counter:
         *easy, hard = self.groups(texts)
         for own in filter(None, easy):
             stream, begin = self.symbols([texts[i] for i in own])
-            last = self.transducer.run(stream, "last")
+            last = self.transduced(stream, "last")
+            if last is None:
+                hard += own
+                continue
             mark = self.transducer.split(stream, last)
             ids = last[mark].astype("<u4")
             total = np.concatenate([[0], np.cumsum(mark)])[begin]

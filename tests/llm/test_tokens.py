@@ -124,3 +124,40 @@ def test_pack(spark):
 
 def test_pack_empty(spark):
     assert packed(spark, [], 64) == []
+
+
+def test_long_words_equal_the_library_in_comparable_time():
+    """A million characters without a word end: periodic, random and base64."""
+    import base64
+    import random
+    import time
+
+    import public_tokenizers
+
+    from gradewell.llm.bpe_transducer import Counter
+
+    draw = random.Random(1)
+    own = Counter(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["a" * 1_000_000, "ab" * 300_000, "donaudampfschifffahrt" * 30_000, "x" * 63 + " " + "y" * 129 + " z",
+             "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000)), base64.b64encode(draw.randbytes(300_000)).decode()]
+    for t in texts:
+        began = time.time()
+        count, ids = int(own.count([t])[0]), own.encode([t])[0].tolist()
+        mine, began = time.time() - began, time.time()
+        want = own.library.encode(t, add_special_tokens=False).ids
+        assert count == len(want) and ids == want
+        assert mine < 2 + 15 * (time.time() - began)
+
+
+def test_too_many_states_go_to_the_library(monkeypatch):
+    import public_tokenizers
+
+    from gradewell.llm import bpe_transducer as B
+
+    monkeypatch.setattr(B, "FEW_STATES", 1)
+    monkeypatch.setattr(B, "SYMBOLS_PER_STATE", 1 << 30)
+    own = B.Counter(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["plain words of a text", "", "naïve Ünïcödé", "more words of a text"]
+    want = [own.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert own.count(texts).tolist() == [len(w) for w in want]
+    assert [x.tolist() for x in own.encode(texts)] == want
