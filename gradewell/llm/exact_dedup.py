@@ -5,8 +5,8 @@ streamed from it. The streaming state, keyed by digest and held on disk by Rocks
 identifier that stays, where its content is, and how many rows came; there is no watermark, so
 state never expires and a later run with the same state folder goes on where the last one ended.
 Digests seen more than once are hits: their rows' full bytes are fetched again and compared, by
-grouping on (digest, text) with a partial aggregate before the shuffle, so thousands of copies
-travel as one row per task. Should texts differ under one digest, they are told apart by content.
+grouping on (digest, text). A digest's rows are read in shares, by the row's locator, so those of a
+digest with a third of all rows are spread over tasks, and each task adds up its copies. Should texts differ under one digest, they are told apart by content.
 
 Equal means identical text; null counts as empty. The row with the largest identifier stays;
 null identifiers stay only where a group has no other. Rows repeated with the same identifier and
@@ -23,8 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch, text_or_empty, written
+from .common import scratch, text_or_empty, unused, written
 
+#: Shares of a digest's rows in the byte comparison.
+SALTS = 32
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -88,10 +90,13 @@ def remembered(spark: SparkSession, signatures: str, schema: T.StructType, state
 
 
 def checked_groups(spark: SparkSession, docs: DataFrame, state: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """Rows of hits, compared by their full bytes: (digest, text, keep_id, group_size) per different text."""
-    rows = docs.select("id", digest(F.col("text")).alias("digest"), "text")
-    hits = state.where(F.col("group_size") > 1).select("digest")
-    return rows.join(hits, "digest", "left_semi").groupBy("digest", "text").agg(
+    """Rows of hits, compared by their full bytes: (digest, text, keep_id, group_size) per different text.
+
+    A digest's rows meet its hit in ``SALTS`` shares, so those of a hot one go to as many tasks; each
+    task adds up equal texts before they are dealt by (digest, text)."""
+    rows = docs.select("id", digest(F.col("text")).alias("digest"), "text", F.pmod(F.xxhash64("id", "place"), F.lit(SALTS)).alias("salt"))
+    hits = state.where(F.col("group_size") > 1).select("digest", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    return rows.join(hits, ["digest", "salt"], "left_semi").groupBy("digest", "text").agg(
         F.max("id").alias("keep_id"), F.count("*").alias("group_size")
     )
 
@@ -106,7 +111,7 @@ def duplicate_report(
 ) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256."""
     folder = scratch(spark, "dedup")
-    plain = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    plain = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), locators(docs).alias("place"))
     signed = docs.select(
         F.col(id_col).alias("id"), digest(text_or_empty(text_col)).alias("digest"), locators(docs).alias("place"),
         sha256(text_or_empty(text_col)).alias("text_sha256"),
@@ -141,13 +146,14 @@ def duplicate_report(
 def deduplicated(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **stream_options: str) -> DataFrame:
     """The documents that stay, with all their columns."""
     report = written(spark, duplicate_report(spark, docs, id_col, text_col, **stream_options), "dedup-report")
-    key = F.struct(F.col(id_col), F.col("text_sha256")).alias("__k")
+    own, other = unused(docs, "own_key"), unused(docs, "other_key")
+    key = F.struct(F.col(id_col).alias("id"), F.col("text_sha256")).alias(other)
     gone = report.where(~F.col("kept")).select(key)
-    twice = report.where(F.col("kept")).groupBy(key).count().where(F.col("count") > 1).select("__k")
-    keyed = docs.withColumn("__key", F.struct(F.col(id_col), sha256(text_or_empty(text_col)).alias("text_sha256")))
-    left = keyed.join(gone, F.col("__key").eqNullSafe(F.col("__k")), "left_anti")
+    twice = report.where(F.col("kept")).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(other)
+    keyed = docs.withColumn(own, F.struct(F.col(id_col).alias("id"), sha256(text_or_empty(text_col)).alias("text_sha256")))
+    match = F.col(own).eqNullSafe(F.col(other))
+    left = keyed.join(gone, match, "left_anti")
     if twice.isEmpty():
-        return left.drop("__key")
-    match = F.col("__key").eqNullSafe(F.col("__k"))
-    one = left.join(twice, match, "left_semi").dropDuplicates(["__key"])
-    return left.join(twice, match, "left_anti").unionByName(one).drop("__key")
+        return left.drop(own)
+    one = left.join(twice, match, "left_semi").dropDuplicates([own])
+    return left.join(twice, match, "left_anti").unionByName(one).drop(own)
