@@ -23,13 +23,16 @@ are copies of each other.
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE, bytes_of, give_back, runs, text_or_empty, written
+from .common import SLICE, bytes_of, give_back, runs, text_or_empty, unused, written
 from .components import components
 from .exact_dedup import settings
 from .wordscan import U, Words, mix
@@ -42,6 +45,25 @@ def chance(similarity, depth: int, trees: int):
     return 1 - (1 - similarity**depth) ** trees
 
 
+def label_bound(threshold: float, values: int) -> float:
+    """Equal labels, of ``values``, that a pair at the threshold has but for five standard deviations."""
+    equal = threshold + (1 - threshold) / 256
+    return values * (equal - 5 * (equal * (1 - equal) / values) ** 0.5)
+
+
+@lru_cache
+def _tails(threshold: float, values: int) -> tuple[np.ndarray, np.ndarray]:
+    grid = np.linspace(0, 1, 1001)
+    equal = np.minimum(grid + (1 - grid) / 256, 1 - 1e-9)
+    z = (values * equal - label_bound(threshold, values)) / np.sqrt(values * equal * (1 - equal))
+    return grid, np.array([0.5 * math.erfc(-x / math.sqrt(2)) for x in z])
+
+
+def passing(similarity, threshold: float, values: int):
+    """Probability that a pair has at least ``label_bound`` equal labels (normal tail)."""
+    return np.interp(similarity, *_tails(threshold, values))
+
+
 def shortened(threshold: float, depth: int, trees: int, target: float) -> int:
     """The longest prefix that finds pairs at the threshold with the target recall."""
     while depth > 1 and chance(threshold, depth, trees) < target:
@@ -140,11 +162,12 @@ def sets_of(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(take, "root bigint, rep bigint, copies bigint, blocks bigint, set binary")
 
 
-def compare(left: list, right: list | None, threshold: float, depth: int, trees: int):
+def compare(left: list, right: list | None, threshold: float, depth: int, trees: int, n_labels: int):
     """Links between the members of one block (right is None) or of two.
 
     A member is (rep, copies, set). Returns {rep: documents linked}, spanning links, number of
-    links, and the sum of their inverse chances of being candidates.
+    links, and the sum of their inverse chances of being candidates: of sharing a prefix, and of
+passing the comparison of ``n_labels`` labels.
     """
     other = left if right is None else right
     sizes = np.array([len(s) for _, _, s in other])
@@ -177,7 +200,7 @@ def compare(left: list, right: list | None, threshold: float, depth: int, trees:
         if not len(hit):
             continue
         found += len(hit)
-        weight += float((1 / chance(similar[hit], depth, trees)).sum())
+        weight += float((1 / (chance(similar[hit], depth, trees) * passing(similar[hit], threshold, n_labels))).sum())
         linked[rep] = linked.get(rep, 0) + int(copies[hit].sum())
         for j in hit.tolist():
             linked[reps[j]] = linked.get(reps[j], 0) + own_copies
@@ -192,8 +215,7 @@ def agreeing(members: DataFrame, threshold: float, values: int) -> DataFrame:
     """Spanning edges (a, b) of the pairs in each node whose labels agree enough.
 
     ``members`` are rows (tree, prefix, rep, label) of nodes with few members."""
-    chance_equal = threshold + (1 - threshold) / 256
-    least = values * (chance_equal - 5 * (chance_equal * (1 - chance_equal) / values) ** 0.5)
+    least = label_bound(threshold, values)
 
     def close(reps, found):
         marks = np.frombuffer(b"".join(found), dtype=np.uint8).reshape(len(reps), -1)
@@ -229,7 +251,7 @@ def agreeing(members: DataFrame, threshold: float, values: int) -> DataFrame:
     return dealt.mapInArrow(pick, "a bigint, b bigint")
 
 
-def verified(sets: DataFrame, threshold: float, depth: int, trees: int) -> DataFrame:
+def verified(sets: DataFrame, threshold: float, depth: int, trees: int, values: int) -> DataFrame:
     """(a, b, links, found, weight): sums per document (b null) and spanning links of every task."""
     own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     dealt = sets.withColumn("own", own).withColumn("peer", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -242,9 +264,9 @@ def verified(sets: DataFrame, threshold: float, depth: int, trees: int) -> DataF
         for (own, rep), (copies, data) in sorted(members.items()):
             sides.setdefault(own, []).append((rep, copies, np.frombuffer(data, dtype=U)))
         if key[1] == key[2]:
-            got = compare(sides[key[1]], None, threshold, depth, trees)
+            got = compare(sides[key[1]], None, threshold, depth, trees, values)
         elif len(sides) == 2:
-            got = compare(sides[key[1]], sides[key[2]], threshold, depth, trees)
+            got = compare(sides[key[1]], sides[key[2]], threshold, depth, trees, values)
         else:
             return []
         linked, spanning, found, weight = got
@@ -313,7 +335,7 @@ def near_duplicates(
             match = (F.col("th") == F.col("own_th")) & F.col("id").eqNullSafe(F.col("own_id"))
             wanted = rows.join(known.where("blocks > 0"), match).select("root", "rep", "copies", "blocks", "text")
             sets = written(spark, sets_of(wanted, size), "join-sets")
-        links = written(spark, verified(sets, threshold, prefix, trees), "join-links")
+        links = written(spark, verified(sets, threshold, prefix, trees, trees * depth), "join-links")
         seen = links.agg(F.sum("found"), F.sum("weight")).first()
         if prefix == 1 or not seen[0] or seen[0] / seen[1] >= target_recall:
             break
@@ -343,7 +365,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     """One document of each class, with all its columns: the one with the smallest id. Documents
     without words all stay."""
     told = written(spark, near_duplicates(spark, docs, id_col=id_col, text_col=text_col, **options), "join-report")
-    key = F.struct(F.col(id_col), F.col("th")).alias("__k")
+    own, other = unused(docs, "own_key"), unused(docs, "other_key")
+    key = F.struct(F.col(id_col).alias("id"), F.col("th")).alias(other)
     # of a class, the smallest (id, text hash) stays; classes are aggregated before the shuffle
     worded = told.where("n_links > 0")
     best = worded.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), id_col, "th")).alias("best"))
@@ -351,12 +374,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     stays = F.col(id_col).eqNullSafe(F.col(f"best.{id_col}")) & (F.col("th") == F.col("best.th"))
     judged = worded.join(best, "root").withColumn("stays", stays)
     judged = written(spark, judged.select(key, "stays"), "join-judged")
-    gone = judged.where(~F.col("stays")).select("__k").distinct()
-    twice = judged.where("stays").groupBy("__k").count().where("count > 1").select("__k")
-    keyed = docs.withColumn("__key", F.struct(F.col(id_col), F.xxhash64(text_or_empty(text_col)).alias("th")))
-    match = F.col("__key").eqNullSafe(F.col("__k"))
+    gone = judged.where(~F.col("stays")).select(other).distinct()
+    twice = judged.where("stays").groupBy(other).agg(F.count("*").alias("n")).where("n > 1").select(other)
+    keyed = docs.withColumn(own, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("th")))
+    match = F.col(own).eqNullSafe(F.col(other))
     left = keyed.join(gone, match, "left_anti")
     if twice.isEmpty():
-        return left.drop("__key")
-    one = left.join(twice, match, "left_semi").dropDuplicates(["__key"])
-    return left.join(twice, match, "left_anti").unionByName(one).drop("__key")
+        return left.drop(own)
+    one = left.join(twice, match, "left_semi").dropDuplicates([own])
+    return left.join(twice, match, "left_anti").unionByName(one).drop(own)

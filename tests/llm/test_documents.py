@@ -297,3 +297,27 @@ def test_quality_edges(spark):
     assert quality.accepted(docs, ranking).columns == docs.columns
     assert quality.learn(docs, labels.limit(0)).threshold == 0
     assert quality.features([b"", b"a" * 1_000_000]).shape[0] == 2
+
+
+def test_columns_named_as_helpers_once_were(spark):
+    """Every column comes through, whatever its name."""
+    names = ["__k", "__key", "__hits", "own_key", "other_key", "hits", "Own_Key2"]
+    docs = spark.createDataFrame([(1, "one two three four five six", *names), (2, "one two three four five six", *names), (3, "other", *names)],
+                                 "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    items = spark.createDataFrame([(1, "other")], "item_id long, text string")
+    for got, kept in ((exact_dedup.deduplicated(prepared(spark), docs), [2, 3]), (jaccard_join.one_of_each(prepared(spark), docs), [1, 3]),
+                      (decontaminate.decontaminate(prepared(spark), docs, items), [1, 2])):
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert sorted(r.doc_id for r in rows) == kept and all(list(r)[2:] == names for r in rows)
+
+
+def test_a_third_of_all_rows_under_one_digest(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"text {i // 2}") for i in range(600)]
+    got = exact_dedup.duplicate_report(spark, docs_of(spark, rows).repartition(8), digest=lambda text: F.substring(exact_dedup.sha256(text), 1, 2))
+    assert sorted(map(tuple, got.collect()), key=repr) == dedup_truth(rows)
+
+
+def test_label_comparison_loses_next_to_nothing_and_is_counted():
+    assert 1 - 1e-6 < float(jaccard_join.passing(0.8, 0.8, 288)) <= 1
+    assert float(jaccard_join.passing(0.5, 0.8, 288)) < 0.01

@@ -58,5 +58,5 @@ def test_stages_keep_columns_and_take_nulls(spark):
 
 def test_one_query_for_each_operator():
     names = [n for n in E.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in E.queries() and corpus_pipeline.ORACLE_SQL is None and "pipeline" not in E.oracle_sql()
