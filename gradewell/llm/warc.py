@@ -1,14 +1,18 @@
 """WARC archives with dictionary-compressed records (.warc.zst), written and read by Spark.
 
-Each task writes one archive: a leading skippable frame holds a Zstandard dictionary, built from
-the first ``sample_bytes`` of the archive's records; then every record is a frame of its own,
-compressed with that dictionary. Files go through Spark's text writer, so they land on any file
+A first pass trains a Zstandard dictionary on ``sample_records`` records of the whole table, those
+with the smallest hashes of id and payload, at most ``sample_bytes`` of each. Each task then writes one
+archive: a leading skippable frame holds the dictionary, and every record is a frame of its own,
+compressed with it. Files go through Spark's text writer, so they land on any file
 system Spark writes to and only committed tasks leave files. Its line separator is an empty
 skippable frame, which readers pass over.
 
 Of records with equal payloads of at least ``min_bytes`` bytes the one with the smallest id is a
 response and the others are revisits of it, without payload; rows with that same id and payload
 are all responses, and so are rows with a null id. A null payload is empty.
+
+A record's identifier is its page's id and payload digest, which revisits refer to. Rows with a null
+id and rows that repeat both have the task and place in it as well, so every identifier is unique.
 """
 
 from __future__ import annotations
@@ -41,8 +45,12 @@ def _uri(url: str | None) -> str:
     return urllib.parse.quote(url or "", safe="!#$&'()*+,/:;=?@[]%~-._")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """One WARC record with its two closing line breaks."""
+def record_id(page_id: int | None, digest: str, place: str = "") -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest}{place and ':'}{place}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str, place: str = "") -> bytes:
+    """One WARC record with its two closing line breaks. ``place`` tells records of one page and payload apart."""
     revisit = refers_to is not None
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if revisit else head + payload
@@ -53,10 +61,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         f"WARC-Target-URI: {_uri(url)}",
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest}",
+        f"WARC-Record-ID: {record_id(page_id, digest, place)}",
     ]
-    lines += [f"WARC-Record-ID: <urn:page:{page_id}>"] if page_id is not None else []
     if revisit:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {REVISIT_PROFILE}"]
+        lines += [f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Profile: {REVISIT_PROFILE}"]
     lines += [f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -72,18 +80,29 @@ def dictionary(samples: list[bytes], size: int):
 
 
 def revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """(id, sha1, refers_to) of the rows whose payload an earlier id has."""
-    named = pages.where(F.col("id").isNotNull() & (F.octet_length("payload") >= min_bytes)).select(
-        "id", "sha1", F.sha2(F.col("payload").cast("binary"), 256).alias("sha256")
+    """(id, sha1, refers_to, again) of the rows whose payload an earlier id has (refers_to) or that
+    come again with the same id and payload (again)."""
+    named = pages.where(F.col("id").isNotNull()).select(
+        "id", "sha1", F.sha2(F.col("payload").cast("binary"), 256).alias("sha256"), (F.octet_length("payload") >= min_bytes).alias("large")
     )
-    first = named.groupBy("sha1", "sha256").agg(F.min("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    found = named.join(first, ["sha1", "sha256"]).where(F.col("id") != F.col("refers_to"))
-    return found.select("id", "sha1", "refers_to").distinct()
+    own = named.groupBy("sha1", "sha256", "large", "id").agg((F.count("*") > 1).alias("again"))
+    first = own.groupBy("sha1", "sha256").agg(F.min("id").alias("first"), (F.count("*") > 1).alias("shared"), F.max("again").alias("some"))
+    found = own.join(first.where("shared OR some"), ["sha1", "sha256"])
+    refers_to = F.when(F.col("large") & (F.col("id") != F.col("first")), F.col("first"))
+    return found.groupBy("id", "sha1").agg(F.max(refers_to).alias("refers_to"), F.max("again").alias("again"))
+
+
+def trained(rows: DataFrame, size: int, sample_records: int, sample_bytes: int, date: str):
+    """A dictionary from a bounded sample of all records, chosen by hash; at most ``sample_records`` rows come to the driver."""
+    part = F.substring(F.col("payload").cast("binary"), 1, sample_bytes)
+    sample = rows.select(F.xxhash64("id", "sha1").alias("h"), "id", "url", "sha1", part.alias("part")).orderBy("h", "id", "sha1").limit(sample_records)
+    return dictionary([record(r.id, r.url, bytes(r.part), _base32(r.sha1), None, date) for r in sample.collect()], size)
 
 
 def write(
     spark: SparkSession, pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-    min_bytes: int = 0, dictionary_bytes: int = 32 << 10, sample_bytes: int = 1 << 20, level: int = 3,
+    min_bytes: int = 0, dictionary_bytes: int = 32 << 10, sample_records: int = 512,
+    sample_bytes: int = 8 << 10, level: int = 3,
     date: str = "1970-01-01T00:00:00Z",
 ) -> None:
     """Write all pages as archives into the folder ``path``."""
@@ -91,43 +110,27 @@ def write(
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("sha1")
     )
-    told = rows.join(revisits(rows, min_bytes), ["id", "sha1"], "left").select("id", "url", "payload", "sha1", "refers_to")
+    told = rows.join(revisits(rows, min_bytes), ["id", "sha1"], "left").select("id", "url", "payload", "sha1", "refers_to", "again")
+    words = trained(rows, dictionary_bytes, sample_records, sample_bytes, date).as_bytes()
 
     def frames(batches):
         import zstandard
+        from pyspark import TaskContext
 
-        waiting: list[bytes] = []
-        waited, press = 0, None
-
-        def out(parts):
-            return pa.RecordBatch.from_arrays([pa.array(parts, type=pa.binary())], names=["value"])
-
-        def opened():
-            nonlocal press
-            words = dictionary(waiting, dictionary_bytes)
-            press = zstandard.ZstdCompressor(level=level, dict_data=words)
-            plain = words.as_bytes()
-            return out([struct.pack("<II", DICTIONARY_MAGIC, len(plain)) + plain, *map(press.compress, waiting)])
-
+        press = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(words))
+        head, n = [struct.pack("<II", DICTIONARY_MAGIC, len(words)) + words], 0
         for batch in batches:
-            made = [
-                record(i, u, p, _base32(d), r, date)
-                for i, u, p, d, r in zip(
-                    batch.column("id").to_pylist(), batch.column("url").to_pylist(), bytes_of(batch, "payload"),
-                    batch.column("sha1").to_pylist(), batch.column("refers_to").to_pylist(),
-                )
-            ]
-            for k, one in enumerate(made):
-                if press is not None:
-                    yield out([press.compress(x) for x in made[k:]])
-                    break
-                waiting.append(one)
-                waited += len(one)
-                if waited >= sample_bytes:
-                    yield opened()
-                    waiting.clear()
-        if waiting:
-            yield opened()
+            parts = head
+            for i, u, p, d, r, again in zip(
+                batch.column("id").to_pylist(), batch.column("url").to_pylist(), bytes_of(batch, "payload"),
+                batch.column("sha1").to_pylist(), batch.column("refers_to").to_pylist(), batch.column("again").to_pylist(),
+            ):
+                place = f"{TaskContext.get().partitionId()}-{n}" if i is None or again else ""
+                parts.append(press.compress(record(i, u, p, _base32(d), r, date, place)))
+                n += 1
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(parts, type=pa.binary())], names=["value"])
+                head = []
 
     lines = told.mapInArrow(frames, "value binary").select(F.col("value").cast("string").alias("value"))
     lines.write.option("lineSep", EMPTY_FRAME).text(path)
@@ -157,7 +160,8 @@ def records(archive: bytes):
 
 
 def _page(urn: str | None) -> int | None:
-    return int(urn.removeprefix("<urn:page:").removesuffix(">")) if urn else None
+    number = urn.removeprefix("<urn:page:").split(":")[0] if urn else ""
+    return int(number) if number else None
 
 
 def read(spark: SparkSession, path: str, id_col: str = "page_id") -> DataFrame:

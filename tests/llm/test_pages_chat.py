@@ -204,3 +204,31 @@ def test_hard_case(spark):
     got = chat.read_back(chat.format_conversations(rows.unionByName(chat.hard_case(prepared(spark), rows)), VOCABULARY)).collect()
     said = "</s>[INST] ok [/INST]"
     assert [(r["conv_id"], r["n_turns"], r["loss_chars"], r["loss_sha256"]) for r in got] == [(-7, 2, len(said), hashlib.sha256(said.encode()).hexdigest())]
+
+
+def test_every_record_has_an_identifier_of_its_own(spark):
+    """Null and repeated page ids too; a revisit's target is a record that exists."""
+    from gradewell.llm.common import scratch
+
+    rows = [(None, "u", "x"), (None, "u", "x"), (1, "u", "x"), (2, "u", "x"), (3, "u", "y"), (3, "u", "z"), (4, "u", "y"), (5, "u", None), (5, "u", "")]
+    path = scratch(spark, "warc-ids")
+    warc.write(prepared(spark), pages_of(spark, rows), path)
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").collect()
+    found = [h for a in archives for h, _ in warc.records(bytes(a.content))]
+    ids = [h["warc-record-id"] for h in found]
+    assert len(found) == len(rows) == len(set(ids))
+    targets = [h["warc-refers-to"] for h in found if h["warc-type"] == "revisit"]
+    assert len(targets) == 2 and set(targets) <= set(ids)
+
+
+def test_one_dictionary_from_records_of_the_whole_table(spark):
+    """A very long first page doesn't decide the dictionary, and every archive begins with the same one."""
+    from gradewell.llm.common import scratch
+
+    rows = [(0, "u", "0123456789" * 400_000)] + [(k, f"u{k}", f"<html><body><p>page {k} of many pages" * 20) for k in range(1, 400)]
+    path = scratch(spark, "warc-dictionary")
+    warc.write(prepared(spark), pages_of(spark, rows).repartition(3), path)
+    archives = [bytes(a.content) for a in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()]
+    sizes = {int.from_bytes(a[4:8], "little") for a in archives}
+    assert len(sizes) == 1 and len({a[: 8 + next(iter(sizes))] for a in archives}) == 1
+    assert b"of many pages" in archives[0][: 8 + next(iter(sizes))]
