@@ -95,7 +95,10 @@ def checked_groups(spark: SparkSession, docs: DataFrame, state: DataFrame, diges
     A digest's rows meet its hit in ``SALTS`` shares, so those of a hot one go to as many tasks; each
     task adds up equal texts before they are dealt by (digest, text)."""
     rows = docs.select("id", digest(F.col("text")).alias("digest"), "text", F.pmod(F.xxhash64("id", "place"), F.lit(SALTS)).alias("salt"))
-    hits = state.where(F.col("group_size") > 1).select("digest", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    shares = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    hits = state.where(F.col("group_size") > 1).select("digest", "group_size", shares)
+    # a filter over a scan again, from which Spark makes the Bloom filter
+    hits = written(spark, hits, "dedup-shares").where(F.col("group_size") > 1)
     return rows.join(hits, ["digest", "salt"], "left_semi").groupBy("digest", "text").agg(
         F.max("id").alias("keep_id"), F.count("*").alias("group_size")
     )
