@@ -138,6 +138,8 @@ def signatures(rows: DataFrame, trees: int, depth: int, size: int) -> DataFrame:
                     ],
                     names=schema.names,
                 )
+        batch = texts = own = None
+        give_back()
 
     return rows.mapInArrow(sign, schema)
 
@@ -158,6 +160,8 @@ def sets_of(rows: DataFrame, size: int) -> DataFrame:
                     [*(own.column(c) for c in ("root", "rep", "copies", "blocks")), pa.array(sets, type=pa.binary())],
                     names=["root", "rep", "copies", "blocks", "set"],
                 )
+        batch = texts = own = sets = None
+        give_back()
 
     return rows.mapInArrow(take, "root bigint, rep bigint, copies bigint, blocks bigint, set binary")
 
@@ -288,6 +292,8 @@ def verified(sets: DataFrame, threshold: float, depth: int, trees: int, values:
                 out = []
         if key:
             out += close(key, members)
+        batch = members = None
+        give_back()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), types)], names=["a", "b", "links", "found", "weight"])
 
