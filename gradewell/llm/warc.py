@@ -94,9 +94,13 @@ def revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
 
 def trained(rows: DataFrame, size: int, sample_records: int, sample_bytes: int, date: str):
     """A dictionary from a bounded sample of all records, chosen by hash; at most ``sample_records`` rows come to the driver."""
+    hashed = rows.withColumn("h", F.xxhash64("id", "sha1"))
+    # first the bound, by hashes alone, so that no task sends payloads that aren't chosen
+    bound = hashed.select("h").distinct().orderBy("h").limit(sample_records).agg(F.max("h")).first()[0]
     part = F.substring(F.col("payload").cast("binary"), 1, sample_bytes)
-    sample = rows.select(F.xxhash64("id", "sha1").alias("h"), "id", "url", "sha1", part.alias("part")).orderBy("h", "id", "sha1").limit(sample_records)
-    return dictionary([record(r.id, r.url, bytes(r.part), _base32(r.sha1), None, date) for r in sample.collect()], size)
+    chosen = hashed.where(F.col("h") <= F.lit(bound)).groupBy("h").agg(F.min(F.struct("id", "url", "sha1", part.alias("part"))).alias("r"))
+    sample = sorted(chosen.collect(), key=lambda x: x.h)
+    return dictionary([record(x.r.id, x.r.url, bytes(x.r.part), _base32(x.r.sha1), None, date) for x in sample], size)
 
 
 def write(
