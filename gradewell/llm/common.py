@@ -39,6 +39,11 @@ def give_back(tokenizer: bool = False) -> None:
     if compiled is not None and not tokenizer:
         compiled.forget()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give free memory back without a search for garbage: at the end of short tasks."""
     pa.default_memory_pool().release_unused()
     if LIBC is not None:
         LIBC.malloc_trim(0)

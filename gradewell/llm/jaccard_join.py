@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE, bytes_of, give_back, runs, text_or_empty, unused, written
+from .common import SLICE, bytes_of, give_back, runs, text_or_empty, trim, unused, written
 from .components import components
 from .exact_dedup import settings
 from .wordscan import U, Words, mix
@@ -139,7 +139,7 @@ def signatures(rows: DataFrame, trees: int, depth: int, size: int) -> DataFrame:
                     names=schema.names,
                 )
         batch = texts = own = None
-        give_back()
+        trim()
 
     return rows.mapInArrow(sign, schema)
 
@@ -161,7 +161,7 @@ def sets_of(rows: DataFrame, size: int) -> DataFrame:
                     names=["root", "rep", "copies", "blocks", "set"],
                 )
         batch = texts = own = sets = None
-        give_back()
+        trim()
 
     return rows.mapInArrow(take, "root bigint, rep bigint, copies bigint, blocks bigint, set binary")
 
@@ -292,8 +292,6 @@ def verified(sets: DataFrame, threshold: float, depth: int, trees: int, values:
                 out = []
         if key:
             out += close(key, members)
-        batch = members = None
-        give_back()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), types)], names=["a", "b", "links", "found", "weight"])
 
