@@ -1,24 +1,30 @@
-"""Best-fit packing of documents into sequences of at most ``capacity`` tokens.
+"""Best-fit packing of documents into sequences of at most ``capacity`` tokens, bulk-synchronously.
 
 Documents are tokenised once, cut at ``capacity`` and written as a table of pieces without
-their ids. Then, bulk-synchronously: pieces and gaps are sorted by size; every piece goes to its
-successor, the smallest gap that holds it, longest pieces first; pieces that want the same gaps
-are served by rank; gaps are updated; and so on until all pieces have a place. Pieces that find
-no gap open sequences.
-
-Sizes are whole numbers up to ``capacity``, so both sorted lists are swept in run-length form:
-a size class and the count of its members. That form has at most ``capacity`` rows for any number
-of documents. The classes are counted, and each piece's rank in its class found, by Spark over all
-pieces; the sweeps over the classes run on the driver, and only their outcome (rank ranges of a
-class -> ranges of sequences) goes back to where the pieces are. The outcome equals best-fit
-decreasing over all pieces.
+their ids. Then rounds follow, each over one table of pieces without a place and of gaps:
+
+1. Pieces and gaps are sorted by size, in ranges of sizes. Each range is swept on its own, from its
+   largest size down: a gap is laid on a stack, a piece takes the top of it, which is its successor,
+   the smallest free gap that holds it. What a range can't match goes on to a sweep over the wider
+   range, so the matching is that of one sweep over all sizes.
+2. Pieces that want the same gaps are served by rank: longer ones first, then by their rank in
+   their length.
+3. Gaps are updated: one that took pieces comes back, smaller, in the next round.
+
+Before a round as many sequences are opened as the pieces need for certain: half the volume beyond
+the gaps' and, if the longest piece fits no gap, one for every k pieces that only k share a sequence.
+
+Pieces and gaps are rows of runs: a size, and a range of ranks or of sequences. Pieces have at most
+``capacity`` runs for any number of documents, and gaps hardly more, as a run of gaps is only split
+where a run of pieces ends. The placements (length and range of ranks -> range of sequences) are
+broadcast to where the pieces are.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,47 +37,98 @@ from . import bpe_transducer
 from .common import give_back, texts_of, text_or_empty, written
 
 
-def sweep(classes: Iterable[tuple[int, int]], capacity: int) -> dict[str, np.ndarray]:
-    """Place counts of lengths by best fit, longest first.
-
-    Returns ranges, sorted by (length, rank): ``count`` pieces of ``length`` from ``rank`` on go to
-    the sequences from ``sequence`` on, one each, at ``offset``.
-    """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    sizes: list[int] = []
-    plan: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-
-    def add(size: int, first: int, count: int) -> None:
-        if size <= 0:
-            return
-        if size not in gaps:
-            gaps[size] = []
-            insort(sizes, size)
-        gaps[size].append((first, count))
-
-    for length, count in sorted(classes, reverse=True):
-        rank = 0
-        while rank < count:
-            k = bisect_left(sizes, length)
-            if k == len(sizes):  # no gap holds it: open what the rest of the class needs
-                new = -(-(count - rank) // (capacity // length))
-                add(capacity, opened, new)
-                opened += new
-                continue
-            size = sizes[k]
-            first, room = gaps[size].pop()
-            if not gaps[size]:
-                del gaps[size]
-                sizes.pop(k)
-            taken = min(room, count - rank)
-            plan.append((length, rank, taken, first, capacity - size))
-            if taken < room:
-                add(size, first + taken, room - taken)
-            add(size - length, first, taken)
-            rank += taken
-    rows = np.array(sorted(plan), dtype=np.int64).reshape(-1, 5)
-    return dict(zip(("length", "rank", "count", "sequence", "offset"), rows.T))
+GAP, PIECE, MATCH, UPDATED = range(4)
+RUN = "kind int, size long, first long, count long, sequence long, each long, gap long"
+#: Ranges of sizes that the first sweep of a round deals to tasks.
+RANGES = 16
+
+
+def swept(runs: Iterable[tuple[int, int, int, int]]) -> list[tuple]:
+    """One sweep over runs (kind, size, first, count), from the largest size down, gaps before pieces.
+
+    A piece takes the smallest gap that is free; a gap takes as many pieces of one run as it holds.
+    Returns rows of ``RUN``: gaps and pieces left over, matches (``count`` pieces of ``size`` from rank
+    ``first`` on, ``each`` to one sequence from ``sequence`` on, in gaps of size ``gap``), updated gaps."""
+    stack: list[tuple[int, int, int]] = []
+    out = []
+    for kind, size, first, count in sorted(runs, key=lambda r: (-r[1], r[0], r[2])):
+        if kind == GAP:
+            stack.append((size, first, count))
+            continue
+        while count and stack:
+            gap, sequence, room = stack.pop()
+            each = gap // size
+            taken = min(count, room * each)
+            full, rest = divmod(taken, each)
+            out.append((MATCH, size, first, taken, sequence, each, gap))
+            if full and gap > each * size:
+                out.append((UPDATED, gap - each * size, sequence, full, 0, 0, 0))
+            if rest:
+                out.append((UPDATED, gap - rest * size, sequence + full, 1, 0, 0, 0))
+                full += 1
+            if full < room:
+                stack.append((gap, sequence + full, room - full))
+            first, count = first + taken, count - taken
+        if count:
+            out.append((PIECE, size, first, count, 0, 0, 0))
+    return out + [(GAP, *run, 0, 0, 0) for run in stack]
+
+
+def sweep_ranges(runs: DataFrame, width: int) -> DataFrame:
+    """``swept`` for each range of ``width`` sizes."""
+
+    def own(rows: pa.Table) -> pa.Table:
+        found = swept(zip(*(rows[c].to_pylist() for c in ("kind", "size", "first", "count"))))
+        types = [pa.int32()] + [pa.int64()] * 6
+        names = ["kind", "size", "first", "count", "sequence", "each", "gap"]
+        return pa.Table.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*found), types)], names=names)
+
+    part = F.floor((F.col("size") - 1) / width).alias("range")
+    return runs.select("kind", "size", "first", "count", part).groupBy("range").applyInArrow(own, RUN)
+
+
+def opening(runs: DataFrame, capacity: int) -> tuple[int, int]:
+    """(pieces left, sequences to open before the next round)."""
+    is_piece = F.col("kind") == PIECE
+    volume = F.col("size") * F.col("count")
+    seen = runs.agg(
+        F.max(F.when(is_piece, F.col("size"))).alias("longest"), F.max(F.when(~is_piece, F.col("size"))).alias("widest"),
+        F.sum(F.when(is_piece, volume).otherwise(-volume)).alias("beyond"), F.sum(F.when(is_piece, F.col("count"))).alias("left"),
+    ).first()
+    if not seen["left"]:
+        return 0, 0
+    new, widest = max(0, -(-seen["beyond"] // (2 * capacity))), seen["widest"] or 0
+    if seen["longest"] > widest:
+        share = capacity // seen["longest"]
+        sharing = is_piece & (F.col("size") > max(widest, capacity // (share + 1)))
+        new = max(new, -(-runs.agg(F.sum(F.when(sharing, F.col("count")))).first()[0] // share))
+    return seen["left"], new
+
+
+def placements(spark: SparkSession, classes: DataFrame, capacity: int) -> DataFrame:
+    """Rows of ``RUN`` that place all pieces of ``classes`` (size, count); sequences count from 0."""
+    zero = F.lit(0).cast("long")
+    runs = classes.select(F.lit(PIECE).alias("kind"), "size", zero.alias("first"), "count")
+    runs = written(spark, runs, "pack-runs")
+    matches, opened = [], 0
+    while True:
+        left, new = opening(runs, capacity)
+        if not left:
+            break
+        if new:
+            runs = runs.unionByName(spark.range(1).select(
+                F.lit(GAP).alias("kind"), F.lit(capacity).cast("long").alias("size"), F.lit(opened).cast("long").alias("first"), F.lit(new).cast("long").alias("count")
+            ))
+            opened += new
+        near = written(spark, sweep_ranges(runs, -(-capacity // RANGES)), "pack-near")
+        done = F.col("kind").isin(MATCH, UPDATED)
+        found = written(spark, near.where(done).unionByName(sweep_ranges(near.where(~done), capacity)), "pack-round")
+        matches.append(found.where(F.col("kind") == MATCH))
+        kind = F.when(F.col("kind") == UPDATED, F.lit(GAP)).otherwise(F.col("kind")).alias("kind")
+        runs = found.where(F.col("kind") != MATCH).select(kind, "size", "first", "count")
+    if not matches:
+        return spark.createDataFrame([], RUN)
+    return reduce(DataFrame.unionByName, matches)
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -126,9 +183,10 @@ def pack(
     before = counted.select(
         "part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before")
     )
-    # at most `capacity` rows
-    classes = [(r["length"], r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()]
-    plan = sweep(classes, capacity)
+    classes = cut.groupBy(F.col("length").alias("size")).agg(F.count("*").alias("count"))
+    # some rows for each length at most, whatever the number of pieces
+    plan = placements(spark, classes, capacity).orderBy("size", "first").toArrow()
+    plan = {c: plan[c].to_numpy() for c in ("size", "first", "sequence", "each", "gap")}
     columns = ["piece", "start", "length", "ids_crc32"]
     ranked = cut.join(before, ["part", "length"]).select("id", *columns, (F.col("before") + F.col("rank")).alias("rank"))
     shared = spark.sparkContext.broadcast(plan)
@@ -140,18 +198,18 @@ def pack(
     def place(batches):
         plan = shared.value
         stride = np.int64(1) << np.int64(48)
-        keys = plan["length"] * stride + plan["rank"]
+        keys = plan["size"] * stride + plan["first"]
         for batch in batches:
             length, rank = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("length", "rank"))
             k = np.searchsorted(keys, length * stride + rank, side="right") - 1
-            sequence = plan["sequence"][k] + rank - plan["rank"][k]
+            sequence, place = np.divmod(rank - plan["first"][k], plan["each"][k])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column("piece").cast(pa.int32()),
                     *(batch.column(n) for n in columns[1:]),
-                    pa.array(sequence),
-                    pa.array(plan["offset"][k]),
+                    pa.array(plan["sequence"][k] + sequence),
+                    pa.array(capacity - plan["gap"][k] + place * length),
                 ],
                 names=schema.names,
             )

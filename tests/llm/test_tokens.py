@@ -77,25 +77,58 @@ def plain_best_fit(lengths, capacity):
     return len(gaps)
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(1, 20), max_size=120), st.integers(20, 30))
-def test_sweep_is_best_fit_decreasing(lengths, capacity):
-    classes = [(n, lengths.count(n)) for n in set(lengths)]
-    plan = packing.sweep(classes, capacity)
-    filled, placed = {}, {n: 0 for n in set(lengths)}
-    for length, rank, count, first, offset in zip(*(plan[k].tolist() for k in ("length", "rank", "count", "sequence", "offset"))):
-        assert rank == placed[length]
-        placed[length] += count
-        for s in range(first, first + count):
-            filled.setdefault(s, []).append((offset, length))
-    assert placed == {n: c for n, c in classes}
+def plain_round(pieces, gaps):
+    """One piece at a time, longest first, into the smallest gap not used in this round, or used by its own length."""
+    used, left = {}, []
+    for n in sorted(pieces, reverse=True):
+        fits = [(g, k) for k, g in enumerate(gaps) if g >= n and used.get(k, n) == n]
+        if fits:
+            k = min(fits)[1]
+            used[k], gaps[k] = n, gaps[k] - n
+        else:
+            left.append(n)
+    return left, sorted(g for g in gaps if g)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=80), st.lists(st.integers(1, 40), max_size=40), st.integers(1, 40))
+def test_sweeps_over_ranges_are_one_round_of_best_fit(lengths, gaps, width):
+    runs = [(packing.PIECE, n, 0, lengths.count(n)) for n in set(lengths)]
+    runs += [(packing.GAP, n, k, 1) for k, n in enumerate(gaps)]
+    ranges = {}
+    for run in runs:
+        ranges.setdefault((run[1] - 1) // width, []).append(run)
+    near = [x for own in ranges.values() for x in packing.swept(own)]
+    rest = packing.swept([x[:4] for x in near if x[0] < packing.MATCH])
+    found = [x for x in near if x[0] >= packing.MATCH] + rest
+    sizes = lambda kinds: sorted(x[1] for x in found if x[0] in kinds for _ in range(x[3]))
+    left, after = plain_round(lengths, list(gaps))
+    assert sizes((packing.PIECE,)) == sorted(left)
+    assert sizes((packing.GAP, packing.UPDATED)) == after
+    assert sizes((packing.PIECE, packing.MATCH)) == sorted(lengths)
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_placements_fill_sequences_like_best_fit_decreasing(spark, seed):
+    rng, capacity = np.random.default_rng(seed), 64
+    lengths = np.concatenate([rng.integers(1, 65, 400), np.clip(rng.exponential(6, 3000), 1, 64).astype(int), np.full(500, 1 + 30 * seed)])
+    classes = spark.createDataFrame([(int(n), int(c)) for n, c in zip(*np.unique(lengths, return_counts=True))], "size long, count long")
+    plan = packing.placements(prepared(spark), classes, capacity).orderBy("size", "first").collect()
+    filled, placed = {}, {}
+    for r in plan:
+        assert r["first"] == placed.get(r["size"], 0)
+        placed[r["size"]] = r["first"] + r["count"]
+        for i in range(r["count"]):
+            place = filled.setdefault(r["sequence"] + i // r["each"], [])
+            place.append((capacity - r["gap"] + i % r["each"] * r["size"], r["size"]))
+    assert placed == {int(n): int(c) for n, c in zip(*np.unique(lengths, return_counts=True))}
     for parts in filled.values():
         at = 0
         for offset, length in sorted(parts):
             assert offset == at
             at += length
         assert at <= capacity
-    assert len(filled) <= plain_best_fit(lengths, capacity)
+    assert len(filled) <= plain_best_fit(lengths.tolist(), capacity) * 1.01
 
 
 def packed(spark, rows, capacity):
