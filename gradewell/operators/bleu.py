@@ -11,6 +11,10 @@ Plan per pair table:
 The first aggregate hashes on (pair, n, gram), so one long pair spreads over
 all tasks; both aggregates combine map-side. Pairs with fewer than four
 tokens on a side never explode (score 0).
+
+Where many samples share their task's reference (``bleu_against``), the reference's
+grams are counted once per task, as an index (task, n, gram) -> count, and the
+samples' gram counts are joined with it; no reference text travels to a sample.
 """
 
 from __future__ import annotations
@@ -117,3 +121,54 @@ def bleu(pairs: DataFrame, keys: Sequence[str], ref_col: str, cand_col: str) ->
         .when(F.col("_short"), F.lit(0.0))
         .otherwise(score).alias("bleu"),
     )
+
+
+def _gram_counts(rows: DataFrame, cols: Sequence[str], n_tokens: str, toks: str, count: str) -> DataFrame:
+    """``cols``, n, g and how often the row group has that n-gram. Every row also gives a marker
+    (n = 0) that counts its tokens; rows with fewer than four tokens give nothing else."""
+    shifted = F.when(F.col(n_tokens) >= MIN_TOKENS, _shifted(F.col(toks)))
+    e = rows.select(*cols, n_tokens, F.posexplode_outer(shifted).alias("_p", "_z"))
+    w = [F.col(f"_z.w{k}") for k in range(1, MAX_N + 1)]
+    own = [F.when(w[n - 1].isNotNull(), F.struct(F.lit(n).alias("n"), F.concat_ws(GRAM_SEP, *w[:n]).alias("g"), F.lit(1).alias("x")))
+           for n in range(1, MAX_N + 1)]
+    first = F.coalesce(F.col("_p"), F.lit(0)) == 0
+    marker = F.when(first, F.struct(F.lit(0).alias("n"), F.lit("").alias("g"), F.col(n_tokens).alias("x")))
+    g = e.select(*cols, F.explode(F.array(marker, *own)).alias("_x")).filter(F.col("_x").isNotNull())
+    return g.groupBy(*cols, F.col("_x.n").alias("n"), F.col("_x.g").alias("g")).agg(F.sum("_x.x").alias(count))
+
+
+def reference_index(refs: DataFrame, task: str, ref_col: str) -> DataFrame:
+    """(task, n, g, r): the n-gram counts of every task's reference, and its tokens as n = 0. Tasks
+    with an empty reference aren't listed. One reference per task."""
+    t = refs.filter(F.coalesce(F.col(ref_col), F.lit("")) != "").select(task, tokens(ref_col).alias("_rt"))
+    return _gram_counts(t.withColumn("ref_tokens", F.size("_rt")), [task], "ref_tokens", "_rt", "r")
+
+
+def bleu_against(samples: DataFrame, refs: DataFrame, keys: Sequence[str], task: str, ref_col: str, cand_col: str) -> DataFrame:
+    """``bleu`` of samples against their task's reference: ``keys``, token counts and ``bleu``, with the
+    same values as ``bleu`` over the joined texts (null without a reference).
+
+    Samples are hash-partitioned on their key, so a sample's gram counts need no further exchange;
+    each distinct gram is then dealt by (task, n, gram) to the index. The samples of one task spread
+    over its grams, and a gram that most samples of a hot task hold has one row on the index's side,
+    so AQE may split it. Clipped counts are summed per sample before the last exchange.
+    """
+    keys = list(keys)
+    cols = keys if task in keys else [*keys, task]
+    index = reference_index(refs, task, ref_col)
+    t = samples.select(*cols, cand_col).repartition(*keys).select(*cols, tokens(cand_col).alias("_ct"))
+    counts = _gram_counts(t.withColumn("cand_tokens", F.size("_ct")), cols, "cand_tokens", "_ct", "c")
+    met = counts.join(index, [task, "n", "g"], "left")
+    marker = F.col("n") == 0
+    per = met.groupBy(*keys).agg(
+        *[F.coalesce(F.sum(F.when((F.col("n") == n) & F.col("r").isNotNull(), F.least("c", "r"))), F.lit(0)).alias(f"num{n}") for n in range(1, MAX_N + 1)],
+        F.max(F.when(marker, F.col("r"))).cast("int").alias("ref_tokens"),
+        F.max(F.when(marker, F.col("c"))).cast("int").alias("cand_tokens"),
+        F.max(F.when(marker, F.col("r").isNotNull())).alias("_scored"),
+    )
+    short = (F.col("ref_tokens") < MIN_TOKENS) | (F.col("cand_tokens") < MIN_TOKENS)
+    score = bleu_formula([F.col(f"num{n}") for n in range(1, MAX_N + 1)], F.col("cand_tokens"), F.col("ref_tokens"))
+    return per.select(
+        *keys, F.coalesce("ref_tokens", F.lit(0)).alias("ref_tokens"), "cand_tokens",
+        F.when(F.col("_scored"), F.when(short, F.lit(0.0)).otherwise(score)).alias("bleu"),
+    )

@@ -87,9 +87,9 @@ def in_requested_order(df: DataFrame, ids: Sequence[str], order_col: str, key: s
 
 
 # ---------------------------------------------------------------- V12
-def _with_scores(rows: DataFrame, pairs: DataFrame, keys: list[str], vectors: DataFrame | None) -> DataFrame:
-    """Rows with the BLEU of their (ref, cand) pair, and with ``f1`` if token vectors are given."""
-    out = rows.join(bleu.bleu(pairs, keys, "ref", "cand").select(*keys, "bleu"), keys, "left")
+def _with_scores(rows: DataFrame, scores: DataFrame, keys: list[str], vectors: DataFrame | None) -> DataFrame:
+    """Rows with their BLEU from ``scores``, and with ``f1`` if token vectors are given."""
+    out = rows.join(scores.select(*keys, "bleu"), keys, "left")
     if vectors is not None:
         out = out.join(embed.embedding_match(vectors, keys).select(*keys, "f1"), keys, "left")
     return out
@@ -104,9 +104,8 @@ def metrics_report(samples: DataFrame, refs: DataFrame | None = None, vectors: D
     key = key or ("path" if "path" in samples.columns else "file")
     scored = samples
     if refs is not None:
-        s = samples.join(refs, "task_id", "left")
-        pairs = s.select(key, F.col("reference").alias("ref"), F.col("code").alias("cand"))
-        scored = _with_scores(s, pairs, [key], vectors)
+        scores = bleu.bleu_against(samples, refs, [key], "task_id", "reference", "code")
+        scored = _with_scores(samples.join(refs, "task_id", "left"), scores, [key], vectors)
     return metrics.global_summary(scored), metrics.per_task_breakdown(scored).orderBy("task_id"), scored
 
 
@@ -141,10 +140,10 @@ def ground_truth_report(results: DataFrame, truth: DataFrame, order_col: str = "
     gt = agreement.first_per_group(truth, "task_id", [order_col])
     cmp = agreement.compare_with_ground_truth(results, gt.select("task_id", "plan_ok", "apply_ok", "spec_ok", "iterations"))
     if "code" in results.columns and "code" in truth.columns:
-        pairs = results.select("task_id", order_col, F.col("code").alias("cand")).join(
-            gt.select("task_id", F.col("code").alias("ref")), "task_id")
-        pairs = pairs.filter((F.col("cand") != "") & (F.col("ref") != ""))
-        cmp = _with_scores(cmp, pairs, ["task_id", order_col], vectors)
+        coded = results.select("task_id", order_col, "code").filter(F.col("code") != "")
+        keys = ["task_id", order_col]
+        scores = bleu.bleu_against(coded, gt.select("task_id", F.col("code").alias("reference")), keys, "task_id", "reference", "code")
+        cmp = _with_scores(cmp, scores, keys, vectors)
     unmatched = results.select("task_id").distinct().join(truth.select("task_id"), "task_id", "left_anti")
     return cmp, agreement.ground_truth_summary(cmp), unmatched
 

@@ -5,7 +5,7 @@ from collections import Counter
 
 import regex
 
-from gradewell.operators.bleu import bleu
+from gradewell.operators.bleu import bleu, bleu_against, reference_index
 from gradewell.plans import bindings as B
 from conftest import SF_SMALL
 
@@ -53,3 +53,33 @@ def test_bleu_identity_and_short(spark):
     assert abs(got[1] - 1.0) < 1e-12
     assert got[2] == 0.0
     assert got[3] is None
+
+
+def test_bleu_against_equals_pairs(spark):
+    """A hot task, grams that repeat in one side only, short, empty, null and missing texts."""
+    refs = [("hot", "a b c d e a b c d a a a"), ("short", "a b"), ("empty", ""), ("none", None), ("odd", "x (y) { z } = 1, 2; ümlaut 漢字")]
+    texts = ["a b c d e", "a a a a a a a a", "x (y) { z } = 1", "q r s t u v", "a b", "", None, "a b c d e a b c d a a a", "ümlaut 漢字 x ( y"]
+    rows = [(f"hot-{k}", "hot", texts[k % len(texts)]) for k in range(60)]
+    rows += [(f"{task}-{k}", task, t) for task in ("short", "empty", "none", "odd", "unknown", None) for k, t in enumerate(texts)]
+    samples = spark.createDataFrame(rows, "file string, task string, code string")
+    r = spark.createDataFrame(refs, "task string, reference string")
+    got = {x.file: (x.ref_tokens, x.cand_tokens, x.bleu) for x in bleu_against(samples, r, ["file"], "task", "reference", "code").collect()}
+    assert len(got) == len(rows)
+    known = dict(refs)
+    for file, task, text in rows:
+        ref, cand = known.get(task) or "", text or ""
+        assert got[file][:2] == (len(TOKEN.findall(ref)), len(TOKEN.findall(cand))), file
+        if not ref:
+            assert got[file][2] is None, file
+        else:
+            assert abs(got[file][2] - py_bleu(ref, cand)) < 1e-9, file
+    joined = samples.join(r, "task", "left")
+    want = {x.file: (x.ref_tokens, x.cand_tokens, x.bleu) for x in bleu(joined, ["file"], "reference", "code").collect()}
+    assert got == want
+
+
+def test_reference_grams_are_listed_once(spark):
+    r = spark.createDataFrame([("t", "a b a b a b")], "task string, reference string")
+    index = {(x.n, x.g): x.r for x in reference_index(r, "task", "reference").collect()}
+    assert index[1, "a"] == 3 and index[2, "a\u0001b"] == 3 and index[4, "b\u0001a\u0001b\u0001a"] == 1
+    assert index[0, ""] == 6 and len(index) == 9
