@@ -1102,6 +1102,13 @@ SELECT CAST(run_id AS VARCHAR) AS task_id, stage AS kind, count(*) AS n, max(ite
        'iteration ' || CAST(max(iteration) AS VARCHAR) AS last_content, count(*) AS n_content
 FROM att GROUP BY 1, 2"""
 
+ORACLE["artifacts_lookup"] = f"""
+WITH {V_ATTEMPTS}, latest AS (SELECT run_id, max(iteration) AS iteration FROM att GROUP BY run_id)
+SELECT CAST(att.run_id AS VARCHAR) AS task_id, 1 AS sample, CAST(att.iteration AS INTEGER) AS iteration, stage AS kind, count(*) AS n,
+       'iteration ' || CAST(att.iteration AS VARCHAR) AS content
+FROM att JOIN latest ON att.run_id = latest.run_id AND att.iteration = latest.iteration
+GROUP BY att.run_id, att.iteration, stage"""
+
 ORACLE["plans_roundtrip_spec_check"] = ORACLE["spec_check"]
 
 ORACLE["tasks_csv_roundtrip"] = f"""

@@ -700,6 +700,21 @@ def q_artifacts_roundtrip(spark, sf):
         F.count_if(F.col("content") == F.concat(F.lit("iteration "), F.col("iteration").cast("string"))).alias("n_content"))
 
 
+@register("artifacts_lookup")
+def q_artifacts_lookup(spark, sf):
+    """S12 read: the artifacts of every run's last iteration, looked up by (task, sample,
+    iteration) in the stored table of all iterations."""
+    log = B.attempt_log(spark, sf)
+    arts = log.select(
+        F.col("run_id").cast("string").alias("task_id"), F.lit(1).alias("sample"), F.col("iteration").cast("int").alias("iteration"),
+        F.col("stage").alias("kind"), F.concat(F.lit("iteration "), F.col("iteration").cast("string")).alias("content"))
+    path = scratch_dir(spark, "artifacts")
+    SK.write_artifacts(arts, path)
+    last = arts.groupBy("task_id", "sample").agg(F.max("iteration").alias("iteration"))
+    return RD.lookup_artifacts(spark, path, last).groupBy("task_id", "sample", "iteration", "kind").agg(
+        F.count(F.lit(1)).alias("n"), F.min("content").alias("content"))
+
+
 @register("plans_roundtrip_spec_check")
 def q_plans_roundtrip(spark, sf):
     """S5 + P6 end to end: the plan rows are written as nested plan JSON

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.outcome import normalize_action
+from .sinks import ARTIFACT_BUCKETS, artifact_bucket
 
 S, L, I, D, B = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType(), T.BooleanType()
 
@@ -317,3 +318,35 @@ def read_conversations(spark: SparkSession, path: str, key_field: str | None = N
         raw = spark.read.schema(schema).json(path).select(F.col(key_field).alias("file"), "messages")
     return raw.select("file", F.posexplode("messages").alias("turn", "m")).select(
         "file", "turn", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
+
+
+# ---------------------------------------------------------------- S12
+ARTIFACTS = T.StructType([
+    T.StructField("task_id", T.StringType()), T.StructField("sample", T.IntegerType()), T.StructField("iteration", T.IntegerType()),
+    T.StructField("kind", T.StringType()), T.StructField("content", T.StringType()), T.StructField("bucket", T.IntegerType()),
+])
+
+
+def read_artifacts(spark: SparkSession, path: str, task_id: str | None = None, sample: int | None = None,
+                   iteration: int | None = None, buckets: int = ARTIFACT_BUCKETS, schema: T.StructType = ARTIFACTS) -> DataFrame:
+    """S12 read back, all of it or one task's, sample's, iteration's artifacts: one folder is listed,
+    and the key reaches the Parquet scan, which skips row groups by their bounds and Bloom filters.
+    ``buckets`` and the columns' types (``schema``) as written."""
+    found = spark.read.schema(schema).parquet(path)
+    if task_id is not None:
+        found = found.filter((F.col("bucket") == artifact_bucket(F.lit(task_id), buckets)) & (F.col("task_id") == task_id))
+    for name, value in (("sample", sample), ("iteration", iteration)):
+        if value is not None:
+            found = found.filter(F.col(name) == value)
+    return found.drop("bucket")
+
+
+def lookup_artifacts(spark: SparkSession, path: str, wanted: DataFrame, buckets: int = ARTIFACT_BUCKETS,
+                     schema: T.StructType = ARTIFACTS) -> DataFrame:
+    """The artifacts of the (task_id, sample, iteration) rows of ``wanted``, once for each stored row
+    however often its key is asked for; a null key finds nothing. The bucket is part of the join, so
+    Spark may prune folders at run time where ``wanted`` is small."""
+    keys = ["task_id", "sample", "iteration"]
+    asked = wanted.select(*keys, artifact_bucket(F.col("task_id"), buckets).alias("bucket"))
+    found = spark.read.schema(schema).parquet(path)
+    return found.join(asked, ["bucket", *keys], "left_semi").drop("bucket")

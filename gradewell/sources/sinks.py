@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,15 +91,27 @@ def with_verdicts(entries: DataFrame, verdicts: DataFrame, key: str = "entry_id"
     return j.withColumn("judge_verdict", F.coalesce(F.col("_new"), old)).drop("_new")
 
 
-def write_artifacts(artifacts: DataFrame, path: str, buckets: int = 32) -> None:
+ARTIFACT_BUCKETS = 32
+
+
+def artifact_bucket(task: Column, buckets: int = ARTIFACT_BUCKETS) -> Column:
+    """The hash folder that holds a task's artifacts."""
+    return F.pmod(F.xxhash64(task), F.lit(buckets)).cast("int")
+
+
+def write_artifacts(artifacts: DataFrame, path: str, buckets: int = ARTIFACT_BUCKETS, row_group_bytes: int = 16 << 20) -> None:
     """Long table (task_id, sample, iteration, kind, content) in ``buckets``
-    hash folders, sorted by task inside a file, so a task is found by its bucket.
+    hash folders, sorted by task inside a file, so a task is found by its bucket, and in
+    it by the bounds and Bloom filters of row groups of about ``row_group_bytes``
+    (``readers.read_artifacts``, ``readers.lookup_artifacts``).
 
     The rebalance sizes the writing tasks by data: a bucket with a hot task is
     split over several writers, small ones are merged. An existing table is replaced."""
-    out = artifacts.withColumn("bucket", F.pmod(F.xxhash64("task_id"), F.lit(buckets)).cast("int"))
+    out = artifacts.withColumn("bucket", artifact_bucket(F.col("task_id"), buckets))
     (out.hint("rebalance", "bucket").sortWithinPartitions("bucket", "task_id", "sample", "iteration")
-     .write.mode("overwrite").partitionBy("bucket").parquet(path))
+     .write.mode("overwrite").partitionBy("bucket")
+     .option("parquet.bloom.filter.enabled#task_id", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+     .option("parquet.block.size", str(row_group_bytes)).parquet(path))
 
 
 def snapshot_rows(states: DataFrame, label_col: str, content_col: str = "content", key_col: str = "doc_id") -> DataFrame:

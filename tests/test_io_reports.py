@@ -123,6 +123,33 @@ def test_sinks(spark, tmp_path):
     assert all(n.startswith("terraform_tfstate_pre_destroy_C1_3_u1_2") for n in names)
 
 
+def _scanned(df):
+    """Rows that the scan of a one-stage query handed on."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_artifacts_are_found_by_key(spark, tmp_path):
+    path = str(tmp_path / "artifacts")
+    ids = spark.range(60000).select(F.concat(F.lit("t"), F.xxhash64("id").cast("string")).alias("task_id"), (F.col("id") % 3).cast("int").alias("sample"))
+    rows = ids.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("iteration"), F.lit("plan").alias("kind"),
+                      F.sha2(F.concat("task_id", F.lit("x")), 512).alias("content"))
+    SK.write_artifacts(rows, path, buckets=4, row_group_bytes=1 << 18)
+    task = ids.first()["task_id"]
+    own = R.read_artifacts(spark, path, task, buckets=4)
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, rows.filter(F.col("task_id") == task).collect()))
+    assert own.columns == ["task_id", "sample", "iteration", "kind", "content"]
+    # 30,000 rows lie in the folder; row groups that can't hold the task are not read
+    assert _scanned(own) <= 120000 // 4 // 2
+    one = R.read_artifacts(spark, path, task, ids.first()["sample"], 2, buckets=4)
+    assert [(r.task_id, r.iteration) for r in one.collect()] == [(task, 2)]
+    assert R.read_artifacts(spark, path, "unknown", buckets=4).count() == 0
+    assert R.read_artifacts(spark, path).count() == 120000
+    keys = rows.filter("iteration = 2").limit(50).select("task_id", "sample", "iteration")
+    wanted = keys.union(keys).union(spark.createDataFrame([(None, 0, 1), ("unknown", 0, 1)], "task_id string, sample int, iteration int"))
+    assert R.lookup_artifacts(spark, path, wanted, buckets=4).count() == keys.distinct().count()
+
+
 def test_sync_and_complexity_report(spark, tmp_path):
     tasks = spark.createDataFrame([("C1.1", "CREATE", ""), ("X9", "OTHER", "keep")],
                                   "task_id string, category string, reference_hcl string")
