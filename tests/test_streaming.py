@@ -102,3 +102,46 @@ def test_forgotten_entries_leave_the_state_and_keep_their_counts(spark, tmp_path
         [("a", "T1", day + 5, False, False, False), ("c", "T2", 51 * day, False, True, True)],  # too old; replaced
     ], version="at", forget="10 days")
     assert got[-1] == {"T1": (2, 2, 1, 2), "T2": (1, 0, 1, 1)}
+
+
+def test_small_files_are_packed_once(spark, tmp_path):
+    """Two runs, nested folders, an empty and an unreadable document, a replayed batch."""
+    import json
+
+    from gradewell.sources import readers as R
+    from gradewell.streaming import compaction as C
+
+    folder, target, checkpoint = (str(tmp_path / n) for n in ("in", "packed", "checkpoint"))
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    doc = lambda k: json.dumps({"task_id": f"C1.{k}", "entry_id": f"e{k}", "final_outcome": {"total_iterations": k}, "spec_accuracy": {
+        "passed": k % 2 == 0, "checks_performed": ["vm_count", {"check": "x", "passed": True}]}}, indent=2)
+    for k in range(7):
+        (tmp_path / "in" / ("deep" if k % 3 == 0 else ".") / f"{k}.json").write_text(doc(k))
+    (tmp_path / "in" / "bad.json").write_text('{"task_id": ')
+    (tmp_path / "in" / "notes.txt").write_text("not a document")
+    C.pack_files(spark, folder, target, checkpoint, files_per_batch=3)
+    batches = sorted(p.name for p in (tmp_path / "packed").iterdir())
+    assert len(batches) == 3
+    C.pack_files(spark, folder, target, checkpoint)  # nothing new
+    assert sorted(p.name for p in (tmp_path / "packed").iterdir()) == batches
+    (tmp_path / "in" / "late.json").write_text(doc(9))
+    C.pack_files(spark, folder, target, checkpoint)
+    got = C.packed_entries(spark, target)
+    direct = R.read_entries(spark.newSession(), f"{folder}/*.json").union(R.read_entries(spark.newSession(), f"{folder}/deep"))
+    assert got.columns == direct.columns
+
+    def key(rows):
+        out = sorted((r.asDict(True) for r in rows), key=lambda r: r["path"])
+        for r in out:  # objects as texts: as written in one, closed up in the other
+            if r["spec_accuracy"]:
+                r["spec_accuracy"]["checks_performed"] = [json.loads(c) if c[0] == "{" else c for c in r["spec_accuracy"]["checks_performed"]]
+        return out
+
+    assert key(got.collect()) == key(direct.collect())
+    assert {r.file for r in got.collect()} == {f"{k}.json" for k in range(7)} | {"bad.json", "late.json"}
+    # the last batch again, as after a crash between the write and its commit
+    commits = sorted((tmp_path / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    C.pack_files(spark, folder, target, checkpoint)
+    assert C.packed_entries(spark, target).count() == 9
