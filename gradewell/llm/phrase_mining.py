@@ -166,7 +166,8 @@ def opened(tokens: Tokens, keys: list[np.ndarray], now: np.ndarray, before: np.n
     """
     out, part, part_before = [], None, None
     for size, h in enumerate(keys, 1):
-        begin = tokens.windows(size, older=1)
+        # of shorter windows, also those that end with older words: windows across a chunk's edge build on them
+        begin = tokens.windows(size, older=LONGEST - size)
         known = None
         if size > 1:
             begin = begin[part[begin] & part[begin + 1]]

@@ -93,6 +93,38 @@ def test_chunks_cut_anywhere_give_the_same_words(monkeypatch):
             assert sorted(at) == want.first[want.windows(k)].tolist()
 
 
+def test_windows_across_chunks_are_counted(spark):
+    draw = random.Random(11)
+    rows = [(i, " ".join(draw.choice("abcd") * draw.choice([1, 3, 90]) for _ in range(40_000)), "en") for i in range(2)]
+    assert sum(len(t) for _, t, _ in rows) > 4 * M.CHUNK
+    assert sorted(map(tuple, M.collocations(spark, docs_of(spark, rows), 5, 10**6, one_in=1).collect())) == plain(rows, 5, 10**6)
+
+
+@pytest.mark.parametrize("before", [False, True])
+def test_chunks_cut_anywhere_open_the_same_windows(monkeypatch, before):
+    import pyarrow as pa
+
+    rows = corpus(6, 60)
+    stream = M.Batch(pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows]), pa.array([r[2] or "und" for r in rows])], names=["text", "lang"]))
+    draw = np.random.default_rng(3)
+    now = draw.integers(0, 1 << 63, M.FILTER_BITS // 64, dtype=np.uint64) | draw.integers(0, 1 << 63, M.FILTER_BITS // 64, dtype=np.uint64)
+    old = now & draw.integers(0, 1 << 63, M.FILTER_BITS // 64, dtype=np.uint64) if before else None
+
+    def found():
+        out = [Counter() for _ in range(5)]
+        for tokens in M.chunks(stream.data):
+            keys = stream.keys(tokens, 5)
+            for size, begin in enumerate(M.opened(tokens, keys, now, old)):
+                out[size].update(keys[size][begin].tolist())
+        return out
+
+    want = found()
+    assert all(want[1:4])
+    for size in (1, 2, 7, 64, 1000):
+        monkeypatch.setattr(M, "CHUNK", size)
+        assert found() == want
+
+
 def test_words_with_one_hash_are_told_apart(spark, monkeypatch):
     rows = corpus(5, 40)
     import pyarrow as pa
