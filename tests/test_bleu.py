@@ -83,3 +83,40 @@ def test_reference_grams_are_listed_once(spark):
     index = {(x.n, x.g): x.r for x in reference_index(r, "task", "reference").collect()}
     assert index[1, "a"] == 3 and index[2, "a\u0001b"] == 3 and index[4, "b\u0001a\u0001b\u0001a"] == 1
     assert index[0, ""] == 6 and len(index) == 9
+
+
+def test_rows_of_one_key_are_scored_as_one(spark):
+    """Keys may repeat or be null; the rows of a key then add up, a short one makes the key's score 0."""
+    a, b = "a b c d e", "a b c x d e"
+    rows = [(None, a, b), (1, a, b), (1, a, b), (1, a, b), (2, a, b), (2, "x", b), (3, None, a), (3, a, a), (4, a, a)]
+    got = {r.id: (r.ref_tokens, r.cand_tokens, r.bleu) for r in bleu(spark.createDataFrame(rows, "id int, r string, c string"), ["id"], "r", "c").collect()}
+    assert got.keys() == {None, 1, 2, 3, 4}
+    assert abs(got[None][2] - py_bleu(a, b)) < 1e-9 and got[1][:2] == (5, 6) and got[1][2] > 2 * py_bleu(a, b) > 0
+    assert got[2] == (5, 6, 0.0) and got[3] == (5, 5, None) and abs(got[4][2] - 1) < 1e-12
+
+
+def test_ngrams_are_never_shuffled(spark):
+    """What is exchanged and sorted are texts: each exchange has a text or one row per sample."""
+    pairs = spark.createDataFrame([(1, "a b c d e", "a b c d e")], "id int, r string, c string")
+    samples = spark.createDataFrame([("f", "t", "a b c d")], "file string, task string, code string")
+    refs = spark.createDataFrame([("t", "a b c d")], "task string, reference string")
+    for df in (bleu(pairs, ["id"], "r", "c"), bleu_against(samples, refs, ["file"], "task", "reference", "code")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate posexplode" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_a_hot_task_is_dealt_in_shares(spark, monkeypatch):
+    from gradewell.operators import bleu as BL
+
+    monkeypatch.setattr(BL, "SHARE", 7)
+    texts = ["a b c d e f", "b c d e f g h", "x y z", "a a a a a", None]
+    rows = [(f"{t}-{k}" if k % 50 else None, t, texts[k % 5]) for t in ("hot", "bare", None) for k in range(200)]
+    samples = spark.createDataFrame(rows, "file string, task string, code string").where("file IS NOT NULL")
+    refs = spark.createDataFrame([("hot", "a b c d e f g"), ("cold", "a b c d")], "task string, reference string")
+    got = {x.file: x.bleu for x in bleu_against(samples, refs, ["file"], "task", "reference", "code").collect()}
+    assert len(got) == samples.count()
+    for file, task, text in rows:
+        if file and task != "hot":
+            assert got[file] is None
+        elif file:
+            assert abs(got[file] - py_bleu("a b c d e f g", text or "")) < 1e-9
