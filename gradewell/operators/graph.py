@@ -116,11 +116,13 @@ def find_key_values(docs: DataFrame, id_col: str, json_col: str, key: str) -> Da
     ``variant_explode_outer`` (a lateral table function). The steps form one chain, as
     many as the deepest document needs (one aggregate over the texts tells): finished
     hits travel on beside the subtrees that are still open, so a document is read once,
-    in one job, however deep it is. Only documents deeper than ``CHAIN`` levels go on
+    in one job, however deep it is. The documents are first dealt evenly over all tasks. Only documents deeper than ``CHAIN`` levels go on
     from a table written after that many levels. Rows: (id, path of positions, value as
     JSON). No document is gathered anywhere; an unreadable document has no rows.
     """
     spark = docs.sparkSession
+    # a document is many times more work than its bytes tell: small files would be one task
+    docs = docs.select(id_col, json_col).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).alias("_id"), F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("hit"),
                        F.try_parse_json(json_col).alias("v")).filter(F.col("v").isNotNull())
     levels = docs.where(F.try_parse_json(json_col).isNotNull()).agg(F.max(json_depth(F.col(json_col)))).first()[0] or 0

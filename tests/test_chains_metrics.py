@@ -134,3 +134,12 @@ def test_key_search_below_the_chain_and_in_odd_documents(spark, monkeypatch):
         monkeypatch.setattr(graph, "CHAIN", chain)
         got = graph.find_key_values(df, "id", "j", "k")
         assert sorted((r.id, tuple(r.path), json.dumps(json.loads(r.value), sort_keys=True)) for r in got.collect()) == want
+
+
+def test_key_search_deals_the_documents_of_one_small_file(spark, tmp_path):
+    from gradewell.operators.graph import find_key_values
+
+    spark.range(40).selectExpr("id", """concat('{"a":{"k":', id, '}}') AS j""").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    got = find_key_values(spark.read.parquet(str(tmp_path / "docs")), "id", "j", "k")
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {(r.id, r.value) for r in got.collect()} == {(i, str(i)) for i in range(40)}
