@@ -79,12 +79,13 @@ def _replace(page: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> I
     newest = {k: ((version, task, *oks), seen) for k, version, task, *oks, seen in zip(*state.get)} if state.exists else {}
     old = {}
     for part in parts if not state.hasTimedOut else ():
-        rows = part.astype(object).where(part.notna(), None)
-        for key, version, task, *oks, seen in zip(*(rows[c].tolist() for c in ("key", "version", "task_id", *OKS, "seen_ms"))):
-            row = (int(version), task, *map(int, oks))
+        # only keys and tasks may be null; the work of a page is kept to plain lists
+        texts = ([x if isinstance(x, str) else None for x in part[c].tolist()] for c in ("key", "task_id"))
+        for key, task, version, *oks, seen in zip(*texts, *(part[c].tolist() for c in ("version", *OKS, "seen_ms"))):
+            row = (version, task, *oks)
             now, seen_before = newest.get(key, (None, 0))
             old.setdefault(key, now)
-            newest[key] = (row if now is None or _order(row) > _order(now) else now, max(seen_before, int(seen)))
+            newest[key] = (row if now is None or _order(row) > _order(now) else now, max(seen_before, seen))
     sums: dict = {}
     for key, was in old.items():
         for entry, sign in ((was, -1), (newest[key][0], 1)):

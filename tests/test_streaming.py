@@ -145,3 +145,23 @@ def test_small_files_are_packed_once(spark, tmp_path):
     (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
     C.pack_files(spark, folder, target, checkpoint)
     assert C.packed_entries(spark, target).count() == 9
+
+
+def test_a_page_is_replaced_without_work_on_frames(monkeypatch):
+    """Null keys and tasks, numbers as they come; no frame is converted or masked for each page."""
+    import pandas as pd
+
+    class State:
+        exists, hasTimedOut = False, False
+
+        def update(self, page):
+            self.page = page
+
+    part = pd.DataFrame({"key": ["a", None, "a"], "version": [1, 1, 2], "task_id": ["T1", None, "T2"],
+                         **{c: [1, 0, -1] for c in ST.OKS}, "seen_ms": [0, 0, 0]})
+    monkeypatch.setattr(pd.DataFrame, "where", None)
+    monkeypatch.setattr(pd.DataFrame, "astype", None)
+    state = State()
+    (out,) = ST._replace((0,), iter([part]), state)
+    assert {r.task_id if isinstance(r.task_id, str) else None: tuple(r)[2:] for r in out.itertuples()} == {"T2": (1, 0, 0, 0), None: (1, 0, 0, 0)}
+    assert state.page[0] == ["a", None] and state.page[1] == [2, 1] and state.page[2] == ["T2", None]
