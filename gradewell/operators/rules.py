@@ -134,10 +134,19 @@ def _vm_changes(col: str = "resource_changes") -> Column:
     return F.filter(F.col(col), lambda v: v["type"] == VM_TYPE)
 
 
+def _with_changes(plans: DataFrame) -> DataFrame:
+    """The change lists that rules read again and again, as columns: filtered once for a plan."""
+    p = plans.select("*", _vm_changes().alias("_vms"))
+
+    def of(action: str) -> Column:
+        return F.filter("_vms", lambda v: v["action"] == action).alias(f"_vms_{action}")
+
+    return p.select("*", of("create"), of("update"), of("delete"))
+
+
 # ---------------------------------------------------------------- V1 CREATE
 def create_rule(s: Callable[[str], Column]) -> tuple[Column, Callable[[Column], Column]]:
-    vms = _vm_changes()
-    creates = F.filter(vms, lambda v: v["action"] == "create")
+    vms, creates = F.col("_vms"), F.col("_vms_create")
     others = F.filter(vms, lambda v: ~v["action"].isin("create", "no-op"))
     n = F.size(creates)
     vm_count, min_c, max_c = s("vm_count"), s("min_vm_count"), s("max_vm_count")
@@ -235,8 +244,7 @@ def _field_of(v: Column, field: Column) -> Column:
 
 
 def update_rule(s: Callable[[str], Column]) -> tuple[Column, Callable[[Column], Column]]:
-    vms = _vm_changes()
-    updates = F.filter(vms, lambda v: v["action"] == "update")
+    vms, updates = F.col("_vms"), F.col("_vms_update")
     forbidden = F.filter(vms, lambda v: v["action"].isin("create", "delete", "replace"))
     field, val, target = s("updated_field"), s("new_value"), s("target_vm")
     has_field = F.coalesce(field, F.lit("")) != ""
@@ -289,8 +297,7 @@ def had_replace_actions(col: str = "resource_changes") -> Column:
 
 # ---------------------------------------------------------------- V4 DELETE
 def delete_rule(s: Callable[[str], Column]) -> tuple[Column, Callable[[Column], Column]]:
-    vms = _vm_changes()
-    deletes = F.filter(vms, lambda v: v["action"] == "delete")
+    vms, deletes = F.col("_vms"), F.col("_vms_delete")
     forbidden = F.filter(vms, lambda v: v["action"].isin("create", "replace", "update"))
     expected = s("delete_count")
     target = s("target_vm")
@@ -437,12 +444,13 @@ def check_plans(plans: DataFrame, specs: DataFrame, key: str = "plan_id", task_c
                       *spec_cols, F.lit(True).alias("_has_spec"))
     task = F.trim(F.col(task_col) if task_col else F.col(key).cast("string"))
     j = plans.join(sp, (F.coalesce(task, F.lit("")) if task_col else F.col(key)) == F.col("_spec_key"), "left")
+    j = _with_changes(j)
     s = lambda c: F.col(c) if c in spec_cols else F.lit(None).cast(SPEC_TYPES.get(c, "string"))
     cat = F.col("category")
 
     # quota over the plan's own changes; READ documents carry no names (only existing VMs count)
     quota_src = F.when(cat == "READ", F.array().cast(plans.schema["resource_changes"].dataType)).otherwise(
-        _vm_changes()
+        F.col("_vms")
     )
     qt = projected_totals(quota_src, F.col("pre_vms").cast(EXISTING_T) if "pre_vms" in plans.columns else None)
 

@@ -122,3 +122,13 @@ def test_reported_vs_true_check_meaning(spark):
     # the reference reports the failed count check as passed (its name is not in the message)
     assert c["vm_count"].passed is True and c["vm_count"].ok is False
     assert r.passed is False
+
+
+def test_a_plan_is_filtered_for_its_changes_once(spark):
+    from gradewell.operators import rules as RU
+    from gradewell.plans import bindings as B
+
+    checked = RU.check_plans(RU.plan_documents(B.plan_rows(spark, "/root/testdata/sf0.001")), B.specs(spark, "/root/testdata/sf0.001"))
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    # once for the lists that all rules read, once more for the detail of the UPDATE rule
+    assert plan.count(f".type = {RU.VM_TYPE}") <= 2
