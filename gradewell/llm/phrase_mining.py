@@ -17,8 +17,9 @@ spaces and tabs. Everything is counted per language (null: ``und``).
 Up to step 3 a phrase is a 64-bit hash of its language and words. Equal hashes of different phrases
 only raise a count, so nothing frequent is lost, and step 4 takes out what was raised. The filter is
 a bit table of a fixed size (``FILTER_BITS``), broadcast; a bit that two phrases share lets more windows
-be counted, never fewer. Tasks add up equal phrases before the shuffle; a frequent phrase is one row
-per batch of texts. A batch is read as one stream in chunks of ``CHUNK`` bytes, cut anywhere: an open word
+be counted, never fewer. Tasks add up equal phrases before the shuffle. Step 4 has as many tasks as
+cores, and a task that holds too many phrases hands the rarer half on: its rows follow the phrases, not
+the partitions. A batch is read as one stream in chunks of ``CHUNK`` bytes, cut anywhere: an open word
 and the last words go over into the next chunk, so memory doesn't grow with a text or a word.
 
 Null texts are empty. Ids only choose the sample; null or repeated ones change no result. Empty
@@ -293,24 +294,37 @@ def phrases(stream: Batch, tokens: Tokens):
     return name
 
 
-def frequent_phrases(spark: SparkSession, docs: DataFrame, tables: list[DataFrame], min_count: int) -> DataFrame:
-    """(lang, size, phrase, f) of the frequent phrases, counted by their text; size 0: all words of a language."""
-    union = tables[0]
-    for t in tables[1:]:
-        union = union.unionByName(t)
-    share = shared(spark, bits_of(union))
+def rarer(found: dict) -> dict:
+    """Take the rarer half out. Phrases that are met all the time stay until the task's end: one row each."""
+    counts = np.fromiter((n for own in found.values() for n in own.values()), dtype=np.int64)
+    middle = int(np.partition(counts, len(counts) // 2)[len(counts) // 2])
+    out = {lang: {phrase: n for phrase, n in own.items() if n <= middle} for lang, own in found.items()}
+    for lang, gone in out.items():
+        for phrase in gone:
+            del found[lang][phrase]
+        if not found[lang]:
+            del found[lang]
+    return out
+
+
+def counted_by_text(docs: DataFrame, share) -> DataFrame:
+    """(lang, size, phrase, f): a task's counts of the windows that a filter holds; size 0: all words of a language.
+
+    A task makes a row of each phrase that it meets. Both the phrases and the input's partitions grow with the
+    input, so rows of each partition would grow with their product. There are as many tasks as cores instead.
+    """
 
     def count(batches):
         give_back()
         kept = unfolded(share)
-        found: dict[tuple, int] = defaultdict(int)
+        found: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
         for batch in batches:
             stream = Batch(batch)
             distinct = len(set(stream.langs)) == len(set(stream.seeds.tolist()))
             for tokens in chunks(stream.data):
                 text = np.searchsorted(stream.at, tokens.first, side="right") - 1
                 for i, n in zip(*np.unique(text[tokens.new :], return_counts=True)):
-                    found[stream.langs[i], 0, ""] += int(n)
+                    found[stream.langs[i]][""] += int(n)
                 number, name = same_words(stream, tokens), phrases(stream, tokens)
                 keys = stream.keys(tokens, LONGEST)
                 for size, begin in enumerate(opened(tokens, keys, kept, None), 1):
@@ -324,21 +338,31 @@ def frequent_phrases(spark: SparkSession, docs: DataFrame, tables: list[DataFram
                         rep, n = np.arange(len(begin)), np.ones(len(begin), dtype=np.int64)
                     lang = text[begin[rep]].tolist()
                     for i, c, phrase in zip(lang, n.tolist(), name(begin[rep], size)):
-                        found[stream.langs[i], size, phrase] += c
-                if len(found) > HELD // 4:
-                    yield rows(found)
-                    found = defaultdict(int)
+                        found[stream.langs[i]][phrase] += c
+                if sum(map(len, found.values())) > HELD // 2:
+                    yield rows(rarer(found))
         if found:
             yield rows(found)
 
     def rows(found):
-        lang, size, phrase = zip(*found)
+        lang, phrase, f = zip(*((lang, phrase, n) for lang, own in found.items() for phrase, n in own.items()))
+        size = [p.count(" ") + 1 if p else 0 for p in phrase]
         return pa.RecordBatch.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(phrase, pa.string()), pa.array(found.values(), pa.int64())],
+            [pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(phrase, pa.string()), pa.array(f, pa.int64())],
             names=["lang", "size", "phrase", "f"],
         )
 
-    counts = docs.mapInArrow(count, "lang string, size int, phrase string, f long").groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.coalesce(cores).mapInArrow(count, "lang string, size int, phrase string, f long")
+
+
+def frequent_phrases(spark: SparkSession, docs: DataFrame, tables: list[DataFrame], min_count: int) -> DataFrame:
+    """(lang, size, phrase, f) of the frequent phrases, counted by their text; size 0: all words of a language."""
+    union = tables[0]
+    for t in tables[1:]:
+        union = union.unionByName(t)
+    share = shared(spark, bits_of(union))
+    counts = counted_by_text(docs, share).groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
     frequent = written(spark, counts.where((F.col("f") >= min_count) | (F.col("size") == 0)), "phrases-frequent")
     share.destroy()
     return frequent

@@ -143,3 +143,33 @@ def test_scores_beyond_64_bits(spark):
     rows = [("en", 0, "", n), ("en", 1, "x", left), ("en", 1, "y", right), ("en", 2, "x y", a)]
     got = M.scored(spark.createDataFrame(rows, "lang string, size int, phrase string, f long")).first()
     assert got.score == 1000 * a * n // (left * right)
+
+
+def test_rows_of_the_text_pass_do_not_grow_with_the_partitions(spark):
+    rows = [(i, "one two three four five", "en") for i in range(200)]
+    share = M.shared(spark, np.full(M.FILTER_BITS // 64, ~M.U(0)))
+    got = M.counted_by_text(docs_of(spark, rows).select("lang", "text").repartition(64), share).cache()
+    assert got.count() <= 16 * spark.sparkContext.defaultParallelism  # 15 phrases and the number of words
+    total = {(r["size"], r["phrase"]): r["f"] for r in got.groupBy("size", "phrase").agg(F.sum("f").alias("f")).collect()}
+    words = rows[0][1].split()
+    assert total == {(0, ""): 1000} | {(k, " ".join(words[i : i + k])): 200 for k in range(1, 6) for i in range(6 - k)}
+    got.unpersist()
+
+
+def test_the_rarer_half_is_handed_on():
+    found = {"en": {"": 90, "a": 40, "b": 1, "a b": 1}, "de": {"c": 1}}
+    assert M.rarer(found) == {"en": {"b": 1, "a b": 1}, "de": {"c": 1}}
+    assert found == {"en": {"": 90, "a": 40}}
+    assert M.rarer({"en": {"a": 3, "b": 3}}) == {"en": {"a": 3, "b": 3}}
+
+
+def test_phrases_handed_on_early_are_counted_whole(spark, monkeypatch):
+    monkeypatch.setattr(M, "HELD", 40)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "4")
+    try:
+        rows = corpus(9)
+        assert sorted(map(tuple, M.collocations(spark, docs_of(spark, rows), 5, 50, one_in=3).collect())) == plain(rows, 5, 50)
+    finally:
+        spark.conf.set(name, old)
