@@ -521,6 +521,11 @@ def counter(path: str) -> Counter:
     return _COUNTERS[path]
 
 
+def compiled() -> bool:
+    """Does this worker process hold compiled states?"""
+    return bool(_COUNTERS)
+
+
 def forget() -> None:
     """Drop the compiled states: for tasks of other operators in the same worker process."""
     _COUNTERS.clear()

@@ -74,17 +74,23 @@ def swept(runs: Iterable[tuple[int, int, int, int]]) -> list[tuple]:
     return out + [(GAP, *run, 0, 0, 0) for run in stack]
 
 
-def sweep_ranges(runs: DataFrame, width: int) -> DataFrame:
-    """``swept`` for each range of ``width`` sizes."""
-
-    def own(rows: pa.Table) -> pa.Table:
-        found = swept(zip(*(rows[c].to_pylist() for c in ("kind", "size", "first", "count"))))
-        types = [pa.int32()] + [pa.int64()] * 6
-        names = ["kind", "size", "first", "count", "sequence", "each", "gap"]
-        return pa.Table.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*found), types)], names=names)
-
+def swept_table(rows: pa.Table) -> pa.Table:
+    """``swept`` for Spark. The worker may have tokenised before: what it compiled for that goes first,
+    or it would lie in memory through all rounds."""
+    if bpe_transducer.compiled():
+        give_back()
+    found = swept(zip(*(rows[c].to_pylist() for c in ("kind", "size", "first", "count"))))
+    types = [pa.int32()] + [pa.int64()] * 6
+    names = ["kind", "size", "first", "count", "sequence", "each", "gap"]
+    return pa.Table.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*found), types)], names=names)
+
+
+def sweep_ranges(runs: DataFrame, width: int, capacity: int) -> DataFrame:
+    """``swept`` for each range of ``width`` sizes, in no more tasks than there are ranges: with one for
+    each shuffle partition, the empty ones would be most of a round's work and memory."""
     part = F.floor((F.col("size") - 1) / width).alias("range")
-    return runs.select("kind", "size", "first", "count", part).groupBy("range").applyInArrow(own, RUN)
+    ranged = runs.select("kind", "size", "first", "count", part).groupBy("range")
+    return ranged.applyInArrow(swept_table, RUN).coalesce(-(-capacity // width))
 
 
 def opening(runs: DataFrame, capacity: int) -> tuple[int, int]:
@@ -116,13 +122,13 @@ def placements(spark: SparkSession, classes: DataFrame, capacity: int) -> DataFr
         if not left:
             break
         if new:
-            runs = runs.unionByName(spark.range(1).select(
-                F.lit(GAP).alias("kind"), F.lit(capacity).cast("long").alias("size"), F.lit(opened).cast("long").alias("first"), F.lit(new).cast("long").alias("count")
-            ))
+            # as a row, not as literals: with other literals Spark would compile the round's code anew
+            row = {"kind": pa.array([GAP], pa.int32()), "size": [capacity], "first": [opened], "count": [new]}
+            runs = runs.unionByName(spark.createDataFrame(pa.table(row)))
             opened += new
-        near = written(spark, sweep_ranges(runs, -(-capacity // RANGES)), "pack-near")
+        near = written(spark, sweep_ranges(runs, -(-capacity // RANGES), capacity), "pack-near")
         done = F.col("kind").isin(MATCH, UPDATED)
-        found = written(spark, near.where(done).unionByName(sweep_ranges(near.where(~done), capacity)), "pack-round")
+        found = written(spark, near.where(done).unionByName(sweep_ranges(near.where(~done), capacity, capacity)), "pack-round")
         matches.append(found.where(F.col("kind") == MATCH))
         kind = F.when(F.col("kind") == UPDATED, F.lit(GAP)).otherwise(F.col("kind")).alias("kind")
         runs = found.where(F.col("kind") != MATCH).select(kind, "size", "first", "count")

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -131,6 +132,38 @@ def test_placements_fill_sequences_like_best_fit_decreasing(spark, seed):
     assert len(filled) <= plain_best_fit(lengths.tolist(), capacity) * 1.01
 
 
+def test_rounds_have_no_more_tasks_than_ranges(spark, monkeypatch):
+    tasks, plain = [], packing.written
+
+    def counted(spark, df, name):
+        tasks.append((name, df.rdd.getNumPartitions()))
+        return plain(spark, df, name)
+
+    monkeypatch.setattr(packing, "written", counted)
+    classes = spark.createDataFrame([(n, 3) for n in range(1, 65)], "size long, count long")
+    own = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        plan = packing.placements(prepared(spark), classes, 64).groupBy("size").sum("count").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, plan)) == [(n, 3) for n in range(1, 65)]
+    assert max(n for name, n in tasks if name == "pack-near") <= packing.RANGES
+    assert max(n for name, n in tasks if name == "pack-round") <= packing.RANGES + 1
+
+
+def test_a_sweep_drops_what_the_worker_has_compiled():
+    """Else each worker keeps some 200 MB of tokenizer through all rounds."""
+    bpe_transducer.counter(PATH)
+    runs = {"kind": pa.array([packing.PIECE, packing.GAP], pa.int32()), "size": [3, 8], "first": [0, 5], "count": [4, 1]}
+    found = packing.swept_table(pa.table(runs)).to_pylist()
+    assert not bpe_transducer.compiled()
+    assert [tuple(r.values()) for r in found] == [(packing.MATCH, 3, 0, 2, 5, 2, 8), (packing.UPDATED, 2, 5, 1, 0, 0, 0), (packing.PIECE, 3, 2, 2, 0, 0, 0)]
+
+
 def packed(spark, rows, capacity):
     got = packing.pack(prepared(spark), docs_of(spark, rows), PATH, capacity)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
