@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import read_table
+from ..session import read_table, settings
 
 
 # ---------------------------------------------------------------- B1 samples
@@ -243,12 +243,10 @@ def plan_sample_json(spark: SparkSession, sf: str) -> DataFrame:
     t = k % 200
     asked = F.element_at(F.array(*[F.array(F.lit(a)) for a in ("create", "no-op", "update", "delete", "create")]), (t % 5 + 1).cast("int"))
     good = F.floor(k / 200) % 2 == 0
-    flagged = (
-        F.when(F.col("l_returnflag") == "A", F.array(F.lit("delete")))
-        .when(F.col("l_returnflag") == "N", F.array(F.lit("create")))
-        .when(F.col("l_linestatus") == "F", F.array(F.lit("delete"), F.lit("create")))
-        .otherwise(F.array(F.lit("update")))
-    )
+    returned, status = F.col("l_returnflag"), F.col("l_linestatus")
+    li = li.withColumn(  # one number for both flags: a shorter line to shuffle
+        "flags", F.when(returned == "A", F.lit(1)).when(returned == "N", F.lit(2)).when(status == "F", F.lit(3)).otherwise(F.lit(4)))
+    flagged = F.element_at(F.array(*[F.array(*map(F.lit, a)) for a in (("delete",), ("create",), ("delete", "create"), ("update",))]), F.col("flags"))
     name = F.when(F.col("l_linenumber") != 7, F.concat(F.lit("vm-"), F.col("l_suppkey").cast("string")))
     q = F.col("l_quantity").cast("long")
     state = F.struct(
@@ -263,14 +261,17 @@ def plan_sample_json(spark: SparkSession, sf: str) -> DataFrame:
     actions = F.when(good, asked).otherwise(flagged)
     gone = F.array_contains(actions, "delete") & ~F.array_contains(actions, "create")
     change = F.struct(
-        "pos", kind.alias("type"), F.concat(kind, F.lit(".r_"), F.col("pos").cast("string")).alias("address"),
+        kind.alias("type"), F.concat(kind, F.lit(".r_"), F.col("pos").cast("string")).alias("address"),
         F.struct(
             actions.alias("actions"),
             F.when(F.array_contains(actions, "delete") | F.array_contains(actions, "update"), F.struct(name.alias("name_label"))).alias("before"),
             F.when(~gone, state).alias("after"),
         ).alias("change"),
     )
-    docs = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(change)).alias("rc"))  # an order's lines are few
+    # collected as JSON text: smaller to spill than nested rows. The rows are in that order after the window;
+    # naming it keeps the projection, which is compiled, out of the aggregate, which isn't
+    lines = rows.select("l_orderkey", F.struct("pos", F.to_json(change).alias("json")).alias("line")).sortWithinPartitions("l_orderkey")
+    docs = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("line")).alias("rc"))  # an order's lines are few
     vm = lambda n, r, c, d: F.struct(n.alias("name"), r.cast("long").alias("ram_bytes"), c.cast("long").alias("cpus"), d.cast("long").alias("disk_bytes"))
     host = F.array(
         vm(F.lit("vm-host"), F.lit(1 << 30), F.lit(2), F.lit(1 << 30)),
@@ -278,15 +279,26 @@ def plan_sample_json(spark: SparkSession, sf: str) -> DataFrame:
         vm(F.lit(None).cast("string"), F.lit(1 << 40), F.lit(99), F.lit(1 << 50)),
     )
     pre = F.when(k % 3 == 0, host).when(k % 3 == 1, F.array().cast(T._parse_datatype_string(PRE_VMS_T)))
-    text = F.to_json(F.struct(
+    head = F.to_json(F.struct(
         k.cast("string").alias("plan_key"),
         F.concat(F.lit(" T"), t.cast("string"), F.lit(" ")).alias("task_id"),
         pre.alias("pre_vms"),
-        F.transform("rc", lambda c: c.dropFields("pos")).alias("resource_changes"),
     ))
+    listed = F.concat(F.lit(',"resource_changes":['), F.array_join("rc.json", ","), F.lit("]}"))
+    text = F.when(F.col("rc").isNull(), head).otherwise(F.concat(F.substr(head, F.lit(1), F.length(head) - 1), listed))
     return o.join(docs, k == F.col("l_orderkey"), "left").select(F.when(k % 97 == 0, F.substring(text, 1, 8)).otherwise(text).alias("value"))
 
 
+def write_plan_samples(spark: SparkSession, sf: str, path: str) -> None:
+    """B7b as JSON Lines, compressed: the documents repeat their field names in every line.
+
+    A compressed file is read by one task, so its documents are limited. The lines come to the
+    aggregate sorted by order: a sort aggregate passes them on, a hash aggregate would keep
+    and spill them all."""
+    with settings(spark, spark__sql__execution__useObjectHashAggregateExec="false"):
+        plan_sample_json(spark, sf).write.option("compression", "lz4").option("maxRecordsPerFile", 200_000).text(path)
+
+
 def task_specs(spark: SparkSession, sf: str) -> DataFrame:
     """Specs of the 200 tasks of B7b, from the orders' task ids; none for task % 13 = 12."""
     t = read_table(spark, sf, "orders").select((F.col("o_orderkey") % 200).alias("t")).distinct().filter("t % 13 <> 12")

@@ -274,6 +274,14 @@ def _spec_results(spark, sf):
     return RU.check_plans(plans, B.specs(spark, sf))
 
 
+def _written(spark, df, name):
+    """The rows as a table, whose size the planner knows: where it is small, the other
+    side of a join isn't shuffled."""
+    path = scratch_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _checks_text(c, field="passed"):
     return F.array_join(
         F.transform(c, lambda x: F.concat(x["check"], F.lit("="), F.coalesce(x[field].cast("string"), F.lit("null")))),
@@ -309,10 +317,10 @@ def q_plan_samples_spec_check(spark, sf):
     some empty) read nested and checked in place; specs are looked up by trimmed
     task id, quotas start from the VMs on the host. Every document has a row."""
     path = scratch_dir(spark, "plan-samples")
-    B.plan_sample_json(spark, sf).write.text(path)
+    B.write_plan_samples(spark, sf, path)
     extra = (T.StructField("task_id", T.StringType()), T.StructField("pre_vms", T._parse_datatype_string(B.PRE_VMS_T)))
     plans = RD.plan_documents_of(RD.read_plans(spark, path, key_field="plan_key", extra=extra), "task_id", "pre_vms")
-    r = RU.check_plans(plans, B.task_specs(spark, sf), task_col="task_id")
+    r = RU.check_plans(plans, _written(spark, B.task_specs(spark, sf), "task-specs"), task_col="task_id")
     return r.select(
         "plan_id", F.trim("task_id").alias("task_id"), "category", "status", "passed", F.size("errors").alias("n_errors"),
         F.array_join("errors", " | ").alias("errors"), _checks_text(F.col("checks")).alias("checks"), "had_replace_actions",
